@@ -11,12 +11,43 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    return dedup_substrings(_docs(spark, sf_dir), 13).drop("factors")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_docs(spark, sf_dir), 4, 85, 100)
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .huffman import tokens_round_trip
 
     return tokens_round_trip(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), 1)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup_bytes
+
+    return dedup_bytes(_docs(spark, sf_dir), 200).drop("spans")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -30,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("length", out["length"].cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_output, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_substring_dedup, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
