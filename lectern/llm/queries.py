@@ -17,12 +17,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import dedup_substrings
 
     return dedup_substrings(_docs(spark, sf_dir), 13).drop("factors")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: their source and language stand for the directories above them."""
+    from pyspark.sql import functions as F
+
+    from .licenses import scan_licenses
+
+    return scan_licenses(_docs(spark, sf_dir), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -61,5 +76,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("length", out["length"].cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_substring_dedup, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
