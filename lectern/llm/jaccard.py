@@ -338,3 +338,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     of_doc = sets.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
     least = of_doc.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return of_doc.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs`, all columns, with the smallest doc_id of each component alone; repeated rows of it are one.
+
+    Rows of null doc_id can't be told apart by it; all of them stay.
+    """
+    found = jaccard_components(docs, k, num, den).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id_"), (F.col("doc_id") == F.col("component_id")).alias("first_"))
+    ids = found.groupBy("id_").agg(F.max("first_").alias("first_"), F.count(F.lit(1)).alias("n_")).where("first_")
+    known = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id").cast("long") == F.col("id_"))
+    once, more = known.where("n_ = 1").select(*docs.columns), known.where("n_ > 1").select(*docs.columns)
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id IS NULL"))

@@ -200,6 +200,23 @@ def fit(labelled: DataFrame, rows_per_language: int = 600, family: Mapping[str,
     return Model(languages, family, columns, np.ascontiguousarray(w, np.float32), np.array(bias), np.array(slope))
 
 
+def _judged(b: pa.RecordBatch, model: Model | None) -> tuple[list, np.ndarray]:
+    """The language and score of each text of a batch."""
+    text = b.column("text")
+    letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
+    if model is not None:
+        data, off = text_buffers(_lower(text))
+        for i, j in chunks(off, 1 << 20):
+            places, o = gram_places(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            each = sum((model.weights[p] for p in places[1:]), model.weights[places[0]])
+            total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)])
+            grams = np.concatenate([[0], np.cumsum((places > 0).sum(0))])
+            margin = (total[o[1:]] - total[o[:-1]]) / np.maximum(1, grams[o[1:]] - grams[o[:-1]])[:, None] + model.bias
+            lang[i:j], score[i:j] = model.decide(margin)
+    return [x if ok else "und" for x, ok in zip(lang, letters)], np.where(letters, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every whole text.
 
@@ -209,24 +226,23 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            text = b.column("text")
-            letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            if model is not None:
-                data, off = text_buffers(_lower(text))
-                for i, j in chunks(off, 1 << 20):
-                    places, o = gram_places(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                    each = sum((model.weights[p] for p in places[1:]), model.weights[places[0]])
-                    total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)])
-                    grams = np.concatenate([[0], np.cumsum((places > 0).sum(0))])
-                    margin = (total[o[1:]] - total[o[:-1]]) / np.maximum(1, grams[o[1:]] - grams[o[:-1]])[:, None] + model.bias
-                    lang[i:j], score[i:j] = model.decide(margin)
-            lang = [x if ok else "und" for x, ok in zip(lang, letters)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+            lang, score = _judged(b, model)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns, but for those that are `und` or in no learned language: whose score is below `least`."""
+
+    def run(batches):
+        for b in batches:
+            lang, score = _judged(b, model)
+            yield b.filter(pa.array(np.array([x != "und" for x in lang], bool) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(folds: int = 5):
     """True for the fold that is never learned from: crc32 of doc_id as text is divisible by `folds` (a null doc_id: false)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))

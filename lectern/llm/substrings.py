@@ -83,7 +83,7 @@ def _answer(t: pa.Table) -> pa.Table:
     return table(out, _ANSWER)
 
 
-def _finish(bits: int, window: int, with_text: bool, schema: pa.Schema):
+def _finish(bits: int, window: int, with_text: bool, carry: list[str], schema: pa.Schema):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return table([], schema)
@@ -146,13 +146,13 @@ def _finish(bits: int, window: int, with_text: bool, schema: pa.Schema):
             new_off = np.concatenate([[0], np.cumsum(left)])[off]
             raw = data[left].tobytes()
             cols.append(pa.array([raw[x:y].decode() for x, y in zip(new_off[:-1].tolist(), new_off[1:].tolist())], pa.string()))
-        return pa.table(cols, schema=schema)
+        return pa.table(cols + [t.column(f"carried_{i}") for i in range(len(carry))], schema=schema)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, factors and, if asked for, the text without removed stretches.
+def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, factors and, if asked for, the text without removed stretches and the columns to carry.
 
     Words are runs of bytes other than white space.  A word is removed if a window of `window` words of its document
     that covers it also starts in a document with a smaller doc_id; windows are judged on the input.  kept_sha256 is
@@ -160,26 +160,31 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
     factors: (start, length, block) in words, block being the reference block they are copied from.
 
     A null or empty text has no words.  Rows of equal doc_id aren't smaller than each other.  A row of null doc_id
-    loses nothing and is no reference.  Other columns are left out.  An empty table gives an empty result.
+    loses nothing and is no reference.  Columns that aren't carried are left out.  An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+    extra = [StructField(c, docs.schema[c].dataType) for c in carry]
     known, unknown = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("block", pa.int64())])))]
-    schema = pa.schema([*fields, *[("text", pa.string())] * with_text])
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, length: long, block: long>>" + ", text string" * with_text
+    schema = pa.schema([*(pa.field(*f) for f in fields), *[pa.field("text", pa.string())] * with_text, *to_arrow_schema(StructType(extra))])
+    base = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, length: long, block: long>>" + ", text string" * with_text
+    ddl = StructType([*StructType.fromDDL(base).fields, *extra])
     blocks, bits = plan(known, 6.0)
     blocked = known.withColumn("block", by_order(known, blocks).cast("int"))
     groups = blocked.groupBy("block")
     sent = groups.applyInArrow(_send(bits, window), "range int, block int, keys binary")
     answers = sent.groupBy("range").applyInArrow(_answer, "range int, block int, old binary, first binary")
-    out = groups.cogroup(answers.groupBy("block")).applyInArrow(_finish(bits, window, with_text, schema), ddl)
+    out = groups.cogroup(answers.groupBy("block")).applyInArrow(_finish(bits, window, with_text, list(carry), schema), ddl)
 
     def alone(batches):
-        finish = _finish(0, 1 << 30, with_text, schema)
+        finish = _finish(0, 1 << 30, with_text, list(carry), schema)
         for b in batches:
             n = b.num_rows
             if n:
-                t = pa.table([pa.array(np.arange(n)), b.column("text"), pa.array(np.zeros(n, np.int32))], names=["doc_id", "text", "block"])
+                t = pa.table([pa.array(np.arange(n)), *b.columns[1:], pa.array(np.zeros(n, np.int32))], names=["doc_id", *b.schema.names[1:], "block"])
                 done = finish(t, table([], _ANSWER)).set_column(0, "doc_id", pa.nulls(n, pa.int64()))
                 yield from done.cast(schema).to_batches()
 
