@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import shared_dir, written
 from .tokens import encoder
 from .vec import chunks, text_buffers, take_ranges
 
@@ -123,28 +123,43 @@ def decode(payload: np.ndarray, place: np.ndarray, counts: np.ndarray, marks: np
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-
-
-def token_counts(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents, the end ids included; a row for each task and id is shuffled."""
+def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id, tie (the text's digest) and ids (little-endian, 16 bits where the vocabulary allows, else 32), written once."""
 
     def run(batches):
-        enc, n = encoder(path, False), np.zeros(1 << 16, np.int64)
+        enc = encoder(path, False)
+        kind = id_type(enc.tokenizer.get_vocab_size())
+        end = np.array([end_id], kind).tobytes()
         for b in batches:
             data, off = text_buffers(b.column("text"))
             for i, j in chunks(off):
-                own = np.bincount(enc(data[off[i] : off[j]], off[i : j + 1] - off[i])[0])
-                if len(own) > len(n):
-                    n = np.append(n, np.zeros(len(own), np.int64))
-                n[: len(own)] += own
-            n[end_id] += b.num_rows
+                got, at = enc(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                raw = got.astype(kind).tobytes()
+                at = (at * np.dtype(kind).itemsize).tolist()
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("tie").slice(i, j - i), pa.array([raw[s:e] + end for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "tie", "ids"])
+
+    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
+    return written(tied.mapInArrow(run, "doc_id long, tie string, ids binary"), "ids")
+
+
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def token_counts(ids: DataFrame, kind: str) -> np.ndarray:
+    """How often each id occurs; a row for each task and id is shuffled."""
+
+    def run(batches):
+        n = np.zeros(1, np.int64)
+        for b in batches:
+            own = np.bincount(text_buffers(b.column("ids"))[0].view(kind))
+            size = max(len(n), len(own))
+            n = np.pad(n, (0, size - len(n))) + np.pad(own, (0, size - len(own)))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
 
-    rows = _texts(docs).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([end_id, *(r["id"] for r in rows)]) + 1, np.int64)
+    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
     return out
@@ -157,34 +172,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, rows_a
     their text's digest.  A null doc_id comes first.  Other columns are left out.  An empty table has empty tables.
     """
     spark = docs.sparkSession
-    bits = code_lengths(token_counts(docs, tokenizer, end_id))
+    coded_ids = token_ids(docs, tokenizer, end_id)
+    kind = id_type(encoder(tokenizer, False).tokenizer.get_vocab_size())
+    bits = code_lengths(token_counts(coded_ids, kind))
     codes = canonical(bits)
     ids = np.flatnonzero(bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in ids], "id int, bits int").coalesce(1).write.parquet(f"{path}/codes")
 
     def run(batches):
-        enc = encoder(tokenizer, False)
         for b in batches:
-            data, off = text_buffers(b.column("text"))
+            data, off = text_buffers(b.column("ids"))
             for i, j in chunks(off):
-                got, at = enc(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                n = j - i
-                where = at[1:] + np.arange(n)
-                full = np.full(len(got) + n, end_id, np.int64)
-                keep = np.ones(len(full), bool)
-                keep[where] = False
-                full[keep] = got
-                at = at + np.arange(n + 1)
-                payload, place, marks = encode(full, at, codes, bits)
-                raw = payload.tobytes()
+                payload, place, marks = encode(data[off[i] : off[j]].view(kind), (off[i : j + 1] - off[i]) // np.dtype(kind).itemsize, codes, bits)
+                raw, n = payload.tobytes(), j - i
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, n), b.column("tie").slice(i, n), pa.array(np.diff(at)), pa.array([np.diff(m, prepend=0).astype("<u2").tobytes() for m in marks], pa.binary()), pa.array([raw[s:e] for s, e in zip(place[:-1].tolist(), place[1:].tolist())], pa.binary())],
+                    [b.column("doc_id").slice(i, n), b.column("tie").slice(i, n), pa.array(np.diff(off[i : j + 1]) // np.dtype(kind).itemsize), pa.array([np.diff(m, prepend=0).astype("<u2").tobytes() for m in marks], pa.binary()), pa.array([raw[s:e] for s, e in zip(place[:-1].tolist(), place[1:].tolist())], pa.binary())],
                     names=["doc_id", "tie", "n", "marks", "payload"],
                 )
 
-    n_rows = docs.count()
+    n_rows = coded_ids.count()
     n_ranges = max(1, -(-n_rows // rows_a_range))
-    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges)).first()[0] if n_ranges > 1 else []
+    bounds = coded_ids.select(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges)).first()[0] if n_ranges > 1 else []
     cuts = np.unique(np.array(bounds or [], np.int64))
 
     def to_range(batches):
@@ -216,8 +224,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, rows_a
         if have:
             yield flush()
 
-    tied = _texts(docs).withColumn("tie", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    coded = tied.mapInArrow(both, "range int, doc_id long, tie string, n long, marks binary, payload binary")
+    coded = coded_ids.mapInArrow(both, "range int, doc_id long, tie string, n long, marks binary, payload binary")
     placed = coded.repartition("range").sortWithinPartitions("range", "doc_id", "tie").select("range", "doc_id", "n", "marks", "payload")
     out = placed.mapInArrow(blocks, "range int, block int, doc_ids array<long>, counts array<long>, places array<long>, checkpoints binary, payload binary")
     out.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
