@@ -18,10 +18,10 @@ BLOCK_BYTES, RANGE_KEYS = 10 << 20, 1 << 20
 MOST_CUTS = 256
 
 
-def plan(docs: DataFrame, bytes_a_key: float) -> tuple[int, int]:
+def plan(docs: DataFrame, bytes_a_key: float, block_bytes: int | None = None) -> tuple[int, int]:
     """(blocks, bits of key ranges) for so many bytes of text a hash."""
     _, size = text_bytes(docs)
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    blocks = max(1, -(-size // min(block_bytes or BLOCK_BYTES, BLOCK_BYTES)))
     return blocks, max(0, int(np.ceil(np.log2(max(1.0, size / bytes_a_key / RANGE_KEYS)))))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_hash, digests, kept_bytes, plan, split, table, texts
-from .vec import BYTE_VALUES, U64, chunks, pack_ints, pack_sorted, prefix, spans, take_ranges, unpack_ints, unpack_sorted
+from .vec import BYTE_VALUES, U64, chunks, mix, pack_ints, pack_sorted, prefix, spans, take_ranges, unpack_ints, unpack_sorted
 
 Q = 48
 UNIQUE, REPEATED, REFINE, SAMPLE, SPREAD = 0, 1, 2, 3, 4
@@ -61,7 +61,8 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, n
     last_of = inside.copy()
     last_of[:-1] &= (at[1:] != at[:-1]) | ~inside[1:]
     last = np.flatnonzero(last_of)
-    return first, last, h[at[first]], spans(p, first, last + size, "byte")
+    # mixed again: the least hashes of many all begin with zeros, and keys are dealt out by their leading bits
+    return first, last, mix(h[at[first]]), spans(p, first, last + size, "byte")
 
 
 class _Block:
@@ -69,7 +70,7 @@ class _Block:
 
     def __init__(self, data: np.ndarray, off: np.ndarray, size: int):
         parts = []
-        for i, j in chunks(off):
+        for i, j in chunks(off, 1 << 20):
             f, l, g, c = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
             parts.append((f + off[i], l + off[i], g, c))
         self.first, self.last, gram, context = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * 2
@@ -147,7 +148,7 @@ def _spread_keys(b: _Block, state: np.ndarray, data: np.ndarray, off: np.ndarray
     hashes = np.zeros(len(places), U64)
     order = np.argsort(places)
     done = 0
-    for i, j in chunks(off):
+    for i, j in chunks(off, 1 << 20):
         m = np.searchsorted(places[order], off[j]) - done
         if m:
             own = order[done : done + m]
@@ -189,7 +190,7 @@ def refine(text: np.ndarray, group: np.ndarray, left: np.ndarray, start: np.ndar
     group and left: of each byte, the group it belongs to and the bytes from there to the end of its context.
     """
     n = len(text)
-    bucket = np.zeros(n, np.int64)
+    bucket = np.zeros(n, np.int32)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     word = np.zeros(n, U64)
     for k in range(8):
@@ -200,12 +201,12 @@ def refine(text: np.ndarray, group: np.ndarray, left: np.ndarray, start: np.ndar
         by = np.lexsort((second, first))
         f, s = first[by], second[by]
         new = np.append(True, (f[1:] != f[:-1]) | (s[1:] != s[:-1]))
-        own = np.cumsum(new)
+        own = np.cumsum(new, dtype=np.int32)
         bucket[:] = 0
         bucket[at[by]] = own
         return at[by][np.bincount(own)[own] > 1]
 
-    wanted = np.zeros(n + 1, np.int64)  # bytes that some suffix at `start` covers
+    wanted = np.zeros(n + 1, np.int32)  # bytes that some suffix at `start` covers
     np.add.at(wanted, start, 1)
     np.add.at(wanted, start + size, -1)
     live = np.flatnonzero((np.cumsum(wanted)[:-1] > 0) & (left >= 8))
@@ -215,8 +216,8 @@ def refine(text: np.ndarray, group: np.ndarray, left: np.ndarray, start: np.ndar
         step = min(depth, size - depth)
         if depth + step < size:  # later offsets are looked up again: all places that have so many bytes
             at = live[left[live] >= depth + step]
-            used = np.zeros(n, bool)  # only those that a suffix still open covers
-            cover = np.zeros(n + 1, np.int64)
+            # only those that a suffix still open covers
+            cover = np.zeros(n + 1, np.int32)
             np.add.at(cover, ok, 1)
             np.add.at(cover, ok + size - depth - step + 1, -1)
             used = np.cumsum(cover)[:-1] > 0
@@ -283,7 +284,7 @@ def _finish(bits: int, size: int, with_text: bool, schema: pa.Schema):
         data, off = texts(t)
         b = _Block(data, off, size)
         state, cut = _states(b, bits, states), split(b.gram, bits)
-        cover = np.zeros(len(data) + 1, np.int64)
+        cover = np.zeros(len(data) + 1, np.int32)
         # all strings of repeated contexts
         whole = (state == REPEATED) | (state == SAMPLE) | (state == SPREAD + 1)
         hit = whole[b.pair] if len(b.pair) else np.zeros(0, bool)
@@ -341,7 +342,8 @@ def dedup_bytes(docs: DataFrame, size: int = 200, most: int = 4000, with_text: b
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), *[("rest", pa.binary())] * with_text])
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, length: long>>" + ", rest binary" * with_text
-    blocks, bits = plan(rows, 60.0)
+    # working on a byte of text takes some 100 bytes of memory, and as much for a byte of a context
+    blocks, bits = plan(rows, 60.0, 4 << 20)
     bits = max(bits, int(np.ceil(np.log2(blocks))) if blocks > 1 else 0)
     groups = rows.withColumn("block", F.coalesce(by_hash(blocks), F.lit(0))).groupBy("block")
     sent = groups.applyInArrow(_send(bits, size), "range int, block int, keys binary, contexts binary, many binary")
