@@ -1 +1,6 @@
-"""Text-corpus analytics on PySpark."""
+"""Queries over the test tables, by name, with their SQL."""
+
+from . import relational_queries, scalar_queries, text_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "relational_queries", "scalar_queries", "text_queries"]
