@@ -8,9 +8,11 @@ the pigeonhole principle no pair is missed.  How many segments are allotted 2 is
 against signatures that agree by chance.  The few sets with too many empty segments send those too.
 
 Sets are named by a 64-bit hash, so copies are one set.  Signatures travel as sorted differences, a set once a block.
-Sets with a common signature are candidates; each is first verified against the least of its candidate group, and
-only sets that are still in different components after that are compared further, if the counts of their shingles in
-64 cells leave it possible (a lower bound of their difference, so nothing is lost).
+Sets with a common signature are candidates, in buckets.  Each set is first verified against the least set that it
+shares a bucket with; then, of the pairs of a bucket's sets that are still in different components, those of each set
+that differ least; then all such pairs that are left.  Pairs go unread only if they are in one component already, or if the counts
+of their shingles in 64 and 512 cells exclude a link (lower bounds of their difference, so nothing is lost).  A group
+of near copies costs a few pairs for each of its sets.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import text_bytes, written
 from .blocks import split, table
+from .tokens import forget
 from .vec import U64, chunks, mix, pack_ints, pack_sorted, spans, prefix, take_ranges, text_buffers, unpack_ints, unpack_sorted, windows, word_hashes, words
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-CELLS = 64
+CELLS, COARSE = 512, 64
 TILE = 4096
 _BAND_GROWTH = 1.09
 
@@ -65,7 +68,7 @@ def cells(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """Shingles of each set in each of CELLS cells, at most 255."""
     n = len(edge) - 1
     doc = np.repeat(np.arange(n), np.diff(edge))
-    return np.minimum(np.bincount(doc * CELLS + (value >> U64(58)).astype(np.int64), minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
+    return np.minimum(np.bincount(doc * CELLS + (value >> U64(55)).astype(np.int64), minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
 
 
 class Bands:
@@ -144,6 +147,7 @@ def signatures(value: np.ndarray, edge: np.ndarray, bands: Bands) -> tuple[np.nd
 
 def _sets(k: int):
     def run(batches):
+        forget()
         for b in batches:
             data, off = text_buffers(b.column("text"))
             for i, j in chunks(off):
@@ -252,39 +256,55 @@ def _verify(k: int, num: int, den: int):
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of sets that link. texts: node, n, text, one row for each set.
 
-    A set that is `a` of many pairs is sent once to each of several tasks, which share its pairs by their size.
+    A set that is `a` of many pairs is sent once to each of several tasks, which share its pairs (sets of much the same size).
     """
-    sized = pairs.join(texts.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    share = sized.groupBy("a").agg(F.ceil(F.sum("n_b") / F.lit(400_000)).cast("int").alias("parts"))
-    parts = sized.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
+    share = counts.join(texts.select(F.col("node").alias("a"), "n"), "a").select("a", F.ceil(F.col("pairs") * F.col("n") / F.lit(400_000)).cast("int").alias("parts"))
+    parts = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     right = parts.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text")
     left = share.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("node").alias("a"), "text"), "a").select(F.col("a").alias("one"), F.col("part").alias("of"), "text")
     return right.groupBy("a", "part").cogroup(left.groupBy("one", "of")).applyInArrow(_verify(k, num, den), "a long, b long")
 
 
-def _open_pairs(num: int, den: int):
-    """Pairs of one bucket's sets (of two tiles of it) in different components that may still link."""
+def _near_pairs(num: int, den: int, few: int | None):
+    """Pairs of one bucket's sets (of two tiles of it) in different components that may still link: all, or of each set those that differ least."""
 
     def run(t: pa.Table) -> pa.Table:
         node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
         tile, ti, tj = t.column("tile").to_numpy(), t.column("ti")[0].as_py(), t.column("tj")[0].as_py()
         c = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        out_a, out_b = [], []
+        coarse = c.reshape(len(c), COARSE, -1).sum(2, dtype=np.int16)
+        out: set[tuple[int, int]] = set()
         right = np.flatnonzero(tile == tj)
         for i in np.flatnonzero(tile == ti):
-            j = right[(label[right] != label[i]) & ((node[right] > node[i]) if ti == tj else True)]
-            small, big = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-            j = j[den * small >= num * big]
-            if len(j):
-                differ = np.abs(c[j] - c[i]).sum(1)
-                j = j[(den + num) * differ <= (den - num) * (n[j] + n[i])]
-                out_a += [min(int(node[i]), int(x)) for x in node[j]]
-                out_b += [max(int(node[i]), int(x)) for x in node[j]]
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            # each pair once; for the nearest, each set looks at all others
+            other = (label[right] != label[i]) & ((node[right] > node[i]) if few is None and ti == tj else True)
+            j = right[other]
+            j = j[den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i])]
+            for cell in (coarse, c):
+                differ = np.abs(cell[j] - cell[i]).sum(1)
+                near = (den + num) * differ <= (den - num) * (n[j] + n[i])
+                j, differ = j[near], differ[near]
+            if few is not None and len(j) > few:
+                j = j[np.argpartition(differ, few - 1)[:few]]
+            out.update((min(int(node[i]), int(x)), max(int(node[i]), int(x))) for x in node[j])
+        a, b = zip(*sorted(out)) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int, few: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of `_near_pairs` in all buckets with sets of different components; large buckets in tiles."""
+    labelled = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    still = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    rows = labelled.join(still.select("bucket", tiles.alias("tiles")), "bucket").join(nodes, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
+    groups = tiled.select("bucket", "ti", "tj", "node", "label", F.col("n").cast("long").alias("n"), "cells", "tile").groupBy("bucket", "ti", "tj")
+    return groups.applyInArrow(_near_pairs(num, den, few), "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document (doc_id, text).
 
@@ -321,20 +341,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     unnamed = rows.where("doc_id IS NULL")
     candidates = rows.join(first_doc.select("doc_id"), "doc_id", "left_semi").unionByName(unnamed)
     texts = written(candidates.mapInArrow(named, "node long, n long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    # 1. each set against the least set that it shares a bucket with: no more pairs than sets
     least = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
-    stars = written(buckets.join(least, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct(), "stars")
+    stars = buckets.join(least, "bucket").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).where("a != b").select("a", "b")
+    stars = written(stars, "stars")
     links = written(verified(stars, texts, k, num, den), "links")
+    # 2. of the pairs of a bucket's sets that are still in different components, one of each set, then up to four, then all
+    seen = stars
+    for step, few in enumerate((1, 4, None)):
+        labels = components(links)
+        pairs = _open_pairs(buckets, labels, known, num, den, few).join(seen, ["a", "b"], "left_anti")
+        pairs = written(pairs, f"pairs{step}")
+        links = written(links.unionByName(verified(pairs, texts, k, num, den)), f"links{step}")
+        seen = seen.unionByName(pairs)
     labels = components(links)
-    # buckets that still have sets of different components
-    labelled = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    still = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high AND size > 2")
-    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    open_ = labelled.join(still.select("bucket", tiles.alias("tiles")), "bucket").join(known, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = open_.withColumn("other", other).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-    more = tiled.select("bucket", "ti", "tj", "node", "label", F.col("n").cast("long").alias("n"), "cells", "tile").groupBy("bucket", "ti", "tj").applyInArrow(_open_pairs(num, den), "a long, b long")
-    rest = written(more.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    labels = components(links.unionByName(verified(rest, texts, k, num, den)))
     of_doc = sets.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
     least = of_doc.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return of_doc.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
