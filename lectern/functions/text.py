@@ -25,6 +25,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def search_tokens(text: Column) -> Column:
     """Lower-case tokens of two or more letters, digits and _.&'- without stop words, with repeats."""
     return without(F.transform(every(text, r"[A-Za-z0-9][A-Za-z0-9_.&'-]{1,}"), F.lower), fixed.SEARCH_STOP)
@@ -135,7 +140,7 @@ def clean_article(text: Column, boilerplate: Sequence[str] = (), chrome: Sequenc
     date = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},\s+20\d{2}$"
     lines = F.filter(F.split(t, "\n"), lambda x: ~F.lower(F.trim(x)).isin(list(chrome)) & ~F.trim(x).rlike(date))
     t = links_to_anchors(F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(x)), "\n"))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
 def word_count(text: Column) -> Column:

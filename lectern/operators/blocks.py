@@ -44,7 +44,7 @@ def link_map(of: Column) -> Column:
 
 def markdown_section(of: Column, heading: str) -> Column:
     """The body under one ## heading, case ignored."""
-    return F.trim(F.regexp_extract(of, rf"(?ims)^##\s+\Q{heading}\E\s*$\n(.*?)(?=^##\s+|\z)", 1))
+    return text.stripped(F.regexp_extract(of, rf"(?ims)^##\s+\Q{heading}\E\s*$\n(.*?)(?=^##\s+|\z)", 1))
 
 
 def sections(docs: DataFrame, key: str, of: str, title: str) -> DataFrame:
@@ -61,7 +61,7 @@ def sections(docs: DataFrame, key: str, of: str, title: str) -> DataFrame:
         return F.when(heading(x), closed).otherwise(open_)
 
     folded = F.aggregate(lines, start, step, lambda a: F.array_append(a["done"], a["now"]))
-    out = docs.select(key, F.posexplode(F.transform(folded, lambda s: F.struct(s["section"].alias("section"), F.trim(F.array_join(s["lines"], "\n")).alias("body")))).alias("number", "s"))
+    out = docs.select(key, F.posexplode(F.transform(folded, lambda s: F.struct(s["section"].alias("section"), text.stripped(F.array_join(s["lines"], "\n")).alias("body")))).alias("number", "s"))
     return out.select(key, "number", "s.section", "s.body").where("body <> ''")
 
 
@@ -96,7 +96,7 @@ def char_chunks(docs: DataFrame, key: str, of: str, most: int = 14000, overlap:
             out = [(k, i, c) for k, t in zip(b[key], b["t"]) for i, c in enumerate(cut(t or ""))]
             yield pd.DataFrame(out, columns=[key, "index", "chunk"])
 
-    src = docs.select(key, F.trim(F.regexp_replace(of, "\n{3,}", "\n\n")).alias("t"))
+    src = docs.select(key, text.stripped(F.regexp_replace(of, "\n{3,}", "\n\n")).alias("t"))
     return src.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, index int, chunk string")
 
 
@@ -121,7 +121,7 @@ def char_windows(docs: DataFrame, key: str, of: str, query_terms: list[str], phr
 
 def authored_paragraphs(docs: DataFrame, key: str, of: str, ui: tuple[str, ...] = ("subscribe", "share this")) -> DataFrame:
     """key, number, text: blocks that are no heading, quotation, list, table, image or interface text, of 18 to 240 words, numbered from 1."""
-    raw = F.filter(F.transform(F.split(F.regexp_replace(of, "\r\n", "\n"), BLANK), lambda x: F.trim(x)), lambda b: (b != "") & ~b.rlike(r"^(#|>|!\[|\[!\[|\||- |\* |1\. )") & ~F.lower(b).rlike("|".join(ui)))
+    raw = F.filter(F.transform(F.split(F.regexp_replace(of, "\r\n", "\n"), BLANK), text.stripped), lambda b: (b != "") & ~b.rlike(r"^(#|>|!\[|\[!\[|\||- |\* |1\. )") & ~F.lower(b).rlike("|".join(ui)))
     plain = F.filter(F.transform(raw, text.voice_plain), lambda p: F.regexp_count(p, F.lit("[A-Za-z0-9][A-Za-z0-9'’-]*")).between(18, 240))
     return docs.select(key, F.posexplode(plain).alias("at", "text")).select(key, (F.col("at") + 1).alias("number"), "text")
 
