@@ -27,6 +27,11 @@ JUNK_ANCHORS = ["share", "share this post", "read full story", "subscribe", "sub
 # Terms too generic to search for by themselves.
 GENERIC_TERMS = "safety security government state public system systems network networks technology technologies data information report reports article articles program programs".split()
 
+# Words that are no concepts by themselves (besides the generic ones).
+CONCEPT_JUNK = """people money brings bring thing things look looking question questions example examples use used using
+works work today years way ways new old part case cases story stories section point points patent camera cameras
+surveillance company companies""".split()
+
 # Infrastructure vocabulary, a signal by co-occurrence only.
 INFRASTRUCTURE_TERMS = """tracking location locations vehicle vehicles plate plates license reader readers alpr police law
 enforcement database databases analytics integration integrated networked jurisdiction jurisdictions sightings movement
