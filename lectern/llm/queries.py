@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .tokens import tokenizer_path
 
 
@@ -35,7 +36,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .licenses import scan_licenses
 
-    return scan_licenses(_docs(spark, sf_dir), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return scan_licenses(_docs(spark, sf_dir), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))).withColumn("similarity", F.round("similarity", 6))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_substring_dedup": oracles.SUBSTRINGS, "op4_license_scan": oracles.LICENSES}
