@@ -10,9 +10,6 @@ from ..sources import readers, sinks
 from .registry import query
 from .text_queries import _md
 
-_LOC = "concat('<urlset><url><loc>', url, '</loc></url><url><loc> http://a.org/?x=1&amp;y=2</loc></url>')"
-
-
 @query("SELECT page_id, unnest([url, 'http://a.org/?x=1&y=2']) AS loc FROM pages")
 def src20_src21_sitemap_locs(t):
     xml = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url><url><loc> http://a.org/?x=1&amp;y=2</loc></url>"))
@@ -72,9 +69,6 @@ def sca53_rhetoric_report(t):
     return diagnostics.rhetoric(b, "conv_id")
 
 
-_KIND = "CASE WHEN regexp_matches(s, '\\b(is|are|was|were)\\b') THEN 1 ELSE 0 END"
-
-
 @query()
 def sca36_assertion_types(t):
     s = t.documents.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "s"))

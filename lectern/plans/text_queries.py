@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import search, text
 from ..operators import blocks, evidence, similarity
 from .registry import query
-from .scalar_queries import ALNUM
 
 #: A document as Markdown: its lines as blank-line blocks under a heading each three, with a link and a mark.
 MARKDOWN = "concat('# ', substring(text, 1, 25), chr(10), chr(10), replace(text, chr(10), concat(chr(10), chr(10))), chr(10), chr(10), '## More', chr(10), '[see ', source, '](https://e.org/p/', doc_id, ') [[EV-0001]] it', chr(10), '- item')"
