@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+from .tokens import forget
 from .vec import U64, chunks, take_ranges, text_buffers, windows, word_hashes, words
 
 K1, B, BLOCK = 1.2, 0.75, 8
@@ -162,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     """
     items = [(r["item_id"], r["text"]) for r in _items(benchmark)]
     out = None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for k in range(0, max(1, len(items)), items_a_shard):
         part = rows.mapInArrow(_search(Index(items[k : k + items_a_shard]), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
         out = part if out is None else out.unionByName(part)
@@ -202,12 +204,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6
     """The rows of `docs`, all columns, without those that hold an item; what `contaminated` says of a row decides, also where doc_id is null."""
     items = [(r["item_id"], r["text"]) for r in _items(benchmark)]
     for k in range(0, len(items), items_a_shard):
-        docs = docs.mapInArrow(_keep(Index(items[k : k + items_a_shard]), threshold, overlap), docs.schema)
+        docs = small_batches(docs).mapInArrow(_keep(Index(items[k : k + items_a_shard]), threshold, overlap), docs.schema)
     return docs
 
 
 def _keep(index: Index, threshold: float, overlap: float):
     def run(batches):
+        forget()
         for b in batches:
             data, off = lowered(b.column("text"))
             keep = np.ones(b.num_rows, bool)

@@ -10,8 +10,6 @@ The format is a table of blocks, so that any store Spark reaches can hold it, an
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window

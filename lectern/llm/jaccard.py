@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import text_bytes, written
+from .shared import small_batches, text_bytes, written
 from .blocks import split, table
 from .tokens import forget
 from .vec import U64, chunks, mix, pack_ints, pack_sorted, spans, prefix, take_ranges, text_buffers, unpack_ints, unpack_sorted, windows, word_hashes, words
@@ -165,6 +165,7 @@ _SENT = pa.schema([("range", pa.int32()), ("body", pa.binary())])
 
 def _send(k: int, bands: Bands, bits: int):
     def run(batches):
+        forget()
         for b in batches:
             data, off = text_buffers(b.column("text"))
             names, sigs, owner, have = [], [], [], 0
@@ -316,7 +317,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     Repeated rows are copies of each other.  A null doc_id is never the smallest; where no other is reachable, the
     component is null.  Other columns are left out.  An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(_sets(k), "doc_id long, n long, node long, cells binary"), "sets")
     largest = sets.agg(F.max("n")).first()[0] or 0
     bands = Bands(num, den, largest)

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+from .tokens import forget
 from .vec import U64, chunks, text_buffers
 
 #: Families of ISO 639-1 codes (fixed values); a language that isn't listed is a family of its own.
@@ -66,7 +68,7 @@ def _features(batches):
     for b in batches:
         data, off = text_buffers(_lower(b.column("text")))
         at, val = [], []
-        for i, j in chunks(off, 1 << 20):
+        for i, j in chunks(off, 1 << 19):
             places, o = gram_places(data[off[i] : off[j]], off[i : j + 1] - off[i])
             for s, e in zip(o[:-1], o[1:]):
                 k, n = np.unique(places[:, s:e], return_counts=True)
@@ -151,13 +153,13 @@ def families_of(languages: list[str]) -> dict[str, str]:
     return {x: known.get(x, x) for x in languages}
 
 
-def fit(labelled: DataFrame, rows_per_language: int = 600, family: Mapping[str, str] | None = None) -> Model | None:
+def fit(labelled: DataFrame, rows_per_language: int = 300, family: Mapping[str, str] | None = None) -> Model | None:
     """A model of labelled texts (text, lang), None if no row has both.
 
     It is fitted on a sample of about `rows_per_language` whole texts of each language, chosen by a hash of the
     text; that many texts' n-gram counts are the only thing gathered on the driver.
     """
-    labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    labelled = small_batches(labelled).select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
@@ -171,16 +173,17 @@ def fit(labelled: DataFrame, rows_per_language: int = 600, family: Mapping[str,
     family = dict(family or families_of(languages))
     lang = np.array([languages.index(r["lang"]) for r in rows])
     size = np.array([len(r["at"]) // 4 for r in rows])
-    at = np.frombuffer(b"".join(r["at"] for r in rows), "<i4").astype(np.int64)
-    val = np.frombuffer(b"".join(r["val"] for r in rows), "<f4").astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), size)
+    at = np.frombuffer(b"".join(r["at"] for r in rows), "<i4")
+    val = np.frombuffer(b"".join(r["val"] for r in rows), "<f4")
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    rows.clear()
     fam = np.array([family[x] for x in languages])[lang]
     dim = len(GRAMS) * DIM + 1
     columns, weights, bias, slope = [], [], [], []
 
     def learn(kind: str, a: str, b: str, of: np.ndarray) -> None:
         use = (of == a) | (of == b)
-        new = np.cumsum(use) - 1
+        new = np.cumsum(use, dtype=np.int32) - 1
         k = use[row]
         y = np.where(of[use] == a, 1.0, -1.0)
         w = linear_svm(at[k], val[k], new[row[k]], y, dim)
@@ -196,6 +199,8 @@ def fit(labelled: DataFrame, rows_per_language: int = 600, family: Mapping[str,
     for f in sorted(set(fam.tolist())):
         for a, b in combinations([x for x in languages if family[x] == f], 2):
             learn("language", a, b, name)
+    del at, val, row
+    forget()
     w = np.array(weights).T if weights else np.zeros((dim, 0))
     return Model(languages, family, columns, np.ascontiguousarray(w, np.float32), np.array(bias), np.array(slope))
 
@@ -207,7 +212,7 @@ def _judged(b: pa.RecordBatch, model: Model | None) -> tuple[list, np.ndarray]:
     lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
     if model is not None:
         data, off = text_buffers(_lower(text))
-        for i, j in chunks(off, 1 << 20):
+        for i, j in chunks(off, 1 << 19):
             places, o = gram_places(data[off[i] : off[j]], off[i : j + 1] - off[i])
             each = sum((model.weights[p] for p in places[1:]), model.weights[places[0]])
             total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)])
@@ -225,22 +230,24 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
 
     def run(batches):
+        forget()
         for b in batches:
             lang, score = _judged(b, model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
     """The rows of `docs`, all columns, but for those that are `und` or in no learned language: whose score is below `least`."""
 
     def run(batches):
+        forget()
         for b in batches:
             lang, score = _judged(b, model)
             yield b.filter(pa.array(np.array([x != "und" for x in lang], bool) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(folds: int = 5):
@@ -248,7 +255,7 @@ def held_out(folds: int = 5):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def identify(docs: DataFrame, rows_per_language: int = 600) -> DataFrame:
+def identify(docs: DataFrame, rows_per_language: int = 300) -> DataFrame:
     """Learn from all but the held-out fold, then predict every text: doc_id, held_out, lang_pred, score."""
     model = fit(docs.where(~held_out()), rows_per_language)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .ranks import ranked
+from .shared import small_batches
 from .tokens import encoder
 from .vec import chunks, text_buffers
 
@@ -47,7 +48,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, most: int, with_ids: b
                 cols = [key.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + ", ids binary" * with_ids)
+    return small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + ", ids binary" * with_ids)
 
 
 def best_fit(counts: Mapping[int, int], most: int) -> np.ndarray:

@@ -25,6 +25,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself; from now on its session sends rows to Python in batches of at most 2000 rows or 16 MB.
+
+    A worker holds a batch, its result and copies of both, so the usual 10 000 long texts would cost it some 200 MB.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = conf.get(key)  # the default where it isn't set
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows, and bytes of text, of a frame with a text column."""
     n, b = docs.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_order, plan, split, table, texts
+from .tokens import forget
 from .vec import chunks, pack_ints, pack_sorted, runs, take_ranges, unpack_ints, unpack_sorted, windows, word_hashes, words
 
 _SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
@@ -54,6 +55,7 @@ class _Parsed:
 
 def _send(bits: int, window: int):
     def run(t: pa.Table) -> pa.Table:
+        forget()
         block = t.column("block")[0].as_py()
         keys = np.unique(_Parsed(*texts(t), window).keys)
         cut = split(keys, bits)
@@ -64,6 +66,7 @@ def _send(bits: int, window: int):
 
 def _answer(t: pa.Table) -> pa.Table:
     """For the windows of each block in this range of hashes: whether an earlier block has them, and the first that has."""
+    forget()
     block = t.column("block").to_numpy()
     order = np.argsort(block)
     keys = [unpack_sorted(t.column("keys")[int(i)].as_buffer())[0] for i in order]
@@ -85,6 +88,7 @@ def _answer(t: pa.Table) -> pa.Table:
 
 def _finish(bits: int, window: int, with_text: bool, carry: list[str], schema: pa.Schema):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        forget()
         if not t.num_rows:
             return table([], schema)
         data, off = texts(t)
@@ -172,7 +176,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False,
     schema = pa.schema([*(pa.field(*f) for f in fields), *[pa.field("text", pa.string())] * with_text, *to_arrow_schema(StructType(extra))])
     base = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, length: long, block: long>>" + ", text string" * with_text
     ddl = StructType([*StructType.fromDDL(base).fields, *extra])
-    blocks, bits = plan(known, 6.0)
+    blocks, bits = plan(known, 6.0, 6 << 20)
     blocked = known.withColumn("block", by_order(known, blocks).cast("int"))
     groups = blocked.groupBy("block")
     sent = groups.applyInArrow(_send(bits, window), "range int, block int, keys binary")

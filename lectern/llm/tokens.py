@@ -7,7 +7,11 @@ of its pieces one after another.  A worker keeps the ids of pieces that it has m
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 from .vec import SPACE, U64, prefix, spans, take_ranges, words, BYTE_VALUES
 
@@ -27,6 +31,14 @@ def encoder(path: str, keep_space: bool) -> "PieceEncoder":
     return _encoders[path, keep_space]
 
 
+def forget() -> None:
+    """Drops what this worker keeps of tokenizers and gives free memory back; for tasks of operators that it is reused for."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cuts before each run of ASCII white space that follows other text; starts, ends, first piece of each document."""
     n = len(data)
@@ -51,7 +63,7 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class PieceEncoder:
     """Ids of the pieces met so far in an open-addressing table of numpy arrays."""
 
-    def __init__(self, path: str, keep_space: bool, most: int = 3_000_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 1_900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,9 +101,10 @@ class PieceEncoder:
     def learn(self, h: np.ndarray, texts: list[str]) -> None:
         if self.known + len(h) > self.most and self.known:
             raise MemoryError
-        groups = [texts[i : i + 1000] for i in range(0, len(texts), 1000)]
         counts, ids = [], []
-        for group, e in zip(groups, self.tokenizer.encode_batch(groups, add_special_tokens=False, is_pretokenized=True)):
+        for i in range(0, len(texts), 2000):  # the library's own results take some 300 bytes a token: a few at a time
+            group = texts[i : i + 2000]
+            e = self.tokenizer.encode_batch([group], add_special_tokens=False, is_pretokenized=True)[0]
             ids.append(np.array(e.ids, np.int32))
             counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))
         ids, counts = np.concatenate(ids), np.concatenate(counts)
