@@ -45,6 +45,18 @@ def test_judge(spark, docs, rows):
     assert sum(d in kept for d, _ in good) >= 0.97 * len(good) and sum(d in kept for d, _ in bad) <= 0.2 * len(bad)
 
 
+def test_repeated_short_lines_are_rejected(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows = [(i, "\n".join(line(10) for _ in range(8))) for i in range(400)]
+    rows += [(1000 + i, "\n".join(x for _ in range(12) for x in (line(10), "read more now", "share this"))) for i in range(30)]
+    bad = [(2000 + i, " | ".join(line(1).upper() + "#%$" for _ in range(60))) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(d, 0) for d, _ in bad[:40]], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows + bad, "doc_id long, text string"), labels).collect()}
+    assert all(x.n_repeat_words == 0 and not x.base_failed and not x.kept for d, x in got.items() if 1000 <= d < 2000)
+    assert sum(got[d].kept for d in range(300, 400)) >= 97 and not any(got[d].kept for d in range(2040, 2060))
+
+
 def test_judge_empty(spark, docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.judge(no_docs, labels).count() == 0
