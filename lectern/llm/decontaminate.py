@@ -59,18 +59,33 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(windows(h, min(n, len(h)))) if len(h) else np.zeros(0, U64)
 
 
+class Statistics:
+    """What BM25 takes from all items, however they are dealt to shards: document frequencies, count and mean length of items, and the longest."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.df, self.n, words_, self.longest = Counter(), len(items), 0, 1
+        for k in range(0, len(items), 2000):  # few terms are held at once
+            for x in _terms_of([t for _, t in items[k : k + 2000]]):
+                self.df.update(set(x.tolist()))
+                words_ += len(x)
+                self.longest = max(self.longest, len(x))
+        self.mean = max(1.0, words_ / self.n) if self.n else 1.0
+
+
 class Index:
     """Postings of items with normalised BM25 impacts, in blocks of BLOCK items, and each item's question and answer n-grams.
 
     most[t, b] is the largest impact of a term in a block; place[t, b] is the row of `impact` with its impacts on the
     block's items (row 0: none).  Items are sorted by the most common terms that they have, which keeps like items
-    (of one language, say) in one block and the maxima low.
+    (of one language, say) in one block and the maxima low.  `of` are the statistics of all items, where these are a
+    part of them: a score doesn't depend on which items share an index.
     """
 
-    def __init__(self, items: list[tuple[int, str]], gram: int = 3):
+    def __init__(self, items: list[tuple[int, str]], gram: int = 3, of: Statistics | None = None):
         self.gram = gram
+        of = of or Statistics(items)
+        df = of.df
         own = _terms_of([t for _, t in items])
-        df = Counter(t for x in own for t in set(x.tolist()))
         by = sorted(range(len(items)), key=lambda d: sorted(set(own[d].tolist()), key=lambda t: (-df[t], t))[:12])
         items, own = [items[d] for d in by], [own[d] for d in by]
         self.ids = np.array([-1 if i is None else i for i, _ in items], np.int64)
@@ -78,17 +93,19 @@ class Index:
         parts = [question_answer(t) for _, t in items]
         self.question = [grams(x, gram) for x in _terms_of([q for q, _ in parts])]
         self.answer = [grams(x, gram) for x in _terms_of([a for _, a in parts])]
-        self.longest = max([1, *map(len, own)])
-        mean = max(1.0, float(np.mean([len(x) for x in own]))) if own else 1.0
-        self.terms = np.array(sorted(df), U64)
+        self.longest = of.longest
+        self.terms = np.unique(np.concatenate([np.zeros(0, U64), *own]))
         number = {t: i for i, t in enumerate(self.terms.tolist())}
         blocks = -(-len(own) // BLOCK)
         self.place = np.zeros((len(number), blocks), np.int32)
         rows = [np.zeros(BLOCK, np.float32)]
+        self.exact = []  # each item's terms, ascending, with their impacts in 64 bits
         for d, x in enumerate(own):
             tf = Counter(x.tolist())
-            raw = {t: np.log(1 + (len(own) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / mean)) for t, n in tf.items()}
+            raw = {t: np.log(1 + (of.n - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / of.mean)) for t, n in tf.items()}
             total = sum(raw.values())
+            mine = sorted(raw)
+            self.exact.append((np.array(mine, U64), np.array([raw[t] / total for t in mine])))
             for t, v in raw.items():
                 at = number[t], d // BLOCK
                 if not self.place[at]:
@@ -139,14 +156,18 @@ def search_documents(index: Index, h: np.ndarray, first: np.ndarray, threshold:
     key = np.unique(np.concatenate([one[one >= 0] << 24 | number[at][one >= 0], two[two >= 0] << 24 | number[at][two >= 0]]))
     best: dict[tuple[int, int], tuple] = {}
     have: dict[int, dict[int, np.ndarray]] = {}
-    for p, item, score in zip(*(x.tolist() for x in index.search(key >> 24, key & 0xFFFFFF, threshold))):
+    for p, item in zip(*(x.tolist() for x in index.search(key >> 24, key & 0xFFFFFF, threshold)[:2])):
         d = int(np.searchsorted(base, p, "right")) - 1
         s = int(first[d]) + (p - int(base[d])) * step
         if p not in have:
             e = min(s + 2 * step, int(first[d + 1]))
-            have[p] = {g: np.unique(windows(h[s:e], g)) for g in range(1, index.gram + 1)}
+            have[p] = {g: np.unique(windows(h[s:e], g)) for g in range(1, index.gram + 1)} | {0: np.unique(h[s:e])}
+        mine, impact = index.exact[item]
+        score = float(impact[np.isin(mine, have[p][0], assume_unique=True)].sum())  # the same whatever else the index has
+        if score < threshold - 1e-9:
+            continue
         # parts of fewer terms than a gram are one gram of that length
-        share = [max(float(np.isin(x, y, assume_unique=True).mean()) for y in have[p].values()) if len(x) else 1.0 for x in (index.question[item], index.answer[item])]
+        share = [max(float(np.isin(x, y, assume_unique=True).mean()) for g, y in have[p].items() if g) if len(x) else 1.0 for x in (index.question[item], index.answer[item])]
         if min(share) >= overlap and ((d, item) not in best or score > best[d, item][2]):
             best[d, item] = (d, item, score, *share, s - int(first[d]))
     return list(best.values())
@@ -157,16 +178,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
     score: the share of the item's BM25 mass in the passage.  Overlaps: shares of the distinct 3-word runs of question
     and answer in the passage.  The index is held by every task, so items are taken `items_a_shard` at a time, each
-    shard being queried by all passages; items of null text, or without words, are in no passage.
+    shard being queried by all passages; document frequencies, lengths and passages are those of all items, so the
+    rows don't depend on the shards.  Items of null text, or without words, are in no passage.
 
     A null or empty text has no passages.  Repeated rows are searched each for itself.  A null doc_id stays null, null
     item_ids too.  Other columns are left out.  Empty tables give an empty result.
     """
     items = [(r["item_id"], r["text"]) for r in _items(benchmark)]
-    out = None
+    out, of = None, Statistics(items)
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for k in range(0, max(1, len(items)), items_a_shard):
-        part = rows.mapInArrow(_search(Index(items[k : k + items_a_shard]), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
+        part = rows.mapInArrow(_search(Index(items[k : k + items_a_shard], of=of), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -203,8 +225,9 @@ def _search(index: Index, threshold: float, overlap: float):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, items_a_shard: int = 2000) -> DataFrame:
     """The rows of `docs`, all columns, without those that hold an item; what `contaminated` says of a row decides, also where doc_id is null."""
     items = [(r["item_id"], r["text"]) for r in _items(benchmark)]
+    of = Statistics(items)
     for k in range(0, len(items), items_a_shard):
-        docs = small_batches(docs).mapInArrow(_keep(Index(items[k : k + items_a_shard]), threshold, overlap), docs.schema)
+        docs = small_batches(docs).mapInArrow(_keep(Index(items[k : k + items_a_shard], of=of), threshold, overlap), docs.schema)
     return docs
 
 

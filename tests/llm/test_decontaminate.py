@@ -39,6 +39,21 @@ def test_finds_all_leaks_and_no_more(spark):
     assert sorted(str(x.doc_id) for x in left) == sorted(str(x[0]) for x in docs if x[0] not in {p for p, _ in want} | {None, 902})
 
 
+def test_shards_give_equal_rows(spark):
+    items, docs, _ = make()
+    r = random.Random(1)
+    docs += [(1000 + i, " ".join(w if r.random() > 0.25 else "zzz" for w in t.split())) for i, (_, t) in enumerate(items)]  # edited copies, near the threshold
+    items.append((60, "a the of. Answer: a"))  # alone in its shard
+    docs.append((2000, "x a the of y a"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda rows: sorted((x.doc_id, x.item_id, x.score, x.question_overlap, x.answer_overlap, x.passage_start) for x in rows.collect())
+    one, kept = plain(dc.contaminated(d, b, 0.6, 0.2)), sorted(x.doc_id for x in dc.decontaminated(d, b, 0.6, 0.2).collect())
+    assert sum(x[0] >= 1000 for x in one) > 20
+    for n in (60, 7, 1):
+        assert plain(dc.contaminated(d, b, 0.6, 0.2, n)) == one
+    assert sorted(x.doc_id for x in dc.decontaminated(d, b, 0.6, 0.2, 7).collect()) == kept
+
+
 def test_search_is_exact():
     items, docs, _ = make(3)
     for n in (60, 9, 1):
