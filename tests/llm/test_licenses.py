@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -61,6 +62,18 @@ def test_scores_against_brute_force(spark):
             assert got[d].how != "own"
 
 
+def test_wrapped_notices_and_whole_texts(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met"
+    apache = "// Licensed under the Apache License,\n// Version 2.0\n// (the License); you may not use this file\n// except in compliance\n// with the License."
+    rows = [(i, f"code/{i}.c", "plain words and nothing else here " * 3) for i in range(40)]
+    rows += [(100, "n/bsd.py", "import os\n\n" + bsd + "\n\n" + "x = y + z\n" * 200), (101, "n/apache.c", "int x;\n" + apache + "\nint y;\n" * 50), (102, "g/7", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "other words of it " * 40), (103, "g/8", "no notice")]
+    mit = " ".join(t for t, n in licenses.TEXTS["MIT"].items() for _ in range(n))
+    rows += [(104, "m/9", textwrap.fill(mit, 60)), (105, "m/10", "no notice")]
+    got = scan(spark, rows)
+    assert [(got[d].license, got[d].how) for d in range(100, 106)] == [("BSD-3-Clause", "own"), ("Apache-2.0", "own"), ("GPL-3.0", "own"), (None, None), ("MIT", "own"), ("MIT", "inherited")]
+    assert got[100].n_lines == 3 and got[105].from_path == "m/9" and all(got[d].how is None for d in range(40))
+
+
 def test_empty(spark, no_docs, docs):
     assert licenses.scan_licenses(no_docs, F.col("source")).count() == 0
     assert licenses.scan_licenses(docs, F.concat_ws("/", "source", "doc_id")).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
