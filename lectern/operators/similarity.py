@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -105,7 +106,7 @@ def identity(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     principal = lambda t: F.array_distinct(F.flatten(F.transform(most(entities(t), 35), lambda e: F.concat(F.array(F.array_join(text.identity_words(e), " ")), text.identity_words(e)))))
     topical = lambda t: most(text.identity_words(F.regexp_replace(t, r"(?m)^#{1,6}\s+.*$", "")), 45)
     w = pairs.select(key, before, after, text.identity_words(b).alias("wb"), text.identity_words(a).alias("wa"))
-    overlap = F.when((F.size("wb") == 0) | (F.size("wa") == 0), 0.0).otherwise(0.55 * word_ratio("wb", "wa") + 0.45 * text.jaccard(shingles(F.col("wb")), shingles(F.col("wa"))))
+    overlap = text_overlap("wb", "wa")
     s = w.select(
         key, before, after, overlap.alias("substantial_text_overlap"), text.jaccard(title(b), title(a)).alias("title"), text.jaccard(heads(b), heads(a)).alias("headings"),
         text.jaccard(principal(b), principal(a)).alias("principal_entities"), text.jaccard(topical(b), topical(a)).alias("topic_keywords"),
@@ -125,8 +126,23 @@ def identity(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
 
 def _most_common(xs: Column, k: int) -> Column:
     """The k most common elements; the earlier in the alphabet among equals."""
-    counted = F.transform(F.array_distinct(xs), lambda x: F.struct((-F.size(F.filter(xs, lambda y: y == x))).alias("n"), x.alias("x")))
-    return F.transform(F.slice(F.array_sort(counted), 1, k), lambda s: s["x"])
+
+    @F.pandas_udf("array<string>")
+    def top(lists: pd.Series) -> pd.Series:
+        return pd.Series([[w for w, _ in sorted(Counter(x).items(), key=lambda e: (-e[1], e[0]))[:k]] if x is not None else [] for x in lists])
+
+    return top(xs)
+
+
+@F.pandas_udf(DoubleType())
+def text_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """0.55 of the sequence ratio of two word lists and 0.45 of the Jaccard similarity of their runs of five words; 0 where either is empty."""
+
+    def one(x: list, y: list) -> float:
+        p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+        return 0.55 * SequenceMatcher(None, x, y).ratio() + 0.45 * (len(p & q) / len(p | q) if p and q else 0.0)
+
+    return pd.Series([one(list(x), list(y)) if x is not None and y is not None and len(x) and len(y) else 0.0 for x, y in zip(a, b)])
 
 
 def aligned_blocks(pairs: DataFrame, key: str, before: str, after: str, least: float = 0.32) -> DataFrame:

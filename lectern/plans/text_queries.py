@@ -108,7 +108,7 @@ def jon07_best_title(t):
 
 @query()
 def set06_set07_article_identity(t):
-    p = t.documents.where("n_chars BETWEEN 1500 AND 6000 AND doc_id % 10 = 0").select("doc_id", F.concat(F.lit("# Report on The Ention Line\n\n"), "text").alias("before"), F.concat(F.lit("# Report on The Ention Line\n\n"), F.right("text", F.length("text") - 200)).alias("after"))
+    p = t.documents.select("doc_id", F.concat(F.lit("# Report on The Ention Line\n\n"), "text").alias("before"), F.concat(F.lit("# Report on The Ention Line\n\n"), F.right("text", F.length("text") - 200)).alias("after"))
     return similarity.identity(p, "doc_id", "before", "after")
 
 
