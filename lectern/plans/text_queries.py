@@ -88,9 +88,8 @@ def agg19_caution_density(t):
 
 @query()
 def jon13_sequence_similarity(t):
-    d = t.documents.join(t.labels, "doc_id", "left_semi").where("n_chars < 900")
-    a = d.select(F.col("doc_id").alias("content_id"), F.col("doc_id").alias("pos"), F.col("text").alias("copy"), F.lit(None).cast("string").alias("reuse_policy"), "source")
-    return similarity.similar_pairs(a, group="source")
+    a = t.benchmark.select(F.col("item_id").alias("content_id"), F.col("item_id").alias("pos"), F.col("text").alias("copy"), F.lit(None).cast("string").alias("reuse_policy"))
+    return similarity.similar_pairs(a)
 
 
 @query()

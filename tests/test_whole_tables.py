@@ -14,6 +14,15 @@ def folder(spark, path, **tables):
     return str(path)
 
 
+def test_sequence_similarity_compares_all_items(spark, tmp_path):
+    base = "which river runs through the old town and where does it end "
+    rows = [(i, base * 20 + f"item {i % 3}") for i in range(5)] + [(5, "short"), (6, "Short!"), (7, "something else " * 9), (8, base + "x")]
+    got = plans.QUERIES["jon13_sequence_similarity"](spark, folder(spark, tmp_path, benchmark=(rows, "item_id long, text string"), documents=([], "doc_id long, text string, source string, n_chars long"), labels=([], "doc_id long, toxic int"))).collect()
+    t = {i: " ".join(re.findall("[a-z0-9]+", x.lower())) for i, x in rows}
+    want = {(i, j): SequenceMatcher(None, t[i], t[j]).ratio() for i in t for j in t if i < j}
+    assert {(x.content_id_a, x.content_id_b): x.similarity for x in got} == {k: round(v, 3) for k, v in want.items() if v >= 0.82}
+
+
 def words(text):
     plain = re.sub(r"https?://\S+|\[[^]]+\]\([^)]+\)|[^a-zA-Z0-9’'-]+", " ", text).lower()
     return [w.strip("’-'") for w in plain.split() if len(w.strip("’-'")) >= 3 and w.strip("’-'") not in fixed.IDENTITY_STOP]
