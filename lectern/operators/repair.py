@@ -57,7 +57,7 @@ def linked(df: DataFrame, key: str, of: str, sources: str) -> DataFrame:
             out = []
             for k, t, s in zip(b[key], b[of], b[sources]):
                 n = 0
-                for _, x in sorted(enumerate(s), key=lambda p: (-len(p[1]["phrase"]), p[0])):
+                for _, x in sorted(enumerate(s if t is not None else []), key=lambda p: (-len(p[1]["phrase"]), p[0])):
                     t, hit = link_first(t, x["phrase"], x["link"])
                     n += hit
                 out.append((k, t, n))

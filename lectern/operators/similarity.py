@@ -152,7 +152,7 @@ def aligned_blocks(pairs: DataFrame, key: str, before: str, after: str, least: f
         for frame in batches:
             out = []
             for k, x, y in zip(frame[key], frame["b"], frame["a"]):
-                x, y = list(x), list(y)
+                x, y = ([] if z is None else list(z) for z in (x, y))
                 for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
                     if tag != "replace":
                         continue

@@ -113,7 +113,7 @@ def set06_set07_article_identity(t):
 
 @query()
 def jon15_tvf28_aligned_blocks(t):
-    p = t.documents.where("n_chars BETWEEN 500 AND 3000").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("before"), F.replace(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("the"), F.lit("THE")).alias("after"))
+    p = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("before"), F.replace(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("the"), F.lit("THE")).alias("after"))
     return similarity.aligned_blocks(p, "doc_id", "before", "after").select("doc_id", F.md5("old").alias("old"), "ratio")
 
 
@@ -212,7 +212,7 @@ def sca49_sca50_sca51_json_repair(t):
 def sca46_srt08_link_insert(t):
     from ..operators.repair import linked
 
-    d = t.documents.where("n_chars < 3000").select("doc_id", "text", F.array(F.struct(F.lit("the").alias("phrase"), F.lit("https://e.org/1").alias("link")), F.struct(F.lit("of the").alias("phrase"), F.lit("https://e.org/2").alias("link"))).alias("sources"))
+    d = t.documents.select("doc_id", "text", F.array(F.struct(F.lit("the").alias("phrase"), F.lit("https://e.org/1").alias("link")), F.struct(F.lit("of the").alias("phrase"), F.lit("https://e.org/2").alias("link"))).alias("sources"))
     return linked(d, "doc_id", "text", "sources").select("doc_id", "n_linked", F.md5("linked").alias("digest"))
 
 
@@ -220,7 +220,7 @@ def sca46_srt08_link_insert(t):
 def sca34_sca35_shorten(t):
     from ..operators.repair import shortened
 
-    return shortened(t.documents.where("n_chars < 2000"), "doc_id", "text", 280, 24)
+    return shortened(t.documents, "doc_id", "text", 280, 24)
 
 
 @query("SELECT user_id, event_type, count(*)::BIGINT AS n FROM events GROUP BY user_id, event_type")

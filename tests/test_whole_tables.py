@@ -43,3 +43,17 @@ def test_identity_judges_all_documents(spark, tmp_path):
         assert got[i].topic_keywords == round(jac(*top), 3), i
         short = min(len(re.findall(r"\b[\w’'-]+\b", y)) for y in (b, a)) < 250
         assert (got[i].outcome == "insufficient_evidence") == short and (short or got[i].outcome == "same_story"), i
+
+
+def test_texts_of_all_lengths(spark, tmp_path):
+    from lectern.operators import repair
+
+    texts = {1: "the end.", 2: "Of the river. " + "More words here.\n" * 20, 3: "\n".join(f"part {i} of the town, told at length." for i in range(200)), 4: None, 5: ""}
+    f = folder(spark, tmp_path, documents=([(i, x, len(x or "")) for i, x in texts.items()], "doc_id long, text string, n_chars long"))
+    run = lambda name: plans.QUERIES[name](spark, f).collect()
+    linked = {x.doc_id: x.n_linked for x in run("sca46_srt08_link_insert")}
+    assert linked == {1: 1, 2: 1, 3: 2, 4: 0, 5: 0}
+    short = {x.doc_id: x.short for x in run("sca34_sca35_shorten")}
+    assert set(short) == set(texts) and short[3].startswith("part 0 of the town, told at length. part 1") and short[1] == "the end." and repair.split_sentences("") == []
+    changed = Counter(x.doc_id for x in run("jon15_tvf28_aligned_blocks"))
+    assert changed == {1: 1, 2: 1, 3: 200}
