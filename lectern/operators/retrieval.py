@@ -46,47 +46,55 @@ def retrieve(chunks: DataFrame, query: str, concepts: list[str], limit: int, lea
 def lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> DataFrame:
     """key and vector: TF-IDF rows over the most frequent terms, projected on the k first singular vectors, of length 1.
 
-    The Gram matrix of the terms is what is gathered: most_terms squared numbers, whatever the number of texts.
+    Subspace iteration: each step multiplies k + 10 directions by the rows and by their transpose, so a task holds
+    most_terms x (k + 10) numbers, and so does the driver, whatever the number of texts.  As many directions as there
+    are terms give the exact result.  k is less than the number of texts and that of terms.
     """
     import numpy as np
+    import pandas as pd
 
     n = texts.count()
     posted = search.postings(texts, key, text.search_tokens(of))
-    top = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 1").orderBy(F.col("df").desc(), "term").limit(most_terms)
-    terms = [r["term"] for r in top.collect()]
-    place = {t: i for i, t in enumerate(terms)}
-    w = search.tfidf(posted.join(F.broadcast(top.select("term")), "term"), key, n)
-    index = F.create_map(*[x for t, i in place.items() for x in (F.lit(t), F.lit(i))]) if place else F.lit(None)
-    rows = w.withColumn("i", index[F.col("term")]).groupBy(key).agg(F.collect_list(F.struct("i", "weight")).alias("v"))
-    m = len(terms)
-
-    def gram(batches):
-        import pandas as pd
-
-        g = np.zeros((m, m))
-        for b in batches:
-            for v in b["v"]:
-                i = np.array([x["i"] for x in v])
-                x = np.array([x["weight"] for x in v])
-                g[np.ix_(i, i)] += np.outer(x, x)
-        at = np.flatnonzero(g)
-        yield pd.DataFrame({"at": at, "g": g.reshape(-1)[at]})
-
-    total = np.zeros(m * m)
-    for r in rows.select("v").mapInPandas(gram, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).collect():
-        total[r["at"]] = r["g"]
-    values, vectors = np.linalg.eigh(total.reshape(m, m)) if m else (np.zeros(0), np.zeros((0, 0)))
-    basis = vectors[:, np.argsort(-values)[:k]]
+    top = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term").limit(most_terms)
+    place = texts.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(top.collect())], "term string, i int")
+    m = place.count()
+    k = max(1, min(k, n - 1, m - 1))
+    w = search.tfidf(posted.join(F.broadcast(place.select("term")), "term"), key, n)
+    rows = w.join(F.broadcast(place), "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).persist()
+    width, part = min(k + 10, m), 1000
+
+    def times(basis):
+        """The rows' transpose times the rows times the basis."""
+
+        def run(batches):
+            total = np.zeros(basis.shape)
+            for b in batches:
+                for i, x in zip(b["i"], b["w"]):
+                    total[i] += np.outer(x, x @ basis[i])
+            yield pd.DataFrame({"part": range(0, m, part), "z": [total[a : a + part].tobytes() for a in range(0, m, part)]})
+
+        def add(frame):
+            return pd.DataFrame({"part": frame["part"][:1], "z": [sum(np.frombuffer(z) for z in frame["z"]).tobytes()]})
+
+        out = np.zeros(basis.shape)
+        for r in rows.select("i", "w").mapInPandas(run, "part int, z binary").groupBy("part").applyInPandas(add, "part int, z binary").collect():
+            out[r["part"] : r["part"] + part] = np.frombuffer(r["z"]).reshape(-1, basis.shape[1])
+        return out
+
+    basis = np.linalg.qr(np.random.default_rng(42).normal(size=(m, width)))[0] if m else np.zeros((0, 0))
+    for _ in range(5 if 0 < width < m else 0):
+        basis = np.linalg.qr(times(basis))[0]
+    if m:
+        values, vectors = np.linalg.eigh(basis.T @ times(basis))
+        basis = basis @ vectors[:, np.argsort(-values)[:k]]
 
     def project(batches):
-        import pandas as pd
-
         for b in batches:
             out = []
-            for v in b["v"]:
-                x = np.array([e["weight"] for e in v]) @ basis[[e["i"] for e in v]]
-                norm = np.linalg.norm(x)
-                out.append((x / norm if norm else x).tolist())
+            for i, x in zip(b["i"], b["w"]):
+                v = x @ basis[i]
+                norm = np.linalg.norm(v)
+                out.append((v / norm if norm else v).tolist())
             yield pd.DataFrame({key: b[key], "vector": out})
 
     return rows.mapInPandas(project, f"{key} {texts.schema[key].dataType.simpleString()}, vector array<double>")

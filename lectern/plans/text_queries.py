@@ -190,7 +190,7 @@ def txt14_prj12_hybrid_retrieval(t):
 def txt02_lsa_project(t):
     from ..operators.retrieval import lsa
 
-    return lsa(t.documents.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), "doc_id", F.col("text"), 8, 500).select("doc_id", F.size("vector").alias("k"))
+    return lsa(t.documents, "doc_id", F.col("text"), 128, 30000).select("doc_id", F.size("vector").alias("k"), "vector")
 
 
 @query()

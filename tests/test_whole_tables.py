@@ -57,3 +57,24 @@ def test_texts_of_all_lengths(spark, tmp_path):
     assert set(short) == set(texts) and short[3].startswith("part 0 of the town, told at length. part 1") and short[1] == "the end." and repair.split_sentences("") == []
     changed = Counter(x.doc_id for x in run("jon15_tvf28_aligned_blocks"))
     assert changed == {1: 1, 2: 1, 3: 200}
+
+
+def test_lsa_has_a_vector_for_each_document(spark, tmp_path):
+    import math
+
+    import numpy as np
+
+    texts = {i: " ".join(f"topic{i % 4}w{(i * k) % 23} shared{k % 7}" for k in range(1, 30)) for i in range(1, 41)}
+    f = folder(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"), labels=([(1, 1)], "doc_id long, toxic int"))
+    got = {x.doc_id: np.array(x.vector) for x in plans.QUERIES["txt02_lsa_project"](spark, f).collect()}
+    assert set(got) == set(texts)
+    tf = {i: Counter(x.split()) for i, x in texts.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    terms = sorted(df)
+    x = np.array([[(1 + math.log(tf[i][t])) * (math.log(41 / (1 + df[t])) + 1) if tf[i][t] else 0.0 for t in terms] for i in texts])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    k = min(128, len(texts) - 1, len(terms) - 1)
+    y = x @ np.linalg.svd(x)[2][:k].T
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = np.array([got[i] for i in texts])
+    assert z.shape == y.shape and np.allclose(z @ z.T, y @ y.T, atol=1e-4)  # signs are free
