@@ -53,32 +53,36 @@ def lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> Data
     import numpy as np
     import pandas as pd
 
-    n = texts.count()
+    context, n = texts.sparkSession.sparkContext, texts.count()
+    cores = max(1, context.defaultParallelism)  # so many sums are exchanged a step
     posted = search.postings(texts, key, text.search_tokens(of))
     top = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term").limit(most_terms)
     place = texts.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(top.collect())], "term string, i int")
     m = place.count()
     k = max(1, min(k, n - 1, m - 1))
     w = search.tfidf(posted.join(F.broadcast(place.select("term")), "term"), key, n)
-    rows = w.join(F.broadcast(place), "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).persist()
+    rows = w.join(F.broadcast(place), "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).coalesce(cores).persist()
     width, part = min(k + 10, m), 1000
 
     def times(basis):
         """The rows' transpose times the rows times the basis."""
 
+        shape, sent = basis.shape, context.broadcast(basis.astype(np.float32))
+
         def run(batches):
-            total = np.zeros(basis.shape)
+            total = np.zeros(shape)
             for b in batches:
                 for i, x in zip(b["i"], b["w"]):
-                    total[i] += np.outer(x, x @ basis[i])
-            yield pd.DataFrame({"part": range(0, m, part), "z": [total[a : a + part].tobytes() for a in range(0, m, part)]})
+                    total[i] += np.outer(x, x @ sent.value[i])
+            yield pd.DataFrame({"part": range(0, m, part), "z": [total[a : a + part].astype(np.float32).tobytes() for a in range(0, m, part)]})
 
         def add(frame):
-            return pd.DataFrame({"part": frame["part"][:1], "z": [sum(np.frombuffer(z) for z in frame["z"]).tobytes()]})
+            return pd.DataFrame({"part": frame["part"][:1], "z": [sum(np.frombuffer(z, np.float32).astype(float) for z in frame["z"]).tobytes()]})
 
-        out = np.zeros(basis.shape)
+        out = np.zeros(shape)
         for r in rows.select("i", "w").mapInPandas(run, "part int, z binary").groupBy("part").applyInPandas(add, "part int, z binary").collect():
-            out[r["part"] : r["part"] + part] = np.frombuffer(r["z"]).reshape(-1, basis.shape[1])
+            out[r["part"] : r["part"] + part] = np.frombuffer(r["z"]).reshape(-1, shape[1])
+        sent.destroy()
         return out
 
     basis = np.linalg.qr(np.random.default_rng(42).normal(size=(m, width)))[0] if m else np.zeros((0, 0))
