@@ -1,12 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv parsing of documents against the documents before them.
+"""Substring deduplication by looking up every window of words in the documents before.
 
 Documents lie in blocks that ascend with doc_id; each block is a reference for those behind it.  The index of all
 reference blocks is the set of their windows of `window` words, cut into ranges of hashes: each block sends its
-distinct windows once, the ranges answer which of them stand in an earlier block, and in which one first.  With the
-answers a block's documents are parsed greedily: a factor is the longest stretch from its first word on whose
-windows all stand in one reference block; the next factor begins where none goes on.  Factors of at least `window`
-words are duplicate spans.  At a factor's boundary each window that reaches across is looked up by itself, so no
-window is missed because an earlier factor ended within it.
+distinct windows once, the ranges answer which of them stand in an earlier block, and in which one first.  Each
+window that has an answer is removed; factors are runs of such windows with the same first block.
+
+This is not a relative Lempel-Ziv parse: a stretch that stands whole in one block, but partly in an earlier one too, is
+split, and no position in a reference is kept.  A greedy parse would need the blocks' texts where they are parsed; the
+lookup needs hashes alone, and removes the same words, but for hash collisions.
 
 What is exchanged is each block's distinct hashes (64 bits, as differences) and one answer for each; no passage,
 however common, is sent more than once a block, and no key gathers documents.
