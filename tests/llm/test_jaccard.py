@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from lectern.llm import jaccard
+from lectern.llm import components as graph
+from lectern.llm import jaccard, shared
 from lectern.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,10 +59,29 @@ def families(seed=4):
     return out
 
 
-@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100), (1, 9, 10)])
-def test_components(spark, docs, rows, k, num, den, monkeypatch):
+def copies(seed=9):
+    """A large group of near copies of one text, some of them far from it, and short texts with few distinct words."""
+    r = random.Random(seed)
+    base = ["c%d" % i for i in range(45)]
+    out = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            w[r.randrange(45)] = "v%d" % r.randint(0, 400)
+        out.append(" ".join(w))
+    return out + [" ".join(r.choice("pqrs") for _ in range(r.randint(1, 14))) for _ in range(150)]
+
+
+@pytest.mark.parametrize("k,num,den,small", [(4, 85, 100, False), (5, 80, 100, False), (1, 9, 10, False), (5, 80, 100, True), (2, 8, 10, True)])
+def test_components(spark, docs, rows, k, num, den, small, monkeypatch):
+    """small: ranges, tiles and tasks so small that signatures are split twice, hot ranges are dealt out and buckets have several levels of tiles."""
     monkeypatch.setattr(jaccard, "TILE", 16)
-    more = [(10_000 + i, t) for i, t in enumerate(families())]
+    if small:
+        for name, value in {"SMALL_TILE": 4, "MEMBERS_A_TASK": 500, "SET_BYTES_A_TASK": 20_000, "RANGE_KEYS": 128, "MOST_BITS": 3}.items():
+            monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(graph, "EDGES_A_TASK", 100)
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", 10)
+    more = [(10_000 + i, t) for i, t in enumerate(families() + copies())]
     every = [r[:2] for r in rows] + more
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").repartition(2))
     got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(both, k, num, den).collect()), key=str)
@@ -82,3 +102,11 @@ def test_bands_cover():
     b = jaccard.Bands(85, 100, 5000)
     for low, high, most, m, d in zip(b.low, b.high[:-1], b.most, b.segments, b.double):
         assert most == high * 15 // 85 and (most == 0 or (m + d >= most + 1 and d <= m))
+
+
+def test_one_of_each(spark, docs, rows):
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = {(x.doc_id, x.component_id) for x in jaccard.jaccard_components(docs).collect() if x.doc_id is not None}
+    assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted({d for d, c in want if d == c})
+    assert kept.where("doc_id IS NULL").count() == 2
