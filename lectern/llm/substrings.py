@@ -1,16 +1,18 @@
-"""Substring deduplication by looking up every window of words in the documents before.
+"""Substring deduplication by relative Lempel-Ziv parsing.
 
 Documents lie in blocks that ascend with doc_id; each block is a reference for those behind it.  The index of all
-reference blocks is the set of their windows of `window` words, cut into ranges of hashes: each block sends its
-distinct windows once, the ranges answer which of them stand in an earlier block, and in which one first.  Each
-window that has an answer is removed; factors are runs of such windows with the same first block.
-
-This is not a relative Lempel-Ziv parse: a stretch that stands whole in one block, but partly in an earlier one too, is
-split, and no position in a reference is kept.  A greedy parse would need the blocks' texts where they are parsed; the
-lookup needs hashes alone, and removes the same words, but for hash collisions.
-
-What is exchanged is each block's distinct hashes (64 bits, as differences) and one answer for each; no passage,
-however common, is sent more than once a block, and no key gathers documents.
+reference blocks has each window of `window` words once, with its first place (block and word), and is cut into ranges
+of hashes: each block sends its distinct windows with their places, and the ranges answer where those that stand in an
+earlier block stand first.  Each document is then factored greedily, from left to right: at a word whose window is in the
+index, the factor is the longest stretch that goes on in the reference from that window's place on; at another word,
+parsing goes one word on.  Factors don't overlap and have `window` words at least.  Windows that begin in the last words
+of a factor and go beyond it are looked up as well; factors and those windows are the duplicate spans.
+
+As the index has each window once, a factor's source is always the text that had its windows first: a stretch that
+stands whole in one block, but whose parts an earlier block had, is parsed into those parts.
+
+What is exchanged is each block's distinct windows (a 64-bit hash, as differences, and a place) and one answer for each;
+no passage, however common, is sent more than once a block, and no key gathers documents.
 """
 
 from __future__ import annotations
@@ -26,60 +28,66 @@ from .blocks import by_order, plan, split, table, texts
 from .tokens import forget
 from .vec import chunks, pack_ints, pack_sorted, runs, take_ranges, unpack_ints, unpack_sorted, windows, word_hashes, words
 
-_SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
-_ANSWER = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("old", pa.binary()), ("first", pa.binary())])
+_SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("places", pa.binary())])
+_ANSWER = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("old", pa.binary()), ("source", pa.binary())])
 
 
 class _Parsed:
-    """The words and windows of a block's texts."""
+    """The words and windows of a block's texts, which ascend with doc_id."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, window: int):
-        starts, ends, first, hashes, keys, at = [], [], [np.zeros(1, np.int64)], [], [], []
-        n = 0
+        starts, ends, first, keys, at, n = [], [], [np.zeros(1, np.int64)], [], [], 0
         for i, j in chunks(off):
             part = data[off[i] : off[j]]
             s, e, f = words(part, off[i : j + 1] - off[i])
-            h = word_hashes(part, s, e)
-            w = windows(h, window)
-            doc = np.repeat(np.arange(j - i), np.diff(f))
+            w = windows(word_hashes(part, s, e), window)
+            doc = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(f))
             inside = np.flatnonzero(doc[: len(w)] == doc[window - 1 :][: len(w)]) if len(w) else np.zeros(0, np.int64)
-            starts.append(s + off[i])
-            ends.append(e + off[i])
+            starts.append((s + off[i]).astype(np.int32))
+            ends.append((e + off[i]).astype(np.int32))
             first.append(f[1:] + n)
             keys.append(w[inside])
-            at.append(inside + n)
+            at.append((inside + n).astype(np.int32))
             n += len(s)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.starts, self.ends, self.first = cat(starts, np.int64), cat(ends, np.int64), np.concatenate(first)
-        self.keys, self.at = cat(keys, np.uint64), cat(at, np.int64)  # of each window: its hash, its first word
+        self.starts, self.ends, self.first = cat(starts, np.int32), cat(ends, np.int32), np.concatenate(first)
+        self.keys, self.at = cat(keys, np.uint64), cat(at, np.int32)  # of each window: its hash, its first word
+
+
+def _ascending(t: pa.Table) -> pa.Table:
+    """Rows by doc_id; those of one doc_id by text, so that places are the same whenever a block is read."""
+    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def _send(bits: int, window: int):
     def run(t: pa.Table) -> pa.Table:
         forget()
         block = t.column("block")[0].as_py()
-        keys = np.unique(_Parsed(*texts(t), window).keys)
-        cut = split(keys, bits)
-        return table([(r, block, pack_sorted(keys[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a], _SENT)
+        p = _Parsed(*texts(_ascending(t)), window)
+        keys, first = np.unique(p.keys, return_index=True)
+        place, cut = p.at[first], split(keys, bits)
+        return table([(r, block, pack_sorted(keys[a:b]), pack_ints(place[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a], _SENT)
 
     return run
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """For the windows of each block in this range of hashes: whether an earlier block has them, and the first that has."""
+    """For the windows of each block in this range of hashes: whether an earlier block has them, and the first place of those (block << 32 | word)."""
     forget()
     block = t.column("block").to_numpy()
     order = np.argsort(block)
     keys = [unpack_sorted(t.column("keys")[int(i)].as_buffer())[0] for i in order]
     size = np.array([len(k) for k in keys])
     every = np.concatenate(keys)
-    of = np.repeat(block[order].astype(np.int64), size)
+    del keys
+    place = np.concatenate([unpack_ints(t.column("places")[int(i)].as_buffer())[0].astype(np.int64) for i in order])
+    place += np.repeat(block[order].astype(np.int64) << 32, size)
     by = np.argsort(every, kind="stable")  # blocks ascend within equal keys
     s = every[by]
     new = np.append(True, s[1:] != s[:-1])
     source = np.empty(len(s), np.int64)
-    source[by] = of[by][new][np.cumsum(new) - 1]
-    old = source != of
+    source[by] = place[by][new][np.cumsum(new) - 1]
+    old = source >> 32 != place >> 32
     r, out, end = t.column("range")[0].as_py(), [], np.cumsum(size)
     for b, a, e in zip(block[order].tolist(), (end - size).tolist(), end.tolist()):
         o = old[a:e]
@@ -87,61 +95,86 @@ def _answer(t: pa.Table) -> pa.Table:
     return table(out, _ANSWER)
 
 
+def parse(at: np.ndarray, source: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse. at, source: word of each window that is in the index (ascending), and its place there.
+
+    Returns starts, lengths and sources of the factors, and the words at which windows across a factor's end begin.
+    """
+    begins = np.append(True, (np.diff(at) != 1) | (np.diff(source) != 1))[: len(at)]
+    run = np.cumsum(begins) - 1
+    last = at[np.append(begins[1:], True)[: len(at)]]  # of each run of windows that go on in the reference, the last one
+    after = np.searchsorted(at, last + window).tolist()  # the first window behind the stretch of each run
+    of, picked, h = run.tolist(), [], 0
+    while h < len(of):
+        picked.append(h)
+        h = after[of[h]]
+    picked = np.array(picked, np.int64)
+    start, end = at[picked], last[run[picked]] + window
+    low, high = np.searchsorted(at, end - window + 1), np.searchsorted(at, end)
+    return start, end - start, source[picked], at[take_ranges(low, high - low)]
+
+
+def _sources(p: _Parsed, ids: np.ndarray, block: int, bits: int, answers: pa.Table) -> np.ndarray:
+    """The first place of each window, if a document with a smaller doc_id has it there, else -1."""
+    if not len(p.keys):
+        return np.zeros(0, np.int64)
+    keys, first, inverse = np.unique(p.keys, return_index=True, return_inverse=True)
+    source = np.full(len(keys), -1, np.int64)
+    cut = split(keys, bits)
+    got = {r: i for i, r in enumerate(answers.column("range").to_pylist())}
+    for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+        if b > a:
+            i = got[r]
+            old = np.unpackbits(np.frombuffer(answers.column("old")[i].as_buffer(), np.uint8), count=b - a).astype(bool)
+            source[a:b][old] = unpack_ints(answers.column("source")[i].as_buffer())[0]
+    # windows that are new in this block stand first at their first place here
+    of = np.searchsorted(p.first, p.at, "right") - 1
+    own = ids[of]
+    here = np.where(source < 0, (block << 32) + p.at[first].astype(np.int64), source)
+    out = here[inverse]
+    out[(source[inverse] < 0) & (own <= own[first][inverse])] = -1
+    return out
+
+
 def _finish(bits: int, window: int, with_text: bool, carry: list[str], schema: pa.Schema):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         forget()
         if not t.num_rows:
             return table([], schema)
+        t = _ascending(t)
         data, off = texts(t)
         p = _Parsed(data, off, window)
-        block = t.column("block")[0].as_py()
         ids = t.column("doc_id").to_numpy()
-        rank = np.unique(ids, return_inverse=True)[1]
         n_docs, n_words = len(off) - 1, len(p.starts)
-        doc = np.repeat(np.arange(n_docs), np.diff(p.first))
-        source = np.full(len(p.keys), -1, np.int64)  # of each window: the block it is copied from
-        if len(p.keys):
-            keys, inverse = np.unique(p.keys, return_inverse=True)
-            from_block = np.full(len(keys), -1, np.int64)
-            cut = split(keys, bits)
-            got = {r: i for i, r in enumerate(answers.column("range").to_pylist())}
-            for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                if b > a:
-                    i = got[r]
-                    old = np.unpackbits(np.frombuffer(answers.column("old")[i].as_buffer(), np.uint8), count=b - a).astype(bool)
-                    from_block[a:b][old] = unpack_ints(answers.column("first")[i].as_buffer())[0]
-            own = rank[doc[p.at]]
-            least = np.full(len(keys), n_docs, np.int64)
-            np.minimum.at(least, inverse, own)
-            source = from_block[inverse]
-            source[(source < 0) & (own > least[inverse])] = block
-        # factors: runs of windows one word apart, copied from one block
+        source = _sources(p, ids, t.column("block")[0].as_py(), bits, answers)
         hit = source >= 0
-        at, src = p.at[hit], source[hit]
-        new = np.append(True, (np.diff(at) != 1) | (np.diff(src) != 0))[: len(at)]
-        begin = np.flatnonzero(new)
-        length = np.diff(np.append(begin, len(at))) + window - 1
-        start, from_ = at[begin], src[begin]
-        gone = np.zeros(n_words + 1, np.int64)
+        start, length, source, across = parse(p.at[hit].astype(np.int64), source[hit], window)
+        p.keys = p.at = None
+        gone = np.zeros(n_words + 1, np.int32)
         np.add.at(gone, start, 1)
         np.add.at(gone, start + length, -1)
+        np.add.at(gone, across, 1)
+        np.add.at(gone, across + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
-        removed = np.bincount(doc[gone], minlength=n_docs)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        removed = np.diff(total[p.first])
         # kept words, each with one space behind it
         keep = np.flatnonzero(~gone)
-        size = p.ends[keep] - p.starts[keep] + 1
-        out = np.append(data, 0x20).astype(np.uint8)[take_ranges(p.starts[keep], size)]
+        size = (p.ends[keep] - p.starts[keep] + 1).astype(np.int64)
         end = np.cumsum(size)
+        out = np.append(data, np.uint8(0x20))[take_ranges(p.starts[keep], size)]
         out[end - 1] = 0x20
         edge = np.concatenate([[0], end])[np.searchsorted(keep, p.first)]
         raw = out.tobytes()
+        del out
         sha = [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-        f_doc = doc[start]
-        f_edge = np.searchsorted(f_doc, np.arange(n_docs + 1))
-        factor = pa.StructArray.from_arrays([pa.array(start - p.first[f_doc]), pa.array(length), pa.array(from_)], ["start", "length", "block"])
+        del raw
+        f_edge = np.searchsorted(start, p.first)
+        begin = start - np.repeat(p.first[:-1], np.diff(f_edge))
+        factor = pa.StructArray.from_arrays([pa.array(begin), pa.array(length), pa.array(source >> 32), pa.array(source & 0xFFFFFFFF)], ["start", "length", "block", "place"])
         cols = [pa.array(ids, pa.int64()), pa.array(np.diff(p.first)), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(f_edge, pa.int32()), factor)]
         if with_text:
-            drop = np.zeros(len(data) + 1, np.int64)
+            drop = np.zeros(len(data) + 1, np.int32)
             for d in np.flatnonzero(removed):
                 s, e = p.first[d], p.first[d + 1]
                 for x, y in zip(*runs(gone[s:e])):
@@ -149,8 +182,7 @@ def _finish(bits: int, window: int, with_text: bool, carry: list[str], schema: p
                     drop[p.ends[s + y - 1]] -= 1
             left = np.cumsum(drop)[:-1] == 0
             new_off = np.concatenate([[0], np.cumsum(left)])[off]
-            raw = data[left].tobytes()
-            cols.append(pa.array([raw[x:y].decode() for x, y in zip(new_off[:-1].tolist(), new_off[1:].tolist())], pa.string()))
+            cols.append(pa.Array.from_buffers(pa.large_string(), n_docs, [None, pa.py_buffer(new_off.astype(np.int64)), pa.py_buffer(data[left])]).cast(pa.string()))
         return pa.table(cols + [t.column(f"carried_{i}") for i in range(len(carry))], schema=schema)
 
     return run
@@ -162,10 +194,12 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False,
     Words are runs of bytes other than white space.  A word is removed if a window of `window` words of its document
     that covers it also starts in a document with a smaller doc_id; windows are judged on the input.  kept_sha256 is
     of the kept words with one space between; `text` has the white space around removed stretches as it was.
-    factors: (start, length, block) in words, block being the reference block they are copied from.
+    factors: the greedy parse, (start, length, block, place) in words; block and place are where the copy begins in the
+    references (words from the beginning of the block, whose documents ascend with doc_id).
 
-    A null or empty text has no words.  Rows of equal doc_id aren't smaller than each other.  A row of null doc_id
-    loses nothing and is no reference.  Columns that aren't carried are left out.  An empty table gives an empty result.
+    A null or empty text has no words.  A very long text is parsed whole, in one block.  Rows of equal doc_id aren't
+    smaller than each other; they stand in the order of their texts.  A row of null doc_id loses nothing and is no
+    reference.  Columns that aren't carried are left out.  An empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
@@ -173,15 +207,15 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     extra = [StructField(c, docs.schema[c].dataType) for c in carry]
     known, unknown = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("block", pa.int64())])))]
+    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "block", "place")])))]
     schema = pa.schema([*(pa.field(*f) for f in fields), *[pa.field("text", pa.string())] * with_text, *to_arrow_schema(StructType(extra))])
-    base = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, length: long, block: long>>" + ", text string" * with_text
+    base = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, length: long, block: long, place: long>>" + ", text string" * with_text
     ddl = StructType([*StructType.fromDDL(base).fields, *extra])
     blocks, bits = plan(known, 6.0, 6 << 20)
     blocked = known.withColumn("block", by_order(known, blocks).cast("int"))
     groups = blocked.groupBy("block")
-    sent = groups.applyInArrow(_send(bits, window), "range int, block int, keys binary")
-    answers = sent.groupBy("range").applyInArrow(_answer, "range int, block int, old binary, first binary")
+    sent = groups.applyInArrow(_send(bits, window), "range int, block int, keys binary, places binary")
+    answers = sent.groupBy("range").applyInArrow(_answer, "range int, block int, old binary, source binary")
     out = groups.cogroup(answers.groupBy("block")).applyInArrow(_finish(bits, window, with_text, list(carry), schema), ddl)
 
     def alone(batches):

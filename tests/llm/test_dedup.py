@@ -30,6 +30,31 @@ def brute_words(rows, k):
     return out
 
 
+def brute_parse(rows, k):
+    """The greedy factors (start, length) of each text, by doc_id and text: as far as the first places of its windows go on."""
+    first = {}
+    parsed = sorted((d, t or "") for d, t in rows if d is not None)
+    for n, (d, t) in enumerate(parsed):
+        w = WORD.findall(t)
+        for i in range(len(w) - k + 1):
+            first.setdefault(tuple(w[i : i + k]), (n, i, d))
+    out = Counter()
+    for d, t in parsed:
+        w, i, factors = WORD.findall(t), 0, []
+        at = [first[tuple(w[i : i + k])] for i in range(len(w) - k + 1)]
+        while i < len(at):
+            if at[i][2] >= d:
+                i += 1
+                continue
+            n = 1
+            while i + n < len(at) and at[i + n][:2] == (at[i][0], at[i][1] + n):
+                n += 1
+            factors.append((i, n + k - 1))
+            i += n + k - 1
+        out[d, len(w), tuple(factors)] += 1
+    return out
+
+
 def brute_bytes(rows, size):
     texts = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(t[i : i + size] for _, t in texts for i in range(len(t) - size + 1))
@@ -59,11 +84,18 @@ def test_substrings(docs, rows, block_bytes):
     for r in got:
         kept = " ".join(WORD.findall(r.text))
         assert hashlib.sha256(kept.encode()).hexdigest() == r.kept_sha256
-        covered = set()
-        for f in r.factors:
-            assert f.length >= 13
-            covered |= set(range(f.start, f.start + f.length))
-        assert len(covered) == r.n_removed
+    factors = Counter((r.doc_id, r.n_words, tuple((f.start, f.length) for f in r.factors)) for r in got if r.doc_id is not None)
+    assert factors == brute_parse([r[:2] for r in rows], 13)
+
+
+def test_substring_factors(spark):
+    """A passage whose parts other documents had first, and windows across the ends of factors."""
+    w = ["w%d" % i for i in range(60)]
+    rows = list(enumerate([" ".join(w[:30]), " ".join(["a"] + w[18:45] + ["b"]), " ".join(w), " ".join(["c"] + w + ["d"]), " ".join(w[:14] + ["e"] + w[1:14])]))
+    got = {r.doc_id: r for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 13).collect()}
+    assert [tuple(f) for f in got[2].factors] == [(0, 30, 0, 0), (30, 15, 0, 30 + 1 + 12)]
+    assert [(f.start, f.length) for f in got[3].factors] == [(1, 30), (31, 15), (46, 15)]
+    assert got[3].n_removed == 60 and got[2].n_removed == 45 and got[4].n_removed == 27
 
 
 def test_substrings_empty(no_docs):
