@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches
@@ -113,11 +114,28 @@ def platt(margin: np.ndarray, y: np.ndarray) -> float:
     return a
 
 
+#: Grams that a short text's likeness to a language is widened by, and how often the likeness may be that of one text in a hundred.
+_WIDEN, _FAR = 200, 4.0
+#: Bytes of weights, which every task holds; they grow with the square of the languages of a family and of the families.
+MOST_MODEL_BYTES = 256 << 20
+
+
 class Model:
-    """Languages with their families, and a weight column for each pair of families and of languages of one family."""
+    """Languages with their families, a weight column for each pair of families and of languages of one family, and a profile of each language.
+
+    A profile is a column of log shares of n-grams, with the mean over the language's texts (`usual`) and how far below
+    it a text may be (`limit`, for a long one): a text whose n-grams are as rare as that is in another language.
+    """
 
-    def __init__(self, languages: list[str], family: Mapping[str, str], columns: list[tuple], weights: np.ndarray, bias: np.ndarray, slope: np.ndarray):
+    def __init__(self, languages: list[str], family: Mapping[str, str], columns: list[tuple], weights: np.ndarray, bias: np.ndarray, slope: np.ndarray, usual: np.ndarray, limit: np.ndarray):
         self.languages, self.family, self.columns, self.weights, self.bias, self.slope = languages, dict(family), columns, weights, bias, slope
+        self.usual, self.limit = usual, limit
+
+    def familiar(self, lang: list, mean: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """0 to 1, a half at the limit: how well the texts' n-grams, by their mean log shares, fit the languages."""
+        of = np.array([self.languages.index(x) for x in lang], np.int64)
+        far = (self.usual[of] - mean[np.arange(len(of)), of]) / np.sqrt(1 + _WIDEN / np.maximum(1, grams))
+        return 1 / (1 + np.exp(np.clip(6 * (far / self.limit[of] - 1), -30, 30)))
 
     def decide(self, margins: np.ndarray) -> tuple[list, np.ndarray]:
         """The language and score of each row of margins (one for each column)."""
@@ -153,45 +171,70 @@ def families_of(languages: list[str]) -> dict[str, str]:
     return {x: known.get(x, x) for x in languages}
 
 
+def _sample(labelled: DataFrame, most: int) -> DataFrame:
+    """lang and text: of each language the `most` distinct texts of the least hashes, or all that there are.
+
+    Hashes alone are counted and ranked; texts are shuffled only if they are chosen, a text's copies as one.
+    """
+    keyed = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
+        return labelled
+    # some twice as many as are wanted, so that an estimate's error costs none
+    top = {k: (1 << 63) - 1 if n <= 4 * most else int((1 << 64) * (2 * most / n)) - (1 << 63) for k, n in counts.items()}
+    near = F.col("h") <= F.element_at(F.create_map(*[x for k, v in top.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = keyed.where(near).select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= most).select("lang", "h")
+    return keyed.where(near).join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
 def fit(labelled: DataFrame, rows_per_language: int = 300, family: Mapping[str, str] | None = None) -> Model | None:
     """A model of labelled texts (text, lang), None if no row has both.
 
-    It is fitted on a sample of about `rows_per_language` whole texts of each language, chosen by a hash of the
-    text; that many texts' n-gram counts are the only thing gathered on the driver.
+    It is fitted on `rows_per_language` whole distinct texts of each language, those of the least hashes (all, if there
+    are fewer), so no language is lost and copies count once; those texts' n-gram counts are the only thing gathered on
+    the driver.  Scores are calibrated by margins of texts that the weights were not fitted on, two halves crosswise.
     """
     labelled = small_batches(labelled).select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    share = F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / v)))]), F.col("lang"))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = sample.mapInArrow(_features, "lang string, at binary, val binary").collect()
+    rows = _sample(labelled, rows_per_language).mapInArrow(_features, "lang string, at binary, val binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
     family = dict(family or families_of(languages))
+    sizes = Counter(family[x] for x in languages)
+    dim = len(GRAMS) * DIM + 1
+    if 4 * dim * (len(sizes) ** 2 // 2 + sum(n * n // 2 + n for n in sizes.values())) > MOST_MODEL_BYTES:
+        raise ValueError(f"{len(languages)} languages in {len(sizes)} families need more than {MOST_MODEL_BYTES} bytes of weights; name larger families")
     lang = np.array([languages.index(r["lang"]) for r in rows])
     size = np.array([len(r["at"]) // 4 for r in rows])
     at = np.frombuffer(b"".join(r["at"] for r in rows), "<i4")
     val = np.frombuffer(b"".join(r["val"] for r in rows), "<f4")
     row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    half = np.arange(len(rows)) % 2
     rows.clear()
     fam = np.array([family[x] for x in languages])[lang]
-    dim = len(GRAMS) * DIM + 1
     columns, weights, bias, slope = [], [], [], []
 
     def learn(kind: str, a: str, b: str, of: np.ndarray) -> None:
         use = (of == a) | (of == b)
-        new = np.cumsum(use, dtype=np.int32) - 1
-        k = use[row]
-        y = np.where(of[use] == a, 1.0, -1.0)
-        w = linear_svm(at[k], val[k], new[row[k]], y, dim)
-        margin = np.bincount(new[row[k]], val[k] * w[at[k]], int(use.sum())) + w[dim]
+        y = np.where(of == a, 1.0, -1.0)
+
+        def svm(part: np.ndarray) -> np.ndarray:
+            new, k = np.cumsum(part, dtype=np.int32) - 1, part[row]
+            return linear_svm(at[k], val[k], new[row[k]], y[part], dim)
+
+        w, margin, seen = svm(use), np.zeros(len(use)), np.zeros(len(use), bool)
+        for h in (0, 1):
+            other, own = use & (half != h), use & (half == h)
+            if len(set(y[other].tolist())) == 2:
+                v, k = svm(other), own[row]
+                margin += own * (np.bincount(row[k], val[k] * v[at[k]], len(use)) + v[dim])
+                seen |= own
         columns.append((kind, a, b))
         weights.append(w[:dim])
         bias.append(w[dim])
-        slope.append(platt(margin, y))
+        slope.append(platt(margin[seen], y[seen]) if seen.any() else 1.0)
 
     for a, b in combinations(sorted(set(fam.tolist())), 2):
         learn("family", a, b, fam)
@@ -199,10 +242,30 @@ def fit(labelled: DataFrame, rows_per_language: int = 300, family: Mapping[str,
     for f in sorted(set(fam.tolist())):
         for a, b in combinations([x for x in languages if family[x] == f], 2):
             learn("language", a, b, name)
+    usual, limit = np.zeros(len(languages)), np.ones(len(languages))
+    grams = np.maximum(1.0, 1 / np.maximum(1e-9, np.minimum.reduceat(val, np.cumsum(size) - size))) if len(val) and size.all() else np.ones(len(size))
+    for i in range(len(languages)):
+        own, far = np.flatnonzero(lang == i), []
+        for h in (0, 1):  # one half's profile, the other's likeness to it
+            one, two = own[half[own] != h], own[half[own] == h]
+            log = _profile(at, val, row, one if len(one) else own, dim)
+            k = np.isin(row, two)
+            far.append((two, np.bincount(row[k], val[k] * log[at[k]], len(lang))[two]))
+        who, mean = (np.concatenate(x) for x in zip(*far))
+        usual[i] = np.median(mean)
+        limit[i] = max(0.5, _FAR * np.quantile((usual[i] - mean) / np.sqrt(1 + _WIDEN / grams[who]), 0.99))
+        weights.append(_profile(at, val, row, own, dim))
     del at, val, row
     forget()
-    w = np.array(weights).T if weights else np.zeros((dim, 0))
-    return Model(languages, family, columns, np.ascontiguousarray(w, np.float32), np.array(bias), np.array(slope))
+    return Model(languages, family, columns, np.ascontiguousarray(np.array(weights).T, np.float32), np.array(bias), np.array(slope), usual, limit)
+
+
+def _profile(at: np.ndarray, val: np.ndarray, row: np.ndarray, texts: np.ndarray, dim: int) -> np.ndarray:
+    """Logarithms of the mean shares of n-grams in some texts, unseen ones at a millionth."""
+    k = np.isin(row, texts)
+    log = np.log(np.bincount(at[k], val[k], dim)[:dim] / max(1, len(texts)) + 1e-6)
+    log[0] = 0
+    return log
 
 
 def _judged(b: pa.RecordBatch, model: Model | None) -> tuple[list, np.ndarray]:
@@ -212,13 +275,15 @@ def _judged(b: pa.RecordBatch, model: Model | None) -> tuple[list, np.ndarray]:
     lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
     if model is not None:
         data, off = text_buffers(_lower(text))
+        pairs = len(model.columns)
         for i, j in chunks(off, 1 << 19):
             places, o = gram_places(data[off[i] : off[j]], off[i : j + 1] - off[i])
             each = sum((model.weights[p] for p in places[1:]), model.weights[places[0]])
             total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)])
             grams = np.concatenate([[0], np.cumsum((places > 0).sum(0))])
-            margin = (total[o[1:]] - total[o[:-1]]) / np.maximum(1, grams[o[1:]] - grams[o[:-1]])[:, None] + model.bias
-            lang[i:j], score[i:j] = model.decide(margin)
+            margin = (total[o[1:]] - total[o[:-1]]) / np.maximum(1, np.diff(grams[o]))[:, None]
+            own, p = model.decide(margin[:, :pairs] + model.bias)
+            lang[i:j], score[i:j] = own, p * model.familiar(own, margin[:, pairs:], np.diff(grams[o]))
     return [x if ok else "und" for x, ok in zip(lang, letters)], np.where(letters, score, 0.0)
 
 

@@ -98,3 +98,32 @@ def test_language_held_out(spark):
 def test_language_nothing_to_learn(spark, no_docs, docs):
     assert language.identify(no_docs).count() == 0
     assert {x.lang_pred for x in language.identify(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
+
+
+def _model(spark, rows):
+    return language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def _prose(letters, n, seed):
+    r = random.Random(seed)
+    syllables = [a + b for a in letters[0] for b in letters[1]]
+    vocabulary = ["".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(120)]
+    return [" ".join(r.choice(vocabulary) for _ in range(r.randint(30, 80))) for _ in range(n)]
+
+
+def test_no_language_is_lost_to_copies(spark):
+    two = _prose(("bdg", "aou"), 2, 1)
+    rows = [(i, two[i % 2], "aa") for i in range(2000)] + [(5000 + i, t, "bb") for i, t in enumerate(_prose(("strk", "eiy"), 700, 2))]
+    model = _model(spark, rows)
+    assert model.languages == ["aa", "bb"]
+    got = language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert all(x.lang_pred == ("aa" if x.doc_id < 5000 else "bb") for x in got)
+
+
+def test_other_languages_are_rejected(spark):
+    rows = [(i, t, "aa") for i, t in enumerate(_prose(("bdgl", "aou"), 200, 3))] + [(1000 + i, t, "bb") for i, t in enumerate(_prose(("strkn", "eiy"), 200, 4))]
+    model = _model(spark, rows)
+    held = [(9000 + i, t, None) for i, t in enumerate(_prose(("bdgl", "aou"), 200, 3)[150:])]
+    other = [(9500, "Москва является столицей страны и крупнейшим по численности населения городом", None), (9501, "東京は日本の首都であり世界最大の都市のひとつです。多くの人々がここに住んで働いています。", None), (9502, "for (int x = 0; x < q.size(); ++x) { fprintf(w, buf[x]); }" * 3, None), (9503, "zzwx qqvj hhpc ffmz wwvx jjqp cchm zxvw " * 5, None)]
+    left = {x.doc_id for x in language.accepted(spark.createDataFrame(held + other, "doc_id long, text string, lang string"), model).collect()}
+    assert left == {d for d, _, _ in held}
