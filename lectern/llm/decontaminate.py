@@ -3,14 +3,17 @@
 The items are indexed, not the corpus: postings by term, in blocks with the largest impact of each.  A document is cut
 into passages twice as long as the longest item, each half over the next, so every item that a document holds is whole
 in one of them.  Every passage is a query.  Impacts are divided by the item's score against itself, so that one
-threshold, a share of the item's BM25 mass, fits all items.  For each passage, the block maxima of its terms bound the
-scores of a block's items; only blocks whose bound reaches the threshold are scored, for many passages at once.  An item that is retrieved counts if the passage overlaps both its question and its answer.
+threshold, a share of the item's BM25 mass, fits all items.  Block-max WAND finds all items above it: cursors skip to the
+next block that the largest impacts of a passage's terms allow, and only blocks whose own maxima reach the threshold are
+scored.  An item that is retrieved counts if the passage overlaps both its question and its answer.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 from .tokens import forget
 from .vec import U64, chunks, take_ranges, text_buffers, windows, word_hashes, words
 
 K1, B, BLOCK = 1.2, 0.75, 8
+#: Passages times blocks that are searched side by side.
+MOST_CELLS = 1 << 20
 #: Letters and digits as they are, all else in ASCII as a space.
 _PLAIN = np.array([c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)], np.uint8)
 _ANSWER = re.compile(r"(?is)^(.*?)\banswer\s*:\s*(.*)$")
@@ -62,23 +67,30 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 class Statistics:
     """What BM25 takes from all items, however they are dealt to shards: document frequencies, count and mean length of items, and the longest."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.df, self.n, words_, self.longest = Counter(), len(items), 0, 1
-        for k in range(0, len(items), 2000):  # few terms are held at once
-            for x in _terms_of([t for _, t in items[k : k + 2000]]):
+    def __init__(self, items: Iterable[tuple[int, str]]):
+        self.df, self.n, words_, self.longest = Counter(), 0, 0, 1
+        for part in _parts(items, 2000):  # few terms are held at once
+            for x in _terms_of([t for _, t in part]):
                 self.df.update(set(x.tolist()))
                 words_ += len(x)
                 self.longest = max(self.longest, len(x))
+            self.n += len(part)
         self.mean = max(1.0, words_ / self.n) if self.n else 1.0
 
 
+def _parts(items: Iterable, size: int) -> Iterator[list]:
+    items = iter(items)
+    while part := list(islice(items, size)):
+        yield part
+
+
 class Index:
     """Postings of items with normalised BM25 impacts, in blocks of BLOCK items, and each item's question and answer n-grams.
 
-    most[t, b] is the largest impact of a term in a block; place[t, b] is the row of `impact` with its impacts on the
-    block's items (row 0: none).  Items are sorted by the most common terms that they have, which keeps like items
-    (of one language, say) in one block and the maxima low.  `of` are the statistics of all items, where these are a
-    part of them: a score doesn't depend on which items share an index.
+    A term's postings are the blocks that have it, ascending, with its largest impact there (`most`) and the row of
+    `impact` with its impacts on the block's items; `top` is its largest impact anywhere.  Items are sorted by the most
+    common terms that they have, which keeps like items (of one language, say) in one block and the maxima low.  `of`
+    are the statistics of all items, where these are a part of them: a score doesn't depend on which items share an index.
     """
 
     def __init__(self, items: list[tuple[int, str]], gram: int = 3, of: Statistics | None = None):
@@ -95,50 +107,68 @@ class Index:
         self.answer = [grams(x, gram) for x in _terms_of([a for _, a in parts])]
         self.longest = of.longest
         self.terms = np.unique(np.concatenate([np.zeros(0, U64), *own]))
-        number = {t: i for i, t in enumerate(self.terms.tolist())}
-        blocks = -(-len(own) // BLOCK)
-        self.place = np.zeros((len(number), blocks), np.int32)
-        rows = [np.zeros(BLOCK, np.float32)]
+        self.blocks = max(1, -(-len(own) // BLOCK))
         self.exact = []  # each item's terms, ascending, with their impacts in 64 bits
-        for d, x in enumerate(own):
-            tf = Counter(x.tolist())
-            raw = {t: np.log(1 + (of.n - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / of.mean)) for t, n in tf.items()}
-            total = sum(raw.values())
-            mine = sorted(raw)
-            self.exact.append((np.array(mine, U64), np.array([raw[t] / total for t in mine])))
-            for t, v in raw.items():
-                at = number[t], d // BLOCK
-                if not self.place[at]:
-                    self.place[at] = len(rows)
-                    rows.append(np.zeros(BLOCK, np.float32))
-                rows[self.place[at]][d % BLOCK] = v / total
-        self.impact = np.array(rows)
-        self.most = self.impact.max(1)[self.place]
+        for x in own:
+            mine, tf = np.unique(x, return_counts=True)
+            n = np.array([df[t] for t in mine.tolist()], np.float64)
+            raw = np.log(1 + (of.n - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / of.mean))
+            self.exact.append((mine, raw / raw.sum() if len(raw) else raw))
+        item = np.repeat(np.arange(len(own)), [len(m) for m, _ in self.exact])
+        term = np.searchsorted(self.terms, np.concatenate([np.zeros(0, U64), *(m for m, _ in self.exact)]))
+        self.key, row = np.unique(term * self.blocks + item // BLOCK, return_inverse=True)  # of each posting: term and block
+        self.impact = np.zeros((len(self.key), BLOCK), np.float32)
+        self.impact[row, item % BLOCK] = np.concatenate([np.zeros(0), *(v for _, v in self.exact)])
+        self.most = self.impact.max(1)
+        self.block = self.key % self.blocks
+        self.first = np.searchsorted(self.key, np.arange(len(self.terms) + 1) * self.blocks)  # of each term's postings
+        self.top = np.maximum.reduceat(self.most, self.first[:-1]) if len(self.terms) else np.zeros(0, np.float32)
 
     def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all scores of at least the threshold. passage: ascending; term: its distinct terms' numbers.
 
-        Block-max WAND for many queries at once: a block whose maxima don't reach the threshold is passed over for a
-        query, the others are scored.
+        Block-max WAND, for many passages side by side.  Each passage has a cursor in the postings of each of its terms.
+        In each step, a passage's pivot is the least block at which the terms whose cursors stand there or before could
+        reach the threshold together, by their largest impacts; without one the passage is done.  Cursors before the
+        pivot skip to it; if the maxima of the cursors that stand there reach the threshold, its items are scored; then
+        these cursors go on.
         """
         out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if not len(term):
-            return out[0]
-        first = np.flatnonzero(np.diff(passage, prepend=-1))
-        size = np.diff(np.append(first, len(passage)))
         low = threshold - 1e-4  # sums of 32-bit floats
-        bound = np.add.reduceat(self.most[term], first, axis=0)
-        for b in range(self.most.shape[1]):
-            some = np.flatnonzero(bound[:, b] >= low)
-            if len(some):
-                at = take_ranges(first[some], size[some])
-                row = self.place[term[at], b]
-                edge = np.cumsum(size[some]) - size[some]
-                score = np.add.reduceat(self.impact[row], edge, axis=0)
-                q, k = np.nonzero(score >= low)
-                out.append((passage[first[some[q]]], b * BLOCK + k, score[q, k].astype(np.float64)))
+        queries, own = np.unique(passage, return_inverse=True)
+        step = max(1, MOST_CELLS // self.blocks)
+        for k in range(0, len(queries), step):
+            x, y = np.searchsorted(own, (k, k + step))
+            for q, item, score in self._wand(own[x:y] - k, term[x:y], min(step, len(queries) - k), low):
+                out.append((queries[k + q], item, score))
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def _wand(self, query: np.ndarray, term: np.ndarray, n: int, low: float):
+        at, end, top = self.first[term], self.first[term + 1], self.top[term].astype(np.float64)
+        while len(at):
+            block = self.block[at]
+            reach = np.bincount(query * self.blocks + block, top, n * self.blocks).reshape(n, self.blocks).cumsum(1) >= low
+            pivot = np.where(reach[:, -1], reach.argmax(1), self.blocks)
+            here = pivot[query]
+            live = here < self.blocks
+            query, term, at, end, top, block, here = (v[live] for v in (query, term, at, end, top, block, here))
+            behind = np.flatnonzero(block < here)
+            at[behind] = np.searchsorted(self.key, term[behind] * self.blocks + here[behind])
+            behind = behind[at[behind] < end[behind]]
+            block[behind] = self.block[at[behind]]
+            stand = np.flatnonzero((block == here) & (at < end))
+            bound = np.bincount(query[stand], self.most[at[stand]], n)
+            scored = stand[bound[query[stand]] >= low]
+            if len(scored):
+                edge = np.flatnonzero(np.diff(query[scored], prepend=-1))
+                score = np.add.reduceat(self.impact[at[scored]], edge, axis=0)
+                q, j = np.nonzero(score >= low)
+                of = query[scored][edge][q]
+                yield of, pivot[of] * BLOCK + j, score[q, j].astype(np.float64)
+            at[stand] += 1
+            left = at < end
+            query, term, at, end, top = (v[left] for v in (query, term, at, end, top))
+
 
 def search_documents(index: Index, h: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, int]]:
     """(document, item, score, question overlap, answer overlap, first word of the passage), the best passage of each pair."""
@@ -173,37 +203,38 @@ def search_documents(index: Index, h: np.ndarray, first: np.ndarray, threshold:
     return list(best.values())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, items_a_shard: int = 2000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, items_a_shard: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap and passage_start (in words) of all pairs that verify.
 
     score: the share of the item's BM25 mass in the passage.  Overlaps: shares of the distinct 3-word runs of question
-    and answer in the passage.  The index is held by every task, so items are taken `items_a_shard` at a time, each
-    shard being queried by all passages; document frequencies, lengths and passages are those of all items, so the
-    rows don't depend on the shards.  Items of null text, or without words, are in no passage.
-
-    A null or empty text has no passages.  Repeated rows are searched each for itself.  A null doc_id stays null, null
-    item_ids too.  Other columns are left out.  Empty tables give an empty result.
+    and answer in the passage.  The index is held by every task, so items are taken `items_a_shard` at a time: a larger
+    benchmark takes a pass over the documents for each shard, whose rows are written before the next.  Document
+    frequencies, lengths and passages are those of all items, so the rows don't depend on the shards.  Items of null
+    text, or without words, are in no passage.
+
+    A null or empty text has no passages, a very long one has as many as it needs.  Repeated rows are searched each for
+    itself; of several passages with an item the first of the best counts.  A null doc_id stays null, null item_ids too.
+    Other columns are left out.  Empty tables give an empty result.
     """
-    items = [(r["item_id"], r["text"]) for r in _items(benchmark)]
+    items = _items(benchmark)
     out, of = None, Statistics(items)
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for k in range(0, max(1, len(items)), items_a_shard):
-        part = rows.mapInArrow(_search(Index(items[k : k + items_a_shard], of=of), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
-        out = part if out is None else out.unionByName(part)
+    for part in _parts(items, items_a_shard) if of.n else [[]]:
+        found = rows.mapInArrow(_search(Index(part, of=of), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
+        found = written(found, "found") if of.n > items_a_shard else found
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-#: Bytes of item texts that the driver indexes.
-MOST_ITEM_BYTES = 256 << 20
+class _items:
+    """The items with words, (item_id, text); they are brought from Spark part by part whenever they are gone through."""
 
+    def __init__(self, benchmark: DataFrame):
+        rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(r"text RLIKE '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]'")
+        self.rows = written(rows, "items")
 
-def _items(benchmark: DataFrame) -> list:
-    """The items with words, after a check of their size."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(r"text RLIKE '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]'")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"{size} bytes of benchmark items; call this for parts of them of at most {MOST_ITEM_BYTES}")
-    return rows.orderBy("item_id", "text").collect()
+    def __iter__(self) -> Iterator[tuple[int, str]]:
+        return ((r["item_id"], r["text"]) for r in self.rows.toLocalIterator())
 
 
 def _search(index: Index, threshold: float, overlap: float):
@@ -222,12 +253,13 @@ def _search(index: Index, threshold: float, overlap: float):
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, items_a_shard: int = 2000) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, items_a_shard: int = 20_000) -> DataFrame:
     """The rows of `docs`, all columns, without those that hold an item; what `contaminated` says of a row decides, also where doc_id is null."""
-    items = [(r["item_id"], r["text"]) for r in _items(benchmark)]
+    items = _items(benchmark)
     of = Statistics(items)
-    for k in range(0, len(items), items_a_shard):
-        docs = small_batches(docs).mapInArrow(_keep(Index(items[k : k + items_a_shard], of=of), threshold, overlap), docs.schema)
+    for k, part in enumerate(_parts(items, items_a_shard)):
+        docs = small_batches(docs).mapInArrow(_keep(Index(part, of=of), threshold, overlap), docs.schema)
+        docs = written(docs, "kept") if (k + 1) * items_a_shard < of.n else docs
     return docs
 
 

@@ -63,7 +63,9 @@ def test_search_is_exact():
         r = np.random.default_rng(0)
         query = [np.unique(r.integers(0, len(index.terms), r.integers(1, 60))) for _ in range(50)]
         p = np.repeat(np.arange(50), [len(q) for q in query])
-        full = index.impact[index.place].reshape(len(index.terms), -1)[:, : len(items[:n])]
+        full = np.zeros((len(index.terms), index.blocks, dc.BLOCK), np.float32)
+        full[index.key // index.blocks, index.block] = index.impact
+        full = full.reshape(len(index.terms), -1)[:, : len(items[:n])]
         for threshold in (0.05, 0.2, 0.5):
             got = {(int(a), int(b)) for a, b, _ in zip(*index.search(p, np.concatenate(query), threshold))}
             scores = np.array([full[q].sum(0) for q in query])
