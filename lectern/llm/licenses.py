@@ -21,6 +21,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Short notices by SPDX id (fixed values: the wording by which each licence is commonly declared).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -215,14 +217,15 @@ def scan_licenses(docs: DataFrame, path: Column, templates=TEMPLATES, threshold:
     """doc_id and its licence (see `inherit`) of every document (doc_id, text) at a path.
 
     A licence file is named like one, or half of its words or more are in lines (or in one block) that declare a licence, or
-    it is the text of one.  Repeated rows of a
-    doc_id are one file with the lines of all and the least path.  A null doc_id is one file as well, a null path is in
-    no directory, a null text has no lines; other columns are left out.  An empty table gives an empty result.
+    it is the text of one.  Repeated rows of a doc_id are one file with the lines of all and the least path; rows of null
+    doc_id are one file for each path.  A null path is in no directory, a null text has no lines, and a very long text is
+    scanned whole, line by line.  Other columns are left out.  An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("file"), path.alias("path"), F.col("text"))
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     # null file numbers are kept apart from all others through the joins
-    marked = rows.withColumn("is_license", named).withColumn("file", F.coalesce(F.col("file").cast("string"), F.lit("null")))
+    marked = rows.withColumn("is_license", named).withColumn("file", F.coalesce(F.col("file").cast("string"), F.concat(F.lit("null "), F.col("path")), F.lit("null")))
     files = marked.groupBy("file").agg(F.min("path").alias("path"), F.max("is_license").alias("is_license"))
-    out = inherit(files, scan(marked, templates, threshold))
-    return out.select(F.when(F.col("file") != "null", F.col("file").cast("long")).alias("doc_id"), "path", "license", "similarity", "n_lines", "how", "from_path")
+    # what is found is read twice, for the files themselves and for their directories
+    out = inherit(files, written(scan(marked, templates, threshold), "found"))
+    return out.select(F.when(~F.col("file").startswith("null"), F.col("file").cast("long")).alias("doc_id"), "path", "license", "similarity", "n_lines", "how", "from_path")

@@ -74,6 +74,13 @@ def test_wrapped_notices_and_whole_texts(spark):
     assert got[100].n_lines == 3 and got[105].from_path == "m/9" and all(got[d].how is None for d in range(40))
 
 
+def test_null_ids_are_apart(spark):
+    rows = [(None, "a/x", "Released under the MIT License."), (None, "b/y", "Licensed under the Apache License, Version 2.0."), (None, None, "words"), (None, "c/z", None), (1, "b/w", "words")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.path: (r.doc_id, r.license, r.how) for r in licenses.scan_licenses(docs, F.col("path")).collect()}
+    assert got == {"a/x": (None, "MIT", "own"), "b/y": (None, "Apache-2.0", "own"), None: (None, None, None), "c/z": (None, None, None), "b/w": (1, "Apache-2.0", "inherited")}
+
+
 def test_empty(spark, no_docs, docs):
     assert licenses.scan_licenses(no_docs, F.col("source")).count() == 0
     assert licenses.scan_licenses(docs, F.concat_ws("/", "source", "doc_id")).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
