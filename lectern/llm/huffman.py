@@ -3,8 +3,8 @@
 The format is a table of blocks, so that any store Spark reaches can hold it, and a second table of code lengths:
 
 * codes: id, bits.  The codes are canonical: ids in order of (bits, id) take consecutive numbers.
-* blocks: range, block, doc_ids, counts, places, checkpoints, payload.  Blocks follow one another by
-  (range, block) and documents by doc_id (nulls first).  Each document begins at a byte; `places` has these bytes.
+* blocks: range, block, doc_ids, counts, places, checkpoints, payload.  A file holds a range of doc_ids, files ascend
+  with it, blocks follow one another by (range, block) and documents by doc_id (nulls first).  Each document begins at a byte; `places` has these bytes.
   `checkpoints` has the bit within the document of each STEP-th id but the first, so decoding can begin at any.
 """
 
@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import removed, shared_dir, written
 from .tokens import encoder
 from .vec import chunks, text_buffers, take_ranges
 
-#: Longest code in bits (the decoding table has 2**LIMIT entries), ids from checkpoint to checkpoint, ids a block at least.
-LIMIT, STEP, BLOCK_IDS = 20, 128, 1 << 16
+#: Longest code in bits (the decoding table has 2**LIMIT entries), ids from checkpoint to checkpoint, ids a block at least, ids a file is planned for.
+LIMIT, STEP, BLOCK_IDS, FILE_IDS = 20, 128, 1 << 16, 1 << 22
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -122,22 +122,26 @@ def decode(payload: np.ndarray, place: np.ndarray, counts: np.ndarray, marks: np
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, tie (the text's digest) and ids (little-endian, 16 bits where the vocabulary allows, else 32), written once."""
+    """doc_id, tie (the text's digest), row (a number of its own), n and ids (little-endian, 16 bits where the vocabulary allows, else 32), written once."""
 
     def run(batches):
-        enc = encoder(path, False)
+        from pyspark import TaskContext
+
+        enc, row = encoder(path, False), TaskContext.get().partitionId() << 40
         kind = id_type(enc.tokenizer.get_vocab_size())
-        end = np.array([end_id], kind).tobytes()
+        end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
         for b in batches:
             data, off = text_buffers(b.column("text"))
             for i, j in chunks(off):
                 got, at = enc(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                raw = got.astype(kind).tobytes()
-                at = (at * np.dtype(kind).itemsize).tolist()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("tie").slice(i, j - i), pa.array([raw[s:e] + end for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "tie", "ids"])
+                raw, size = got.astype(kind).tobytes(), np.diff(at) + 1
+                at = (at * width).tolist()
+                ids = pa.array([raw[s:e] + end for s, e in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("tie").slice(i, j - i), pa.array(np.arange(row, row + j - i)), pa.array(size), ids], names=["doc_id", "tie", "row", "n", "ids"])
+                row += j - i
 
     tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
-    return written(tied.mapInArrow(run, "doc_id long, tie string, ids binary"), "ids")
+    return written(tied.mapInArrow(run, "doc_id long, tie string, row long, n long, ids binary"), "ids")
 
 
 def id_type(vocabulary: int) -> str:
@@ -163,11 +167,13 @@ def token_counts(ids: DataFrame, kind: str) -> np.ndarray:
     return out
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, rows_a_range: int = 4096) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """All documents (doc_id, text) tokenized and written below `path`, in ascending doc_id order.
 
-    A null text is empty: its document is the end id alone.  Rows of one doc_id stand side by side in the order of
-    their text's digest.  A null doc_id comes first.  Other columns are left out.  An empty table has empty tables.
+    A null text is empty: its document is the end id alone.  A very long text is coded whole, with checkpoints.  Rows of
+    one doc_id stand side by side in the order of their text's digest, those of one text in any order; however many they
+    are, they are dealt to several files.  A null doc_id comes first.  Other columns are left out.  An empty table has
+    empty tables.
     """
     spark = docs.sparkSession
     coded_ids = token_ids(docs, tokenizer, end_id)
@@ -176,67 +182,52 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, rows_a
     codes = canonical(bits)
     ids = np.flatnonzero(bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in ids], "id int, bits int").coalesce(1).write.parquet(f"{path}/codes")
-
-    def run(batches):
-        for b in batches:
-            data, off = text_buffers(b.column("ids"))
-            for i, j in chunks(off):
-                payload, place, marks = encode(data[off[i] : off[j]].view(kind), (off[i : j + 1] - off[i]) // np.dtype(kind).itemsize, codes, bits)
-                raw, n = payload.tobytes(), j - i
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, n), b.column("tie").slice(i, n), pa.array(np.diff(off[i : j + 1]) // np.dtype(kind).itemsize), pa.array([np.diff(m, prepend=0).astype("<u2").tobytes() for m in marks], pa.binary()), pa.array([raw[s:e] for s, e in zip(place[:-1].tolist(), place[1:].tolist())], pa.binary())],
-                    names=["doc_id", "tie", "n", "marks", "payload"],
-                )
-
-    n_rows = coded_ids.count()
-    n_ranges = max(1, -(-n_rows // rows_a_range))
-    bounds = coded_ids.select(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges)).first()[0] if n_ranges > 1 else []
-    cuts = np.unique(np.array(bounds or [], np.int64))
-
-    def to_range(batches):
-        for b in batches:
-            x = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, x, "right").astype(np.int32)), *b.columns], names=["range", *b.schema.names])
-
-    def both(batches):
-        return to_range(run(batches))
+    width = np.dtype(kind).itemsize
 
     def blocks(batches):
-        """Blocks of whole documents; a block ends after BLOCK_IDS ids or with its range."""
-        have, n, now, number = [], 0, None, 0
+        """Blocks of whole documents; a block ends after BLOCK_IDS ids or with its file."""
+        from pyspark import TaskContext
+
+        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
 
-        def flush():
-            doc, count, marks, payload = zip(*have)
-            place = np.concatenate([[0], np.cumsum([len(x) for x in payload])])
-            row = ([now], [number], [list(doc)], [list(count)], [place.tolist()], [b"".join(marks)], [b"".join(payload)])
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["range", "block", "doc_ids", "counts", "places", "checkpoints", "payload"])
+        def flush() -> pa.RecordBatch:
+            doc, data = pa.concat_arrays([x for x, _ in held]), pa.concat_arrays([x for _, x in held])
+            raw, off = text_buffers(data)
+            payload, place, marks = encode(raw.view(kind), off // width, codes, bits)
+            gaps = np.concatenate([np.zeros(0, np.int64), *[np.diff(m, prepend=0) for m in marks]]).astype("<u2").tobytes()
+            values = ([part], [number], [doc.to_pylist()], [(np.diff(off) // width).tolist()], [place.tolist()], [gaps], [payload.tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["range", "block", "doc_ids", "counts", "places", "checkpoints", "payload"])
 
         for b in batches:
-            for r, doc, count, marks, payload in zip(*(b.column(c).to_pylist() for c in ("range", "doc_id", "n", "marks", "payload"))):
-                if have and (r != now or n >= BLOCK_IDS):
+            end, at = np.cumsum(b.column("n").to_numpy()), 0
+            while at < b.num_rows:
+                before = int(end[at - 1]) if at else 0
+                to = min(b.num_rows, int(np.searchsorted(end, before + BLOCK_IDS - n)) + 1)
+                held.append((b.column("doc_id").slice(at, to - at), b.column("ids").slice(at, to - at)))
+                n, at = n + int(end[to - 1]) - before, to
+                if n >= BLOCK_IDS:
                     yield flush()
-                    number, have, n = (number + 1 if r == now else 0), [], 0
-                now = r
-                have.append((doc, count, marks, payload))
-                n += count
-        if have:
+                    number, held, n = number + 1, [], 0
+        if held:
             yield flush()
 
-    coded = coded_ids.mapInArrow(both, "range int, doc_id long, tie string, n long, marks binary, payload binary")
-    placed = coded.repartition("range").sortWithinPartitions("range", "doc_id", "tie").select("range", "doc_id", "n", "marks", "payload")
+    files = max(1, -(-(coded_ids.agg(F.sum("n")).first()[0] or 0) // FILE_IDS))
+    by = [F.col(c).asc_nulls_first() for c in ("doc_id", "tie", "row")]
+    placed = coded_ids.repartitionByRange(files, *by).sortWithinPartitions(*by).select("doc_id", "n", "ids")
     out = placed.mapInArrow(blocks, "range int, block int, doc_ids array<long>, counts array<long>, places array<long>, checkpoints binary, payload binary")
     out.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    removed(coded_ids)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """Documents of a written folder in order: doc_id, start (ids of all documents before), n_tokens, ids (little-endian, 32 bits)."""
-    bits = np.zeros(1 << 17, np.int64)
-    for r in spark.read.parquet(f"{path}/codes").collect():
-        bits[r["id"]] = r["bits"]
+    lengths = {r["id"]: r["bits"] for r in spark.read.parquet(f"{path}/codes").collect()}  # a row for each id of the vocabulary at most
+    bits = np.zeros(max(lengths, default=0) + 1, np.int64)
+    bits[list(lengths)] = list(lengths.values())
     blocks = spark.read.parquet(f"{path}/blocks")
     sizes = blocks.select("range", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("own"))
     ranges = sizes.groupBy("range").agg(F.sum("own").alias("own"))
-    # one row for each range of documents; the window runs over these alone
+    # one row for each file; the window runs over these alone
     before = ranges.select("range", (F.sum("own").over(Window.orderBy("range")) - F.col("own")).alias("before"))
     inside = sizes.select("range", "block", (F.sum("own").over(Window.partitionBy("range").orderBy("block")) - F.col("own")).alias("inside"))
     starts = inside.join(before, "range").select("range", "block", (F.col("inside") + F.col("before")).alias("first"))

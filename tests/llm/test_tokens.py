@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from tokenizers import Tokenizer
 
@@ -42,6 +43,20 @@ def test_huffman_round_trip(docs, rows):
         at += r.n_tokens
 
 
+def test_huffman_files_ascend(spark, docs, rows, tmp_path, monkeypatch):
+    """Files hold ranges of doc_id in order, also where one doc_id, or none, has most rows; ids beyond 17 bits are read back."""
+    monkeypatch.setattr(huffman, "FILE_IDS", 3000)
+    monkeypatch.setattr(huffman, "BLOCK_IDS", 500)
+    hot = spark.createDataFrame([(7, "the same words " * 20)] * 150 + [(None, "no number " * 9)] * 150, "doc_id long, text string")
+    huffman.write_tokens(docs.select("doc_id", "text").unionByName(hot), str(tmp_path), tokens.tokenizer_path("word_bpe_49k.json"), 1)
+    files = sorted((p.name, pa.parquet.read_table(p)) for p in (tmp_path / "blocks").glob("part-*"))
+    seen = [d if d is not None else -1 for _, t in files for x in t.sort_by("block").column("doc_ids").to_pylist() for d in x]
+    assert seen == sorted(seen) and sum(t.num_rows > 0 for _, t in files) > 5
+    assert max(len(x) for _, t in files for x in t.column("doc_ids").to_pylist()) < 100
+    got = huffman.read_tokens(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 300 and len({r.start for r in got}) == len(got)
+
+
 def test_huffman_empty(no_docs):
     assert huffman.tokens_round_trip(no_docs, tokens.tokenizer_path("word_bpe_49k.json"), 1).count() == 0
 
