@@ -80,12 +80,13 @@ def concept_score(hits: Column) -> tuple[Column, Column]:
 
     def weight(h: Column) -> Column:
         n = F.size(search_tokens(h))
-        return F.when(n >= 3, 1.9).when(n == 2, 1.55).when(h.isin(fixed.INFRASTRUCTURE_TERMS), 1.0).otherwise(0.75)
+        w = fixed.CONCEPT_WEIGHTS
+        return F.when(n >= 3, w["three"]).when(n == 2, w["two"]).when(h.isin(fixed.INFRASTRUCTURE_TERMS), w["infrastructure"]).otherwise(w["other"])
 
     total = F.aggregate(F.transform(F.slice(hits, 1, 10), weight), F.lit(0.0), lambda a, x: a + x)
     n = F.size(hits)
     multi = F.exists(hits, lambda h: F.size(search_tokens(h)) >= 2)
-    near = F.least(F.lit(1.0), F.greatest(F.lit(0), n - 1) * 0.34 + F.when(multi, 0.25).otherwise(0.0))
+    near = F.least(F.lit(1.0), F.greatest(F.lit(0), n - 1) * fixed.COOCCURRENCE["each"] + F.when(multi, fixed.COOCCURRENCE["phrase"]).otherwise(0.0))
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), total / 4)), F.when(n == 0, 0.0).otherwise(near)
 
 
@@ -127,17 +128,18 @@ def tier() -> Column:
 
     Without a direct match, one shared term is no relationship: several signals must meet.
     """
-    c = F.col
+    c, g = F.col, fixed.GATE
+    infra = c("infra") >= g["infra"]
     related = (
-        ((c("cooccurrence") >= 0.50) & (c("concept") >= 0.35))
-        | (c("multi") & (c("concept") >= 0.35) & (c("infra") >= 0.50))
-        | ((c("n_concepts") >= 2) & (c("infra") >= 0.50) & (c("semantic") >= 0.12))
-        | ((c("seed") >= 0.75) & (c("n_shared") >= 3))
+        ((c("cooccurrence") >= g["cooccurrence"]) & (c("concept") >= g["concept"]))
+        | (c("multi") & (c("concept") >= g["concept"]) & infra)
+        | ((c("n_concepts") >= 2) & infra & (c("semantic") >= g["semantic with concepts"]))
+        | ((c("seed") >= g["seed, related"]) & (c("n_shared") >= g["shared, related"]))
     )
     precedent = (
-        (c("free") & (c("infra") >= 0.50) & ((c("semantic") >= 0.16) | (c("concept") >= 0.18) | (c("seed") >= 0.50)))
-        | ((c("semantic") >= 0.34) & (c("infra") >= 0.50) & (c("concept") >= 0.18))
-        | ((c("seed") >= 0.50) & (c("n_shared") >= 2) & (c("free") | (c("semantic") >= 0.10)))
+        (c("free") & infra & ((c("semantic") >= g["semantic with free"]) | (c("concept") >= g["concept with free"]) | (c("seed") >= g["seed, precedent"])))
+        | ((c("semantic") >= g["semantic alone"]) & infra & (c("concept") >= g["concept with free"]))
+        | ((c("seed") >= g["seed, precedent"]) & (c("n_shared") >= g["shared, precedent"]) & (c("free") | (c("semantic") >= g["semantic with seed"])))
     )
     names = list(TIERS)
     return F.when(c("direct"), names[0]).when(related, names[1]).when(precedent, names[2])
@@ -151,6 +153,38 @@ def tier_score(name: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
 
 
+def anchor_score(anchors: Column, query_tokens: Sequence[str], phrases: Sequence[str]) -> Column:
+    """Of the anchors of a chunk's outside links, joined: .65 for a phrase of the query, .35 times the share of its words; 0 without anchors."""
+    low = F.lower(anchors)
+    phrase = F.lit(False)
+    for p in phrases:
+        phrase = phrase | F.contains(low, F.lit(p))
+    own = list(dict.fromkeys(query_tokens))
+    share = F.size(F.array_intersect(F.array_distinct(search_tokens(low)), F.lit(own or [""]))) / max(1, len(own))
+    return F.when(F.coalesce(low, F.lit("")) == "", 0.0).otherwise(F.least(F.lit(1.0), 0.65 * phrase.cast("int") + 0.35 * share))
+
+
+def capped(candidates: DataFrame, group: str, most_each: int, most: int, of_first: int, *order: Column) -> DataFrame:
+    """Of the first `of_first` candidates in an order at most `most_each` of a group, and of these the first `most`."""
+    first = candidates.orderBy(*order).limit(of_first)
+    own = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return first.withColumn("rn_", own).where(F.col("rn_") <= most_each).drop("rn_").orderBy(*order).limit(most)
+
+
+def local_rank(texts: DataFrame, key: str, terms: Column, query: DataFrame, most: int) -> DataFrame:
+    """key and score of the `most` texts that have the largest share of a query's terms (one row: q), by key among equals."""
+    t = texts.select(key, terms.alias("d_")).crossJoin(F.broadcast(query.select("q").limit(1)))
+    share = F.size(F.array_intersect("q", "d_")) / F.greatest(F.lit(1), F.size("q"))
+    return t.select(key, share.alias("score")).orderBy(F.col("score").desc(), key).limit(most)
+
+
+def gold_rank(texts: DataFrame, key: str, of: Column, words: Sequence[str], most: int = 4) -> DataFrame:
+    """key and n of the `most` texts with the most occurrences of some words, those with none left out."""
+    low = F.lower(of)
+    n = sum(((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in words), F.lit(0))
+    return texts.select(key, n.cast("long").alias("n")).where("n > 0").orderBy(F.col("n").desc(), key).limit(most)
+
+
 def contrast(enriched: Column, base: Column, generic: Column, direct: Column) -> Column:
     """The semantic signal: for matches that aren't direct, what is left above the generic query's."""
     return F.when(direct, enriched).otherwise(F.greatest(F.greatest(F.lit(0.0), enriched - 0.70 * generic), 0.72 * base))

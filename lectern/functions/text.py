@@ -130,15 +130,33 @@ def without_markers(text: Column) -> Column:
     return F.regexp_replace(text, r"\[\[EV-\d{4}\]\]", "")
 
 
-def clean_article(text: Column, boilerplate: Sequence[str] = (), chrome: Sequence[str] = ("share", "subscribe", "comments", "restack")) -> Column:
-    """A search text of a Markdown article: from its first H1 on, without images, boilerplate, chrome lines and link targets."""
+def clean_article(text: Column, title: Column | None = None, boilerplate: Sequence[str] = (), chrome: Sequence[str] = ("share", "subscribe", "comments", "restack"), sections: Sequence[str] = (), cdn: Sequence[str] = ("substackcdn.com", "substack-post-media.s3.amazonaws.com")) -> Column:
+    """A search text of a Markdown article: from its H1 on, without images, links to sections or profiles, boilerplate, chrome lines and link targets.
+
+    The H1 is the first that is a part of the title, or has it (words of letters and digits, case ignored), else the first.
+    """
     t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.when(t.rlike(r"(?m)^#\s+\S"), F.regexp_replace(t, r"(?s)^.*?(?=(?m:^#\s+\S))", "")).otherwise(t)
+    # places of H1 lines: what stands before each
+    parts = F.split(F.concat(F.lit("\n"), t), r"\n(?=#\s+\S)")
+    words = lambda c: F.trim(F.lower(F.regexp_replace(c, r"\W+", " ")))
+    has_title = F.lit(False) if title is None else F.coalesce(words(title), F.lit("")) != ""
+
+    def is_title(head: Column) -> Column:
+        own = words(F.regexp_extract(head, r"^#\s+(.+?)\s*(?:\n|$)", 1))
+        return (own != "") & (F.contains(words(title), own) | F.contains(own, words(title)))
+
+    heads = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
+    at = F.lit(0) if title is None else F.coalesce(F.when(has_title, F.array_position(F.transform(heads, is_title), True).cast("int")), F.lit(0))
+    chosen = F.greatest(at, F.lit(1))
+    t = F.when(F.size(parts) > 1, F.array_join(F.slice(heads, chosen, F.greatest(F.size(heads) - chosen + 1, F.lit(1))), "\n")).otherwise(t)
     t = without_images(t)
+    if sections:
+        t = F.regexp_replace(t, r"(?i)\[(?:" + "|".join(sections) + r")\]\((?:https?://)?[^)]*(?:/s/|/@|/profile/)[^)]*\)", " ")
+    hosts = "|".join(h.replace(".", r"\.") for h in cdn)
+    t = F.regexp_replace(t, r"(?i)\[[^\]]*\]\(https?://(?:" + hosts + r")[^)]+\)", " ")
     for p in boilerplate:
         t = F.regexp_replace(t, "(?i)" + p, " ")
-    date = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},\s+20\d{2}$"
-    lines = F.filter(F.split(t, "\n"), lambda x: ~F.lower(F.trim(x)).isin(list(chrome)) & ~F.trim(x).rlike(date))
+    lines = F.filter(F.split(t, "\n"), lambda x: ~F.lower(F.trim(x)).isin(list(chrome)) & ~F.trim(x).rlike(fixed.DATE_LINE) & ~F.lower(x).rlike(hosts))
     t = links_to_anchors(F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(x)), "\n"))
     return stripped(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
@@ -237,15 +255,15 @@ def preview_boundary(text: Column) -> Column:
 def traits(text: Column) -> Column:
     """The first three of five traits of a paragraph, or a default."""
     n = F.regexp_count(text, F.lit("[^.!?]+[.!?]"))
-    rules = [
-        (F.contains(text, F.lit("?")), "fact creates an investigative question"),
-        (text.rlike(r"(^|[^A-Za-z0-9_])(I|my|we)($|[^A-Za-z0-9_])"), "investigator visibly present"),
-        (text.rlike(r"(?i)(^|[^A-Za-z0-9_])(document|memo|file|record|report|email|contract|testified|told)($|[^A-Za-z0-9_])"), "documentary receipt drives the prose"),
-        (text.rlike(r"(?i)(^|[^A-Za-z0-9_])(but|except|then|now|weird|interesting)($|[^A-Za-z0-9_])"), "blunt turn or reveal"),
-        (n.between(2, 6), "natural multi-sentence paragraph rhythm"),
-    ]
+    rules = [*[(text.rlike(p), name) for p, name in fixed.TRAITS], (n.between(2, 6), fixed.RHYTHM)]
     found = F.slice(F.array_compact(F.array(*[F.when(c, s) for c, s in rules])), 1, 3)
-    return F.when(F.size(found) == 0, F.array(F.lit("concrete explanatory prose"))).otherwise(found)
+    return F.when(F.size(found) == 0, F.array(F.lit(fixed.PLAIN_TRAIT))).otherwise(found)
+
+
+def rendered(body: Column, tail: Column) -> Column:
+    """Body and call to action with a blank line between; without the latter, the body alone. White space at the ends goes."""
+    b, c = stripped(body), stripped(F.coalesce(tail, F.lit("")))
+    return F.when(c == "", b).otherwise(F.concat(b, F.lit("\n\n"), c))
 
 
 def copyedit_issues(text: Column) -> Column:

@@ -58,19 +58,29 @@ def repeated_parts(shared: DataFrame, key: str, words: str = "words") -> DataFra
     return s.where("words > 0").withColumn("severity", F.when(F.col("words") >= 300, "error").otherwise("warning"))
 
 
-def hook_problem(family: Column, hook: Column) -> Column:
-    """What a hook of a family lacks, or null: the lexical rules that need no claims."""
-    first = F.get(text.sentences(hook), F.lit(0))
-    low = F.lower(hook)
-    steps = F.regexp_count(low, F.lit(r"\b(first|then|next|later)\b"))
+def hook_problem(family: Column, hook: Column, claim_types: Column | None = None, quotations: Column | None = None, people: tuple[str, ...] = (), programs: tuple[str, ...] = ()) -> Column:
+    """What a hook of a family lacks, or null.
+
+    claim_types: the types of the claims behind it (array; without it, money needs none); quotations: excerpts that its
+    source approved; people and programs: the names that a hook about a person or a program must have one of.
+    """
+    p, first, low = fixed.HOOKS, F.coalesce(F.get(text.sentences(hook), F.lit(0)), F.lit("")), F.lower(hook)
+    count = lambda name, of: F.regexp_count(of, F.lit(p[name]))
+    named = lambda names: first.rlike(r"(?i)\b(?:" + "|".join(names) + r")\b") if names else F.lit(False)
+    money = F.lit(True) if claim_types is None else F.arrays_overlap(claim_types, F.lit(["MONEY", "FUNDING_ROLE"]))
+    quoted = F.lit(False) if quotations is None else F.exists(quotations, lambda q: F.contains(hook, q))
     return (
-        F.when((family == "MONEY") & ~low.rlike(r"[$£€]|\b(budget|funding|funds|cost|financial|allocation|line item)\b"), "figure or funding mechanism")
-        .when((family == "TIMELINE") & (steps < 2) & (F.regexp_count(hook, F.lit(r"\b(19|20)\d{2}\b")) < 2), "two chronological anchors")
-        .when((family == "DOCUMENT") & ~first.rlike(r"(?i)\b(memorandum|memo|report|record|directive|document)\b"), "specific record")
-        .when((family == "CONTRADICTION") & ~hook.rlike(r"(?i)\b(yet|but|although|while|however|so why|tension)\b"), "facts in tension")
-        .when((family == "CONNECTION") & ~hook.rlike(r"(?i)\b(between|with|and|interagency|relationship|connection|coordinate)\b"), "documented relationship")
+        F.when((family == "MONEY") & ~(low.rlike(p["MONEY"]) & money), "figure or funding mechanism")
+        .when((family == "TIMELINE") & (count("TIMELINE date", hook) < 2) & (count("TIMELINE step", low) < 2), "two chronological anchors")
+        .when((family == "QUOTE") & ~F.coalesce(quoted, F.lit(False)), "source-approved quotation")
+        .when((family == "PERSON") & ~named(people), "named person")
+        .when((family == "DOCUMENT") & ~first.rlike(p["DOCUMENT"]), "specific record")
+        .when((family == "CONTRADICTION") & ~hook.rlike(p["CONTRADICTION"]), "facts in tension")
+        .when((family == "CONNECTION") & ~hook.rlike(p["CONNECTION"]), "documented relationship")
+        .when((family == "PROGRAM_NAME") & ~named(programs), "program or institution")
+        .when((family == "FOLLOW_THE_PAPER_TRAIL") & (count("FOLLOW_THE_PAPER_TRAIL", hook) < 2), "sequence of records")
         .when((family == "QUESTION") & ~F.contains(first, F.lit("?")), "question")
-        .when((family == "ORDINARY_EXPLANATION_VS_RECORD") & ~(F.contains(low, F.lit("ordinary explanation")) & low.rlike(r"\b(but|yet|adds|complicates)\b")), "explanation and record")
+        .when((family == "ORDINARY_EXPLANATION_VS_RECORD") & ~(F.contains(low, F.lit("ordinary explanation")) & low.rlike(p["ORDINARY"])), "explanation and record")
     )
 
 

@@ -30,12 +30,6 @@ TICS = {
     "three-part antithesis": r"\bnot\b[^.!?\n]{0,80}[.!?]\s*not\b[^.!?\n]{0,80}[.!?]\s*(?:rather|instead)\b",
 }
 
-# The triggers, boundaries and redirects of block sequences.
-TRIGGER = r"(?i)\b(theor(y|ies)|testimon|account|alleg|claim|plot|network|mechanism|overlap|connection|provocative|supplied books?)\b"
-BOUNDARY = r"(?i)\b(not enough|does not have|do not have|no (recovered|authenticated|financial|contemporaneous|direct)|missing (bridge|link|record)|fails?|unsupported|cannot (prove|establish)|contested|never repaired)\b"
-REDIRECT = r"(?i)\b(something else survives|more important|what we can actually prove|safer conclusion)\b"
-
-
 def tics(docs: DataFrame, key: str, of: str) -> DataFrame:
     """key, phrase, count, lines of each rhetorical pattern; line numbers of matches need their places, so texts are searched in batches."""
     compiled = {k: re.compile(p, re.I | re.S) for k, p in TICS.items()}
@@ -87,38 +81,80 @@ def style_rules() -> list[Rule]:
     ]
 
 
-def rhetoric(located: DataFrame, key: str) -> DataFrame:
-    """key, category, line of the first defensive sequence and the first stagnation of each text, over blocks (key, line, text)."""
+def rhetoric(located: DataFrame, key: str, own_site: str | None = None) -> DataFrame:
+    """key, category, line of the first defensive sequence (which is a contrived dialectic and a premature adjudication as well), the first stagnation and the first denied callback of each text, over blocks (key, line, text).
+
+    own_site: what links to the author's own articles have in them; blocks may have `raw`, their text with links.
+    """
     order = Window.partitionBy(key).orderBy("line")
     ahead, six = order.rowsBetween(1, 9), order.rowsBetween(0, 5)
     has = lambda p: F.col("text").rlike(p).cast("int")
+    raw = F.col("raw") if "raw" in located.columns else F.col("text")
+    denied = F.contains(F.lower(raw), F.lit(own_site.lower())) & F.col("text").rlike(fixed.CALLBACK_DENIED) if own_site else F.lit(False)
     f = located.select(
-        key, "line", (has(TRIGGER) == 1).alias("trigger"), F.sum(has(BOUNDARY)).over(ahead).alias("limits"), F.sum(has(REDIRECT)).over(ahead).alias("turns"),
-        F.sum(has(BOUNDARY)).over(six).alias("near"), F.count(F.lit(1)).over(six).alias("n"),
+        key, "line", (has(fixed.TRIGGER) == 1).alias("trigger"), F.sum(has(fixed.BOUNDARY)).over(ahead).alias("limits"), F.sum(has(fixed.REDIRECT)).over(ahead).alias("turns"),
+        F.sum(has(fixed.BOUNDARY)).over(six).alias("near"), F.count(F.lit(1)).over(six).alias("n"), denied.alias("denied"),
     )
-    found = F.array_compact(F.array(F.when(F.col("trigger") & (F.col("limits") >= 2) & (F.col("turns") >= 1), F.lit("DEFENSIVE SEQUENCE")), F.when((F.col("near") >= 3) & (F.col("n") == 6), F.lit("NARRATIVE STAGNATION"))))
+    sequence = F.col("trigger") & (F.col("limits") >= 2) & (F.col("turns") >= 1)
+    named = [*[(sequence, c) for c in ("DEFENSIVE SEQUENCE", "CONTRIVED DIALECTIC", "PREMATURE ADJUDICATION")], ((F.col("near") >= 3) & (F.col("n") == 6), "NARRATIVE STAGNATION"), (F.col("denied"), "CANON DEFENSIVENESS")]
+    found = F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in named]))
     return f.select(key, "line", F.explode(found).alias("category")).groupBy(key, "category").agg(F.min("line").alias("line"))
 
 
+def article_rhetoric(docs: DataFrame, key: str, of: str, found: DataFrame) -> DataFrame:
+    """key, category of whole texts: auditor voice, thesis substitution, narrator absence, mechanical reveals. found: rows of `rhetoric`."""
+    plain = text.diagnostic_plain(F.col(of))
+    sequence = found.where("category = 'DEFENSIVE SEQUENCE'").select(key, F.lit(True).alias("sequence"))
+    d = docs.select(key, plain.alias("plain"), blocks.paragraphs(F.col(of)).alias("p")).join(sequence, key, "left")
+    one, short = (F.size(F.filter("p", c)) / F.greatest(F.lit(1), F.size("p")) for c in (lambda x: F.size(text.sentences(x)) <= 1, lambda x: F.size(F.split(x, " ")) <= 12))
+    named = [
+        (F.coalesce("sequence", F.lit(False)) & (F.regexp_count("plain", F.lit(fixed.AUDIT)) >= 8), "AUDITOR VOICE"),
+        (F.col("plain").rlike(fixed.THESIS_FAILS) & F.col("plain").rlike(fixed.REDIRECT), "THESIS SUBSTITUTION"),
+        ((F.size("p") >= 35) & (F.regexp_count("plain", F.lit(r"\b(?:I|me|my|we|our|us)\b")) <= 1), "NARRATOR ABSENCE"),
+        ((F.size("p") >= 20) & (one > 0.45) & (short > 0.25), "MECHANICAL REVEAL WRITING"),
+    ]
+    return d.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in named]))).alias("category"))
+
+
+def caution_density(paragraph: Column) -> Column:
+    """caution (sentences with a caution) and dense (three sentences or more, two of them cautions, 120 words at most) of a paragraph."""
+    s = text.sentences(paragraph)
+    n = F.size(F.filter(s, lambda x: x.rlike(fixed.CAUTION)))
+    return F.struct(n.alias("caution"), ((F.size(s) >= 3) & (n >= 2) & (F.size(F.split(F.trim(paragraph), text.SPACE)) <= 120)).alias("dense"))
+
+
+def paragraph_metrics(docs: DataFrame, key: str, parts: Column) -> DataFrame:
+    """key, paragraphs, mean, median, variation of the words of a text's paragraphs."""
+    n = F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.size(F.split(F.trim(p), text.SPACE)).cast("double"))
+    m = docs.select(key, F.array_sort(n).alias("n")).where("size(n) > 0")
+    k = F.size("n")
+    middle = (F.element_at("n", F.floor((k + 1) / 2).cast("int")) + F.element_at("n", F.floor((k + 2) / 2).cast("int"))) / 2
+    return m.select(key, k.cast("long").alias("paragraphs"), (F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / k).alias("mean"), middle.alias("median"), variation(F.col("n")).alias("variation"))
+
+
+def openings(docs: DataFrame, parts: Column, least: int = 3, words: int = 2) -> DataFrame:
+    """opening and n: first words (letters and apostrophes, case ignored) that `least` paragraphs or more begin with."""
+    p = docs.select(F.explode(parts).alias("p")).select(text.every(F.lower("p"), "[a-z’']+").alias("w")).where("size(w) > 0")
+    return p.groupBy(F.array_join(F.slice("w", 1, words), " ").alias("opening")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def repeated_emphasis(docs: DataFrame, key: str, spans: Column, least: int = 2) -> DataFrame:
+    """key, phrase, n: emphasised spans (white space squeezed, case ignored) that a text has `least` times or more."""
+    s = docs.select(key, F.explode(spans).alias("s")).select(key, F.lower(text.squeezed(F.col("s"))).alias("phrase")).where("phrase <> ''")
+    return s.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
 def assertion_type(sentence: Column) -> Column:
     """The kind of statement a clause makes, by an ordered cascade of patterns."""
-    low = F.lower(sentence)
-    any_of = lambda *w: low.rlike(r"\b(" + "|".join(w) + r")\b")
-    quote = sentence.rlike("[“”\"']")
-    spoken = any_of("called", "said", "described", "wrote", "phrase", "quotation")
-    action = any_of("asked", "called", "recommended", "directed", "reported", "assigned", "included", "warned", "described", "cost", "funded", "approved", "established")
-    proposition = any_of("is", "are", "was", "were", "has", "have", "had", "became", "takes shape")
-    imperative = low.rlike(r"^(if .+? (share|send)|open|read|save|share|send|comment|examine|subscribe|follow|support|help|bring|invite|look for|test those)\b")
-    records = low.rlike(r"\bfollow\s+(four|three|two|\d+)\s+(decisions|documents|records)\b")
+    p = fixed.ASSERTIONS
+    low = F.regexp_replace(F.lower(sentence), p["final slide"], "")
+    has = lambda name: low.rlike(p[name])
+    quote = sentence.rlike(p["quoted"]) & has("spoken")
     return (
-        F.when(action & quote & spoken, "QUOTE").when(action & sentence.rlike("[$£€]"), "NUMERIC").when(action, "DIRECT_FACT")
-        .when(any_of("documents support", "do not support collapsing", "are pieces of one administrative design", "source trail is"), "SYNTHESIS")
-        .when((sentence.endswith("?") & ~proposition) | (imperative & ~records & ~proposition), "RHETORICAL_NONFACTUAL")
-        .when(low.rlike(r"[$£€]|\b\d+(\.\d+)?\s*(million|billion|countries|police)\b"), "NUMERIC").when(quote & spoken, "QUOTE")
-        .when(low.rlike(r"\b(before|after|then|later|by \w+ \d{4}|across \d{4}|sequence|first|next)\b") | low.rlike(r"\b(19|20)\d{2}\b"), "CHRONOLOGY")
-        .when(any_of("because", "therefore", "result", "led to", "became", "produced", "built", "takes shape"), "CAUSAL")
-        .when(any_of("more", "less", "than", "compared", "contrast", "different", "same"), "COMPARATIVE")
-        .when(any_of("interagency", "relationship", "connection", "between", "inside", "alongside", "coordinate"), "RELATIONSHIP")
-        .when(any_of("suggests", "implies", "most likely", "takeaway", "conclusion", "architecture", "design", "boundary", "tension", "distinction", "documents", "records", "assignment", "responsibility", "paper trail", "purpose", "payoff"), "SYNTHESIS")
-        .otherwise("DIRECT_FACT")
+        F.when(low.isin(fixed.FRAMING), "RHETORICAL_NONFACTUAL")
+        .when(has("action") & quote, "QUOTE").when(has("action") & sentence.rlike(p["currency"]), "NUMERIC").when(has("action"), "DIRECT_FACT")
+        .when(has("synthesis first"), "SYNTHESIS")
+        .when((sentence.endswith("?") & ~has("proposition")) | (has("imperative") & ~has("factual follow") & ~has("proposition")), "RHETORICAL_NONFACTUAL")
+        .when(has("number"), "NUMERIC").when(quote, "QUOTE").when(has("chronology") | has("year"), "CHRONOLOGY").when(has("causal"), "CAUSAL")
+        .when(has("comparative"), "COMPARATIVE").when(has("relationship"), "RELATIONSHIP").when(has("synthesis"), "SYNTHESIS").otherwise("DIRECT_FACT")
     )

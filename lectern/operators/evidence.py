@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .store import numbers
 
 
 def convergences(paths: DataFrame, least: int = 2) -> DataFrame:
@@ -30,7 +31,7 @@ def source_rows(marks: DataFrame, anchors: DataFrame, evidence: DataFrame) -> Da
     words = F.split(F.trim("context"), text.SPACE)
     last = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 4), F.lit(5)), " ")
     phrase = F.coalesce(F.when(F.contains("context", F.col("phrase")) & (F.trim("phrase") != ""), F.col("phrase")), longest, last)
-    return first.select(F.row_number().over(Window.orderBy("pos")).alias("number"), phrase.alias("phrase"), F.col("url").alias("link"), "evidence_id")
+    return numbers(first.select("pos", phrase.alias("phrase"), F.col("url").alias("link"), "evidence_id"), "pos", "number").select("number", "phrase", "link", "evidence_id")
 
 
 def unknown_marks(docs: DataFrame, key: str, of: str, evidence: DataFrame) -> DataFrame:
@@ -54,3 +55,14 @@ def assertion_rows(assets: DataFrame) -> DataFrame:
     parts = F.concat(F.transform(F.flatten(F.transform(text.sentences(F.col("body_copy")), clauses)), lambda s: F.struct(F.lit("BODY").alias("text_section"), s.alias("assertion_text"))), F.transform(F.flatten(F.transform(text.sentences(F.col("cta_text")), clauses)), lambda s: F.struct(F.lit("CTA").alias("text_section"), s.alias("assertion_text"))))
     a = assets.select("content_id", F.posexplode(parts).alias("at", "p"))
     return a.select("content_id", "p.text_section", (F.col("at") + 1).alias("number"), "p.assertion_text", F.format_string("AST-%s-%02d", F.col("content_id").cast("string"), F.col("at") + 1).alias("assertion_id"))
+
+
+def claims_of(assertions: DataFrame, claims: DataFrame) -> DataFrame:
+    """assertion_id, claim_id, claim_text: the claims that assertions (assertion_id, claim_ids joined by a pipe) name, each once."""
+    named = assertions.select("assertion_id", F.explode(F.array_distinct(F.transform(F.split("claim_ids", r"\|"), lambda x: F.trim(x)))).alias("claim_id")).where("claim_id <> ''")
+    return named.join(claims.select(F.col("claim_id").cast("string").alias("claim_id"), "claim_text"), "claim_id").select("assertion_id", "claim_id", "claim_text")
+
+
+def gold_paragraphs(paragraphs: DataFrame, gold: DataFrame) -> DataFrame:
+    """The paragraphs of gold articles (article), however often an article is listed."""
+    return paragraphs.join(gold.select("article").distinct(), "article", "left_semi")

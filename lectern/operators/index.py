@@ -12,7 +12,7 @@ from . import blocks, store
 def chunked(articles: DataFrame) -> DataFrame:
     """canonical_url, title, section, number, start, text, links of articles (canonical_url, title, body): cleaned sections in word windows with their own links."""
     s = blocks.sections(articles, "canonical_url", "body", "title").join(articles.select("canonical_url", "title"), "canonical_url")
-    c = s.select(F.struct("canonical_url", "number").alias("id"), "canonical_url", "title", "section", "number", F.col("body").alias("raw"), text.squeezed(text.clean_article(F.col("body"))).alias("clean")).where("clean <> ''")
+    c = s.select(F.struct("canonical_url", "number").alias("id"), "canonical_url", "title", "section", "number", F.col("body").alias("raw"), text.squeezed(text.clean_article(F.col("body"), F.col("title"))).alias("clean")).where("clean <> ''")
     links = blocks.markdown_links(c.withColumn("article", F.col("canonical_url")), "id", "raw", "article").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "anchor", "url", "kind"))), lambda l: F.struct(l["anchor"].alias("anchor"), l["url"].alias("url"), l["kind"].alias("kind"))).alias("links"))
     w = blocks.word_windows(c, "id", F.col("clean")).join(c.drop("raw"), "id").join(links, "id", "left")
     none = F.array().cast("array<struct<anchor:string,url:string,kind:string>>")
@@ -63,7 +63,7 @@ def rank_links(links: Column, entities: list[str], free: list[str], concepts: li
 
 
 def expanded_concepts(chunks: DataFrame, key: str, of: str, entities: list[str], query: str, limit: int = 18) -> list[str]:
-    """Phrases of one or two words that chunks with an entity share: by their share in the seeds, rarity and specificity.
+    """Phrases of one to three words that chunks with an entity share: by their share in the seeds, rarity and specificity.
 
     One pass counts the terms of seeds and of all chunks; what comes to the driver is `limit` phrases.
     """
@@ -75,18 +75,22 @@ def expanded_concepts(chunks: DataFrame, key: str, of: str, entities: list[str],
         seed = seed | F.contains(low, F.lit(e))
     own = {w for e in entities for w in e.split()} | set(search.query_plan(query)[2])
     toks = text.search_tokens(F.col(of))
-    pairs = F.when(F.size("toks") >= 2, F.transform(F.sequence(F.lit(1), F.size("toks") - 1), lambda i: F.concat_ws(" ", F.element_at("toks", i), F.element_at("toks", i + 1)))).otherwise(F.array().cast("array<string>"))
-    c = chunks.select(key, seed.alias("seed"), toks.alias("toks")).withColumn("all", F.array_distinct(F.concat("toks", pairs)))
+    runs = lambda k: F.when(F.size("toks") >= k, F.transform(F.sequence(F.lit(1), F.size("toks") - (k - 1)), lambda i: F.array_join(F.slice("toks", i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    c = chunks.select(key, seed.alias("seed"), toks.alias("toks")).withColumn("all", F.array_distinct(F.concat("toks", runs(2), runs(3))))
     n = c.agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds")).first()
     df = c.select("seed", F.explode("all").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("seed").alias("in_seeds")).where("in_seeds > 0")
     words = F.split("term", " ")
     junk = [*fixed.GENERIC_TERMS, *fixed.CONCEPT_JUNK]
+    infra = lambda w: w.isin(fixed.INFRASTRUCTURE_TERMS)
+    digit = F.col("term").rlike("[0-9]")
+    short = (F.length("term") <= 6) & F.col("term").rlike("^[a-z]+$") & (F.col("df") <= 0.10 * n.n)
+    technical = infra(F.col("term")) | digit | short | ((F.length("term") >= 7) & (F.col("df") <= 0.14 * n.n))
+    several = F.exists(words, lambda w: ~w.isin(junk)) & ~F.exists(words, lambda w: w.isin(fixed.CONCEPT_HARD_JUNK)) & ((F.size(words) == 2) | (F.size(F.filter(words, infra)) >= 2) | digit)
     single = F.size(words) == 1
-    technical = F.col("term").isin(fixed.INFRASTRUCTURE_TERMS) | F.col("term").rlike("[0-9]") | (F.length("term").between(3, 6) & (F.col("df") <= 0.10 * n.n)) | ((F.length("term") >= 7) & (F.col("df") <= 0.14 * n.n))
-    ok = ~F.arrays_overlap(words, F.lit(sorted(own) or [""])) & F.when(single, ~F.col("term").isin(junk) & technical).otherwise(F.exists(words, lambda w: ~w.isin(junk)))
+    ok = (F.length("term") >= 3) & ~F.arrays_overlap(words, F.lit(sorted(own) or [""])) & F.when(single, ~F.col("term").isin(junk) & technical).otherwise(several)
     rarity = F.least(F.lit(3.0), F.log((n.n + 1.0) / (F.col("df") + 1.0)) + 1)
     special = F.when(F.exists(words, lambda w: w.isin(fixed.INFRASTRUCTURE_TERMS)), 1.15).otherwise(1.0) + F.when(F.col("term").rlike("[0-9]"), 0.15).otherwise(0.0)
-    score = F.col("in_seeds") / F.lit(float(max(1, n.seeds))) * rarity * F.when(single, 1.0).otherwise(1.42) * special
+    score = F.col("in_seeds") / F.lit(float(max(1, n.seeds))) * rarity * (1.0 + 0.42 * F.least(F.lit(2), F.size(words) - 1)) * special
     best = df.where(ok).select("term", score.alias("score")).orderBy(F.col("score").desc(), F.col("term").desc()).limit(4 * limit).collect()
     kept: list[str] = []
     for r in best:

@@ -79,21 +79,53 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in out if s]
 
 
+def fitting(text: str, limit: int, reserve: int, prefix: str = "", tail: str = "") -> list[str]:
+    """As many leading whole sentences as fit a weighted length (2 for a character beyond ASCII) with a prefix, a tail after a blank line and a reserve."""
+    kept: list[str] = []
+    for s in split_sentences(text):
+        if not re.search(r"[.!?][\"”’']*$", s):
+            continue
+        copy = prefix + " ".join([*kept, s]) + (f"\n\n{tail.strip()}" if tail.strip() else "")
+        if sum(1 if ord(c) < 128 else 2 for c in copy) + reserve > limit:
+            break
+        kept.append(s)
+    return kept
+
+
 def shortened(df: DataFrame, key: str, of: str, limit: int, reserve: int) -> DataFrame:
     """key, short, n_sentences: as many leading whole sentences as fit a weighted length; null without any."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for k, t in zip(b[key], b[of]):
-                kept: list[str] = []
-                for s in split_sentences(t or ""):
-                    if not re.search(r"[.!?][\"”’']*$", s):
-                        continue
-                    if sum(1 if ord(c) < 128 else 2 for c in " ".join([*kept, s])) + reserve > limit:
-                        break
-                    kept.append(s)
-                out.append((k, " ".join(kept) or None, len(kept)))
-            yield pd.DataFrame(out, columns=[key, "short", "n_sentences"])
+            kept = [fitting(t or "", limit, reserve) for t in b[of]]
+            yield pd.DataFrame({key: b[key], "short": [" ".join(k) or None for k in kept], "n_sentences": [len(k) for k in kept]})
 
     return df.select(key, of).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, short string, n_sentences int")
+
+
+def prepared(body: str, tail: str, form: str, limit: int = 280, reserve: int = 24) -> str | None:
+    """A post, or a thread of posts numbered `1/`, each cut to the sentences that fit; the call to action and the room for its link are the last one's.
+
+    Null where a post of a thread has no number, or no whole sentence fits.
+    """
+    if form != "THREAD":
+        return " ".join(fitting(body, limit, reserve, tail=tail)) or None
+    posts, out = re.split(r"\n\s*\n(?=\d+/)", body), []
+    for n, post in enumerate(posts):
+        number = re.match(r"\d+/\s*", post)
+        last = n == len(posts) - 1
+        kept = fitting(post[number.end() :], limit, reserve if last else 0, number[0], tail if last else "") if number else []
+        if not kept:
+            return None
+        out.append(number[0] + " ".join(kept))
+    return "\n\n".join(out)
+
+
+def prepared_posts(df: DataFrame, key: str, body: str, tail: str, form: str) -> DataFrame:
+    """key and prepared: `prepared` of each row's body, call to action and form."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "prepared": [prepared(x or "", t or "", f or "") for x, t, f in zip(b[body], b[tail], b[form])]})
+
+    return df.select(key, body, tail, form).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, prepared string")

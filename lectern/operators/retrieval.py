@@ -1,50 +1,167 @@
-"""Retrieval over chunks: lexical, phrase, concept and semantic signals, a gate of three tiers, a rollup by article."""
+"""Retrieval over chunks: lexical, phrase, concept, anchor, seed and semantic signals, a gate of three tiers, a rollup by article, and its links."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, search, text
+from ..functions import fixed, search, text, urls
+
 
+def _any(hay: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(hay, F.lit(w))
+    return out
 
-def retrieve(chunks: DataFrame, query: str, concepts: list[str], limit: int, least: float) -> DataFrame:
-    """article, score, tier of the best articles for a query.
 
-    chunks: article, start, title, text, status.  All signals come from one scan of the chunks; each corpus statistic
-    is one row.  Without a semantic matrix its signal is 0.
+def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None" = None) -> DataFrame:
+    """The columns that the gate and the scores of `search.TIERS` read, of each chunk, with article, start, status and links.
+
+    chunks: article, start, title, text, status and, if there are any, section and links (anchor, url, kind).  All signals
+    are columns of one projection; what the corpus says of the query (counts of its terms and phrases, the largest score, the
+    vocabulary of chunks that name an entity) is one row.  With `lsa`, its rows are the chunks' vectors by (article, start).
     """
     entities, parts, free = search.query_plan(query)
     phrases = search.query_phrases(query, entities)
-    terms = free or [p for p in parts if p not in fixed.GENERIC_TERMS] or parts
-    c = chunks.withColumn("id", F.struct("article", "start"))
-    hay = F.lower(F.concat_ws(" ", "title", "text"))
-    lexical = search.normalized(search.bm25(c, "id", terms, text.search_tokens(hay)))
-    by_phrase = search.phrase_scores(c, "id", hay, phrases, F.col("title")).withColumnRenamed("score", "phrase")
-    tokens = F.array_distinct(text.search_tokens(hay))
-    hits = search.without_contained(F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(x)), x) for x in concepts])))
-    s = c.select("id", "article", "status", F.lower("title").alias("title_"), tokens.alias("tokens"), hits.alias("hits"), sum((F.contains(hay, F.lit(e)).cast("int") for e in entities), F.lit(0)).alias("n_direct"))
+    terms = list(dict.fromkeys(free or [p for p in parts if p not in fixed.GENERIC_TERMS] or parts))
+    times = {t: (free or [t]).count(t) or 1 for t in terms}
+    basis = list(dict.fromkeys(free)) or parts
+    section = F.col("section") if "section" in chunks.columns else F.lit("")
+    links = F.col("links") if "links" in chunks.columns else F.array().cast("array<struct<anchor:string,url:string,kind:string>>")
+    hay = F.lower(F.concat_ws(" ", "title", section, "text"))
+    c = chunks.select("article", "start", "status", links.alias("links"), F.lower(F.concat_ws(" ", "title", section)).alias("head"), F.lower("title").alias("title_"), hay.alias("hay"), text.search_tokens(hay).alias("all"))
+    outside = F.array_join(F.transform(F.filter("links", lambda l: l["kind"] != "internal_article"), lambda l: l["anchor"]), " ")
+    hits = search.without_contained(F.array_compact(F.array(*[F.when(F.contains("hay", F.lit(x)), x) for x in concepts])) if concepts else F.array().cast("array<string>"))
+    c = c.withColumn("tokens", F.array_distinct("all")).select(
+        "article", "start", "status", "links", "tokens", hits.alias("hits"), F.size("all").cast("long").alias("dl"),
+        F.array(*[F.size(F.filter("all", search._same(t))).cast("double") for t in terms]).alias("tf") if terms else F.array().cast("array<double>").alias("tf"),
+        F.array(*[F.contains("hay", F.lit(p)) for p in phrases]).alias("has") if phrases else F.array().cast("array<boolean>").alias("has"),
+        F.array(*[F.contains("title_", F.lit(p)) for p in phrases]).alias("in_title") if phrases else F.array().cast("array<boolean>").alias("in_title"),
+        F.array_intersect("tokens", F.lit(fixed.INFRASTRUCTURE_TERMS)).alias("infra_hits"), _any(F.col("hay"), entities).alias("direct"),
+        (F.size(F.array_intersect("tokens", F.lit(free or [""]))) > 0).alias("free"),
+        (F.size(F.array_intersect(F.array_distinct(text.search_tokens(F.col("head"))), F.lit(basis or [""]))) / max(1, len(basis))).alias("title"),
+        search.anchor_score(outside, basis, phrases).alias("anchor"),
+    )
+    seed = [F.max(F.col("direct") & F.array_contains("infra_hits", t)).alias(f"s{i}") for i, t in enumerate(fixed.INFRASTRUCTURE_TERMS)]
+    counts = [*[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))], *[F.count_if(F.col("has")[i]).alias(f"p{i}") for i in range(len(phrases))]]
+    row = c.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *counts, *seed).first()
+    n, mean = row["n"], max(row["avgdl"] or 0.0, 1.0)
+    raw = F.lit(0.0)
+    for i, t in enumerate(terms):
+        f = F.col("tf")[i]
+        raw = raw + times[t] * search.idf(n, row[f"d{i}"]) * f * (fixed.BM25_K1 + 1) / (f + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.greatest(F.col("dl"), F.lit(1)) / mean))
+    each = [F.when(F.col("has")[i], (math.log((n + 1) / (row[f"p{i}"] + 1)) + 1) * min(2.0, 0.75 + 0.45 * len(p.split())) * F.when(F.col("in_title")[i], 1.45).otherwise(1.0)) for i, p in enumerate(phrases)]
+    best = F.slice(F.sort_array(F.array_compact(F.array(*each)), asc=False), 1, 3) if each else F.array().cast("array<double>")
+    c = c.withColumn("lexical", raw)
+    top = c.agg(F.max("lexical")).first()[0] if terms else 0.0
     score, near = search.concept_score(F.col("hits"))
-    infra = F.array_intersect("tokens", F.lit(fixed.INFRASTRUCTURE_TERMS))
-    basis = free or parts
-    s = s.join(lexical.withColumnRenamed("score", "lexical"), "id", "left").join(by_phrase.select("id", "phrase"), "id", "left")
-    s = s.select(
-        "id", "article", "status", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("phrase", F.lit(0.0)).alias("phrase"), score.alias("concept"), near.alias("cooccurrence"),
-        (F.col("n_direct") > 0).alias("direct"), F.size("hits").alias("n_concepts"), F.exists("hits", lambda h: F.size(text.search_tokens(h)) >= 2).alias("multi"),
-        F.least(F.lit(1.0), F.size(infra) / 4).alias("infra"), F.lit(0.0).alias("seed"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("semantic"), F.lit(0.0).alias("anchor"),
-        (F.size(F.array_intersect("tokens", F.lit(free or [""]))) > 0).alias("free"), (F.size(F.array_intersect(text.search_tokens(F.col("title_")), F.lit(basis or [""]))) / max(1, len(basis))).alias("title"),
+    shared = F.array_intersect("infra_hits", F.lit([t for i, t in enumerate(fixed.INFRASTRUCTURE_TERMS) if row[f"s{i}"]] or [""]))
+    out = c.select(
+        "article", "start", "status", "links", (F.col("lexical") / top if top else F.lit(0.0)).alias("lexical"), (1 - F.exp(-F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / 4)).alias("phrase"),
+        score.alias("concept"), near.alias("cooccurrence"), "direct", F.size("hits").alias("n_concepts"), F.exists("hits", lambda h: F.size(text.search_tokens(h)) >= 2).alias("multi"),
+        F.least(F.lit(1.0), F.size("infra_hits") / 4).alias("infra"), F.least(F.lit(1.0), F.size(shared) / 4).alias("seed"), F.size(shared).alias("n_shared"), "anchor", "free", "title",
     )
-    scored = s.withColumn("tier", search.tier()).where("tier IS NOT NULL").withColumn("score", search.tier_score(F.col("tier")))
-    capped = scored.orderBy(F.col("score").desc(), "id").limit(max(limit * 10, 50))
-    tiers = capped.groupBy("article").agg(F.max_by("tier", "score").alias("tier"), F.first("status").alias("status"))
-    rolled = search.rollup(capped, "article", "score", F.col("id")).join(tiers, "article")
+    if lsa is None:
+        return out.withColumn("semantic", F.lit(0.0))
+    generic = " ".join([*free, *(p for p in parts if p in fixed.GENERIC_TERMS)])
+    asked = [" ".join([query, *concepts[:12]]), " ".join(free) or query, generic if entities else ""]
+    similar = [search.cosine(F.col("vector"), F.lit(v)) if any(v) else F.lit(0.0) for v in (lsa.query(q) for q in asked)]
+    joined = out.join(lsa.vectors(), ["article", "start"], "left")
+    return joined.withColumn("semantic", F.coalesce(search.contrast(*similar, F.col("direct")), F.lit(0.0))).drop("vector")
+
+
+def retrieve(chunks: DataFrame, query: str, concepts: list[str], limit: int, least: float, lsa: "Lsa | None" = None) -> DataFrame:
+    """article, score, tier of the best articles for a query, by the `signals` of their chunks."""
+    s = signals(chunks, query, concepts, lsa).drop("links")
+    scored = s.withColumn("tier", search.tier()).where("tier IS NOT NULL").withColumn("score", search.tier_score(F.col("tier"))).where("score > 0")
+    capped = scored.orderBy(F.col("score").desc(), "article", "start").limit(max(limit * 10, 50))
+    tiers = capped.groupBy("article").agg(F.max_by("tier", "score").alias("tier"), F.max_by("status", "score").alias("status"))
+    rolled = search.rollup(capped, "article", "score", F.col("start")).join(tiers, "article")
     penalty = F.when(F.col("status") == "full", 1.0).when(F.col("tier") == "DIRECT", 0.88).otherwise(0.68)
     out = rolled.select("article", F.round(F.col("score") * penalty, 6).alias("score"), "tier")
     return out.where(F.col("score") >= least).orderBy(F.col("score").desc(), "article").limit(limit)
 
 
+def internal_links(memories: DataFrame, articles: DataFrame, key: str = "article") -> DataFrame:
+    """key, at, anchor, target, title: links (anchor, url) of memories (key, own_url, links) to other articles (canonical_url, title), each article once.
+
+    URLs meet in their canonical form; junk anchors and links to the article itself are left out, and of several links to an article the first stays.
+    """
+    l = memories.select(key, "own_url", F.posexplode("links").alias("at", "l")).where(~urls.is_junk_anchor(F.col("l.anchor")))
+    a = articles.select(F.col("canonical_url").alias("target"), F.col("title"), urls.canonical(F.col("canonical_url")).alias("same_"))
+    j = l.join(a, urls.canonical(F.col("l.url")) == F.col("same_")).where(F.col("target") != F.col("own_url"))
+    first = j.groupBy(key, "target").agg(F.min_by(F.struct("at", "l.anchor", "title"), "at").alias("x"))
+    return first.select(key, "x.at", "x.anchor", "target", "x.title")
+
+
+def bundle(memories: DataFrame, voices: DataFrame, gold: DataFrame) -> DataFrame:
+    """kind, rank, article, score of a context: memories, voice passages and gold articles (article, score), each kind from its best."""
+    from pyspark.sql import Window
+
+    parts = [x.select(F.lit(kind).alias("kind"), F.col("article").cast("string").alias("article"), F.col("score").cast("double").alias("score")) for kind, x in (("memory", memories), ("voice", voices), ("gold", gold))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "article")))
+
+
+def voice_passages(paragraphs: DataFrame, query: str, most_each: int = 2, most: int = 8, of_first: int = 60) -> DataFrame:
+    """article, number, score of the paragraphs (article, number, text) that share most of a query's words, at most `most_each` of an article."""
+    import re
+
+    words = list(dict.fromkeys(w for w in re.findall(r"[a-z0-9][a-z0-9'-]{2,}", query.lower()) if w not in fixed.SEARCH_STOP))
+    hits = F.size(F.array_intersect(F.array_distinct(text.voice_tokens(F.col("text"))), F.lit(words or [""])))
+    s = paragraphs.select("article", "number", (hits / max(1, len(words))).alias("score")).where("score > 0")
+    return search.capped(s, "article", most_each, most, of_first, F.col("score").desc(), F.col("article"), F.col("number"))
+
+
+class Lsa:
+    """Latent vectors of texts, and the projection of a query on them."""
+
+    def __init__(self, rows: DataFrame, key: str, kind: str, place: dict[str, int], idf: dict[str, float], basis):
+        self.rows, self.key, self.kind, self.place, self.idf, self.basis = rows, key, kind, place, idf, basis
+
+    def vectors(self) -> DataFrame:
+        """key (its fields, if it is a struct) and vector."""
+        import numpy as np
+        import pandas as pd
+
+        basis, key = self.basis, self.key
+
+        def project(batches):
+            for b in batches:
+                out = []
+                for i, x in zip(b["i"], b["w"]):
+                    v = x @ basis[i]
+                    norm = np.linalg.norm(v)
+                    out.append((v / norm if norm else v).tolist())
+                yield pd.DataFrame({key: b[key], "vector": out})
+
+        out = self.rows.mapInPandas(project, f"{key} {self.kind}, vector array<double>")
+        return out.select(f"{key}.*", "vector") if self.kind.startswith("struct") else out
+
+    def query(self, query: str) -> list[float]:
+        """A query's vector, of length 1; zeros without a known term."""
+        import re
+        from collections import Counter
+
+        import numpy as np
+
+        tokens = [t.lower() for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9_.&'-]{1,}", query)]
+        tf = Counter(t for t in tokens if t in self.place)
+        v = sum(((1 + math.log(n)) * self.idf[t] * self.basis[self.place[t]] for t, n in tf.items()), np.zeros(self.basis.shape[1]))
+        norm = np.linalg.norm(v)
+        return (v / norm if norm else v).tolist()
+
+
 def lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> DataFrame:
-    """key and vector: TF-IDF rows over the most frequent terms, projected on the k first singular vectors, of length 1.
+    """key and vector of `fit_lsa`."""
+    return fit_lsa(texts, key, of, k, most_terms).vectors()
+
+
+def fit_lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> Lsa:
+    """TF-IDF rows over the most frequent terms, to be projected on the k first singular vectors.
 
     Subspace iteration: each step multiplies k + 10 directions by the rows and by their transpose, so a task holds
     most_terms x (k + 10) numbers, and so does the driver, whatever the number of texts.  As many directions as there
@@ -57,8 +174,9 @@ def lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> Data
     cores = max(1, context.defaultParallelism)  # so many sums are exchanged a step
     posted = search.postings(texts, key, text.search_tokens(of))
     top = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term").limit(most_terms)
-    place = texts.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(top.collect())], "term string, i int")
-    m = place.count()
+    kept = top.collect()  # most_terms rows at most
+    place = texts.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(kept)], "term string, i int")
+    m = len(kept)
     k = max(1, min(k, n - 1, m - 1))
     w = search.tfidf(posted.join(F.broadcast(place.select("term")), "term"), key, n)
     rows = w.join(F.broadcast(place), "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).coalesce(cores).persist()
@@ -92,13 +210,5 @@ def lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> Data
         values, vectors = np.linalg.eigh(basis.T @ times(basis))
         basis = basis @ vectors[:, np.argsort(-values)[:k]]
 
-    def project(batches):
-        for b in batches:
-            out = []
-            for i, x in zip(b["i"], b["w"]):
-                v = x @ basis[i]
-                norm = np.linalg.norm(v)
-                out.append((v / norm if norm else v).tolist())
-            yield pd.DataFrame({key: b[key], "vector": out})
-
-    return rows.mapInPandas(project, f"{key} {texts.schema[key].dataType.simpleString()}, vector array<double>")
+    idf = {r["term"]: math.log((1.0 + n) / (1 + r["df"])) + 1 for r in kept}
+    return Lsa(rows, key, texts.schema[key].dataType.simpleString(), {r["term"]: i for i, r in enumerate(kept)}, idf, basis)

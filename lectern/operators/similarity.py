@@ -46,6 +46,60 @@ def similar_pairs(assets: DataFrame, threshold: float = 0.82, group: str | None
     return j.withColumn("similarity", ratio("t_a", "t")).where(F.col("similarity") >= threshold).select(F.col("content_id_a"), F.col("content_id").alias("content_id_b"), F.round("similarity", 3).alias("similarity"))
 
 
+def boilerplate(assets: DataFrame, brand: tuple[str, ...] = (), size: int = 8) -> DataFrame:
+    """code, text and assets (how many) of what assets (content_id, copy) repeat: sentences of five words or more in three, closings in two, runs of `size` words in four.
+
+    Texts are compared as words of ASCII letters and digits; brand phrases don't count.  Sums by text, so no asset is compared with another.
+    """
+    s = text.sentences(F.col("copy"))
+    norm = F.transform(s, text.alnum)
+    long = F.filter(norm, lambda x: F.size(F.split(x, " ")) >= 5)
+    last = F.filter(F.slice(norm, F.greatest(F.lit(1), F.size(norm)), F.lit(1)), lambda x: F.size(F.split(x, " ")) >= 5)
+    words = F.split(text.alnum(F.col("copy")), " ")
+    each = lambda xs, code: F.transform(F.array_distinct(xs), lambda x: F.struct(F.lit(code).alias("code"), x.alias("text")))
+    parts = F.concat(each(long, "REPEATED_SENTENCE"), each(last, "REPEATED_CLOSING"), each(shingles(words, size), "REPEATED_PHRASE"))
+    rows = assets.select("content_id", F.explode(parts).alias("x")).select("content_id", "x.code", "x.text").where(~F.col("text").isin([text_ for text_ in brand] or [""]))
+    found = rows.groupBy("code", "text").agg(F.countDistinct("content_id").alias("assets"))
+    return found.where("assets > CASE code WHEN 'REPEATED_SENTENCE' THEN 2 WHEN 'REPEATED_CLOSING' THEN 1 ELSE 3 END")
+
+
+def renamed_headings(pairs: DataFrame, key: str, before: str, after: str, least: float = 0.45) -> DataFrame:
+    """key, old, new, ratio: each heading that a version lost, with the most similar one that the next version gained, if that is similar enough."""
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for k, x, y in zip(frame[key], frame["b"], frame["a"]):
+                x, y = ([] if z is None else list(z) for z in (x, y))
+                gained = [h for h in y if h not in x]
+                for old in dict.fromkeys(h for h in x if h not in y):
+                    score, new = max(((SequenceMatcher(None, old.casefold(), h.casefold()).ratio(), h) for h in gained), default=(0.0, ""))
+                    if score >= least:
+                        out.append((k, old, new, round(score, 3)))
+            yield pd.DataFrame(out, columns=[key, "old", "new", "ratio"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, text.headings(F.col(before)).alias("b"), text.headings(F.col(after)).alias("a")).mapInPandas(run, f"{key} {kind}, old string, new string, ratio double")
+
+
+def moved_headings(before: Column, after: Column) -> Column:
+    """Headings that both versions have, at other places among their headings."""
+    return F.filter(F.array_intersect(before, after), lambda h: F.array_position(before, h) != F.array_position(after, h))
+
+
+def link_changes(before: Column, after: Column) -> Column:
+    """(added, removed): URLs that only one of two versions links to, sorted."""
+    urls = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"\[([^\]\n]+)\]\((https?://[^\s)]+)\)"), F.lit(2)))
+    return F.struct(F.array_sort(F.array_except(urls(after), urls(before))).alias("added"), F.array_sort(F.array_except(urls(before), urls(after))).alias("removed"))
+
+
+def topical_terms(docs: DataFrame, group: str, of: Column, most: int = 45) -> DataFrame:
+    """group, term, n: the `most` commonest terms of each group, the earlier in the alphabet among equals."""
+    c = docs.select(group, F.explode(of).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(group).orderBy(F.col("n").desc(), "term")
+    return c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+
+
 def duplicate_rate(assets: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: the share of assets in a pair, and FAIL above a quarter."""
     ids = pairs.select(F.col("content_id_a").alias("content_id")).union(pairs.select("content_id_b")).distinct()

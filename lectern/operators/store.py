@@ -58,6 +58,87 @@ def listed(articles: DataFrame) -> DataFrame:
     return articles.orderBy(F.coalesce("published_date", F.lit("")).desc(), F.col("id").desc())
 
 
+def looked_up(articles: DataFrame, url: str, key: str = "canonical_url") -> DataFrame:
+    """The article of a URL; the filter reaches the scan."""
+    return articles.where(F.col(key) == url)
+
+
+def with_sources(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evidence with source_title and locator (URL, else file path) of its source."""
+    s = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.coalesce("url", "file_path").alias("locator"))
+    return evidence.join(s, "source_id")
+
+
+def missing_from(articles: DataFrame, discovered: DataFrame, key: str = "canonical_url") -> DataFrame:
+    """Articles that a discovery run didn't find."""
+    return articles.join(discovered.select(key), key, "left_anti")
+
+
+def to_sync(discovered: DataFrame, articles: DataFrame, key: str = "canonical_url") -> DataFrame:
+    """Discovered rows (key, lastmod) that are new, or changed after they were last synced; a row without lastmod is unchanged."""
+    j = discovered.join(articles.select(key, F.col("last_synced").alias("synced_")), key, "left")
+    return j.where("synced_ IS NULL OR coalesce(lastmod > synced_, false)").drop("synced_")
+
+
+def prior_kept(rows: DataFrame, prior: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Rows with the values that an earlier run's rows of the same key have, where these aren't null."""
+    old = prior.select(key, *[F.col(c).alias(f"old_{c}") for c in columns])
+    j = rows.join(old, key, "left")
+    return j.select(*[F.coalesce(F.col(f"old_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def stable_ids(new: DataFrame, old: DataFrame, match: str, order: str) -> DataFrame:
+    """New rows with kept_id: the id of the old row with the same `match`; equal ones are paired in their orders."""
+    at = lambda by: F.row_number().over(Window.partitionBy(match).orderBy(by))
+    o = old.select(match, F.col("id").alias("kept_id"), at("id").alias("at_"))
+    return new.withColumn("at_", at(order)).join(o, [match, "at_"], "left").drop("at_")
+
+
+def linked_parts(parts: DataFrame, series: str, number: str, name: str) -> DataFrame:
+    """Parts with previous and next: the names of their neighbours in the series."""
+    w = Window.partitionBy(series).orderBy(number)
+    return parts.withColumns({"previous": F.lag(name).over(w), "next": F.lead(name).over(w)})
+
+
+def registry_counts(articles: DataFrame) -> DataFrame:
+    """One row: articles, full, previews, distinct bodies and words."""
+    full = F.col("content_status") == "full"
+    return articles.agg(F.count(F.lit(1)).alias("articles"), F.count_if(full).alias("full"), F.count_if(F.col("content_status") == "preview_only").alias("previews"), F.countDistinct("content_hash").alias("bodies"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
+
+
+def by_year(articles: DataFrame, default: str = "undated") -> DataFrame:
+    """year, discovered, full, previews of articles by their published year."""
+    a = articles.groupBy(year_of(F.col("published_date"), default).alias("year"))
+    return a.agg(F.count(F.lit(1)).alias("discovered"), F.count_if(F.col("content_status") == "full").alias("full"), F.count_if(F.col("content_status") == "preview_only").alias("previews"))
+
+
+def discovered(**sources: DataFrame) -> DataFrame:
+    """url, found_by: the distinct URLs of several sources (url), with the names of those that have each, sorted."""
+    parts = [d.select("url", F.lit(name).alias("source_")) for name, d in sources.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.where("url IS NOT NULL").groupBy("url").agg(F.array_sort(F.collect_set("source_")).alias("found_by"))
+
+
+def discovery_counts(found: DataFrame) -> DataFrame:
+    """source, urls, alone: how many URLs of `discovered` each source has, and has alone."""
+    each = found.select(F.explode("found_by").alias("source"), (F.size("found_by") == 1).alias("alone"))
+    return each.groupBy("source").agg(F.count(F.lit(1)).alias("urls"), F.count_if("alone").alias("alone"))
+
+
+def refreshed(articles: DataFrame, errors: DataFrame, snapshot: DataFrame, key: str = "canonical_url", changed_by: tuple[str, ...] = ("content_hash", "content_status")) -> tuple[DataFrame, DataFrame]:
+    """(the merged articles without those missing from the snapshot being marked, errors without those of refreshed keys)."""
+    merged = upsert(articles, snapshot, key, changed_by)
+    kept = merged.withColumn("state", F.when(F.col("state") == "missing", "unchanged").otherwise(F.col("state")))
+    return kept, errors.join(snapshot.select(key), key, "left_anti")
+
+
+def stratified(df: DataFrame, group: str, order: list[Column], groups: int) -> DataFrame:
+    """The first row in an order of each of the first `groups` groups."""
+    return first_by(df, [F.col(group)], *order).orderBy(group).limit(groups)
+
+
 def first_by(df: DataFrame, keys: list[Column], *order: Column) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -83,15 +164,20 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "canonical_url", changed_b
     return both.select("id", key, "state", *[F.when(F.col("seq_").isNull(), F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")).alias(c) for c in names])
 
 
-def numbers(df: DataFrame, order: str, name: str, ranges: int = 200) -> DataFrame:
-    """Rows numbered from 1 in an order, by counts of ranges of it, so that no task sees all rows."""
+def running(df: DataFrame, order: str, value: Column, name: str, ranges: int = 200) -> DataFrame:
+    """The sum of a value over the rows before each in an order, by sums of ranges of it, so that no task sees all rows."""
     cuts = df.select(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
     part = F.size(F.filter(F.lit([float(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0)
-    parted = df.withColumn("part_", part)
-    counts = parted.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))  # at most `ranges` rows
+    parted = df.withColumn("part_", part).withColumn("value_", value)
+    counts = parted.groupBy("part_").agg(F.sum("value_").alias("n_"))  # at most `ranges` rows
     before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    own = F.row_number().over(Window.partitionBy("part_").orderBy(order))
-    return parted.withColumn("own_", own).join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("own_")).drop("part_", "own_", "before_")
+    own = F.coalesce(F.sum("value_").over(Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.withColumn("own_", own).join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("own_")).drop("part_", "value_", "own_", "before_")
+
+
+def numbers(df: DataFrame, order: str, name: str, ranges: int = 200) -> DataFrame:
+    """Rows numbered from 1 in an order."""
+    return running(df, order, F.lit(1).cast("long"), name, ranges).withColumn(name, F.col(name) + 1)
 
 
 def touched(articles: DataFrame, seen: DataFrame, key: str = "canonical_url") -> DataFrame:
@@ -142,10 +228,9 @@ def sources_kept(sources: DataFrame, seq: str = "seq") -> DataFrame:
 def packet(evidence: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
     """id and a rendered section of the first items, each with its source."""
     first = evidence.orderBy("id").limit(limit)
-    s = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.coalesce("url", "file_path").alias("locator"))
     flag = F.when(F.col("excerpt_verified"), "VERIFIED").otherwise("UNVERIFIED")
     entities = F.array_join(F.slice(F.coalesce("entities", F.array().cast("array<string>")), 1, 15), ", ")
-    return first.join(s, "source_id").select("id", F.format_string("## %s [%s]\nSource: %s (%s)\nClaim: %s\nExcerpt: %s\nEntities: %s", "evidence_id", flag, "source_title", "locator", "claim", F.substring("excerpt", 1, 900), entities).alias("section"))
+    return with_sources(first, sources).select("id", F.format_string("## %s [%s]\nSource: %s (%s)\nClaim: %s\nExcerpt: %s\nEntities: %s", "evidence_id", flag, "source_title", "locator", "claim", F.substring("excerpt", 1, 900), entities).alias("section"))
 
 
 def duplicate_of(df: DataFrame, digest: str, owner: str) -> DataFrame:
@@ -164,9 +249,9 @@ def inventory(articles: DataFrame, failures: DataFrame, missing: DataFrame, key:
 
 def signature(articles: DataFrame, version: int = 4) -> DataFrame:
     """One row: a digest over all (url, hash, status), independent of their order and summed by partition."""
-    each = F.sha2(F.concat_ws("\u0001", "canonical_url", "content_hash", "content_status"), 256)
-    total = articles.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(each, 1, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(each)).alias("x"))
-    return total.select(F.sha2(F.concat_ws("|", F.lit(str(version)), "n", "s", "x"), 256).alias("signature"))
+    each = F.sha2(F.concat_ws("|", "canonical_url", "content_hash", "content_status"), 256)
+    total = articles.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.conv(F.substring(each, at, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in (1, 13, 25)])
+    return total.select(F.sha2(F.concat_ws("|", F.lit(str(version)), "n", "s1", "s13", "s25"), 256).alias("signature"))
 
 
 def transitions_broken(moves: DataFrame, allowed: list[tuple[str, str]], current: str = "current", target: str = "target") -> DataFrame:
@@ -177,9 +262,8 @@ def transitions_broken(moves: DataFrame, allowed: list[tuple[str, str]], current
 
 def budgeted(docs: DataFrame, order: str, length: Column, per_document: int, total: int) -> DataFrame:
     """granted: what each document in order gets of a running budget, at most per_document."""
-    ask = docs.withColumn("ask_", F.least(length, F.lit(per_document)))
-    before = F.coalesce(F.sum("ask_").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ask.withColumn("granted", F.greatest(F.lit(0), F.least(F.col("ask_"), total - before))).drop("ask_")
+    ask = running(docs.withColumn("ask_", F.least(length, F.lit(per_document))), order, F.col("ask_"), "spent_")
+    return ask.withColumn("granted", F.greatest(F.lit(0), F.least(F.col("ask_"), total - F.col("spent_")))).drop("ask_", "spent_")
 
 
 def series_status(parts: DataFrame) -> DataFrame:

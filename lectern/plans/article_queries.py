@@ -37,7 +37,7 @@ def src31_src32_agg25_page_metrics(t):
 
 @query()
 def tvf21_all_matches(t):
-    return readers.all_matches(t.documents.where("n_chars < 3000"), "doc_id", "text", "thing", 20, 20)
+    return readers.all_matches(t.documents, "doc_id", "text", "thing", 20, 20)
 
 
 @query("SELECT DISTINCT concat('https://', lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', ''), ''), '/')) AS identity FROM pages")
@@ -45,10 +45,10 @@ def src15_known_urls(t):
     return readers.known_urls(t.pages, "url")
 
 
-@query("SELECT doc_id FROM documents WHERE source IN (SELECT concat('src', item_id) FROM benchmark WHERE item_id < 5) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("SELECT doc_id FROM documents WHERE source IN (SELECT concat('src', item_id) FROM benchmark) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def src14_prj14_gold_entries(t):
     gold = t.documents.join(t.labels, "doc_id").select("doc_id", F.col("source").alias("path"), (F.col("quality") == 1).alias("approved"))
-    return readers.gold_articles(gold, t.benchmark.where("item_id < 5").select(F.concat(F.lit("src"), "item_id").alias("path"))).select("doc_id")
+    return readers.gold_articles(gold, t.benchmark.select(F.concat(F.lit("src"), "item_id").alias("path"))).select("doc_id")
 
 
 @query()
@@ -63,27 +63,15 @@ def agg21_style_diagnostics(t):
     return s.join(rules.verdicts(s, "doc_id", diagnostics.style_rules()), "doc_id")
 
 
-@query()
-def sca53_rhetoric_report(t):
-    b = t.conversations.select("conv_id", F.col("turn").alias("line"), F.concat("text", F.when(F.col("turn") % 3 == 0, " a claim of a plot").when(F.col("turn") % 3 == 1, " not enough, it fails").otherwise(" more important: unsupported")).alias("text"))
-    return diagnostics.rhetoric(b, "conv_id")
-
-
 @query()
 def sca36_assertion_types(t):
     s = t.documents.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "s"))
     return s.groupBy(diagnostics.assertion_type(F.col("s")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def prj17_agg24_article_validator(t):
-    m = articles.metrics(_md(t), "doc_id", "m", ["e.org"])
-    return rules.violations(m, "doc_id", articles.article_rules())
-
-
-@query("SELECT doc_id, CASE WHEN NOT regexp_matches(lower(h), '[$£€]|\\b(budget|funding|funds|cost|financial|allocation|line item)\\b') THEN 'figure or funding mechanism' END AS problem FROM (SELECT doc_id, substring(text, 1, 200) AS h FROM documents)")
+@query("SELECT doc_id, CASE WHEN NOT regexp_matches(lower(h), '[$£€]|\\b(budget|funding|funds|cost|financial|allocation|line item)\\b') THEN 'figure or funding mechanism' END AS problem FROM (SELECT doc_id, text AS h FROM documents)")
 def prj28_hooks(t):
-    return t.documents.select("doc_id", articles.hook_problem(F.lit("MONEY"), F.substring("text", 1, 200)).alias("problem"))
+    return t.documents.select("doc_id", articles.hook_problem(F.lit("MONEY"), F.col("text")).alias("problem"))
 
 
 @query(r"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\p{L}\p{N}_]([\p{L}\p{N}_’''-]*[\p{L}\p{N}_])?')) < 100 THEN 'REDDIT_STANDALONE_DEPTH' END AS issue FROM documents")
@@ -111,40 +99,18 @@ def prj18_series_repeats(t):
     return articles.repeated_parts(fingerprints(t.documents, "doc_id", F.split("text", "\n")), "doc_id").select("doc_id", "words", "severity")
 
 
-@query("SELECT lang AS linked, count(*)::BIGINT AS n FROM documents GROUP BY lang")
-def snk30_link_report(t):
-    return sinks.link_report(t.documents.select(F.col("lang").alias("linked"), F.col("source").alias("phrase"))).select("linked", "n")
-
-
-@query("SELECT doc_id, sha256(text) AS h, concat('WR-', printf('%06d', doc_id)) AS id FROM documents WHERE doc_id < 50")
-def snk09_snk34_audit_rows(t):
-    r = t.documents.where("doc_id < 50").select(F.concat(F.lit("WR-"), F.format_string("%06d", "doc_id")).alias("wr_id"), F.lit(True).alias("included"), F.lit(1).alias("judged"), F.lit(0.123456).alias("score"), F.lit("x").alias("relationship"), "doc_id", "text")
-    return r.join(sinks.audit_rows(r), "wr_id").select("doc_id", F.sha2("text", 256).alias("h"), F.col("wr_id").alias("id"))
-
-
 @query()
 def snk15_tvf01_chunks(t):
     a = _md(t).select(F.format_string("https://own.org/p/%s", F.col("doc_id").cast("string")).alias("canonical_url"), F.lit("T").alias("title"), F.col("m").alias("body"))
     return index.chunked(a).select("canonical_url", "section", "start", F.md5("text").alias("digest"), F.size("links").alias("n_links"))
 
 
-@query()
-def snk17_signature(t):
-    return store.signature(t.documents.select(F.col("doc_id").cast("string").alias("canonical_url"), F.sha2("text", 256).alias("content_hash"), F.lit("full").alias("content_status")))
-
-
 @query()
 def txt09_srt11_concepts(t):
     names = index.expanded_concepts(t.documents, "doc_id", "text", ["of the"], "Of The surveillance")
     return t.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rank int, concept string")
 
 
-@query("SELECT conv_id, array_to_string(list_distinct([x FOR x IN list(role ORDER BY turn) IF x IS NOT NULL]), ',') IS NOT NULL AS some FROM conversations GROUP BY conv_id")
-def agg07_ordered_sets(t):
-    c = t.conversations.select("conv_id", "turn", F.array("role").alias("v"))
-    return index.ordered_sets(c, "conv_id", "v", "turn").select("conv_id", (F.size("v") > 0).alias("some"))
-
-
 @query()
 def srt07_link_rank(t):
     l = blocks.markdown_links(_md(t).withColumn("article", F.lit("https://own.org/p/1")), "doc_id", "m", "article").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "url")).alias("links"))

@@ -11,28 +11,6 @@ from .registry import query
 from .scalar_queries import ALNUM, SEARCH
 
 
-@query("SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
-def src01_src07_ordered_scan(t):
-    return t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority").where("o_orderpriority = '1-URGENT'").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(50)
-
-
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
-def src02_point_lookup(t):
-    name = t.customer.agg(F.min("c_name")).first()[0]
-    return t.customer.where(F.col("c_name") == name).select("c_custkey", "c_name", "c_acctbal")
-
-
-@query("SELECT o_orderkey, l_linenumber, l_quantity, o_orderstatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 300000")
-def jon01_jon02_src03_registry_link_join(t):
-    o = t.orders.where("o_totalprice > 300000").select("o_orderkey", "o_orderstatus")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity", "o_orderstatus")
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_valid(props) THEN 1 ELSE 0 END AS ok FROM events")
-def src13_src06_tolerant_json(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.when(F.try_parse_json("props").isNotNull(), 1).otherwise(0).alias("ok"))
-
-
 _TOP = """WITH d AS (SELECT doc_id, {tok} AS toks FROM documents), q AS (SELECT unnest(['the', 'ention', 'thing', 'enches', 'thing']) AS term),
 s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d), x AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d),
 p AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
@@ -57,12 +35,12 @@ def agg03_bm25_normalized(t):
 
 
 @query(
-    f"WITH d AS (SELECT doc_id, {SEARCH} AS toks FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL), "
+    f"WITH d AS (SELECT doc_id, {SEARCH} AS toks FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL), "
     "f AS (SELECT term, count(*) AS df FROM p GROUP BY term), w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM p JOIN f USING (term)), "
     "n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id) SELECT doc_id, count(*)::BIGINT AS n_terms, round(max(w / norm), 5) AS top, round(sum(w / norm), 3) AS total FROM w JOIN n USING (doc_id) GROUP BY doc_id"
 )
 def txt01_agg05_tfidf_terms(t):
-    d = t.documents.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    d = t.documents
     w = search.tfidf(search.postings(d, "doc_id", text.search_tokens(F.col("text"))), "doc_id", d.count())
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 5).alias("top"), F.round(F.sum("weight"), 3).alias("total"))
 
@@ -98,62 +76,17 @@ def prj11_min_score(t):
     return t.documents.select("doc_id", s.alias("s")).where("s >= 0.2").select("doc_id", F.least(F.lit(1.0), F.round("s", 6)).alias("score"))
 
 
-@query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60)) WHERE rn <= 2 ORDER BY n_chars DESC, doc_id LIMIT 8")
-def srt02_win03_cap_then_topk(t):
-    w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    capped = t.documents.select("doc_id", "source", "n_chars").orderBy(F.col("n_chars").desc(), "doc_id").limit(60)
-    return capped.withColumn("rn", F.row_number().over(w)).where("rn <= 2").drop("rn").orderBy(F.col("n_chars").desc(), "doc_id").limit(8)
-
-
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS owner, CASE WHEN min(doc_id) OVER (PARTITION BY sha256(text)) <> doc_id THEN min(doc_id) OVER (PARTITION BY sha256(text)) END AS duplicate_of FROM documents")
 def win01_duplicate_of(t):
     d = store.duplicate_of(t.documents.select("doc_id", text.content_hash(F.col("text")).alias("h")), "h", "doc_id")
     return d.select("doc_id", F.coalesce("duplicate_of", "doc_id").alias("owner"), "duplicate_of")
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS h FROM documents WHERE n_chars >= 20 GROUP BY sha256(text)")
-def win02_body_dedupe_keep_first(t):
-    return t.documents.where("n_chars >= 20").groupBy(text.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h")
-
-
 @query("WITH a AS (SELECT doc_id, least(n_chars, 1000) AS ask FROM documents), b AS (SELECT doc_id, ask, coalesce(sum(ask) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a) SELECT doc_id, greatest(0, least(ask, 140000 - before))::BIGINT AS granted FROM b")
 def win04_running_budget(t):
     return store.budgeted(t.documents.select("doc_id", "n_chars"), "doc_id", F.col("n_chars"), 1000, 140000).select("doc_id", F.col("granted").cast("long").alias("granted"))
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS seq FROM events")
-def win05_sequence_ids(t):
-    return t.events.select("event_id", F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id")).cast("long").alias("seq"))
-
-
-@query("SELECT conv_id, turn, lag(turn) OVER w AS previous, lead(turn) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def win06_snk37_prev_next_linkage(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.lag("turn").over(w).alias("previous"), F.lead("turn").over(w).alias("next"))
-
-
-@query(
-    "WITH f AS (SELECT conv_id, turn, contains(text, ' the ') AS t, contains(text, ' of ') AS b, contains(text, ' and ') AS r FROM conversations), "
-    "x AS (SELECT conv_id, turn, t, sum(b::INT) OVER w AS nb, sum(r::INT) OVER w AS nr FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING)) "
-    "SELECT conv_id, min(turn) AS first_turn FROM x WHERE t AND nb >= 2 AND nr >= 1 GROUP BY conv_id"
-)
-def win07_sliding_pattern(t):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, 9)
-    has = lambda s: F.contains("text", F.lit(s)).cast("int")
-    f = t.conversations.select("conv_id", "turn", (has(" the ") == 1).alias("t"), F.sum(has(" of ")).over(w).alias("nb"), F.sum(has(" and ")).over(w).alias("nr"))
-    return f.where("t AND nb >= 2 AND nr >= 1").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
-
-
-@query(
-    "WITH x AS (SELECT conv_id, turn, sum((contains(text, ' the '))::INT) OVER w AS marked, count(*) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) "
-    "SELECT conv_id, min(turn) AS first_turn FROM x WHERE marked >= 3 AND n = 6 GROUP BY conv_id"
-)
-def win08_sliding_density(t):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(0, 5)
-    x = t.conversations.select("conv_id", "turn", F.sum(F.contains("text", F.lit(" the ")).cast("int")).over(w).alias("marked"), F.count(F.lit(1)).over(w).alias("n"))
-    return x.where("marked >= 3 AND n = 6").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
-
-
 @query(
     r"WITH w AS (SELECT doc_id, string_split_regex(trim(text), '\s+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 560)) AS start FROM w) "
     "SELECT doc_id, start::BIGINT AS start, md5(array_to_string(list_slice(w, start + 1, start + 650), ' ')) AS digest FROM s WHERE start = 0 OR start - 560 + 650 < len(w)"
@@ -164,22 +97,6 @@ def win09_word_windows(t):
     return word_windows(t.documents, "doc_id", F.col("text")).select("doc_id", F.col("start").cast("long").alias("start"), F.md5("piece").alias("digest"))
 
 
-@query("SELECT source, count(*) FILTER (WHERE lang = 'en')::BIGINT AS en, count(*) FILTER (WHERE lang = 'fr')::BIGINT AS fr, count(*)::BIGINT AS discovered FROM documents GROUP BY source")
-def agg08_pivot(t):
-    return t.documents.groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") == "fr").alias("fr"), F.count(F.lit(1)).alias("discovered"))
-
-
-@query("SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE quality = 1)::BIGINT AS good, count(*) FILTER (WHERE quality = 0)::BIGINT AS bad, count(*) FILTER (WHERE toxic = 1)::BIGINT AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
-def agg01_agg10_status_counts(t):
-    d = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-
-
-@query("SELECT event_type, count(DISTINCT user_id)::BIGINT AS users, count(*)::BIGINT AS n FROM events GROUP BY event_type")
-def agg09_discovery_counts(t):
-    return t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT lower(event_type) AS node, count(DISTINCT user_id)::BIGINT AS paths, count(DISTINCT user_id % 7)::BIGINT AS streams FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 2 ORDER BY paths DESC, node")
 def agg11_convergence(t):
     from ..operators.evidence import convergences
@@ -188,14 +105,6 @@ def agg11_convergence(t):
     return convergences(paths)
 
 
-@query(
-    f"WITH s AS (SELECT DISTINCT doc_id, {ALNUM.format('unnest(string_split(text, chr(10)))')} AS line FROM documents) SELECT line, count(DISTINCT doc_id)::BIGINT AS docs FROM s WHERE len(string_split(line, ' ')) >= 5 GROUP BY line HAVING count(DISTINCT doc_id) > 2"
-)
-def agg12_repeated_lines(t):
-    s = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", text.alnum(F.col("x")).alias("line")).where(F.size(F.split("line", " ")) >= 5)
-    return s.groupBy("line").agg(F.countDistinct("doc_id").alias("docs")).where("docs > 2")
-
-
 _LINES = r"SELECT doc_id, trim(regexp_replace(lower(l), '\s+', ' ', 'g')) AS line, len(string_split_regex(trim(l), '\s+')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)"
 
 
@@ -215,48 +124,6 @@ def jon14_shared_paragraphs(t):
     return g.where("docs > 1").select("p", "docs", "first_doc", (F.col("w") - F.col("own")).alias("repeated_words"))
 
 
-@query("WITH x AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents), c AS (SELECT source, term, count(*) AS n FROM x GROUP BY ALL) SELECT source, term, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rn FROM c) WHERE rn <= 45")
-def agg15_top_terms(t):
-    c = t.documents.select("source", F.explode(text.every(F.lower("text"), "[a-z]{4,}")).alias("term")).groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("source").orderBy(F.col("n").desc(), "term")
-    return c.withColumn("rn", F.row_number().over(w)).where("rn <= 45").drop("rn")
-
-
-@query("SELECT source, round(stddev_pop(n_chars) / avg(n_chars), 6) AS variation, round(avg(n_chars), 1) AS mean, round(median(n_chars), 1) AS median FROM documents GROUP BY source")
-def agg17_agg18_length_variation(t):
-    return t.documents.groupBy("source").agg(F.round(F.stddev_pop("n_chars") / F.avg("n_chars"), 6).alias("variation"), F.round(F.avg("n_chars"), 1).alias("mean"), F.round(F.median("n_chars"), 1).alias("median"))
-
-
-@query(r"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS l FROM documents), o AS (SELECT array_to_string(list_slice(string_split_regex(trim(lower(l)), '\s+'), 1, 2), ' ') AS opening FROM l) SELECT opening, count(*)::BIGINT AS n FROM o WHERE regexp_matches(opening, '^(this|that|the|it) ') GROUP BY opening HAVING count(*) >= 3")
-def agg22_paragraph_openings(t):
-    l = t.documents.select(F.explode(F.split("text", "\n")).alias("l"))
-    o = l.select(F.array_join(F.slice(F.split(F.trim(F.lower("l")), r"\s+"), 1, 2), " ").alias("opening")).where(F.col("opening").rlike("^(this|that|the|it) "))
-    return o.groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-
-
-@query(r"SELECT page_id, len(regexp_extract_all(html, 'href=\"[^\"]+\"'))::BIGINT AS links, len(list_distinct(regexp_extract_all(html, 'href=\"[^\"]+\"')))::BIGINT AS distinct_links, len(regexp_extract_all(html, '<b>[^<]*'))::BIGINT AS bold FROM pages")
-def agg23_agg24_page_counts(t):
-    h = text.every(F.col("html"), 'href="[^"]+"')
-    return t.pages.select("page_id", F.size(h).cast("long").alias("links"), F.size(F.array_distinct(h)).cast("long").alias("distinct_links"), F.regexp_count("html", F.lit("<b>[^<]*")).cast("long").alias("bold"))
-
-
-@query("SELECT doc_id, coalesce(quality + toxic, 1)::INT AS score, CASE WHEN quality IS NULL THEN 'unjudged' ELSE 'judged' END AS relationship, coalesce(quality + toxic, 1) >= 1 OR contains(text, 'thanedble') AS included FROM documents LEFT JOIN labels USING (doc_id)")
-def jon03_jon04_srt03_left_default_rerank(t):
-    d = t.documents.select("doc_id", F.contains("text", F.lit("thanedble")).alias("direct")).join(t.labels, "doc_id", "left")
-    s = F.coalesce(F.col("quality") + F.col("toxic"), F.lit(1))
-    return d.select("doc_id", s.cast("int").alias("score"), F.when(F.col("quality").isNull(), "unjudged").otherwise("judged").alias("relationship"), ((s >= 1) | F.col("direct")).alias("included"))
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def jon09_jon10_missing_anti_join(t):
-    return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
-
-
-@query("SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
-def jon11_jon12_incremental_semi_join(t):
-    return t.events.join(t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi").select("event_id")
-
-
 @query("WITH f AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), m AS (SELECT DISTINCT user_id FROM events WHERE value > 90) SELECT c_custkey, f.user_id IS NOT NULL AS failed, m.user_id IS NOT NULL AS missing FROM customer LEFT JOIN f ON f.user_id = c_custkey LEFT JOIN m ON m.user_id = c_custkey UNION ALL SELECT f.user_id, true, false FROM f WHERE f.user_id NOT IN (SELECT c_custkey FROM customer)")
 def jon08_srt10_inventory(t):
     kind = t.events.agg(F.min("event_type")).first()[0]
@@ -307,9 +174,9 @@ def snk04_replace_child_links(t):
     return store.replaced_links(l, new).select("article_id", "id", "anchor")
 
 
-@query("WITH r AS (SELECT source, translate(substring(text, 1, 12), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS claim, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2) SELECT doc_id, printf('EV-%04d', row_number() OVER (ORDER BY doc_id)) AS evidence_id FROM r")
+@query("WITH r AS (SELECT source, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS claim, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2) SELECT doc_id, printf('EV-%04d', row_number() OVER (ORDER BY doc_id)) AS evidence_id FROM r")
 def snk08_evidence_insert_ignore(t):
-    items = t.documents.select(F.col("source").alias("source_id"), F.substring("text", 1, 12).alias("claim"), F.col("doc_id").alias("seq"))
+    items = t.documents.select(F.col("source").alias("source_id"), F.col("text").alias("claim"), F.col("doc_id").alias("seq"))
     return store.evidence_kept(items).select(F.col("seq").alias("doc_id"), "evidence_id")
 
 
@@ -349,11 +216,6 @@ def prj19_manifest_constraints(t):
     return v.select(F.col("k.series").alias("conv_id"), F.col("k.number").alias("turn"), "rule")
 
 
-@query("SELECT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0) ORDER BY url")
-def set01_discovery_union(t):
-    return t.pages.where("page_id % 2 = 0").select("url").union(t.pages.where("page_id % 3 = 0").select("url")).distinct().orderBy("url")
-
-
 @query("WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) SELECT user_id, CASE WHEN a.n IS NULL THEN 'only_final' WHEN b.n IS NULL THEN 'disappeared' WHEN b.n >= greatest(3, 2 * a.n) THEN 'promoted' WHEN a.n >= greatest(3, 2 * b.n) THEN 'diminished' ELSE 'kept' END AS change FROM a FULL JOIN b USING (user_id)")
 def set03_count_difference(t):
     from ..operators.similarity import count_changes
@@ -362,54 +224,6 @@ def set03_count_difference(t):
     return count_changes(c("view"), c("click")).select(F.col("name").alias("user_id"), "change")
 
 
-@query("SELECT source, min(doc_id) AS doc_id FROM (SELECT source, doc_id, n_chars, max(n_chars) OVER (PARTITION BY source) AS m FROM documents) WHERE n_chars = m GROUP BY source ORDER BY source LIMIT 6")
-def srt09_stratified_examples(t):
-    return t.documents.groupBy("source").agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id")).alias("doc_id")).orderBy("source").limit(6)
-
-
-@query("WITH q AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{2,}'), lambda x: lower(x)), lambda t: length(t) >= 4)) AS q FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(substring(text, 1, 25000), '[A-Za-z0-9][A-Za-z0-9_-]{2,}'), lambda x: lower(x)), lambda t: length(t) >= 4)) AS d FROM documents) SELECT doc_id, round(len(list_intersect(q, d)) / greatest(1, len(q)), 6) AS score FROM d, q ORDER BY score DESC, doc_id LIMIT 20")
-def srt04_local_chunk_rank(t):
-    q = t.benchmark.where("item_id = 0").select(text.local_terms(F.col("text")).alias("q"))
-    d = t.documents.select("doc_id", text.local_terms(F.substring("text", 1, 25000)).alias("d")).crossJoin(F.broadcast(q.limit(1)))
-    return d.select("doc_id", F.round(F.size(F.array_intersect("q", "d")) / F.greatest(F.lit(1), F.size("q")), 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20)
-
-
-@query("SELECT doc_id, n::BIGINT AS n FROM (SELECT doc_id, len(string_split(lower(text), 'thing')) - 1 + len(string_split(lower(text), 'ention')) - 1 AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 4")
-def srt06_gold_select(t):
-    n = sum((F.size(F.split(F.lower("text"), w)) - 1 for w in ("thing", "ention")), F.lit(0))
-    return t.documents.select("doc_id", n.cast("long").alias("n")).where("n > 0").orderBy(F.col("n").desc(), "doc_id").limit(4)
-
-
-@query("SELECT lang, count(*)::BIGINT AS files FROM documents GROUP BY lang")
-def snk37_snk19_coverage_report(t):
-    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
-
-
-@query("SELECT a.k AS x, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(concat(source, '|', lang), '|')) AS k FROM documents) a JOIN (SELECT DISTINCT lang AS k FROM documents) b USING (k) GROUP BY a.k")
-def jon17_explode_join(t):
-    a = t.documents.select(F.explode(F.split(F.concat_ws("|", "source", "lang"), r"\|")).alias("k"))
-    return a.join(t.documents.select(F.col("lang").alias("k")).distinct(), "k").groupBy(F.col("k").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT doc_id, coalesce(CASE WHEN quality IN (0, 1) THEN quality END, 9)::INT AS status FROM documents LEFT JOIN labels USING (doc_id)")
-def jon19_preserve_prior(t):
-    prior = t.labels.where("quality IN (0, 1)").select("doc_id", "quality")
-    return t.documents.select("doc_id").join(prior, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(9)).cast("int").alias("status"))
-
-
-@query("WITH o AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 = 0) SELECT n.doc_id, o.doc_id AS kept_id FROM n LEFT JOIN o ON o.text = n.text AND o.k = n.k")
-def jon20_stable_ids(t):
-    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    w = Window.partitionBy("h").orderBy("doc_id")
-    o = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("kept_id"), "h", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")).alias("k"))
-    return d.where("doc_id % 3 = 0").withColumn("k", F.row_number().over(w)).join(o, ["h", "k"], "left").select("doc_id", "kept_id")
-
-
-@query("SELECT d.doc_id, l.toxic = 1 AS flagged FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NOT NULL")
-def jon21_flag_join(t):
-    return t.documents.select("doc_id").join(t.labels, "doc_id").select("doc_id", (F.col("toxic") == 1).alias("flagged"))
-
-
 @query("SELECT supp.s_nationkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier supp ON l_suppkey = s_suppkey WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY supp.s_nationkey")
 def substrate_star_join(t):
     l = t.lineitem.where("l_shipdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))

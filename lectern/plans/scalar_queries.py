@@ -125,11 +125,6 @@ def sca14_sca15_sca16_sca18_sca19_markdown(t):
     return m.select("doc_id", *[F.md5(f(c)).alias(n) for n, f in (("no_images", text.without_images), ("anchors", text.links_to_anchors), ("plain", text.voice_plain), ("visible", text.visible_markdown), ("no_marks", text.without_markers))])
 
 
-@query()
-def sca13_clean_article(t):
-    return t.documents.select("doc_id", text.clean_article(_markdown()).alias("clean"))
-
-
 @query()
 def sca17_diagnostic_plain(t):
     return t.documents.select("doc_id", F.md5(text.diagnostic_plain(_markdown())).alias("plain"))
@@ -176,12 +171,6 @@ def sca38_sca39_ids(t):
     return t.events.select("event_id", record_id(F.col("event_id")).alias("wr_id"), content_id([F.col("event_type")], F.col("event_id") % 1000).alias("content_id"), article_id(F.col("event_id") % 100).alias("article_id"))
 
 
-@query("SELECT doc_id, concat(rtrim(substring(text, 1, 50), ' ' || chr(9) || chr(10) || chr(13)), CASE WHEN source = 'src0' THEN '' ELSE concat(chr(10), chr(10), source) END) AS copy, regexp_matches(substring(text, 1, 200), '[.!?][\"”’'']*\\n?$') AS ends FROM documents")
-def sca37_prj31_copy(t):
-    body = F.rtrim(F.regexp_replace(F.substring("text", 1, 50), r"\s+$", ""))
-    return t.documents.select("doc_id", F.concat(body, F.when(F.col("source") == "src0", "").otherwise(F.concat(F.lit("\n\n"), "source"))).alias("copy"), F.substring("text", 1, 200).rlike("[.!?][\"”’']*$").alias("ends"))
-
-
 _P = r"'^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 
 

@@ -48,26 +48,19 @@ def tvf03_tvf04_markdown_links(t):
     return blocks.markdown_links(m, "doc_id", "m", "article").select("doc_id", "anchor", "url", "kind")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE 1 = 0) x")
-def jon10_unknown_marks(t):
-    known = t.benchmark.select(F.format_string("EV-%04d", F.col("item_id") + 2).alias("evidence_id"))
-    return evidence.unknown_marks(_md(t), "doc_id", "m", known).select("doc_id")
-
-
 @query()
 def tvf05_char_chunks(t):
     return blocks.char_chunks(t.documents, "doc_id", "text", 2000, 200).select("doc_id", "index", F.md5("chunk").alias("digest"))
 
 
 @query(
-    r"WITH d AS (SELECT doc_id, trim(text, ' ' ) AS t FROM documents WHERE length(trim(text, ' ')) > 22000), w AS (SELECT doc_id, t, unnest(range(0, length(t), 16800)) AS start FROM d), "
-    "x AS (SELECT doc_id, start, substring(t, start + 1, 18000) AS p FROM w WHERE start = 0 OR start - 16800 + 18000 < length(t)), "
+    r"WITH d AS (SELECT doc_id, trim(text, ' ' ) AS t FROM documents ), w AS (SELECT doc_id, t, unnest(CASE WHEN length(t) <= 22000 THEN [0] ELSE range(0, length(t), 16800) END) AS start FROM d), "
+    "x AS (SELECT doc_id, start, CASE WHEN length(t) <= 22000 THEN t ELSE substring(t, start + 1, 18000) END AS p FROM w WHERE start = 0 OR start - 16800 + 18000 < length(t)), "
     "s AS (SELECT doc_id, start, least(4, (length(p) - length(replace(lower(p), 'thing', ''))) // 5) + least(4, (length(p) - length(replace(lower(p), 'ention', ''))) // 6) + CASE WHEN contains(lower(p), 'the attion') THEN 8 ELSE 0 END + CASE WHEN start = 0 THEN 0.5 ELSE 0 END AS score FROM x) "
     "SELECT doc_id, start::BIGINT AS start, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) AS rn FROM s) WHERE rn <= 3"
 )
 def srt05_source_window_select(t):
-    long = t.documents.where(F.length(F.trim("text")) > 22000)
-    return blocks.char_windows(long, "doc_id", "text", ["thing", "ention"], "the attion").select("doc_id", F.col("start").cast("long").alias("start"), "score")
+    return blocks.char_windows(t.documents, "doc_id", "text", ["thing", "ention"], "the attion").select("doc_id", F.col("start").cast("long").alias("start"), "score")
 
 
 @query(rf"WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents) SELECT doc_id, count(*)::BIGINT AS sentences, count(*) FILTER (WHERE regexp_matches(s, '(?i)(^| )(the|le|der) (of|de|und)'))::BIGINT AS marked FROM s WHERE s <> '' GROUP BY doc_id")
@@ -77,15 +70,6 @@ def agg19_tvf16_sentence_marks(t):
     return t.documents.select("doc_id", F.size(s).cast("long").alias("sentences"), F.size(marked).cast("long").alias("marked")).where("sentences > 0")
 
 
-@query()
-def agg19_caution_density(t):
-    s = text.sentences(F.concat(F.col("text"), F.lit(" I cannot prove it. We should be careful. To be precise, no.")))
-    from ..functions.fixed import CAUTION
-
-    n = F.size(F.filter(s, lambda x: x.rlike(CAUTION)))
-    return t.documents.select("doc_id", n.alias("caution"), ((F.size(s) >= 3) & (n >= 2)).alias("dense"))
-
-
 @query()
 def jon13_sequence_similarity(t):
     a = t.benchmark.select(F.col("item_id").alias("content_id"), F.col("item_id").alias("pos"), F.col("text").alias("copy"), F.lit(None).cast("string").alias("reuse_policy"))
@@ -101,8 +85,8 @@ def jon18_assertion_to_claim(t):
 
 @query()
 def jon07_best_title(t):
-    rows = t.documents.select(F.col("doc_id").alias("row_id"), F.substring("text", 1, 60).alias("title"))
-    return similarity.best_titles(t.benchmark.select(F.col("item_id").alias("gold_id"), F.substring("text", 1, 40).alias("title")), rows)
+    rows = t.documents.select(F.col("doc_id").alias("row_id"), F.col("text").alias("title"))
+    return similarity.best_titles(t.benchmark.select(F.col("item_id").alias("gold_id"), F.col("text").alias("title")), rows)
 
 
 @query()
@@ -122,12 +106,6 @@ def agg14_agg16_entities(t):
     return t.documents.select("doc_id", F.explode(similarity.entities(F.col("text"))).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(trim(concat('| ', source, ' | ', lang, ' |')), '^\||\|$', '', 'g'), '|'), lambda x: trim(x)), ',') AS cells, true AS separator FROM documents")
-def tvf24_tvf25_tables(t):
-    line = F.concat(F.lit("| "), "source", F.lit(" | "), "lang", F.lit(" |"))
-    return t.documents.select("doc_id", F.array_join(blocks.table_cells(line), ",").alias("cells"), blocks.is_table_separator(F.lit("|:---|---:|")).alias("separator"))
-
-
 @query(r"SELECT doc_id, k AS page, trim(split_part(replace(text, chr(10), chr(12)), chr(12), k)) AS text FROM documents, (SELECT unnest([1, 2]) AS k) WHERE len(string_split(text, chr(10))) >= 2")
 def src33_tvf22_pages(t):
     d = t.documents.where(F.size(F.split("text", "\n")) >= 2).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("p"))
@@ -139,9 +117,9 @@ def tvf20_page_grep(t):
     return blocks.page_matches(t.documents, "doc_id", "text", "thing", 50).select("doc_id", "at", "context")
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(replace(substring(text, 1, 400), ',', ';'), '(?i)\s+(?:while|but|yet|whereas)\s+|;\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM documents")
+@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(replace(text, ',', ';'), '(?i)\s+(?:while|but|yet|whereas)\s+|;\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM documents")
 def tvf17_clauses(t):
-    s = F.replace(F.substring("text", 1, 400), F.lit(","), F.lit(";"))
+    s = F.replace("text", F.lit(","), F.lit(";"))
     return t.documents.select("doc_id", F.array_join(blocks.clauses(s), "|").alias("parts"))
 
 
@@ -156,28 +134,6 @@ def tvf11_located_blocks(t):
     return blocks.located_blocks(_md(t), "doc_id", "m").select("doc_id", "line", F.md5("text").alias("digest"))
 
 
-@query()
-def txt16_voice_retrieval(t):
-    """Paragraphs by shared words with a query, at most two of a source and eight in all."""
-    from pyspark.sql import Window
-
-    q = ["ention", "thing", "thanedble", "attion"]
-    p = t.documents.select("doc_id", "source", "n_chars", text.voice_tokens(F.col("text")).alias("toks"))
-    hits = sum((F.least(F.lit(1), F.size(F.filter("toks", search._same(w)))) for w in q), F.lit(0))
-    s = p.select("doc_id", "source", "n_chars", (hits / len(q)).alias("score")).where("score > 0")
-    w = Window.partitionBy("source").orderBy(F.col("score").desc(), F.col("n_chars").desc(), "doc_id")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn <= 2").orderBy(F.col("score").desc(), F.col("n_chars").desc(), "doc_id").limit(8).select("doc_id", "source", "score")
-
-
-@query()
-def txt08_txt10_txt11_concepts(t):
-    names = ["ention", "thing", "the attion", "thanedble the", "attion"]
-    hits = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(n)), n) for n in names]))
-    d = t.documents.select("doc_id", search.without_contained(hits).alias("hits"))
-    score, near = search.concept_score(F.col("hits"))
-    return d.select("doc_id", F.array_join("hits", "|").alias("hits"), F.round(score, 4).alias("concept"), F.round(near, 4).alias("cooccurrence"))
-
-
 @query()
 def txt14_prj12_hybrid_retrieval(t):
     from ..operators.retrieval import retrieve
@@ -194,7 +150,7 @@ def txt02_lsa_project(t):
 
 
 @query()
-def src27_src30_html_snapshot(t):
+def src27_src28_src29_html_snapshot(t):
     from ..sources.html import snapshots
 
     return snapshots(t.pages, "page_id", "url", "html").select("page_id", "title", "word_count", "n_links", "access_level", F.md5("text").alias("digest"))
@@ -217,7 +173,7 @@ def sca46_srt08_link_insert(t):
 
 
 @query()
-def sca34_sca35_shorten(t):
+def sca34_shorten(t):
     from ..operators.repair import shortened
 
     return shortened(t.documents, "doc_id", "text", 280, 24)

@@ -25,6 +25,8 @@ class _Page(HTMLParser):
         self.skip, self.title, self.h1, self.script = 0, "", "", ""
         self.roots: list[tuple[int, list[str], list[tuple[str, str]]]] = []
         self.link: list | None = None
+        self.series: str | None = None
+        self.series_text: str | None = None  # of an open link to a series
         self.in_title = self.in_h1 = self.in_json = False
 
     def handle_starttag(self, tag, attrs):
@@ -50,8 +52,14 @@ class _Page(HTMLParser):
         self.in_h1 |= tag == "h1" and not self.h1
         if tag == "a" and a.get("href") and not self.skip:
             self.link = [a["href"], ""]
+        if tag == "a" and "/s/" in a.get("href", ""):
+            self.series_text = ""
 
     def handle_endtag(self, tag):
+        if tag == "a" and self.series_text is not None:
+            name, self.series_text = " ".join(self.series_text.split()), None
+            if self.series is None and 0 < len(name) <= 120:
+                self.series = name
         if not any(t == tag for t, _ in self.stack):
             return
         while self.stack:
@@ -86,6 +94,8 @@ class _Page(HTMLParser):
             self.h1 += data
         if self.link:
             self.link[1] += data
+        if self.series_text is not None:
+            self.series_text += data
         self._add(data)
 
 
@@ -114,6 +124,24 @@ def snapshot(html: str | None, url: str | None) -> tuple:
     return page.meta.get("canonical") or url, " ".join(title.split()), data.get("datePublished") or page.meta.get("article:published_time"), page.meta.get("author"), text, words, [{"anchor": a, "url": u} for a, u in links], len(links), level
 
 
+def series_name(html: str | None) -> str | None:
+    """The text of the first link to a series (/s/) that has one of at most 120 characters."""
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    return page.series
+
+
+def series_names(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key and series of each page, null without one."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "series": [series_name(h) for h in b[html]]})
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, series string")
+
+
 def snapshots(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """One row for each page; pages are parsed in batches by the standard library's parser."""
     names = ["canonical_url", "title", "published_date", "author", "text", "word_count", "links", "n_links", "access_level"]

@@ -45,5 +45,5 @@ def voice_packet(passages: DataFrame) -> DataFrame:
 
 
 def link_report(links: DataFrame) -> DataFrame:
-    """linked and how many."""
-    return links.groupBy("linked").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("phrase")).alias("phrases"))
+    """linked, n and phrases: how often each is linked, and by how many different phrases."""
+    return links.groupBy("linked").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("phrase").alias("phrases"))

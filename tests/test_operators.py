@@ -53,12 +53,12 @@ def test_copyedit_and_lengths(spark):
 
 
 def test_query_parse():
-    assert search.query_entities("Flock Safety surveillance") == ["flock safety"]
-    assert search.query_entities("Flock Safety ALPR cameras") == ["flock safety", "alpr"]
-    assert search.query_entities("Robert Maxwell / Mossad Files") == ["robert maxwell", "mossad files"]
-    entities, parts, free = search.query_plan("Flock Safety camera camera network")
-    assert (entities, parts, free) == (["flock safety"], ["flock", "safety"], ["camera", "camera", "network"])
-    assert "safety camera" not in search.query_phrases("Flock Safety camera network", entities)
+    assert search.query_entities("Marlow Security surveillance") == ["marlow security"]
+    assert search.query_entities("Marlow Security ALPR cameras") == ["marlow security", "alpr"]
+    assert search.query_entities("Edda Quill / Harbor Files") == ["edda quill", "harbor files"]
+    entities, parts, free = search.query_plan("Marlow Security camera camera network")
+    assert (entities, parts, free) == (["marlow security"], ["marlow", "security"], ["camera", "camera", "network"])
+    assert "security camera" not in search.query_phrases("Marlow Security camera network", entities)
 
 
 def test_bm25_and_repeats(spark):
@@ -68,16 +68,63 @@ def test_bm25_and_repeats(spark):
     assert set(s) == {1, 2} and s[2] > s[1] and twice[1] == pytest.approx(2 * s[1])
 
 
+CHUNKS = [
+    ("direct", 0, "Marlow Security sells cameras that read a license plate", "Marlow Security", "full"),
+    ("preview", 0, "Marlow Security sells cameras that read a license plate", "Marlow Security", "preview_only"),
+    ("related", 0, "police database of license plate reader sightings with infrared vehicle tracking", "Plates", "full"),
+    ("decoy", 0, "public security is a word in a government report", "Words", "full"),
+]
+SIGNALS = "article string, start int, text string, title string, status string"
+
+
 def test_retrieval_gate(spark):
-    rows = [("direct", 0, "Flock Safety sells cameras that read a license plate", "Flock Safety", "full"), ("preview", 0, "Flock Safety sells cameras that read a license plate", "Flock Safety", "preview_only"),
-            ("related", 0, "police database of license plate reader sightings with infrared vehicle tracking", "Plates", "full"), ("decoy", 0, "public safety is a word in a government report", "Words", "full")]
-    c = spark.createDataFrame(rows, "article string, start int, text string, title string, status string")
-    got = retrieval.retrieve(c, "Flock Safety surveillance", ["license plate", "infrared", "vehicle tracking"], 10, 0.05).collect()
+    c = spark.createDataFrame(CHUNKS, SIGNALS)
+    got = retrieval.retrieve(c, "Marlow Security surveillance", ["license plate", "infrared", "vehicle tracking"], 10, 0.05).collect()
     by = {r.article: r for r in got}
     assert "decoy" not in by
     assert by["preview"].score < by["direct"].score and by["direct"].tier == "DIRECT" and by["related"].tier == "RELATED INFRASTRUCTURE"
 
 
+def test_retrieval_signals(spark):
+    """Each signal against a plain loop over the chunks."""
+    import math
+    import re
+
+    from lectern.functions import fixed
+
+    links = [[("camera catalogue", "https://e.org/1", "external_research"), ("plates", "https://own.org/p/1", "internal_article")], [], [("marlow security files", "https://e.org/2", "external_research")], [("nothing", "https://e.org/3", "external_research")]]
+    c = spark.createDataFrame([(*r, "", k) for r, k in zip(CHUNKS, links)], SIGNALS + ", section string, links array<struct<anchor:string,url:string,kind:string>>")
+    query, concepts = "Marlow Security camera network", ["license plate", "camera"]
+    got = {r.article: r for r in retrieval.signals(c, query, concepts).collect()}
+    tok = lambda s: [t for t in (x.lower() for x in re.findall(r"[A-Za-z0-9][A-Za-z0-9_.&'-]{1,}", s)) if t not in fixed.SEARCH_STOP]
+    hay = {a: f"{title}  {body}".lower() for a, _, body, title, _ in CHUNKS}
+    seeds = {t for a, h in hay.items() if "marlow security" in h for t in tok(h)} & set(fixed.INFRASTRUCTURE_TERMS)
+    phrases = search.query_phrases(query, ["marlow security"])
+    n, raw = len(hay), {}
+    for a, h in hay.items():
+        dl, mean = len(tok(h)), sum(len(tok(x)) for x in hay.values()) / n
+        raw[a] = sum(search.idf(n, sum(t in tok(x) for x in hay.values())) * tok(h).count(t) * 2.5 / (tok(h).count(t) + 1.5 * (0.25 + 0.75 * dl / mean)) for t in ("camera", "network"))
+    for (a, _, _, title, _), own in zip(CHUNKS, links):
+        g, shared = got[a], set(tok(hay[a])) & seeds
+        anchors = " ".join(x for x, _, k in own if k != "internal_article")
+        hit = any(p in anchors for p in phrases)
+        assert g.direct == ("marlow security" in hay[a]) and g.n_shared == len(shared) and g.seed == min(1, len(shared) / 4)
+        assert g.anchor == pytest.approx(min(1, 0.65 * hit + 0.35 * len({"camera", "network"} & set(tok(anchors))) / 2) if anchors else 0)
+        assert g.lexical == pytest.approx(raw[a] / max(raw.values()) if max(raw.values()) else 0)
+        scores = sorted(((math.log((n + 1) / (sum(p in x for x in hay.values()) + 1)) + 1) * min(2, 0.75 + 0.45 * len(p.split())) * (1.45 if p in title.lower() else 1) for p in phrases if p in hay[a]), reverse=True)
+        assert g.phrase == pytest.approx(1 - math.exp(-sum(scores[:3]) / 4))
+        assert g.semantic == 0
+
+
+def test_semantic_contrast(spark):
+    """Latent vectors answer for chunks that have a query's vocabulary; what a generic query finds as well counts less."""
+    c = spark.createDataFrame([(f"a{i}", 0, f"harbor lantern glass tide number{i % 5} boat{i % 3}", "T", "full") for i in range(20)] + [(f"b{i}", 0, f"soil tomato garden seed number{i % 5} spade{i % 3}", "T", "full") for i in range(20)], SIGNALS)
+    model = retrieval.fit_lsa(c.select(F.struct("article", "start").alias("key"), "text"), "key", F.col("text"), 4, 1000)
+    got = {r.article: r.semantic for r in retrieval.signals(c, "harbor lantern tide", [], model).collect()}
+    assert min(v for k, v in got.items() if k[0] == "a") > 0.3 > max(v for k, v in got.items() if k[0] == "b")
+    assert not any(model.query("words that no chunk has")) and sum(x * x for x in model.query("harbor")) == pytest.approx(1)
+
+
 def test_concepts(spark):
     assert one(spark, search.without_contained(F.col("h")), h=["camera", "camera network", "network", "alpr"]) == ["camera network", "alpr"]
 

@@ -53,7 +53,7 @@ def test_texts_of_all_lengths(spark, tmp_path):
     run = lambda name: plans.QUERIES[name](spark, f).collect()
     linked = {x.doc_id: x.n_linked for x in run("sca46_srt08_link_insert")}
     assert linked == {1: 1, 2: 1, 3: 2, 4: 0, 5: 0}
-    short = {x.doc_id: x.short for x in run("sca34_sca35_shorten")}
+    short = {x.doc_id: x.short for x in run("sca34_shorten")}
     assert set(short) == set(texts) and short[3].startswith("part 0 of the town, told at length. part 1") and short[1] == "the end." and repair.split_sentences("") == []
     changed = Counter(x.doc_id for x in run("jon15_tvf28_aligned_blocks"))
     assert changed == {1: 1, 2: 1, 3: 200}
