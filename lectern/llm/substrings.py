@@ -12,7 +12,8 @@ As the index has each window once, a factor's source is always the text that had
 stands whole in one block, but whose parts an earlier block had, is parsed into those parts.
 
 What is exchanged is each block's distinct windows (a 64-bit hash, as differences, and a place) and one answer for each;
-no passage, however common, is sent more than once a block, and no key gathers documents.
+no passage, however common, is sent more than once a block, and no key gathers documents.  Blocks and ranges grow with the
+corpus; beyond 2 ** MOST_BITS ranges a block's windows are split in two steps, so that a row has hundreds of them still.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .blocks import by_order, plan, split, table, texts
 from .tokens import forget
 from .vec import chunks, pack_ints, pack_sorted, runs, take_ranges, unpack_ints, unpack_sorted, windows, word_hashes, words
 
-_SENT = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("places", pa.binary())])
-_ANSWER = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("old", pa.binary()), ("source", pa.binary())])
+#: Leading bits of hashes that a block splits its windows by; with more ranges, blocks are taken together before they are split further.
+MOST_BITS = 11
+_SENT = pa.schema([("range", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("places", pa.binary())])
+_ANSWER = pa.schema([("range", pa.int32()), ("part", pa.int32()), ("old", pa.binary()), ("source", pa.binary())])
 
 
 class _Parsed:
@@ -65,36 +68,92 @@ def _send(bits: int, window: int):
         block = t.column("block")[0].as_py()
         p = _Parsed(*texts(_ascending(t)), window)
         keys, first = np.unique(p.keys, return_index=True)
-        place, cut = p.at[first], split(keys, bits)
+        place, cut = p.at[first].astype(np.int64) + (block << 32), split(keys, bits)
         return table([(r, block, pack_sorted(keys[a:b]), pack_ints(place[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a], _SENT)
 
     return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
-    """For the windows of each block in this range of hashes: whether an earlier block has them, and the first place of those (block << 32 | word)."""
-    forget()
-    block = t.column("block").to_numpy()
-    order = np.argsort(block)
+def _gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows by part: the parts, how many windows each has, and all windows' hashes and places (block << 32 | word)."""
+    part = t.column("part").to_numpy()
+    order = np.argsort(part)
     keys = [unpack_sorted(t.column("keys")[int(i)].as_buffer())[0] for i in order]
-    size = np.array([len(k) for k in keys])
-    every = np.concatenate(keys)
-    del keys
     place = np.concatenate([unpack_ints(t.column("places")[int(i)].as_buffer())[0].astype(np.int64) for i in order])
-    place += np.repeat(block[order].astype(np.int64) << 32, size)
-    by = np.argsort(every, kind="stable")  # blocks ascend within equal keys
-    s = every[by]
-    new = np.append(True, s[1:] != s[:-1])
-    source = np.empty(len(s), np.int64)
-    source[by] = place[by][new][np.cumsum(new) - 1]
+    return part[order], np.array([len(k) for k in keys]), np.concatenate(keys), place
+
+
+def _by_key(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by hash and place, and where in it each hash begins."""
+    by = np.lexsort((place, keys))
+    return by, np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1])[: len(by)])
+
+
+def _together(bits: int):
+    """The windows of several blocks in one range, split into ranges by `bits` bits, as rows of their common part."""
+
+    def run(t: pa.Table) -> pa.Table:
+        forget()
+        _, _, keys, place = _gathered(t)
+        by, _ = _by_key(keys, place)
+        keys, place = keys[by], place[by]
+        r = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        cut = np.append(np.flatnonzero(np.append(True, r[1:] != r[:-1])), len(r))
+        group = t.column("group")[0].as_py()
+        return table([(int(r[a]), group, pack_sorted(keys[a:b]), pack_ints(place[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], _SENT)
+
+    return run
+
+
+def _apart(t: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to `_together`, given back to its blocks."""
+    forget()
+    if not t.num_rows:
+        return table([], _ANSWER)
+    blocks_, size, keys, place = _gathered(t)
+    by, _ = _by_key(keys, place)
+    old, source, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), 0
+    ranges = answers.column("range").to_numpy()
+    edge = np.flatnonzero(np.append(True, np.diff(keys[by] >> np.uint64(64 - answers.column("bits")[0].as_py())) != 0)) if len(by) else []
+    edge = np.append(edge, len(by)).astype(np.int64)
+    for i, a, b in zip(np.argsort(ranges).tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+        own = np.unpackbits(np.frombuffer(answers.column("old")[i].as_buffer(), np.uint8), count=b - a).astype(bool)
+        old[by[a:b]] = own
+        source[by[a:b][own]] = unpack_ints(answers.column("source")[i].as_buffer())[0]
+    r, out = t.column("range")[0].as_py(), []
+    for block, n in zip(blocks_.tolist(), size.tolist()):
+        out.append((r, block, np.packbits(old[at : at + n]).tobytes(), pack_ints(source[at : at + n][old[at : at + n]])))
+        at += n
+    return table(out, _ANSWER)
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """For the windows of each part in this range of hashes: whether an earlier block has them, and the first place of those."""
+    forget()
+    part, size, keys, place = _gathered(t)
+    by, first = _by_key(keys, place)
+    source = np.empty(len(keys), np.int64)
+    source[by] = np.repeat(place[by][first], np.diff(np.append(first, len(by))))
     old = source >> 32 != place >> 32
     r, out, end = t.column("range")[0].as_py(), [], np.cumsum(size)
-    for b, a, e in zip(block[order].tolist(), (end - size).tolist(), end.tolist()):
+    for p, a, e in zip(part.tolist(), (end - size).tolist(), end.tolist()):
         o = old[a:e]
-        out.append((r, b, np.packbits(o).tobytes(), pack_ints(source[a:e][o])))
+        out.append((r, p, np.packbits(o).tobytes(), pack_ints(source[a:e][o])))
     return table(out, _ANSWER)
 
 
+def _answered(sent: DataFrame, bits: int) -> DataFrame:
+    """range (by MOST_BITS bits at most), part (the block), old and source of all windows sent."""
+    ddl, answer = "range int, part int, keys binary, places binary", "range int, part int, old binary, source binary"
+    if bits <= MOST_BITS:
+        return sent.groupBy("range").applyInArrow(_answer, answer)
+    more = bits - MOST_BITS
+    grouped = sent.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(1 << more)).cast("int"))
+    found = grouped.groupBy("range", "group").applyInArrow(_together(bits), ddl).groupBy("range").applyInArrow(_answer, answer)
+    back = found.withColumn("bits", F.lit(bits)).withColumn("high", F.shiftright("range", more))
+    return grouped.groupBy("range", "group").cogroup(back.groupBy("high", "part")).applyInArrow(_apart, answer)
+
+
 def parse(at: np.ndarray, source: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The greedy parse. at, source: word of each window that is in the index (ascending), and its place there.
 
@@ -214,9 +273,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False,
     blocks, bits = plan(known, 6.0, 6 << 20)
     blocked = known.withColumn("block", by_order(known, blocks).cast("int"))
     groups = blocked.groupBy("block")
-    sent = groups.applyInArrow(_send(bits, window), "range int, block int, keys binary, places binary")
-    answers = sent.groupBy("range").applyInArrow(_answer, "range int, block int, old binary, source binary")
-    out = groups.cogroup(answers.groupBy("block")).applyInArrow(_finish(bits, window, with_text, list(carry), schema), ddl)
+    sent = groups.applyInArrow(_send(min(bits, MOST_BITS), window), "range int, part int, keys binary, places binary")
+    out = groups.cogroup(_answered(sent, bits).groupBy("part")).applyInArrow(_finish(min(bits, MOST_BITS), window, with_text, list(carry), schema), ddl)
 
     def alone(batches):
         finish = _finish(0, 1 << 30, with_text, list(carry), schema)

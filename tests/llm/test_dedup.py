@@ -76,7 +76,9 @@ def block_bytes(request, monkeypatch):
     monkeypatch.setattr(blocks, "MOST_CUTS", 4)
 
 
-def test_substrings(docs, rows, block_bytes):
+@pytest.mark.parametrize("most_bits", [11, 2])
+def test_substrings(docs, rows, block_bytes, most_bits, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_BITS", most_bits)
     got = substrings.dedup_substrings(docs, 13, with_text=True).collect()
     want = brute_words([r[:2] for r in rows], 13)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
