@@ -49,19 +49,16 @@ def markdown_section(of: Column, heading: str) -> Column:
 
 def sections(docs: DataFrame, key: str, of: str, title: str) -> DataFrame:
     """key, number, section, body: any ATX heading closes the section before; blank bodies are dropped."""
-    lines = F.split(F.regexp_replace(of, "\r\n?", "\n"), "\n")
-    heading = lambda x: F.trim(x).rlike(r"^#{1,6}\s+.+$")
-    empty = F.struct(F.col(title).cast("string").alias("section"), F.array().cast("array<string>").alias("lines"))
-    start = F.struct(F.array().cast("array<struct<section:string,lines:array<string>>>").alias("done"), empty.alias("now"))
-
-    def step(a: Column, x: Column) -> Column:
-        head = F.regexp_replace(F.trim(x), r"^#{1,6}\s+", "")
-        closed = F.struct(F.array_append(a["done"], a["now"]).alias("done"), F.struct(F.trim(head).alias("section"), F.array().cast("array<string>").alias("lines")).alias("now"))
-        open_ = F.struct(a["done"].alias("done"), F.struct(a["now"]["section"].alias("section"), F.array_append(a["now"]["lines"], x).alias("lines")).alias("now"))
-        return F.when(heading(x), closed).otherwise(open_)
-
-    folded = F.aggregate(lines, start, step, lambda a: F.array_append(a["done"], a["now"]))
-    out = docs.select(key, F.posexplode(F.transform(folded, lambda s: F.struct(s["section"].alias("section"), text.stripped(F.array_join(s["lines"], "\n")).alias("body")))).alias("number", "s"))
+    whole = F.concat(F.lit("\n"), F.regexp_replace(of, "\r\n?", "\n"))
+    parts = F.split(whole, r"\n(?= *#{1,6}[^\S\n]+\S)")  # the first one comes before all headings, each other one begins with its own
+
+    def section(part: Column, at: Column) -> Column:
+        line = F.trim(F.regexp_extract(part, r"^([^\n]*)", 1))
+        first = F.struct(F.col(title).cast("string").alias("section"), text.stripped(part).alias("body"))
+        own = F.struct(F.trim(F.regexp_replace(line, r"^#{1,6}\s+", "")).alias("section"), text.stripped(F.regexp_replace(part, r"^[^\n]*", "")).alias("body"))
+        return F.when(at == 0, first).otherwise(own)
+
+    out = docs.select(key, F.posexplode(F.transform(parts, section)).alias("number", "s"))
     return out.select(key, "number", "s.section", "s.body").where("body <> ''")
 
 

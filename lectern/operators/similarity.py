@@ -93,6 +93,22 @@ def link_changes(before: Column, after: Column) -> Column:
     return F.struct(F.array_sort(F.array_except(urls(after), urls(before))).alias("added"), F.array_sort(F.array_except(urls(before), urls(after))).alias("removed"))
 
 
+def excerpts_found(docs: DataFrame, key: str, of: Column, excerpts: DataFrame, part_key: str, part: Column) -> DataFrame:
+    """key, part_key of the excerpts that stand in texts, as `text.contains_excerpt` says.
+
+    An excerpt's words but the first and the last are whole words of any text that has it, so its longest one is looked up
+    among the texts' words, and only the texts with it are searched.  Excerpts of fewer than three words are searched in all.
+    """
+    norm = lambda c: F.lower(text.squeezed(c))
+    e = excerpts.select(part_key, norm(part).alias("part_")).where("part_ <> ''").withColumn("inner_", F.slice(F.split("part_", " "), 2, F.greatest(F.lit(0), F.size(F.split("part_", " ")) - 2)))
+    longest = F.get(F.array_sort("inner_", lambda x, y: F.length(y) - F.length(x)), F.lit(0))
+    d = docs.select(key, norm(of).alias("hay_"))
+    worded = d.select(key, "hay_", F.explode(F.array_distinct(F.split("hay_", " "))).alias("word_"))
+    probed = worded.join(e.where("size(inner_) > 0").select(part_key, "part_", longest.alias("word_")), "word_").where(F.contains("hay_", F.col("part_")))
+    short = d.join(e.where("size(inner_) = 0").select(part_key, "part_"), F.contains("hay_", F.col("part_")))
+    return probed.select(key, part_key).unionByName(short.select(key, part_key))
+
+
 def topical_terms(docs: DataFrame, group: str, of: Column, most: int = 45) -> DataFrame:
     """group, term, n: the `most` commonest terms of each group, the earlier in the alphabet among equals."""
     c = docs.select(group, F.explode(of).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))

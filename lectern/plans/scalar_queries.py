@@ -252,13 +252,15 @@ def prj07_prj08_prj09_access_and_priority(t):
     return d.select("doc_id", "access_level", source_priority(F.col("origin"), F.col("access_level")).alias("priority"))
 
 
-_LEAD = r"lower(trim(regexp_replace(substring(b.text, 1, 60), '\s+', ' ', 'g')))"
+_PART = r"lower(trim(regexp_replace(CASE WHEN b.item_id % 9 = 0 THEN substring(b.text, 1, 8) ELSE b.text END, '\s+', ' ', 'g')))"
 
 
-@query(rf"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), {_LEAD})")
+@query(rf"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON {_PART} <> '' AND contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), {_PART})")
 def prj10_excerpt_verify(t):
-    b = t.benchmark.select("item_id", F.substring("text", 1, 60).alias("part"))
-    return t.documents.join(F.broadcast(b), text.contains_excerpt(F.col("text"), F.col("part"))).select("doc_id", "item_id")
+    from ..operators.similarity import excerpts_found
+
+    part = F.when(F.col("item_id") % 9 == 0, F.substring("text", 1, 8)).otherwise(F.col("text"))
+    return excerpts_found(t.documents, "doc_id", F.col("text"), t.benchmark, "item_id", part)
 
 
 @query(

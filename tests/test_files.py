@@ -56,7 +56,7 @@ def test_packets(spark):
 
 
 def test_index_is_built_once(spark, tmp_path):
-    rows = [(1, "https://own.org/p/1", "One", "nav\n# One\nfirst words [l](https://e.org/1)\n## Two\nmore words", "h1", "full", "2024-01-01"), (2, "https://own.org/p/2", "Copy", "# Copy\nsame", "h1", "full", "2023-01-01"), (3, "https://own.org/p/3", "Three", "# Three\nthird", "h3", "full", None)]
+    rows = [(1, "https://own.org/p/1", "First", "nav\n# One\nfirst words [l](https://e.org/1)\n## Two\nmore words", "h1", "full", "2024-01-01"), (2, "https://own.org/p/2", "Copy", "# Copy\nsame", "h1", "full", "2023-01-01"), (3, "https://own.org/p/3", "Three", "# Three\nthird", "h3", "full", None)]
     a = spark.createDataFrame(rows, "id long, canonical_url string, title string, body string, content_hash string, content_status string, published_date string")
     path = str(tmp_path / "index")
     assert index.build(a, path) and not index.build(a, path) and index.build(a, path, force=True)
