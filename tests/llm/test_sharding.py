@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,6 +19,18 @@ def test_shard(docs, rows):
     assert all(len(s) == 1 for k, s in by_id.items() if k is not None)
 
 
+def test_shards_are_those_of_the_least_draws(docs, rows):
+    def best(key, n):
+        draw = lambda i: -math.log((int(hashlib.md5(f"{key}#{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52))
+        return min(range(n), key=lambda i: (draw(i), i))
+
+    got = {(r.doc_id, r.text_crc32): (r.shard, r.grown_shard) for r in shard(docs, [1.0] * 16).collect()}
+    for r in rows:
+        text = (r[1] or "").encode()
+        key = str(r[0]) if r[0] is not None else "text:" + hashlib.md5(text).hexdigest()
+        assert got[r[0], zlib.crc32(text)] == (best(key, 16), best(key, 17))
+
+
 def test_weights(spark):
     docs = spark.range(20000).selectExpr("id AS doc_id", "'t' AS text")
     n = Counter(r.shard for r in shard(docs, [1.0, 2.0, 0.0, 1.0]).collect())
