@@ -111,7 +111,3 @@ def txt09_srt11_concepts(t):
     return t.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rank int, concept string")
 
 
-@query()
-def srt07_link_rank(t):
-    l = blocks.markdown_links(_md(t).withColumn("article", F.lit("https://own.org/p/1")), "doc_id", "m", "article").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "url")).alias("links"))
-    return l.select("doc_id", index.rank_links(F.col("links"), ["src1"], ["see"], [])[0]["url"].alias("first"))

@@ -8,7 +8,8 @@ from ..functions import fixed, search, text
 from ..operators import articles, blocks, diagnostics, evidence, repair, retrieval, rules, similarity, store
 from ..sources import html, readers, sinks
 from .registry import query
-from .scalar_queries import ALNUM, squeezed, words
+from .scalar_queries import ALNUM, SEARCH, squeezed, words
+from .text_queries import MARKDOWN, _md
 
 #: Articles made of documents: a date that some lack, a status, a body's hash.
 _ARTICLES = "SELECT doc_id AS id, concat('https://own.org/p/', doc_id) AS canonical_url, CASE WHEN doc_id % 10 <> 0 THEN printf('20%02d-%02d-11', 20 + doc_id % 5, 1 + doc_id % 12) END AS published_date, CASE WHEN doc_id % 3 = 0 THEN 'preview_only' ELSE 'full' END AS content_status, sha256(text) AS content_hash, n_chars AS word_count, source, text FROM documents"
@@ -503,3 +504,37 @@ def agg07_ordered_sets(t):
 
     c = t.conversations.select("conv_id", "turn", F.array("role").alias("v"))
     return index.ordered_sets(c, "conv_id", "v", "turn").select("conv_id", F.array_join("v", ",").alias("roles"))
+
+
+@query(
+    f"WITH g AS (SELECT item_id, list_distinct({SEARCH}) AS g FROM benchmark), x AS (SELECT item_id, len(g) AS n, unnest(g) AS term FROM g), r AS (SELECT doc_id, unnest(list_distinct({SEARCH})) AS term FROM documents), "
+    "s AS (SELECT item_id, doc_id, count(*) / max(n) AS score FROM x JOIN r USING (term) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) "
+    "SELECT benchmark.item_id AS gold_id, b.doc_id AS row_id, round(b.score, 6) AS score FROM benchmark LEFT JOIN b ON b.item_id = benchmark.item_id AND rn = 1 AND b.score >= 0.4"
+)
+def jon07_best_titles(t):
+    best = similarity.best_titles(t.benchmark.select(F.col("item_id").alias("gold_id"), F.col("text").alias("title")), t.documents.select(F.col("doc_id").alias("row_id"), F.col("text").alias("title")))
+    return best.select("gold_id", "row_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, unnest(string_split(m, chr(10))) AS l, generate_subscripts(string_split(m, chr(10)), 1) AS i FROM (SELECT doc_id, {MARKDOWN} AS m FROM documents)), "
+    "b AS (SELECT *, sum((trim(l) = '')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l) SELECT doc_id, min(i)::INT AS line, md5(string_agg(trim(l), ' ' ORDER BY i)) AS digest FROM b WHERE trim(l) <> '' GROUP BY doc_id, b"
+)
+def tvf11_located_blocks(t):
+    return blocks.located_blocks(_md(t), "doc_id", "m").select("doc_id", F.col("line").cast("int").alias("line"), F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'https://e.org/2' ELSE 'https://patents.google.com/x' END AS first, CASE WHEN contains(source, 'src1') THEN 'https://patents.google.com/x' WHEN contains(lang, 'e') THEN 'https://e.org/3' ELSE 'https://e.org/1' END AS second FROM documents")
+def srt07_ranked_links(t):
+    from ..operators import index
+
+    link = lambda a, u: F.struct(a.alias("anchor"), F.lit(u).alias("url"))
+    l = F.array(link(F.lit("see it"), "https://e.org/1"), link(F.col("source"), "https://e.org/2"), link(F.when(F.contains("lang", F.lit("e")), "a memo of harbors").otherwise("none"), "https://e.org/3"), link(F.lit("file"), "https://patents.google.com/x"))
+    x = t.documents.select("doc_id", index.rank_links(l, ["src1"], ["see"], ["memo of"]).alias("x"))
+    return x.select("doc_id", F.col("x")[0]["url"].alias("first"), F.col("x")[1]["url"].alias("second"))
+
+
+@query("SELECT doc_id, md5(concat('B ', regexp_replace(text, '[*_`]', '', 'g'), '  l of it', chr(10))) AS plain FROM documents")
+def sca17_diagnostic_plain(t):
+    m = F.concat(F.lit("**B** "), F.regexp_replace("text", r"\[", "["), F.lit(" [IMAGE: a | ALT: b] [l](https://e.org/x) of _it_\n```py\ncode = 1\n```\n"))
+    return t.documents.select("doc_id", F.md5(text.diagnostic_plain(m)).alias("plain"))

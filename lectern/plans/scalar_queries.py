@@ -125,11 +125,6 @@ def sca14_sca15_sca16_sca18_sca19_markdown(t):
     return m.select("doc_id", *[F.md5(f(c)).alias(n) for n, f in (("no_images", text.without_images), ("anchors", text.links_to_anchors), ("plain", text.voice_plain), ("visible", text.visible_markdown), ("no_marks", text.without_markers))])
 
 
-@query()
-def sca17_diagnostic_plain(t):
-    return t.documents.select("doc_id", F.md5(text.diagnostic_plain(_markdown())).alias("plain"))
-
-
 _WORD = r"[\p{L}\p{N}_]([\p{L}\p{N}_’''-]*[\p{L}\p{N}_])?"
 
 

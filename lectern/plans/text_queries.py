@@ -83,12 +83,6 @@ def jon18_assertion_to_claim(t):
     return similarity.best_claims(a, t.benchmark.select(F.col("item_id").alias("content_id"), F.col("item_id").alias("claim_id"), F.col("text").alias("claim_text")))
 
 
-@query()
-def jon07_best_title(t):
-    rows = t.documents.select(F.col("doc_id").alias("row_id"), F.col("text").alias("title"))
-    return similarity.best_titles(t.benchmark.select(F.col("item_id").alias("gold_id"), F.col("text").alias("title")), rows)
-
-
 @query()
 def set06_set07_article_identity(t):
     p = t.documents.select("doc_id", F.concat(F.lit("# Report on The Ention Line\n\n"), "text").alias("before"), F.concat(F.lit("# Report on The Ention Line\n\n"), F.right("text", F.length("text") - 200)).alias("after"))
@@ -129,11 +123,6 @@ def tvf06_authored_paragraphs(t):
     return blocks.authored_paragraphs(d, "doc_id", "m").select("doc_id", "number", F.md5("text").alias("digest"))
 
 
-@query()
-def tvf11_located_blocks(t):
-    return blocks.located_blocks(_md(t), "doc_id", "m").select("doc_id", "line", F.md5("text").alias("digest"))
-
-
 @query()
 def txt14_prj12_hybrid_retrieval(t):
     from ..operators.retrieval import retrieve
