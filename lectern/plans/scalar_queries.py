@@ -286,11 +286,11 @@ def txt17_voice_traits(t):
 
 @query(
     "WITH x AS (SELECT b.item_id, d.doc_id, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]+'), lambda w: NOT list_contains(" + words(fixed.COVERAGE_STOP) + ", w))) AS s, "
-    "list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS c FROM benchmark b JOIN documents d ON d.doc_id % 97 = b.item_id) "
+    "list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS c FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id) "
     "SELECT item_id, doc_id, round(len(list_intersect(s, c)) / greatest(1, len(s)), 6) AS coverage, round(len(list_intersect(s, c)) / len(list_distinct(list_concat(s, c))), 6) AS jaccard FROM x WHERE len(s) > 0 AND len(c) > 0"
 )
 def set02_set05_jaccard_pairs(t):
-    x = t.benchmark.select("item_id", F.col("text").alias("s")).join(t.documents.select("doc_id", F.col("text").alias("c"), (F.col("doc_id") % 97).alias("item_id")), "item_id")
+    x = t.benchmark.select("item_id", F.col("text").alias("s")).join(t.documents.select("doc_id", F.col("text").alias("c"), (F.col("doc_id") % t.benchmark.count()).alias("item_id")), "item_id")
     a = F.array_distinct(text.without(F.split(text.alnum(F.col("s")), " "), [*fixed.COVERAGE_STOP, ""]))
     b = F.array_distinct(F.split(text.alnum(F.col("c")), " "))
     y = x.select("item_id", "doc_id", text.coverage(F.col("s"), F.col("c")).alias("v"), a.alias("a"), b.alias("b")).where("size(a) > 0")
