@@ -162,7 +162,10 @@ def entities(of: Column, stop: tuple[str, ...] = ("The", "This", "That", "FAQ",
 
 
 def shingles(words: Column, n: int = 5) -> Column:
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n words: n slices of the list side by side, so that it is made n times for a text and not once a run."""
+    count = F.greatest(F.lit(0), F.size(words) - (n - 1))
+    side = F.arrays_zip(*[F.slice(words, i + 1, count).alias(f"w{i}") for i in range(n)])
+    return F.array_distinct(F.transform(side, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(n)])))
 
 
 def identity(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
