@@ -102,6 +102,6 @@ def quality_gates(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def gate_report(found: DataFrame) -> DataFrame:
-    """All seven gates: what was found, else PENDING."""
+    """All seven gates: what was found (of several, the first in the alphabet, so that a FAIL shows), else PENDING."""
     default = found.sparkSession.createDataFrame([(g,) for g in "ABCDEFG"], "gate string")
-    return default.join(found.groupBy("gate").agg(F.first("status").alias("status")), "gate", "left").select("gate", F.coalesce("status", F.lit("PENDING")).alias("status"))
+    return default.join(found.groupBy("gate").agg(F.min("status").alias("status")), "gate", "left").select("gate", F.coalesce("status", F.lit("PENDING")).alias("status"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import search, text, urls
 from lectern.operators import blocks, evidence, repair, retrieval, rules, similarity, store
-from lectern.sources import html
+from lectern.sources import html, sinks
 
 
 def one(spark, c, **values):
@@ -136,6 +136,22 @@ def test_upsert(spark):
     assert got == {"u1": (1, "missing", "h1"), "u2": (2, "unchanged", "h2"), "u3": (3, "updated", "H3"), "u5": (4, "new", "h"), "u4": (5, "new", "h")}
 
 
+def test_tables_of_the_store(spark):
+    """The operators take and give rows of the store's schemas."""
+    article = (1, "WR-000001", "T", "t", "https://own.org/p/t", "2024-01-01", "A", "h", "full", "d", 5, "2024-01-02", "2024-01-02")
+    old = spark.createDataFrame([article], store.ARTICLES)
+    new = spark.createDataFrame([(*article[:7], "h2", *article[8:]), (2, "WR-000002", "U", "u", "https://own.org/p/u", *article[5:])], store.ARTICLES).withColumn("seq", F.col("id"))
+    got = store.upsert(old, new)
+    assert {(r.id, r.wr_id, r.state) for r in got.collect()} == {(1, "WR-000001", "updated"), (2, "WR-000002", "new")} and set(got.columns) == {*old.columns, "state"}
+    links = spark.createDataFrame([(1, 1, "a", "https://e.org/1", "external_research"), (2, 2, "b", "https://e.org/2", "external_research")], store.LINKS)
+    assert [tuple(r) for r in store.links_of(links, old, "https://own.org/p/t").collect()] == [(1, "a", "https://e.org/1", "external_research")]
+    sources = spark.createDataFrame([(7, "S", "web", None, "f.txt", "high")], store.SOURCES)
+    evidence_ = spark.createDataFrame([(1, "EV-0001", 7, "c", "x", True, "direct", "high", ["E"], None, None, None)], store.EVIDENCE)
+    assert store.packet(evidence_, sources, 5).first().section.startswith("## EV-0001 [VERIFIED]\nSource: S (f.txt)")
+    runs = spark.createDataFrame([(1, "Q", "q", "n", [("T", "https://e.org")])], store.RESEARCH_RUNS)
+    assert sinks.appended_run(runs).first().citations_json == '[{"title":"T","url":"https://e.org"}]'
+
+
 def test_status_checks(spark):
     a = spark.createDataFrame([("u1", "full")], "canonical_url string, content_status string")
     change = lambda k, s: store.with_status(a, spark.createDataFrame([(k, s)], "canonical_url string, status string")).collect()
@@ -208,7 +224,7 @@ def test_manifest(spark):
 
 
 def test_gates(spark):
-    d = spark.createDataFrame([("| A. Facts | PASS | ok |\n| B | what | x |\n|C|fail|bad|",)], "text string")
+    d = spark.createDataFrame([("| A. Facts | PASS | ok |\n| B | what | x |\n|C|pass|ok|\n|C|fail|bad|",)], "text string")
     assert {r.gate: r.status for r in rules.gate_report(rules.quality_gates(d)).collect()} == {"A": "PASS", "B": "PENDING", "C": "FAIL", "D": "PENDING", "E": "PENDING", "F": "PENDING", "G": "PENDING"}
 
 
