@@ -45,8 +45,8 @@ def by_order(docs: DataFrame, blocks: int) -> Column:
 
 
 def by_hash(blocks: int) -> Column:
-    """Block numbers by doc_id, and by the text where it is null."""
-    return F.pmod(F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text")), F.lit(blocks)).cast("int")
+    """Block numbers by doc_id and text, so that neither a repeated doc_id nor rows without one are a block of their own."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
 
 
 def split(keys: np.ndarray, bits: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import removed, written
+from .tokens import lean
 
 #: Edges (16 bytes each) that one task contracts.
 EDGES_A_TASK = 1 << 20
@@ -54,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     now, before = written(edges.where("a != b").select("a", "b"), "edges"), None
     while True:
         tasks = -(-now.count() // EDGES_A_TASK)
-        stars = written(now.coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"), "stars")
+        stars = written(now.coalesce(max(1, tasks)).mapInArrow(lean(_forest), "a long, b long"), "stars")
         removed(now)
         if tasks <= 1:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, written
-from .tokens import forget
+from .tokens import lean
 from .vec import U64, chunks, take_ranges, text_buffers, windows, word_hashes, words
 
 K1, B, BLOCK = 1.2, 0.75, 8
@@ -220,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     out, of = None, Statistics(items)
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for part in _parts(items, items_a_shard) if of.n else [[]]:
-        found = rows.mapInArrow(_search(Index(part, of=of), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
+        found = rows.mapInArrow(lean(_search(Index(part, of=of), threshold, overlap)), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
         found = written(found, "found") if of.n > items_a_shard else found
         out = found if out is None else out.unionByName(found)
     return out
@@ -258,14 +258,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6
     items = _items(benchmark)
     of = Statistics(items)
     for k, part in enumerate(_parts(items, items_a_shard)):
-        docs = small_batches(docs).mapInArrow(_keep(Index(part, of=of), threshold, overlap), docs.schema)
+        docs = small_batches(docs).mapInArrow(lean(_keep(Index(part, of=of), threshold, overlap)), docs.schema)
         docs = written(docs, "kept") if (k + 1) * items_a_shard < of.n else docs
     return docs
 
 
 def _keep(index: Index, threshold: float, overlap: float):
     def run(batches):
-        forget()
         for b in batches:
             data, off = lowered(b.column("text"))
             keep = np.ones(b.num_rows, bool)

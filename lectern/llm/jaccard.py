@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .blocks import split, table
 from .components import components
 from .shared import if_small, removed, small_batches, text_bytes, written
-from .tokens import forget
+from .tokens import lean
 from .vec import U64, chunks, mix, pack_ints, pack_sorted, prefix, spans, take_ranges, text_buffers, unpack_ints, unpack_sorted, windows, word_hashes, words
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -38,8 +38,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 LEAST_CELLS, MOST_CELLS = 7, 11
 #: Sets of a bucket that are compared with each other in the first round, and in one task in the others.
 SMALL_TILE, TILE = 128, 4096
-#: Members of buckets that a task compares, bytes of sets that it reads pairs of, signatures that it sorts.
-MEMBERS_A_TASK, SET_BYTES_A_TASK, RANGE_KEYS = 20_000, 16 << 20, 1 << 20
+#: Members of buckets that a task compares, and those that are kept together, bytes of sets that it reads pairs of, signatures that it sorts.
+MEMBERS_A_TASK, MEMBERS_A_SPOT, SET_BYTES_A_TASK, RANGE_KEYS = 20_000, 50_000, 16 << 20, 1 << 20
 #: Leading bits of signatures that a batch is split by at once; more are split in a second step.
 MOST_BITS = 11
 #: Deals of a set before it sends empty segments.
@@ -211,7 +211,6 @@ def _first_pass(k: int, num: int, den: int, bits: int):
     def run(batches):
         from pyspark import TaskContext
 
-        forget()
         for number, b in enumerate(batches):
             data, off = text_buffers(b.column("text"))
             names, sigs, owner, have = [], [], [], 0
@@ -258,7 +257,6 @@ def _signed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _resplit(bits: int):
     def run(t: pa.Table) -> pa.Table:
-        forget()
         sig, node = _signed(t)
         name, own = np.unique(node, return_inverse=True)
         return _bodies(sig, own, name, bits, 0, t.column("part")[0].as_py())
@@ -275,7 +273,6 @@ def _groups(t: pa.Table) -> pa.Table:
     A bucket is named by its members, so equal buckets are one; in a range that is dealt to several tasks, by its
     signature, and those that have one member here stay, as others may be elsewhere.
     """
-    forget()
     sig, node = _signed(t)
     alone = t.column("parts")[0].as_py() == 1
     begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
@@ -299,14 +296,14 @@ def _buckets(sent: DataFrame, bits: int) -> DataFrame:
     ddl = "range int, part int, keys long, body binary"
     if bits > MOST_BITS:
         parts = F.pmod("part", F.lit(1 << (bits - MOST_BITS)))
-        sent = written(sent.groupBy("range", parts).applyInArrow(_resplit(bits), ddl), "sent")
+        sent = written(sent.groupBy("range", parts).applyInArrow(lean(_resplit(bits)), ddl), "sent")
     heavy = sent.groupBy("range").agg(F.ceil(F.sum("keys") / F.lit(RANGE_KEYS)).cast("int").alias("parts")).where("parts > 4")
     n = heavy.count()
     if n:
         sent = sent.join(if_small(heavy, n), "range", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     else:
         sent = sent.withColumn("parts", F.lit(1))
-    found = written(sent.groupBy("range", F.pmod("part", F.col("parts"))).applyInArrow(_groups, "bucket long, node long").distinct(), "buckets")
+    found = written(sent.groupBy("range", F.pmod("part", F.col("parts"))).applyInArrow(lean(_groups), "bucket long, node long").distinct(), "buckets")
     if n:
         several = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("size_")).where("size_ > 1").select("bucket")
         found, old = written(found.join(several, "bucket", "left_semi"), "buckets"), found
@@ -320,7 +317,7 @@ def _candidate_pairs(num: int, den: int, few: int | None, across: bool):
     def run(t: pa.Table) -> pa.Table:
         node, label, n, bucket, tile = (t.column(c).to_numpy() for c in ("node", "label", "n", "bucket", "tile"))
         node, at, own = np.unique(node, return_index=True, return_inverse=True)
-        n, label_of = n[at], label[at]
+        n = n[at]
         raw = [t.column("cells")[i].as_buffer() for i in at.tolist()]
         keys = np.lexsort((label, bucket)) if not across else np.lexsort((label, t.column("tj").to_numpy(), t.column("ti").to_numpy(), bucket))
         group = np.append(True, bucket[keys][1:] != bucket[keys][:-1])
@@ -356,13 +353,12 @@ def _candidate_pairs(num: int, den: int, few: int | None, across: bool):
             place = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
             keep = np.unique(which[by][place < few])
             i, j = i[keep], j[keep]
-        del label_of
         return pa.table([pa.array(node[i]), pa.array(node[j]), pa.array(n[j], pa.int64())], names=["a", "b", "n"])
 
     return run
 
 
-def _stretches(begin: np.ndarray, end: np.ndarray, most: int = 2_000_000):
+def _stretches(begin: np.ndarray, end: np.ndarray, most: int = 500_000):
     """Slices of groups with about `most` pairs together."""
     pairs = np.cumsum((end - begin) ** 2 // 2)
     i = 0
@@ -403,7 +399,7 @@ def _near(i: np.ndarray, j: np.ndarray, n: np.ndarray, raw: list, num: int, den:
         used, where = np.unique(np.concatenate([i[of], j[of]]), return_inverse=True)
         folded = np.stack([np.frombuffer(raw[u], np.uint8).reshape(cells_, -1).sum(1, dtype=np.int16) for u in used.tolist()])
         left, right = where[: len(of)], where[len(of) :]
-        step = max(1, (8 << 20) // cells_)
+        step = max(1, (2 << 20) // cells_)
         for s in range(0, len(of), step):
             at = of[s : s + step]
             differ = np.abs(folded[left[s : s + step]] - folded[right[s : s + step]]).sum(1, dtype=np.int64)
@@ -428,15 +424,13 @@ def _open_pairs(members: DataFrame, labels: DataFrame | None, tiles_most: int, n
         rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
         if across:
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-    cols = ["bucket", "tile", "node", "label", "n", "cells", *(["ti", "tj"] if across else [])]
-    by = ["bucket", "ti", "tj"] if across else ["bucket", "tile"] if labels is None else ["bucket"]
-    if labels is not None and not across:
-        rows = rows.withColumn("tile", F.lit(0))
     if labels is None:  # a tile is a bucket of its own
         rows = rows.withColumn("bucket", F.xxhash64("bucket", "tile"))
-        by = ["bucket"]
-    slots = rows.select(*cols, F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int").alias("slot"))
-    return slots.groupBy("slot").applyInArrow(_candidate_pairs(num, den, few, across), "a long, b long, n long").distinct()
+    elif not across:
+        rows = rows.withColumn("tile", F.lit(0))
+    by = ["spot", "ti", "tj"] if across else ["spot"]
+    slots = rows.select("bucket", "tile", "node", "label", "n", "cells", *by[1:], F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int").alias("slot"))
+    return slots.groupBy("slot").applyInArrow(lean(_candidate_pairs(num, den, few, across)), "a long, b long, n long").distinct()
 
 
 def _verify(num: int, den: int):
@@ -467,12 +461,11 @@ def verified(pairs: DataFrame, sets: DataFrame, spread: int, num: int, den: int)
     right = dealt.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set")), "b").select("slot", "a", "b", "set")
     one = dealt.select(F.col("slot").alias("of"), F.col("a").alias("one")).distinct()
     left = one.join(sets.select(F.col("node").alias("one"), F.col("set").alias("own")), "one").select("of", "one", "own")
-    return right.groupBy("slot").cogroup(left.groupBy("of")).applyInArrow(_verify(num, den), "a long, b long")
+    return right.groupBy("slot").cogroup(left.groupBy("of")).applyInArrow(lean(_verify(num, den)), "a long, b long")
 
 
 def _packed(k: int):
     def run(batches):
-        forget()
         for b in batches:
             data, off = text_buffers(b.column("text"))
             for i, j in chunks(off):
@@ -486,26 +479,26 @@ def _packed(k: int):
 
 
 def _members(buckets: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
-    """bucket, size, tile, node, n, cells of all members of buckets, and the largest size.
+    """bucket, size, spot, tile, node, n, cells of all members of buckets, and the largest size.
 
-    In a large bucket's small tiles, sets meet only sets of their tile; so the least sets of its tiles are a bucket too.
+    Buckets with the same least set mostly have the same sets.  They have one spot, which brings them to one task, where
+    their pairs are made once; the buckets of a set that has too many members are dealt to several spots.  In a large
+    bucket's small tiles, sets meet only sets of their tile; so the least sets of its tiles are a bucket too.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL_TILE)
-    large, largest = sizes.agg(F.count(F.lit(1)), F.max("size")).first()
-    rows = buckets.withColumn("size", F.lit(1)).withColumn("tile", F.lit(0))
-    if large:
-        sizes = written(sizes, "sizes")
-        tile = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(SMALL_TILE))).cast("int")
-        rows = buckets.join(if_small(sizes, large), "bucket", "left").select("bucket", "node", F.coalesce("size", F.lit(1)).cast("int").alias("size"), F.coalesce(tile, F.lit(0)).alias("tile"))
-        heads, size = rows.where("size > 1").groupBy("bucket", "tile").agg(F.min("node").alias("node")).select(F.xxhash64("bucket").alias("bucket"), "node"), largest
-        while True:
-            size = -(-size // SMALL_TILE)
-            level = heads.withColumn("size", F.lit(1)).withColumn("tile", F.pmod(F.xxhash64("node"), F.lit(-(-size // SMALL_TILE))).cast("int"))
-            rows = rows.unionByName(level)
-            if size <= SMALL_TILE:
-                break
-            heads = level.groupBy("bucket", "tile").agg(F.min("node").alias("node")).select(F.xxhash64("bucket").alias("bucket"), "node")
-    return written(rows.join(known.select("node", "n", "cells"), "node"), "members"), largest or 1
+    sizes = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("size"), F.min("node").alias("head")), "sizes")
+    crowded = sizes.groupBy("head").agg(F.ceil(F.sum("size") / F.lit(MEMBERS_A_SPOT)).cast("int").alias("spots")).where("spots > 1")
+    spots = F.pmod(F.xxhash64("bucket"), F.coalesce("spots", F.lit(1)))
+    spotted = sizes.join(if_small(crowded), "head", "left").select("bucket", "size", F.xxhash64("head", spots).alias("spot"))
+    largest = sizes.agg(F.max("size")).first()[0] or 1
+    tile = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(SMALL_TILE))).cast("int")
+    rows = buckets.join(spotted, "bucket").withColumn("tile", tile)
+    size, level = largest, rows.where(F.col("size") > SMALL_TILE)
+    while size > SMALL_TILE:
+        heads = level.groupBy("bucket", "tile").agg(F.min("node").alias("node")).select(F.xxhash64("bucket").alias("bucket"), "node")
+        size = -(-size // SMALL_TILE)
+        level = heads.select("bucket", "node", F.lit(1).alias("size"), F.col("bucket").alias("spot"), F.pmod(F.xxhash64("node"), F.lit(-(-size // SMALL_TILE))).cast("int").alias("tile"))
+        rows = rows.unionByName(level)
+    return written(rows.join(known.select("node", "n", "cells"), "node"), "members"), largest
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -522,7 +515,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = max(0, int(np.ceil(np.log2(max(1, text_bytes(rows)[1]) / 12 / RANGE_KEYS))))
-    passed = written(rows.mapInArrow(_first_pass(k, num, den, bits), "doc_id long, n long, node long, range int, part int, keys long, body binary"), "sets")
+    passed = written(rows.mapInArrow(lean(_first_pass(k, num, den, bits)), "doc_id long, n long, node long, range int, part int, keys long, body binary"), "sets")
     sets = passed.where("range IS NULL").select("doc_id", "n", "node")
     buckets = _buckets(passed.where("range IS NOT NULL").select("range", "part", "keys", "body"), bits)
     # of each set in a bucket, one document
@@ -532,7 +525,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     texts = rows.join(if_small(wanted.select("doc_id").where("doc_id IS NOT NULL"), n_named), "doc_id", "left_semi")
     if n_named < n_wanted:
         texts = texts.unionByName(rows.where("doc_id IS NULL"))
-    known = texts.mapInArrow(_packed(k), "node long, n long, cells binary, set binary").join(if_small(wanted.select("node"), n_wanted), "node", "left_semi")
+    known = texts.mapInArrow(lean(_packed(k)), "node long, n long, cells binary, set binary").join(if_small(wanted.select("node"), n_wanted), "node", "left_semi")
     known = written(known.dropDuplicates(["node"]), "known")
     members, largest = _members(buckets, known)
     removed(buckets, wanted)
@@ -570,6 +563,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     found = jaccard_components(docs, k, num, den).where("doc_id IS NOT NULL")
     ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first_"), F.count(F.lit(1)).alias("n_"))
     odd = written(ids.where("NOT first_ OR n_ > 1").select(F.col("doc_id").alias("id_"), "first_"), "odd")
+    removed(found)  # its tables
     n, repeated = odd.agg(F.count(F.lit(1)), F.count(F.when(F.col("first_"), 1))).first()
     if not n:
         return docs

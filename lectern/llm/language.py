@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .tokens import forget
+from .tokens import forget, lean
 from .vec import U64, chunks, text_buffers
 
 #: Families of ISO 639-1 codes (fixed values); a language that isn't listed is a family of its own.
@@ -196,7 +196,7 @@ def fit(labelled: DataFrame, rows_per_language: int = 300, family: Mapping[str,
     the driver.  Scores are calibrated by margins of texts that the weights were not fitted on, two halves crosswise.
     """
     labelled = small_batches(labelled).select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    rows = _sample(labelled, rows_per_language).mapInArrow(_features, "lang string, at binary, val binary").collect()
+    rows = _sample(labelled, rows_per_language).mapInArrow(lean(_features), "lang string, at binary, val binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
@@ -276,7 +276,7 @@ def _judged(b: pa.RecordBatch, model: Model | None) -> tuple[list, np.ndarray]:
     if model is not None:
         data, off = text_buffers(_lower(text))
         pairs = len(model.columns)
-        for i, j in chunks(off, 1 << 19):
+        for i, j in chunks(off, 1 << 18):
             places, o = gram_places(data[off[i] : off[j]], off[i : j + 1] - off[i])
             each = sum((model.weights[p] for p in places[1:]), model.weights[places[0]])
             total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)])
@@ -295,24 +295,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
 
     def run(batches):
-        forget()
         for b in batches:
             lang, score = _judged(b, model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
     """The rows of `docs`, all columns, but for those that are `und` or in no learned language: whose score is below `least`."""
 
     def run(batches):
-        forget()
         for b in batches:
             lang, score = _judged(b, model)
             yield b.filter(pa.array(np.array([x != "und" for x in lang], bool) & (score >= least)))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def held_out(folds: int = 5):

@@ -55,13 +55,13 @@ def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The frame itself; from now on its session sends rows to Python in batches of at most 2000 rows or 16 MB.
+    """The frame itself; from now on its session sends rows to Python in batches of at most 1000 rows or 4 MB.
 
     A worker holds a batch, its result and copies of both, so the usual 10 000 long texts would cost it some 200 MB.
     Frames are planned when they are run, so the setting has to stay.
     """
     conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = conf.get(key)  # the default where it isn't set
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_order, plan, split, table, texts
-from .tokens import forget
+from .tokens import lean
 from .vec import chunks, pack_ints, pack_sorted, runs, take_ranges, unpack_ints, unpack_sorted, windows, word_hashes, words
 
 #: Leading bits of hashes that a block splits its windows by; with more ranges, blocks are taken together before they are split further.
@@ -64,7 +64,6 @@ def _ascending(t: pa.Table) -> pa.Table:
 
 def _send(bits: int, window: int):
     def run(t: pa.Table) -> pa.Table:
-        forget()
         block = t.column("block")[0].as_py()
         p = _Parsed(*texts(_ascending(t)), window)
         keys, first = np.unique(p.keys, return_index=True)
@@ -93,7 +92,6 @@ def _together(bits: int):
     """The windows of several blocks in one range, split into ranges by `bits` bits, as rows of their common part."""
 
     def run(t: pa.Table) -> pa.Table:
-        forget()
         _, _, keys, place = _gathered(t)
         by, _ = _by_key(keys, place)
         keys, place = keys[by], place[by]
@@ -107,7 +105,6 @@ def _together(bits: int):
 
 def _apart(t: pa.Table, answers: pa.Table) -> pa.Table:
     """The answers to `_together`, given back to its blocks."""
-    forget()
     if not t.num_rows:
         return table([], _ANSWER)
     blocks_, size, keys, place = _gathered(t)
@@ -129,7 +126,6 @@ def _apart(t: pa.Table, answers: pa.Table) -> pa.Table:
 
 def _answer(t: pa.Table) -> pa.Table:
     """For the windows of each part in this range of hashes: whether an earlier block has them, and the first place of those."""
-    forget()
     part, size, keys, place = _gathered(t)
     by, first = _by_key(keys, place)
     source = np.empty(len(keys), np.int64)
@@ -146,12 +142,12 @@ def _answered(sent: DataFrame, bits: int) -> DataFrame:
     """range (by MOST_BITS bits at most), part (the block), old and source of all windows sent."""
     ddl, answer = "range int, part int, keys binary, places binary", "range int, part int, old binary, source binary"
     if bits <= MOST_BITS:
-        return sent.groupBy("range").applyInArrow(_answer, answer)
+        return sent.groupBy("range").applyInArrow(lean(_answer), answer)
     more = bits - MOST_BITS
     grouped = sent.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(1 << more)).cast("int"))
-    found = grouped.groupBy("range", "group").applyInArrow(_together(bits), ddl).groupBy("range").applyInArrow(_answer, answer)
+    found = grouped.groupBy("range", "group").applyInArrow(lean(_together(bits)), ddl).groupBy("range").applyInArrow(lean(_answer), answer)
     back = found.withColumn("bits", F.lit(bits)).withColumn("high", F.shiftright("range", more))
-    return grouped.groupBy("range", "group").cogroup(back.groupBy("high", "part")).applyInArrow(_apart, answer)
+    return grouped.groupBy("range", "group").cogroup(back.groupBy("high", "part")).applyInArrow(lean(_apart), answer)
 
 
 def parse(at: np.ndarray, source: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,17 +183,29 @@ def _sources(p: _Parsed, ids: np.ndarray, block: int, bits: int, answers: pa.Tab
             old = np.unpackbits(np.frombuffer(answers.column("old")[i].as_buffer(), np.uint8), count=b - a).astype(bool)
             source[a:b][old] = unpack_ints(answers.column("source")[i].as_buffer())[0]
     # windows that are new in this block stand first at their first place here
-    of = np.searchsorted(p.first, p.at, "right") - 1
-    own = ids[of]
+    own = ids[np.searchsorted(p.first, p.at, "right").astype(np.int32) - 1]
     here = np.where(source < 0, (block << 32) + p.at[first].astype(np.int64), source)
     out = here[inverse]
     out[(source[inverse] < 0) & (own <= own[first][inverse])] = -1
     return out
 
 
+def _kept_digests(data: np.ndarray, p: _Parsed, gone: np.ndarray, i: int, j: int) -> list[str]:
+    """Digests of the words that are left of documents i to j, joined by one space."""
+    low, high = int(p.first[i]), int(p.first[j])
+    keep = low + np.flatnonzero(~gone[low:high])
+    size = (p.ends[keep] - p.starts[keep] + 1).astype(np.int64)  # each with one space behind it
+    end = np.cumsum(size)
+    at = take_ranges(p.starts[keep], size)
+    out = data[np.minimum(at, len(data) - 1)] if len(at) else np.zeros(0, np.uint8)
+    out[end - 1] = 0x20
+    edge = np.concatenate([[0], end])[np.searchsorted(keep, p.first[i : j + 1])].tolist()
+    raw = out.tobytes()
+    return [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge[:-1], edge[1:])]
+
+
 def _finish(bits: int, window: int, with_text: bool, carry: list[str], schema: pa.Schema):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        forget()
         if not t.num_rows:
             return table([], schema)
         t = _ascending(t)
@@ -214,20 +222,10 @@ def _finish(bits: int, window: int, with_text: bool, carry: list[str], schema: p
         np.add.at(gone, start + length, -1)
         np.add.at(gone, across, 1)
         np.add.at(gone, across + window, -1)
-        gone = np.cumsum(gone)[:-1] > 0
+        gone = np.cumsum(gone, dtype=np.int32)[:-1] > 0
         total = np.concatenate([[0], np.cumsum(gone)])
         removed = np.diff(total[p.first])
-        # kept words, each with one space behind it
-        keep = np.flatnonzero(~gone)
-        size = (p.ends[keep] - p.starts[keep] + 1).astype(np.int64)
-        end = np.cumsum(size)
-        out = np.append(data, np.uint8(0x20))[take_ranges(p.starts[keep], size)]
-        out[end - 1] = 0x20
-        edge = np.concatenate([[0], end])[np.searchsorted(keep, p.first)]
-        raw = out.tobytes()
-        del out
-        sha = [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-        del raw
+        sha = [x for i, j in chunks(off) for x in _kept_digests(data, p, gone, i, j)]
         f_edge = np.searchsorted(start, p.first)
         begin = start - np.repeat(p.first[:-1], np.diff(f_edge))
         factor = pa.StructArray.from_arrays([pa.array(begin), pa.array(length), pa.array(source >> 32), pa.array(source & 0xFFFFFFFF)], ["start", "length", "block", "place"])
@@ -239,8 +237,8 @@ def _finish(bits: int, window: int, with_text: bool, carry: list[str], schema: p
                 for x, y in zip(*runs(gone[s:e])):
                     drop[p.starts[s + x]] += 1
                     drop[p.ends[s + y - 1]] -= 1
-            left = np.cumsum(drop)[:-1] == 0
-            new_off = np.concatenate([[0], np.cumsum(left)])[off]
+            left = np.cumsum(drop, dtype=np.int32)[:-1] == 0
+            new_off = np.concatenate([[0], np.cumsum(left, dtype=np.int32)])[off]
             cols.append(pa.Array.from_buffers(pa.large_string(), n_docs, [None, pa.py_buffer(new_off.astype(np.int64)), pa.py_buffer(data[left])]).cast(pa.string()))
         return pa.table(cols + [t.column(f"carried_{i}") for i in range(len(carry))], schema=schema)
 
@@ -270,11 +268,11 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False,
     schema = pa.schema([*(pa.field(*f) for f in fields), *[pa.field("text", pa.string())] * with_text, *to_arrow_schema(StructType(extra))])
     base = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, length: long, block: long, place: long>>" + ", text string" * with_text
     ddl = StructType([*StructType.fromDDL(base).fields, *extra])
-    blocks, bits = plan(known, 6.0, 6 << 20)
+    blocks, bits = plan(known, 6.0, 4 << 20)
     blocked = known.withColumn("block", by_order(known, blocks).cast("int"))
     groups = blocked.groupBy("block")
-    sent = groups.applyInArrow(_send(min(bits, MOST_BITS), window), "range int, part int, keys binary, places binary")
-    out = groups.cogroup(_answered(sent, bits).groupBy("part")).applyInArrow(_finish(min(bits, MOST_BITS), window, with_text, list(carry), schema), ddl)
+    sent = groups.applyInArrow(lean(_send(min(bits, MOST_BITS), window)), "range int, part int, keys binary, places binary")
+    out = groups.cogroup(_answered(sent, bits).groupBy("part")).applyInArrow(lean(_finish(min(bits, MOST_BITS), window, with_text, list(carry), schema)), ddl)
 
     def alone(batches):
         finish = _finish(0, 1 << 30, with_text, list(carry), schema)
@@ -285,4 +283,4 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False,
                 done = finish(t, table([], _ANSWER)).set_column(0, "doc_id", pa.nulls(n, pa.int64()))
                 yield from done.cast(schema).to_batches()
 
-    return out.unionByName(unknown.mapInArrow(alone, ddl))
+    return out.unionByName(unknown.mapInArrow(lean(alone), ddl))

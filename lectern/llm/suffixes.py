@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_hash, digests, kept_bytes, plan, split, table, texts
+from .tokens import lean
 from .vec import BYTE_VALUES, U64, chunks, mix, pack_ints, pack_sorted, prefix, spans, take_ranges, unpack_ints, unpack_sorted
 
 Q = 48
@@ -336,8 +337,8 @@ def dedup_bytes(docs: DataFrame, size: int = 200, most: int = 4000, with_text: b
     included, overlaps too; strings don't cross documents and are judged on the input.  spans: (start, length) of
     maximal removed runs.  `most`: contexts of one q-gram that one task refines; the rest goes by hashes, exactly.
 
-    A null text is empty.  Repeated rows are documents of their own, so they remove each other.  A null doc_id stays
-    null.  Other columns are left out.  An empty table gives an empty result.
+    A null text is empty, a very long one is worked on whole, in one block.  Repeated rows are documents of their own, so
+    they remove each other.  A null doc_id stays null.  Other columns are left out.  An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), *[("rest", pa.binary())] * with_text])
@@ -345,9 +346,9 @@ def dedup_bytes(docs: DataFrame, size: int = 200, most: int = 4000, with_text: b
     # working on a byte of text takes some 100 bytes of memory, and as much for a byte of a context
     blocks, bits = plan(rows, 60.0, 4 << 20)
     bits = max(bits, int(np.ceil(np.log2(blocks))) if blocks > 1 else 0)
-    groups = rows.withColumn("block", F.coalesce(by_hash(blocks), F.lit(0))).groupBy("block")
-    sent = groups.applyInArrow(_send(bits, size), "range int, block int, keys binary, contexts binary, many binary")
-    states = sent.groupBy("range").applyInArrow(_state(most), "block int, range int, kind int, body binary")
-    work = groups.cogroup(states.groupBy("block")).applyInArrow(_work(bits, size), "range int, block int, kind int, body binary")
-    refined = work.groupBy("range").applyInArrow(_refine(size), "block int, range int, kind int, body binary")
-    return groups.cogroup(states.unionByName(refined).groupBy("block")).applyInArrow(_finish(bits, size, with_text, schema), ddl)
+    groups = rows.withColumn("block", by_hash(blocks)).groupBy("block")
+    sent = groups.applyInArrow(lean(_send(bits, size)), "range int, block int, keys binary, contexts binary, many binary")
+    states = sent.groupBy("range").applyInArrow(lean(_state(most)), "block int, range int, kind int, body binary")
+    work = groups.cogroup(states.groupBy("block")).applyInArrow(lean(_work(bits, size)), "range int, block int, kind int, body binary")
+    refined = work.groupBy("range").applyInArrow(lean(_refine(size)), "block int, range int, kind int, body binary")
+    return groups.cogroup(states.unionByName(refined).groupBy("block")).applyInArrow(lean(_finish(bits, size, with_text, schema)), ddl)

@@ -31,12 +31,61 @@ def encoder(path: str, keep_space: bool) -> "PieceEncoder":
     return _encoders[path, keep_space]
 
 
+#: Bytes from which a worker's arrays are mapped one by one, and so go back to the system as soon as they are freed.
+MAPPED_BYTES = 16 << 20
+#: Bytes of a batch that a worker sends back.
+MOST_SENT = 4 << 20
+_settled = False
+
+
+def trim() -> None:
+    """Gives this worker's free memory back to the system."""
+    global _settled
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        libc = ctypes.CDLL(None)
+        if not _settled:
+            libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD; unset, it grows with the largest array that was freed
+            pa.set_memory_pool(pa.system_memory_pool())
+        _settled = True
+        libc.malloc_trim(0)
+
+
 def forget() -> None:
-    """Drops what this worker keeps of tokenizers and gives free memory back; for tasks of operators that it is reused for."""
+    """Drops what this worker keeps of tokenizers as well."""
     _encoders.clear()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def _until_done(out):
+    try:
+        yield from out
+    finally:
+        trim()
+
+
+def lean(run):
+    """A function of Arrow batches, or of one or two tables of a group, whose worker holds nothing that earlier tasks left, and leaves nothing.
+
+    Workers outlive tasks and wait for others, so an executor has more of them than cores.
+    """
+
+    def done(out):
+        if hasattr(out, "__next__"):
+            return _until_done(out)
+        if out.nbytes > MOST_SENT:  # as several batches: the JVM reads each into a buffer of its size
+            out = pa.Table.from_batches(out.to_batches(max(1, out.num_rows * MOST_SENT // out.nbytes)), out.schema)
+        trim()
+        return out
+
+    def one(a):
+        forget()
+        return done(run(a))
+
+    def two(a, b):
+        forget()
+        return done(run(a, b))
+
+    return two if run.__code__.co_argcount == 2 else one
 
 
 def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -77,7 +77,7 @@ def test_components(spark, docs, rows, k, num, den, small, monkeypatch):
     """small: ranges, tiles and tasks so small that signatures are split twice, hot ranges are dealt out and buckets have several levels of tiles."""
     monkeypatch.setattr(jaccard, "TILE", 16)
     if small:
-        for name, value in {"SMALL_TILE": 4, "MEMBERS_A_TASK": 500, "SET_BYTES_A_TASK": 20_000, "RANGE_KEYS": 128, "MOST_BITS": 3}.items():
+        for name, value in {"SMALL_TILE": 4, "MEMBERS_A_TASK": 500, "MEMBERS_A_SPOT": 60, "SET_BYTES_A_TASK": 20_000, "RANGE_KEYS": 128, "MOST_BITS": 3}.items():
             monkeypatch.setattr(jaccard, name, value)
         monkeypatch.setattr(graph, "EDGES_A_TASK", 100)
         monkeypatch.setattr(shared, "BROADCAST_ROWS", 10)

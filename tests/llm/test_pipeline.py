@@ -20,7 +20,13 @@ def folder(spark, tmp_path_factory):
     for i in range(200):
         rows.append((20_000 + i, " ".join("".join(r.choice(SYLLABLES["en" if i % 2 else "de"].split()) for _ in range(r.randint(1, 4))) for _ in range(60))))
     rows += [(30_000, "12 34 5"), (30_001, None), (30_002, ""), (20_005, rows[-195][1]), (None, rows[3][1])]
-    full = [(d, t, ("en" if d % 2 else "de") if d is not None and 20_000 <= d < 30_000 else None, "s", len(t or ""), 0.5, 1) for d, t in rows]
+    rows.append((30_003, "Москва является столицей страны и крупнейшим по численности населения городом"))
+
+    def lang(d):
+        """Families and leaks have words of their own, so they are languages of their own."""
+        return None if d is None or d >= 30_000 else ("en" if d % 2 else "de") if d >= 20_000 else "xx" if d < 10_000 else "yy"
+
+    full = [(d, t, lang(d), "s", len(t or ""), 0.5, 1) for d, t in rows]
     spark.createDataFrame(full, SCHEMA).repartition(2).write.parquet(f"{top}/documents.parquet")
     return top, full, want
 
@@ -35,7 +41,7 @@ def test_stages(spark, folder):
         after = {r.doc_id: r for r in docs.collect()}
         assert set(after) <= set(before) and after
         if name == "language_id":
-            assert not {30_000, 30_001, 30_002} & set(after)
+            assert not {30_000, 30_001, 30_002, 30_003} & set(after)
             assert all(d in after for d in before if d is not None and 20_000 <= d < 30_000)
         if name == "near_duplicates":
             from test_jaccard import brute
