@@ -91,6 +91,16 @@ TRAITS = (
 )
 RHYTHM, PLAIN_TRAIT = "natural multi-sentence paragraph rhythm", "concrete explanatory prose"
 
+# What an anchor is taken from where no entity is in its context, in order: acronyms, names, identifiers.
+ANCHORS = [
+    r"\b[A-Z]{2,}[A-Z0-9.-]*\b",
+    r"\b(?:[A-Z][A-Za-z0-9&.'-]+\s+){1,4}[A-Z][A-Za-z0-9&.'-]+\b",
+    r"\b[A-Z]{1,4}\d{2,}[A-Z0-9.-]*\b",
+]
+
+# The mark before a page of a scanned text.
+PAGE_MARK = "\n===== PDF PAGE %d =====\n%s\n"
+
 # The date line of an article.
 DATE_LINE = r"(?i)^(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},\s+20\d{2}$"
 

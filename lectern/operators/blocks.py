@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import fixed, text, urls
 
 BLANK = r"\n\s*\n"
 
@@ -166,6 +166,12 @@ def pages(of: Column) -> Column:
     return F.transform(F.split(of, "\f"), lambda x: F.trim(x))
 
 
+def marked_pages(docs: DataFrame, key: str, of: str) -> DataFrame:
+    """key, page, marked: form-feed pages numbered from 1, stripped, each behind its mark."""
+    p = docs.select(key, F.posexplode(F.split(of, "\f")).alias("at", "t"))
+    return p.select(key, (F.col("at") + 1).alias("page"), F.format_string(fixed.PAGE_MARK, F.col("at") + 1, text.stripped(F.col("t"))).alias("marked"))
+
+
 def page_matches(docs: DataFrame, key: str, of: str, pattern: str, context: int = 500) -> DataFrame:
     """key, page, at, context: the first match on each page."""
     p = docs.select(key, F.posexplode(pages(F.col(of))).alias("page", "t"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 from .store import numbers
 
 
@@ -16,21 +16,28 @@ def convergences(paths: DataFrame, least: int = 2) -> DataFrame:
     return out.where(F.col("paths") >= least).orderBy(F.col("paths").desc(), "node")
 
 
+def fallback_phrase(context: Column, entities: Column) -> Column:
+    """A phrase of a context to hang a link on: its longest entity (case ignored), else its longest acronym, name or identifier, else its last five words."""
+    clean = text.without_markers(context)
+    there = F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: (e != "") & F.contains(F.lower(clean), F.lower(e)))
+    longest = lambda xs: F.get(F.array_sort(xs, lambda x, y: F.length(y) - F.length(x)), F.lit(0))
+    entity = longest(there)
+    own = F.when(entity.isNotNull(), F.substr(clean, F.position(F.lower(entity), F.lower(clean)), F.length(entity)))
+    named = [F.trim(longest(F.regexp_extract_all(clean, F.lit(p), F.lit(0)))) for p in fixed.ANCHORS]
+    words = F.regexp_extract_all(clean, F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"), F.lit(0))
+    return F.coalesce(own, *named, F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 4), F.lit(5)), " "))
+
+
 def source_rows(marks: DataFrame, anchors: DataFrame, evidence: DataFrame) -> DataFrame:
     """number, phrase, link, evidence_id of the sources that an article's marks lead to.
 
     marks: evidence_id, pos, context; anchors: evidence_id, phrase; evidence: evidence_id, url, entities.  Marks
-    without a URL go, of marks with one URL the first stays, and a phrase that isn't in the context gives way to the
-    longest entity that is, else to the last five words.
+    without a URL go, of marks with one URL the first stays, and a phrase that isn't in the context gives way to `fallback_phrase`.
     """
     j = marks.join(anchors, "evidence_id", "left").join(evidence.where("url IS NOT NULL AND url <> ''"), "evidence_id")
     w = Window.partitionBy("url").orderBy("pos")
     first = j.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    there = F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.contains("context", e))
-    longest = F.get(F.array_sort(there, lambda x, y: F.length(y) - F.length(x)), F.lit(0))
-    words = F.split(F.trim("context"), text.SPACE)
-    last = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 4), F.lit(5)), " ")
-    phrase = F.coalesce(F.when(F.contains("context", F.col("phrase")) & (F.trim("phrase") != ""), F.col("phrase")), longest, last)
+    phrase = F.coalesce(F.when(F.contains("context", F.col("phrase")) & (F.trim("phrase") != ""), F.col("phrase")), fallback_phrase(F.col("context"), F.col("entities")))
     return numbers(first.select("pos", phrase.alias("phrase"), F.col("url").alias("link"), "evidence_id"), "pos", "number").select("number", "phrase", "link", "evidence_id")
 
 

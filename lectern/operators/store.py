@@ -167,7 +167,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "canonical_url", changed_b
 def running(df: DataFrame, order: str, value: Column, name: str, ranges: int = 200) -> DataFrame:
     """The sum of a value over the rows before each in an order, by sums of ranges of it, so that no task sees all rows."""
     cuts = df.select(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    part = F.size(F.filter(F.lit([float(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0)
+    bounds = [float(c) for c in sorted(set(cuts))]
+    # the order's value beside each bound: what Spark infers of a join's keys can't look into a lambda
+    side = F.arrays_zip(F.lit(bounds).cast("array<double>").alias("c"), F.array_repeat(F.col(order).cast("double"), len(bounds)).alias("v"))
+    part = F.size(F.filter(side, lambda x: x["c"] < x["v"])) if cuts else F.lit(0)
     parted = df.withColumn("part_", part).withColumn("value_", value)
     counts = parted.groupBy("part_").agg(F.sum("value_").alias("n_"))  # at most `ranges` rows
     before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))

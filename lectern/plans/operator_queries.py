@@ -67,19 +67,20 @@ def jon03_jon04_srt03_reranked(t):
 
 
 _LAST = "array_to_string(list_slice(w, greatest(1, len(w) - 4), len(w)), ' ')"
+_WORD = r"[\p{L}\p{N}_]([\p{L}\p{N}_''-]*[\p{L}\p{N}_])?"
 
 
 @query(
-    rf"WITH m AS (SELECT doc_id, {squeezed('text')} AS c, CASE WHEN doc_id % 2 = 0 THEN 'the attion' END AS phrase, doc_id % 50 AS u FROM documents WHERE doc_id % 7 <> 0), "
+    rf"WITH m AS (SELECT doc_id, {squeezed('lower(text)')} AS c, CASE WHEN doc_id % 2 = 0 THEN 'the attion' END AS phrase, doc_id % 50 AS u FROM documents WHERE doc_id % 7 <> 0), "
     "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY doc_id) AS rn FROM m) WHERE rn = 1), "
-    "x AS (SELECT doc_id, c, u, phrase, string_split(c, ' ') AS w, CASE WHEN contains(c, 'thanedble the') THEN 'thanedble the' WHEN contains(c, 'ention') THEN 'ention' END AS entity FROM f) "
+    f"x AS (SELECT doc_id, c, u, phrase, regexp_extract_all(c, '{_WORD}') AS w, CASE WHEN contains(c, 'thanedble the') THEN 'thanedble the' WHEN contains(c, 'ention') THEN 'ention' END AS entity FROM f) "
     f"SELECT row_number() OVER (ORDER BY doc_id) AS number, CASE WHEN contains(c, phrase) THEN phrase ELSE coalesce(entity, {_LAST}) END AS phrase, concat('https://e.org/', u) AS link, printf('EV-%04d', doc_id) AS evidence_id FROM x"
 )
 def jon05_sca20_source_rows(t):
     k = F.col("doc_id")
-    d = t.documents.select(F.format_string("EV-%04d", k).alias("evidence_id"), k.alias("pos"), text.squeezed(F.col("text")).alias("context"), k.alias("k"))
+    d = t.documents.select(F.format_string("EV-%04d", k).alias("evidence_id"), k.alias("pos"), text.squeezed(F.lower("text")).alias("context"), k.alias("k"))
     url = F.when(F.col("k") % 7 != 0, F.concat(F.lit("https://e.org/"), F.col("k") % 50))
-    e = d.select("evidence_id", url.alias("url"), F.array(F.lit("ention"), F.lit("thanedble the")).alias("entities"))
+    e = d.select("evidence_id", url.alias("url"), F.array(F.lit("Ention"), F.lit("thanedble THE")).alias("entities"))
     a = d.where("k % 2 = 0").select("evidence_id", F.lit("the attion").alias("phrase"))
     return evidence.source_rows(d.select("evidence_id", "pos", "context"), a, e)
 
@@ -538,3 +539,14 @@ def srt07_ranked_links(t):
 def sca17_diagnostic_plain(t):
     m = F.concat(F.lit("**B** "), F.regexp_replace("text", r"\[", "["), F.lit(" [IMAGE: a | ALT: b] [l](https://e.org/x) of _it_\n```py\ncode = 1\n```\n"))
     return t.documents.select("doc_id", F.md5(text.diagnostic_plain(m)).alias("plain"))
+
+
+@query("SELECT doc_id, page::INT AS page, md5(concat(chr(10), '===== PDF PAGE ', page, ' =====', chr(10), regexp_replace(p, '^\\s+|\\s+$', '', 'g'), chr(10))) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)")
+def src33_marked_pages(t):
+    d = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" \f ")).alias("p"))
+    return blocks.marked_pages(d, "doc_id", "p").select("doc_id", "page", F.md5("marked").alias("digest"))
+
+
+@query("SELECT 'writer_primary' AS role, source AS path FROM documents WHERE source = 'src1' GROUP BY ALL UNION ALL SELECT 'writer_lookup_only', source FROM documents WHERE source IN ('src2', 'src11') GROUP BY ALL UNION ALL SELECT 'auditor_full_research', source FROM documents WHERE source LIKE 'src1%' GROUP BY ALL")
+def prj37_context_roles(t):
+    return readers.context_roles(t.documents.select(F.col("source").alias("path")), ["src1"], ["src2", "src11", "none"], "src1")

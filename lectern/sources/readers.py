@@ -94,6 +94,13 @@ def gold_articles(registry: DataFrame, files: DataFrame) -> DataFrame:
     return ok.join(files.select("path").distinct(), "path", "left_semi")
 
 
+def context_roles(files: DataFrame, primary: list[str], lookup: list[str], research: str = "research/") -> DataFrame:
+    """role, path: the files of a project (path) that its writer gets, those the writer may look up, and all below the research folder for its auditor."""
+    p = F.col("path")
+    roles = F.array_compact(F.array(F.when(p.isin(primary), "writer_primary"), F.when(p.isin(lookup), "writer_lookup_only"), F.when(p.startswith(research), "auditor_full_research")))
+    return files.select(F.explode(roles).alias("role"), "path").distinct()
+
+
 def known_urls(articles: DataFrame, url: str = "canonical_url") -> DataFrame:
     return articles.select(urls.identity(F.col(url)).alias("identity")).where("identity IS NOT NULL").distinct()
 

@@ -202,6 +202,12 @@ def test_source_rows(spark):
     assert [tuple(r) for r in evidence.source_rows(m, a, e).collect()] == [(1, "memo was signed", "http://a", "EV-0001"), (2, "CIA Directive", "http://b", "EV-0004")]
 
 
+def test_fallback_phrase(spark):
+    rows = [("so the harbor office [[EV-0001]] closed", ["Harbor Office", "office"], "harbor office"), ("a memo of the NSC and CIAX here", [], "CIAX"), ("then Edda Quill met Ann Lee Brook there", None, "Ann Lee Brook"), ("see file B12 now", [], "B12"), ("none of it is said in well-known words", ["x"], "is said in well-known words"), ("", [], "")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, c string, e array<string>, want string")
+    assert [r.got for r in d.select("i", evidence.fallback_phrase(F.col("c"), F.col("e")).alias("got")).orderBy("i").collect()] == [r[2] for r in rows]
+
+
 def test_rerank(spark):
     c = spark.createDataFrame([("W1", "RELATED", [], 0.5), ("W2", "RELATED", [], 0.9), ("W3", "DIRECT", [], 0.1), ("W4", "RELATED", ["x"], 0.2), ("W5", "RELATED", [], 0.3)], "wr_id string, tier string, phrases array<string>, score double")
     j = spark.createDataFrame([("W1", 5, "strong", 1), ("W2", 5, "x", 1), ("W2", 3, "weak", 2), ("W3", 1, "weak", 1)], "wr_id string, score int, relationship string, seq int")
