@@ -13,6 +13,14 @@ s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_remo
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)
 """
 
+LINES = r"""
+WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (SELECT doc_id, k, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+r AS (SELECT k.doc_id, k, line, coalesce(k.doc_id < top, false) AS gone FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id
+"""
+
 _TOKENS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
 _VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 

@@ -24,8 +24,8 @@ def test_sql(name, spark):
     assert rows(df.collect(), lambda r, c: r[c]) == rows(cur.fetchall(), lambda r, c: r[at.index(c)])
 
 
-def test_all_ten_are_there():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+def test_all_are_there():
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
