@@ -77,11 +77,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("length", out["length"].cast("long"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 42, 20, (5, 100))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
     return dedup_lines(_docs(spark, sf_dir), 20, 3)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing, op12_importance_resampling, op13_line_dedup)}
 ORACLE_SQL = {"op3_substring_dedup": oracles.SUBSTRINGS, "op4_license_scan": oracles.LICENSES, "op13_line_dedup": oracles.LINES}
