@@ -77,6 +77,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("length", out["length"].cast("long"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import resample
 
@@ -89,5 +95,5 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_docs(spark, sf_dir), 20, 3)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing, op12_importance_resampling, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_token_output, op8_suffix_dedup, op9_sharding, op10_packing, op11_tokenizer_alignment, op12_importance_resampling, op13_line_dedup)}
 ORACLE_SQL = {"op3_substring_dedup": oracles.SUBSTRINGS, "op4_license_scan": oracles.LICENSES, "op13_line_dedup": oracles.LINES}
