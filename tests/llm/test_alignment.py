@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -40,18 +41,23 @@ def sides(text, tokenizers):
 
 def brute(rows, tokenizers):
     both = [sides(t, tokenizers) for _, t in rows]
-    links = [[(x[0], y[0]) for x in a for y in b if x[1] < y[2] and y[1] < x[2]] for a, b in both]
+    def overlaps(a, b):
+        ends, starts = [y[2] for y in b], [y[1] for y in b]
+        return [(x[0], y[0]) for x in a for y in b[bisect.bisect_right(ends, x[1]) : bisect.bisect_left(starts, x[2])]]
+
+    links = [overlaps(a, b) for a, b in both]
     count = Counter(p for x in links for p in x)
     best = Counter()
     for (_, y), n in count.items():
         best[y] = max(best[y], n)
     out = Counter()
     for (d, _), (a, b), x in zip(rows, both, links):
-        shared, at = sorted({e for _, _, e in a} & {e for _, _, e in b}), 0
-        groups = []
-        for e in shared:
-            groups.append("|".join(",".join(str(i) for i, _, f in side if at < f <= e) for side in (a, b)))
-            at = e
+        shared = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        own = [[[] for _ in shared] for _ in "ab"]
+        for side, lists in zip((a, b), own):
+            for i, _, f in side:
+                lists[bisect.bisect_left(shared, f)].append(str(i))
+        groups = ["|".join(map(",".join, x)) for x in zip(*own)]
         sha = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
         out[d, len(a), len(b), len(shared), len(x), sum(count[p] == best[p[1]] for p in x), sum(count[p] for p in x), sha] += 1
     return out
