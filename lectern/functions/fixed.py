@@ -12,6 +12,16 @@ will with would you your yours yourself yourselves""".split()
 SOURCE_STOP = """about after again against article could from have into more question research source that their there
 these they this those through using what when where which with would your""".split()
 
+# Words that voice tokens leave out.
+VOICE_STOP = """the and that this with from have were was are for into about what when where which who why how not but its
+their they them then than there here your you our out all can could would should article investigative
+investigation""".split()
+
+# Words that workflow terms leave out.
+WORKFLOW_STOP = """about after against also and are article author because been before being between could does from have
+into investigation more must that the their then there these they this those through was were what when where which while
+with would""".split()
+
 # Words that identity words leave out.
 IDENTITY_STOP = """a about after again all also an and are as at be because been before between but by can could did do
 does for from had has have he her here his how i if in into is it its more most not of on one or our part said she so

@@ -35,7 +35,7 @@ def search_tokens(text: Column) -> Column:
     return without(F.transform(every(text, r"[A-Za-z0-9][A-Za-z0-9_.&'-]{1,}"), F.lower), fixed.SEARCH_STOP)
 
 
-def voice_tokens(text: Column, stop: Sequence[str] = fixed.SEARCH_STOP) -> Column:
+def voice_tokens(text: Column, stop: Sequence[str] = fixed.VOICE_STOP) -> Column:
     """Lower-case tokens of three or more characters, with repeats (a multiset)."""
     return without(every(F.lower(text), r"[a-z0-9][a-z0-9'-]{2,}"), stop)
 
@@ -49,7 +49,7 @@ def _no_digits(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$"))
 
 
-def workflow_terms(text: Column, stop: Sequence[str] = fixed.SEARCH_STOP) -> Column:
+def workflow_terms(text: Column, stop: Sequence[str] = fixed.WORKFLOW_STOP) -> Column:
     return F.array_distinct(_no_digits(without(every(F.lower(text), r"[a-z0-9][a-z0-9'/-]{2,}"), stop)))
 
 

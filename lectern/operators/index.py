@@ -1,4 +1,4 @@
-"""A search index over articles as Parquet: chunks, signature, reuse when nothing changed; and what is read from it."""
+"""A search index over articles as Parquet: chunks and postings in generations, reuse of what didn't change; and what is read from it."""
 
 from __future__ import annotations
 
@@ -19,30 +19,129 @@ def chunked(articles: DataFrame) -> DataFrame:
     return w.select("canonical_url", "title", "section", "number", "start", F.col("piece").alias("text"), blocks.links_in_piece(F.coalesce("links", none), F.col("piece"), F.col("clean")).alias("links"))
 
 
+#: Ranges of terms that postings are kept in, and rows of a file of them.
+BUCKETS, FILE_ROWS = 64, 4_000_000
+#: Words of the longest run of tokens that has postings.
+RUN = 3
+CHUNK = ["canonical_url", "chunk"]
+
+
+def _runs(tokens: Column, most: int = RUN) -> Column:
+    """All runs of 1 to `most` tokens, each joined by spaces, with repeats; tokens are read once, as slices side by side."""
+    n = F.size(tokens)
+    each = [tokens]
+    for k in range(2, most + 1):
+        slices = [F.slice(tokens, F.lit(i + 1), F.greatest(F.lit(0), n - (k - 1))) for i in range(k)]
+        each.append(F.transform(F.arrays_zip(*[x.alias(f"t{i}") for i, x in enumerate(slices)]), lambda z: F.concat_ws(" ", *[z[f"t{i}"] for i in range(k)])))
+    return F.concat(*each)
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class Index:
+    """What a build has left below a path, as generations: `meta` (a row for each, written last), and the parts of each.
+
+    articles: every article of a build with its digest, the generation that has its chunks, their number and tokens, and
+    whether it is served (equal bodies are served once).  chunks: canonical_url, chunk, title, section, text, links, status.
+    postings: term, tf and chunk for all runs of 1 to 3 search tokens, by buckets of the term, sorted.  terms: the distinct
+    tokens.  A build that breaks off leaves parts that no `meta` row names.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        meta = self._read("meta", None)
+        self.meta = meta.orderBy(F.col("generation").desc()).first() if meta is not None else None
+        self.generation = self.meta["generation"] if self.meta else -1
+
+    def _read(self, part: str, upto: int | None) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
+
+        try:
+            df = self.spark.read.parquet(f"{self.path}/{part}")
+        except AnalysisException:  # nothing there yet
+            return None
+        return df if upto is None else df.where(F.col("generation") <= upto)
+
+    def articles(self) -> DataFrame | None:
+        """The rows of the last build."""
+        rows = self._read("articles", None)
+        return rows.where(F.col("generation") == self.generation) if rows is not None and self.meta else None
+
+    def served(self, part: str) -> DataFrame:
+        """Rows of a part that belong to articles as they are now."""
+        live = self.articles().where("served").select("canonical_url", F.col("made").alias("generation"))
+        return self._read(part, self.generation).join(live, ["canonical_url", "generation"])
+
+    def chunks(self) -> DataFrame:
+        return self.served("chunks").drop("generation")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """term, tf and chunk of some terms: only their buckets are read, and within these the row groups that can have them."""
+        wanted = F.lit(False)
+        for t in terms:
+            wanted = wanted | ((F.col("bucket") == _bucket(F.lit(t))) & (F.col("term") == t))
+        return self.served("postings").where(wanted).select("term", "tf", "dl", *CHUNK)
+
+    def with_words(self, words: list[tuple[str, str]]) -> DataFrame:
+        """Chunks (their keys) with a token that equals a word, or that begins with it, ends in it or contains it: (how, word)."""
+        how = {"equals": lambda c, w: c == w, "starts": F.startswith, "ends": F.endswith, "contains": F.contains}
+        match = F.lit(False)
+        for kind, w in words:
+            match = match | how[kind](F.col("term"), F.lit(w))
+        terms = self._read("terms", self.generation).where(match).select("term").distinct().withColumn("bucket", _bucket(F.col("term")))
+        return self.served("postings").where("words = 1").join(terms, ["bucket", "term"]).select(*CHUNK).distinct()
+
+
+def _digest() -> Column:
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("canonical_url", "title", "content_hash", "content_status")]), 256)
+
+
 def build(articles: DataFrame, path: str, force: bool = False) -> bool:
-    """Writes the index below a path unless its signature there is that of the articles; whether it did. Equal bodies are indexed once."""
-    spark = articles.sparkSession
+    """Brings the index below a path up to date with articles (id, canonical_url, title, body, content_hash, content_status,
+    published_date); whether anything was written.
+
+    Only articles that are new or changed are cut into chunks and get postings, in a generation of their own; `force` makes
+    all of them anew.  Of articles with equal bodies the newest with any chunk is served.
+    """
+    spark, index = articles.sparkSession, Index(articles.sparkSession, path)
     signature = store.signature(articles).first().signature
-    if not force and _signature(spark, path) == signature:
+    if not force and index.meta and index.meta["signature"] == signature:
         return False
-    first = store.first_by(articles, [F.col("content_hash")], F.coalesce("published_date", F.lit("")).desc(), F.col("id").desc())
-    chunks = chunked(first)
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    spark.createDataFrame([(signature,)], "signature string").write.mode("overwrite").parquet(f"{path}/meta")
+    g, before = index.generation + 1, index.articles()
+    known = before.select("canonical_url", "digest", "made", "chunks", "tokens") if before is not None and not force else None
+    a = articles.withColumn("digest", _digest())
+    fresh = a if known is None else a.join(known.select("canonical_url", "digest"), ["canonical_url", "digest"], "left_anti")
+    at = f"generation={g}"
+    made = chunked(fresh).join(fresh.select("canonical_url", F.col("content_status").alias("status")), "canonical_url")
+    made = made.withColumn("chunk", F.col("number").cast("long") * (1 << 32) + F.col("start")).drop("number", "start")
+    made.withColumn("tokens", text.search_tokens(_hay())).write.mode("overwrite").parquet(f"{path}/chunks/{at}")
+    chunks = spark.read.parquet(f"{path}/chunks/{at}")
+    sizes = chunks.groupBy("canonical_url").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
+    rows = (chunks.agg(F.sum(F.size("tokens"))).first()[0] or 0) * RUN
+    posted = chunks.select(*CHUNK, F.size("tokens").cast("long").alias("dl"), F.explode_outer(_runs(F.col("tokens"))).alias("term")).where("term IS NOT NULL").groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posted = posted.withColumns({"bucket": _bucket(F.col("term")), "words": F.size(F.split("term", " "))})
+    spread = max(1, -(-rows // (BUCKETS * FILE_ROWS)))  # files of a bucket: a frequent term is in all of them
+    posted.repartition("bucket", F.pmod(F.xxhash64(*CHUNK), F.lit(spread))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
+    chunks.select(F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{path}/terms/{at}")
+    new = fresh.select("canonical_url", "digest").join(sizes, "canonical_url", "left").select("canonical_url", "digest", F.lit(g).alias("made"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    every = a.select("id", "canonical_url", "content_hash", "published_date", "digest").join(new if known is None else new.unionByName(known.join(a.select("canonical_url", "digest"), ["canonical_url", "digest"])), ["canonical_url", "digest"])
+    first = store.first_by(every.where("chunks > 0"), [F.col("content_hash")], F.coalesce("published_date", F.lit("")).desc(), F.col("id").desc()).select("canonical_url", F.lit(True).alias("served"))
+    rows_ = every.join(first, "canonical_url", "left").withColumn("served", F.coalesce("served", F.lit(False)))
+    rows_.write.mode("overwrite").parquet(f"{path}/articles/{at}")
+    totals = spark.read.parquet(f"{path}/articles/{at}").where("served").agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    spark.createDataFrame([(signature, int(totals[0]), int(totals[1]))], "signature string, chunks long, tokens long").write.mode("overwrite").parquet(f"{path}/meta/{at}")
     return True
 
 
-def _signature(spark: SparkSession, path: str) -> str | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(f"{path}/meta").first().signature
-    except AnalysisException:  # no index there yet
-        return None
+def _hay() -> Column:
+    return F.lower(F.concat_ws(" ", "title", "section", "text"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/chunks")
+    """The served chunks."""
+    return Index(spark, path).chunks()
 
 
 def rank_links(links: Column, entities: list[str], free: list[str], concepts: list[str]) -> Column:
@@ -75,10 +174,9 @@ def expanded_concepts(chunks: DataFrame, key: str, of: str, entities: list[str],
         seed = seed | F.contains(low, F.lit(e))
     own = {w for e in entities for w in e.split()} | set(search.query_plan(query)[2])
     toks = text.search_tokens(F.col(of))
-    runs = lambda k: F.when(F.size("toks") >= k, F.transform(F.sequence(F.lit(1), F.size("toks") - (k - 1)), lambda i: F.array_join(F.slice("toks", i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
-    c = chunks.select(key, seed.alias("seed"), toks.alias("toks")).withColumn("all", F.array_distinct(F.concat("toks", runs(2), runs(3))))
+    c = chunks.select(key, seed.alias("seed"), toks.alias("toks")).withColumn("all", F.array_distinct(_runs(F.col("toks"))))
     n = c.agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds")).first()
-    df = c.select("seed", F.explode("all").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("seed").alias("in_seeds")).where("in_seeds > 0")
+    df = c.select("seed", F.explode_outer("all").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("seed").alias("in_seeds")).where("in_seeds > 0")
     words = F.split("term", " ")
     junk = [*fixed.GENERIC_TERMS, *fixed.CONCEPT_JUNK]
     infra = lambda w: w.isin(fixed.INFRASTRUCTURE_TERMS)

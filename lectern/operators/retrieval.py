@@ -17,17 +17,30 @@ def _any(hay: Column, words: list[str]) -> Column:
     return out
 
 
-def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None" = None) -> DataFrame:
+def lexical_terms(query: str) -> dict[str, int]:
+    """The terms that a query is searched for by, and how often each counts."""
+    _, parts, free = search.query_plan(query)
+    terms = list(dict.fromkeys(free or [p for p in parts if p not in fixed.GENERIC_TERMS] or parts))
+    return {t: (free or [t]).count(t) or 1 for t in terms}
+
+
+def term_score(f: Column, dl: Column, idf: float, mean: float) -> Column:
+    """BM25 of a term that a text of dl tokens has f times."""
+    return idf * f * (fixed.BM25_K1 + 1) / (f + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.greatest(dl, F.lit(1)) / mean))
+
+
+def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None" = None, corpus: dict | None = None) -> DataFrame:
     """The columns that the gate and the scores of `search.TIERS` read, of each chunk, with article, start, status and links.
 
     chunks: article, start, title, text, status and, if there are any, section and links (anchor, url, kind).  All signals
     are columns of one projection; what the corpus says of the query (counts of its terms and phrases, the largest score, the
     vocabulary of chunks that name an entity) is one row.  With `lsa`, its rows are the chunks' vectors by (article, start).
+    corpus: where the chunks are only those that can have a signal, n, mean (tokens), df (by term) and top (score) of all of them.
     """
     entities, parts, free = search.query_plan(query)
     phrases = search.query_phrases(query, entities)
-    terms = list(dict.fromkeys(free or [p for p in parts if p not in fixed.GENERIC_TERMS] or parts))
-    times = {t: (free or [t]).count(t) or 1 for t in terms}
+    times = lexical_terms(query)
+    terms = list(times)
     basis = list(dict.fromkeys(free)) or parts
     section = F.col("section") if "section" in chunks.columns else F.lit("")
     links = F.col("links") if "links" in chunks.columns else F.array().cast("array<struct<anchor:string,url:string,kind:string>>")
@@ -48,15 +61,16 @@ def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None
     seed = [F.max(F.col("direct") & F.array_contains("infra_hits", t)).alias(f"s{i}") for i, t in enumerate(fixed.INFRASTRUCTURE_TERMS)]
     counts = [*[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))], *[F.count_if(F.col("has")[i]).alias(f"p{i}") for i in range(len(phrases))]]
     row = c.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *counts, *seed).first()
-    n, mean = row["n"], max(row["avgdl"] or 0.0, 1.0)
+    n, mean, df = row["n"], max(row["avgdl"] or 0.0, 1.0), {t: row[f"d{i}"] for i, t in enumerate(terms)}
+    if corpus is not None:
+        n, mean, df = corpus["n"], max(corpus["mean"], 1.0), corpus["df"]
     raw = F.lit(0.0)
     for i, t in enumerate(terms):
-        f = F.col("tf")[i]
-        raw = raw + times[t] * search.idf(n, row[f"d{i}"]) * f * (fixed.BM25_K1 + 1) / (f + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.greatest(F.col("dl"), F.lit(1)) / mean))
+        raw = raw + times[t] * term_score(F.col("tf")[i], F.col("dl"), search.idf(n, df.get(t, 0)), mean)
     each = [F.when(F.col("has")[i], (math.log((n + 1) / (row[f"p{i}"] + 1)) + 1) * min(2.0, 0.75 + 0.45 * len(p.split())) * F.when(F.col("in_title")[i], 1.45).otherwise(1.0)) for i, p in enumerate(phrases)]
     best = F.slice(F.sort_array(F.array_compact(F.array(*each)), asc=False), 1, 3) if each else F.array().cast("array<double>")
     c = c.withColumn("lexical", raw)
-    top = c.agg(F.max("lexical")).first()[0] if terms else 0.0
+    top = (corpus["top"] if corpus is not None else c.agg(F.max("lexical")).first()[0]) if terms else 0.0
     score, near = search.concept_score(F.col("hits"))
     shared = F.array_intersect("infra_hits", F.lit([t for i, t in enumerate(fixed.INFRASTRUCTURE_TERMS) if row[f"s{i}"]] or [""]))
     out = c.select(
@@ -73,9 +87,9 @@ def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None
     return joined.withColumn("semantic", F.coalesce(search.contrast(*similar, F.col("direct")), F.lit(0.0))).drop("vector")
 
 
-def retrieve(chunks: DataFrame, query: str, concepts: list[str], limit: int, least: float, lsa: "Lsa | None" = None) -> DataFrame:
+def retrieve(chunks: DataFrame, query: str, concepts: list[str], limit: int, least: float, lsa: "Lsa | None" = None, corpus: dict | None = None) -> DataFrame:
     """article, score, tier of the best articles for a query, by the `signals` of their chunks."""
-    s = signals(chunks, query, concepts, lsa).drop("links")
+    s = signals(chunks, query, concepts, lsa, corpus).drop("links")
     scored = s.withColumn("tier", search.tier()).where("tier IS NOT NULL").withColumn("score", search.tier_score(F.col("tier"))).where("score > 0")
     capped = scored.orderBy(F.col("score").desc(), "article", "start").limit(max(limit * 10, 50))
     tiers = capped.groupBy("article").agg(F.max_by("tier", "score").alias("tier"), F.max_by("status", "score").alias("status"))
@@ -85,6 +99,49 @@ def retrieve(chunks: DataFrame, query: str, concepts: list[str], limit: int, lea
     return out.where(F.col("score") >= least).orderBy(F.col("score").desc(), "article").limit(limit)
 
 
+def anchor_word(phrase: str) -> tuple[str, str] | None:
+    """(how, word): a token that any text with the phrase has; how it equals, begins with, ends in or contains the word. Nothing if tokens can't tell.
+
+    The words inside a phrase are whole tokens; the first may be the end of one, the last the beginning of one.  A word that a
+    stop word matches the same way won't do, since stop words are no tokens.
+    """
+    import re
+
+    words = phrase.split(" ")
+    best: list[tuple[str, str]] = []
+    for i, w in enumerate(words):
+        how = "contains" if len(words) == 1 else "ends" if i == 0 else "starts" if i == len(words) - 1 else "equals"
+        like = {"contains": lambda s, w=w: w in s, "ends": lambda s, w=w: s.endswith(w), "starts": lambda s, w=w: s.startswith(w), "equals": lambda s, w=w: s == w}[how]
+        if re.fullmatch(r"[a-z0-9][a-z0-9_.&'-]+", w) and not any(map(like, fixed.SEARCH_STOP)):
+            best.append((how, w))
+    return max(best, key=lambda x: (x[0] == "equals", len(x[1])), default=None)
+
+
+def retrieve_indexed(index, query: str, concepts: list[str], limit: int, least: float, lsa: "Lsa | None" = None) -> DataFrame:
+    """`retrieve` over the chunks that an `index.Index` serves, by its postings.
+
+    No tier is without an entity, a concept or an infrastructure term, so only chunks with one of these, or with a phrase (to
+    count it), are read; terms' document counts and the largest lexical score come from the postings of the query's terms.
+    Phrases are substrings: their chunks are found by a token that each must have, and read to be sure.
+    """
+    entities, _, _ = search.query_plan(query)
+    times = lexical_terms(query)
+    n, mean = index.meta["chunks"], index.meta["tokens"] / max(1, index.meta["chunks"])
+    posted = index.postings(list(times))
+    df = {r["term"]: r["n"] for r in posted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each term of the query
+    weight = F.lit(0.0)
+    for t, k in times.items():
+        weight = F.when(F.col("term") == t, k * term_score(F.col("tf").cast("double"), F.col("dl"), search.idf(n, df.get(t, 0)), max(mean, 1.0))).otherwise(weight)
+    top = posted.groupBy("canonical_url", "chunk").agg(F.sum(weight).alias("s")).agg(F.max("s")).first()[0] if times else None
+    wanted = [anchor_word(p) for p in dict.fromkeys([*search.query_phrases(query, entities), *entities, *concepts])]
+    chunks = index.chunks()
+    if None not in wanted:
+        found = index.with_words([*dict.fromkeys(wanted), *(("equals", t) for t in fixed.INFRASTRUCTURE_TERMS)])
+        chunks = chunks.join(found, ["canonical_url", "chunk"], "left_semi")
+    c = chunks.select(F.col("canonical_url").alias("article"), F.col("chunk").alias("start"), "title", "section", "text", "status", "links")
+    return retrieve(c, query, concepts, limit, least, lsa, {"n": n, "mean": mean, "df": df, "top": top or 0.0})
+
+
 def internal_links(memories: DataFrame, articles: DataFrame, key: str = "article") -> DataFrame:
     """key, at, anchor, target, title: links (anchor, url) of memories (key, own_url, links) to other articles (canonical_url, title), each article once.
 
@@ -110,7 +167,7 @@ def voice_passages(paragraphs: DataFrame, query: str, most_each: int = 2, most:
     """article, number, score of the paragraphs (article, number, text) that share most of a query's words, at most `most_each` of an article."""
     import re
 
-    words = list(dict.fromkeys(w for w in re.findall(r"[a-z0-9][a-z0-9'-]{2,}", query.lower()) if w not in fixed.SEARCH_STOP))
+    words = list(dict.fromkeys(w for w in re.findall(r"[a-z0-9][a-z0-9'-]{2,}", query.lower()) if w not in fixed.VOICE_STOP))
     hits = F.size(F.array_intersect(F.array_distinct(text.voice_tokens(F.col("text"))), F.lit(words or [""])))
     s = paragraphs.select("article", "number", (hits / max(1, len(words))).alias("score")).where("score > 0")
     return search.capped(s, "article", most_each, most, of_first, F.col("score").desc(), F.col("article"), F.col("number"))

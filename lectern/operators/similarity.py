@@ -58,7 +58,7 @@ def boilerplate(assets: DataFrame, brand: tuple[str, ...] = (), size: int = 8) -
     words = F.split(text.alnum(F.col("copy")), " ")
     each = lambda xs, code: F.transform(F.array_distinct(xs), lambda x: F.struct(F.lit(code).alias("code"), x.alias("text")))
     parts = F.concat(each(long, "REPEATED_SENTENCE"), each(last, "REPEATED_CLOSING"), each(shingles(words, size), "REPEATED_PHRASE"))
-    rows = assets.select("content_id", F.explode(parts).alias("x")).select("content_id", "x.code", "x.text").where(~F.col("text").isin([text_ for text_ in brand] or [""]))
+    rows = assets.select("content_id", F.explode_outer(parts).alias("x")).select("content_id", "x.code", "x.text").where("text IS NOT NULL").where(~F.col("text").isin([text_ for text_ in brand] or [""]))
     found = rows.groupBy("code", "text").agg(F.countDistinct("content_id").alias("assets"))
     return found.where("assets > CASE code WHEN 'REPEATED_SENTENCE' THEN 2 WHEN 'REPEATED_CLOSING' THEN 1 ELSE 3 END")
 

@@ -390,7 +390,7 @@ def prj26_prj27_prj32_package_rules(t):
     return rules.violations(a, "content_id", articles.package_rules()).select("content_id", "rule")
 
 
-_TERMS = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0-9_-]{{2,}}'), lambda x: lower(x)), lambda t: length(t) >= 4))"
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9''/-]{{2,}}'), lambda t: NOT regexp_matches(t, '^[0-9]+$') AND NOT list_contains(" + words(fixed.WORKFLOW_STOP) + ", t)))"
 
 
 @query(
@@ -399,7 +399,7 @@ _TERMS = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '[A-Za
 )
 def prj34_thesis_fidelity(t):
     x = t.benchmark.select("item_id", F.col("text").alias("a")).join(t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("c")), "item_id")
-    return x.select("item_id", rules.thesis_status(text.local_terms(F.col("a")), text.local_terms(F.col("c"))).alias("status"))
+    return x.select("item_id", rules.thesis_status(text.workflow_terms(F.col("a")), text.workflow_terms(F.col("c"))).alias("status"))
 
 
 @query("SELECT doc_id, url, doc_id % 3 = 0 AS by_root, array_to_string(list_sort(['https://e.org/a', concat('https://e.org/', doc_id)]), ',') AS added FROM (SELECT doc_id, concat('https://own.org/p/', doc_id % 3) AS url FROM documents)")
@@ -469,7 +469,7 @@ def txt08_anchor_score(t):
 
 
 @query(
-    "WITH v AS (SELECT doc_id AS article, i::BIGINT AS number, list_distinct(list_filter(regexp_extract_all(lower(p), '[a-z0-9][a-z0-9''-]{2,}'), lambda w: NOT list_contains(" + words(fixed.SEARCH_STOP) + ", w))) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)), "
+    "WITH v AS (SELECT doc_id AS article, i::BIGINT AS number, list_distinct(list_filter(regexp_extract_all(lower(p), '[a-z0-9][a-z0-9''-]{2,}'), lambda w: NOT list_contains(" + words(fixed.VOICE_STOP) + ", w))) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)), "
     "s AS (SELECT article, number, len(list_intersect(w, ['ention', 'thing', 'thanedble', 'attion'])) / 4.0 AS score FROM v), f AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, article, number LIMIT 60) "
     "SELECT article, number, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY article ORDER BY score DESC, number) AS rn FROM f) WHERE rn <= 2 ORDER BY score DESC, article, number LIMIT 8"
 )

@@ -26,9 +26,9 @@ def squeezed(of: str) -> str:
 
 
 SEARCH = without(every("[A-Za-z0-9][A-Za-z0-9_.&'-]{1,}"), fixed.SEARCH_STOP)
-VOICE = without(every("[a-z0-9][a-z0-9'-]{2,}", lower_first=True), fixed.SEARCH_STOP)
+VOICE = without(every("[a-z0-9][a-z0-9'-]{2,}", lower_first=True), fixed.VOICE_STOP)
 LOCAL = "list_distinct(list_filter(" + every("[A-Za-z0-9][A-Za-z0-9_-]{2,}") + ", lambda t: length(t) >= 4))"
-WORKFLOW = "list_distinct(list_filter(" + without(every("[a-z0-9][a-z0-9'/-]{2,}", lower_first=True), fixed.SEARCH_STOP) + ", lambda t: NOT regexp_matches(t, '^[0-9]+$')))"
+WORKFLOW = "list_distinct(list_filter(" + without(every("[a-z0-9][a-z0-9'/-]{2,}", lower_first=True), fixed.WORKFLOW_STOP) + ", lambda t: NOT regexp_matches(t, '^[0-9]+$')))"
 SOURCE = "list_distinct(list_filter(" + without(every("[a-z0-9][a-z0-9_.-]{2,}", lower_first=True), fixed.SOURCE_STOP) + ", lambda t: NOT regexp_matches(t, '^[0-9]+$')))"
 ALNUM = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), ' ')"
 

@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from lectern.operators import articles, blocks, index, store
+from lectern.operators import articles, blocks, index, retrieval, store
 from lectern.sources import readers, sinks
 
 
@@ -86,3 +88,57 @@ def test_source_rows_of_an_article(spark):
 def test_narrative_prose(spark):
     d = spark.createDataFrame([("# T\n\none  two\n\n- item\n\n## FAQs\n\nnot this",)], "m string")
     assert d.select(blocks.narrative(F.col("m")).alias("x")).first().x == ["one two"]
+
+
+def _articles(spark, rows):
+    return spark.createDataFrame([(i, f"https://own.org/p/{u}", t, b, b and str(hash(b)), s, d) for i, u, t, b, s, d in rows], "id long, canonical_url string, title string, body string, content_hash string, content_status string, published_date string")
+
+
+def _corpus(seed):
+    import random
+
+    r = random.Random(seed)
+    pool = ["Marlow Security", "license plate", "police", "database", "infrared", "sensor", "roads", "camera network", "the harbor", "tide tables", "memo 12", "overmarlow security", "reader", "a b", "word", "others"]
+    return [(i, f"u{i}", r.choice(["Plates", "Marlow Security files", "Tides", "Words"]), "# One\n\n" + " ".join(r.choice(pool) for _ in range(r.choice([4, 30, 900]))) + "\n\n## Two\n\n" + " ".join(r.choice(pool) for _ in range(20)), r.choice(["full", "preview_only"]), f"2024-01-{1 + i % 28:02d}") for i in range(40)]
+
+
+@pytest.mark.parametrize("query,concepts", [("Marlow Security camera network", ["license plate", "infrared"]), ("harbor tide database", []), ("NSA others word", ["memo 12", "a b"]), ("Marlow Security", ["camera"])])
+def test_retrieval_from_postings_is_that_of_all_chunks(spark, tmp_path, query, concepts):
+    path = str(tmp_path / "index")
+    assert index.build(_articles(spark, _corpus(1)), path)
+    made = index.Index(spark, path)
+    every = made.chunks().withColumnsRenamed({"canonical_url": "article", "chunk": "start"})
+    rows = lambda df: [tuple(x) for x in df.collect()]
+    want = rows(retrieval.retrieve(every, query, concepts, 50, 0.0))
+    assert rows(retrieval.retrieve_indexed(made, query, concepts, 50, 0.0)) == want
+    assert want or "tide" in query
+
+
+def test_an_incremental_build_equals_a_full_one(spark, tmp_path):
+    rows = _corpus(2)
+    rows[7] = (7, "u7", "T", "", "full", None)  # no chunk
+    rows[8] = (8, "u8", "T", rows[9][3], "full", "2030-01-01")  # newer than its copy
+    step, whole = str(tmp_path / "step"), str(tmp_path / "whole")
+    changed = [r for r in rows if r[0] != 8]
+    changed[3] = (*changed[3][:3], "# One\n\nnew police words", *changed[3][4:])
+    changed.append((90, "u90", "New", "# One\n\nnew infrared words", "full", None))
+    assert index.build(_articles(spark, rows), step) and index.build(_articles(spark, changed), step) and not index.build(_articles(spark, changed), step)
+    assert index.build(_articles(spark, changed), whole)
+    a, b = index.Index(spark, step), index.Index(spark, whole)
+    assert (a.generation, b.generation) == (1, 0) and a.meta["tokens"] == b.meta["tokens"] and a.meta["chunks"] == b.meta["chunks"]
+    bag = lambda df: sorted(map(tuple, df.collect()))
+    for part in ("chunks", "postings"):
+        cols = sorted(c for c in b.served(part).columns if c not in ("generation", "links"))
+        assert bag(a.served(part).select(cols)) == bag(b.served(part).select(cols)), part
+    written_ = spark.read.parquet(f"{step}/articles").where("generation = 1")
+    assert written_.where("made = 1").count() == 2  # only what is new or changed was made again
+    assert {r.canonical_url[-2:] for r in written_.where("NOT served").collect()} == {"u7"} and written_.where("canonical_url LIKE '%u9' AND served").count() == 1
+
+
+def test_postings_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.build(_articles(spark, _corpus(3)), path)
+    made = index.Index(spark, path)
+    plan = made.postings(["police"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,police)" in plan and "PartitionFilters" in plan and "(bucket#" in plan.split("PartitionFilters")[1]
+    assert made.postings(["license plate", "police"]).groupBy("term").count().count() == 2
