@@ -26,8 +26,10 @@ from .tokens import lean
 from .vec import U64, chunks, take_ranges, text_buffers, windows, word_hashes, words
 
 K1, B, BLOCK = 1.2, 0.75, 8
-#: Passages times blocks that are searched side by side.
-MOST_CELLS = 1 << 20
+#: Passages that are searched side by side.
+TOGETHER = 4096
+#: Blocks of a stretch, which has largest impacts of its own.
+STRETCH = 32
 #: Letters and digits as they are, all else in ASCII as a space.
 _PLAIN = np.array([c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)], np.uint8)
 _ANSWER = re.compile(r"(?is)^(.*?)\banswer\s*:\s*(.*)$")
@@ -88,7 +90,7 @@ class Index:
     """Postings of items with normalised BM25 impacts, in blocks of BLOCK items, and each item's question and answer n-grams.
 
     A term's postings are the blocks that have it, ascending, with its largest impact there (`most`) and the row of
-    `impact` with its impacts on the block's items; `top` is its largest impact anywhere.  Items are sorted by the most
+    `impact` with its impacts on the block's items; `stretch_top` is its largest impact in each stretch of STRETCH blocks.  Items are sorted by the most
     common terms that they have, which keeps like items (of one language, say) in one block and the maxima low.  `of`
     are the statistics of all items, where these are a part of them: a score doesn't depend on which items share an index.
     """
@@ -121,55 +123,85 @@ class Index:
         self.impact[row, item % BLOCK] = np.concatenate([np.zeros(0), *(v for _, v in self.exact)])
         self.most = self.impact.max(1)
         self.block = self.key % self.blocks
-        self.first = np.searchsorted(self.key, np.arange(len(self.terms) + 1) * self.blocks)  # of each term's postings
-        self.top = np.maximum.reduceat(self.most, self.first[:-1]) if len(self.terms) else np.zeros(0, np.float32)
+        # the same by stretches of STRETCH blocks: where a term's postings there begin, and its largest impact there
+        stretches = -(-self.blocks // STRETCH)
+        self.stretch_key, self.stretch_at = np.unique(self.key // self.blocks * stretches + self.block // STRETCH, return_index=True)
+        self.stretch = self.stretch_key % stretches
+        self.stretch_top = np.maximum.reduceat(self.most, self.stretch_at).astype(np.float64) if len(self.key) else np.zeros(0)
+        self.stretch_at = np.append(self.stretch_at, len(self.key))
+        self.stretch_first = np.searchsorted(self.stretch_key, np.arange(len(self.terms) + 1) * stretches)
 
     def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all scores of at least the threshold. passage: ascending; term: its distinct terms' numbers.
 
-        Block-max WAND, for many passages side by side.  Each passage has a cursor in the postings of each of its terms.
-        In each step, a passage's pivot is the least block at which the terms whose cursors stand there or before could
-        reach the threshold together, by their largest impacts; without one the passage is done.  Cursors before the
-        pivot skip to it; if the maxima of the cursors that stand there reach the threshold, its items are scored; then
-        these cursors go on.
+        Block-max WAND, for many passages side by side, stretch by stretch of the index: a passage whose terms' largest
+        impacts in a stretch don't reach the threshold together skips it.  Else each passage has a cursor in the postings of each of its terms, in
+        the order of the blocks that they stand at.  In each step, a passage's pivot is the block of the first cursor at
+        which the running sum of its terms' largest impacts reaches the threshold; without one the passage is done and
+        dropped.  Cursors before the pivot skip to it; if the maxima of the cursors that stand there reach the threshold,
+        its items are scored; then these cursors go on.  A step costs a passage its own cursors, however many items there are.
         """
         out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         low = threshold - 1e-4  # sums of 32-bit floats
         queries, own = np.unique(passage, return_inverse=True)
-        step = max(1, MOST_CELLS // self.blocks)
-        for k in range(0, len(queries), step):
-            x, y = np.searchsorted(own, (k, k + step))
-            for q, item, score in self._wand(own[x:y] - k, term[x:y], min(step, len(queries) - k), low):
-                out.append((queries[k + q], item, score))
+        for k in range(0, len(queries), TOGETHER):
+            x, y = np.searchsorted(own, (k, k + TOGETHER))
+            query, number = own[x:y] - k, term[x:y]
+            at, end = self.stretch_first[number], self.stretch_first[number + 1]
+            for stretch in range(-(-self.blocks // STRETCH)):
+                here = np.flatnonzero(at < end)
+                here = here[self.stretch[at[here]] == stretch]
+                reach = np.bincount(query[here], self.stretch_top[at[here]], TOGETHER) >= low
+                go = here[reach[query[here]]]
+                p = at[go]
+                for q, item, score in self._wand(query[go], number[go], self.stretch_at[p], self.stretch_at[p + 1], self.stretch_top[p], low):
+                    out.append((queries[k + q], item, score))
+                at[here] += 1
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def _wand(self, query: np.ndarray, term: np.ndarray, n: int, low: float):
-        at, end, top = self.first[term], self.first[term + 1], self.top[term].astype(np.float64)
+    def _wand(self, query: np.ndarray, term: np.ndarray, at: np.ndarray, end: np.ndarray, top: np.ndarray, low: float):
+        """`search` within a stretch, from the cursors `at`, which end at `end`; passages by number."""
         while len(at):
             block = self.block[at]
-            reach = np.bincount(query * self.blocks + block, top, n * self.blocks).reshape(n, self.blocks).cumsum(1) >= low
-            pivot = np.where(reach[:, -1], reach.argmax(1), self.blocks)
-            here = pivot[query]
-            live = here < self.blocks
-            query, term, at, end, top, block, here = (v[live] for v in (query, term, at, end, top, block, here))
+            order = np.argsort(query * self.blocks + block, kind="stable")  # nearly in order already
+            query, term, at, end, top, block = (v[order] for v in (query, term, at, end, top, block))
+            begin = np.flatnonzero(np.diff(query, prepend=-1))  # of each passage's cursors
+            size = np.diff(np.append(begin, len(query)))
+            total = np.cumsum(top)
+            reach = np.flatnonzero(total - np.repeat(total[begin] - top[begin], size) >= low)
+            mine, first = np.unique(query[reach], return_index=True)
+            if not len(mine):
+                return
+            live = np.isin(query[begin], mine, assume_unique=True)
+            pivot = block[reach[first]]
+            here = np.repeat(pivot, size[live])
+            keep = np.repeat(live, size)
+            if not keep.all():
+                query, term, at, end, top, block = (v[keep] for v in (query, term, at, end, top, block))
+            row = np.repeat(np.arange(len(mine)), size[live])  # of the passage among those that go on
             behind = np.flatnonzero(block < here)
             at[behind] = np.searchsorted(self.key, term[behind] * self.blocks + here[behind])
             behind = behind[at[behind] < end[behind]]
             block[behind] = self.block[at[behind]]
             stand = np.flatnonzero((block == here) & (at < end))
-            bound = np.bincount(query[stand], self.most[at[stand]], n)
-            scored = stand[bound[query[stand]] >= low]
+            bound = np.bincount(row[stand], self.most[at[stand]], len(mine))
+            scored = stand[bound[row[stand]] >= low]
             if len(scored):
-                edge = np.flatnonzero(np.diff(query[scored], prepend=-1))
+                edge = np.flatnonzero(np.diff(row[scored], prepend=-1))
                 score = np.add.reduceat(self.impact[at[scored]], edge, axis=0)
                 q, j = np.nonzero(score >= low)
-                of = query[scored][edge][q]
-                yield of, pivot[of] * BLOCK + j, score[q, j].astype(np.float64)
+                of = row[scored][edge][q]
+                yield mine[of], pivot[of] * BLOCK + j, score[q, j].astype(np.float64)
             at[stand] += 1
             left = at < end
             query, term, at, end, top = (v[left] for v in (query, term, at, end, top))
 
 
+def _inside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in the ascending y."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+
+
 def search_documents(index: Index, h: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, int]]:
     """(document, item, score, question overlap, answer overlap, first word of the passage), the best passage of each pair."""
     if not len(index.terms) or not len(h):
@@ -193,11 +225,11 @@ def search_documents(index: Index, h: np.ndarray, first: np.ndarray, threshold:
             e = min(s + 2 * step, int(first[d + 1]))
             have[p] = {g: np.unique(windows(h[s:e], g)) for g in range(1, index.gram + 1)} | {0: np.unique(h[s:e])}
         mine, impact = index.exact[item]
-        score = float(impact[np.isin(mine, have[p][0], assume_unique=True)].sum())  # the same whatever else the index has
+        score = float(impact[_inside(mine, have[p][0])].sum())  # the same whatever else the index has
         if score < threshold - 1e-9:
             continue
         # parts of fewer terms than a gram are one gram of that length
-        share = [max(float(np.isin(x, y, assume_unique=True).mean()) for g, y in have[p].items() if g) if len(x) else 1.0 for x in (index.question[item], index.answer[item])]
+        share = [max(np.count_nonzero(_inside(x, y)) / len(x) for g, y in have[p].items() if g) if len(x) else 1.0 for x in (index.question[item], index.answer[item])]
         if min(share) >= overlap and ((d, item) not in best or score > best[d, item][2]):
             best[d, item] = (d, item, score, *share, s - int(first[d]))
     return list(best.values())

@@ -74,6 +74,30 @@ def test_search_is_exact():
         assert np.allclose(full.sum(0), 1, atol=1e-5)  # each item scores 1 against itself
 
 
+def test_search_is_near_linear_in_items():
+    """20 000 items: the same rows as exhaustive scores, and no more than some six times the time of 5000."""
+    import time
+
+    r = random.Random(5)
+    common, rare = [f"w{i}" for i in range(150)], [f"r{i}" for i in range(60_000)]
+    prose = lambda n: " ".join(r.choice(common) if r.random() < 0.6 else r.choice(rare) for _ in range(n))
+    items = [(i, prose(r.randint(5, 60))) for i in range(20_000)]
+    docs = [prose(400) for _ in range(60)] + [prose(50) + " " + items[i][1] + " " + prose(50) for i in range(0, 20_000, 500)]
+    data, off = dc.lowered(pa.array(docs))
+    h, first = dc.terms(data, off)
+    took = []
+    for n in (5_000, 20_000):
+        index = dc.Index(items[:n])
+        began = time.process_time()
+        got = {(d, int(index.ids[i])) for d, i, *_ in dc.search_documents(index, h, first, 0.6, 0.5)}
+        took.append(time.process_time() - began)
+        assert {(60 + k, i) for k, i in enumerate(range(0, n, 500))} <= got
+        exact = {int(index.ids[j]): x for j, x in enumerate(index.exact)}
+        own = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
+        assert all(exact[i][1][np.isin(exact[i][0], own[d])].sum() >= 0.6 - 1e-6 for d, i in got)
+    assert took[1] < 8 * took[0] + 2 and took[1] < 60, took
+
+
 def test_empty(spark, no_docs, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three. four five.")], "item_id long, text string")
