@@ -160,13 +160,22 @@ def threshold(score: np.ndarray, good: np.ndarray, keep_good: float = 0.998) ->
     return at
 
 
-#: No limit on the share of repeated lines is set below this.
-LEAST_LIMIT = 0.3
+#: Features of each forest, and the share of good rows that its threshold keeps: all together, and the share of repeated lines alone, which one feature of six seldom shows.
+SETS = (([0, 1, 2, 3, 4, 5], 0.998), ([5], 1.0))
 
 
-def line_limit(x: np.ndarray, keep_good: float = 0.998) -> float:
-    """The largest share of repeated lines that is kept: what `keep_good` of the good rows (features x) don't exceed, LEAST_LIMIT at least."""
-    return max(LEAST_LIMIT, float(np.quantile(x[:, 5], keep_good, method="higher"))) if len(x) else float("inf")
+class Forests:
+    """A forest for each of SETS, fitted on good rows, each with a threshold from labelled rows that it hasn't seen."""
+
+    def __init__(self, x: np.ndarray, fitted: np.ndarray, good: np.ndarray):
+        wide = margin(x) if len(x) else np.zeros(6)
+        self.each = [Forest(x[fitted][:, s], wide[s]) for s, _ in SETS]
+        self.cut = [threshold(f.score(x[~fitted][:, s]), good[~fitted], keep) for f, (s, keep) in zip(self.each, SETS)]
+
+    def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score of all features, and whether a score reaches its threshold."""
+        scores = [f.score(x[:, s]) if np.isfinite(cut) else np.zeros(len(x)) for f, (s, _), cut in zip(self.each, SETS, self.cut)]
+        return scores[0], np.any([v >= cut for v, cut in zip(scores, self.cut)], axis=0)
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> DataFrame:
@@ -175,8 +184,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> DataF
     The forest is fitted on one half of the labelled rows of good quality, and the threshold is set on the other half
     and on those of bad quality, none of which the forest has seen: about `sample_rows` of them, chosen by a hash of
     doc_id, with those that fail the base rules left out.
-    One feature alone seldom reaches that threshold, so a row is rejected as well if more of its lines are repeats
-    than in the labelled rows of good quality (`line_limit`).
+    A second forest, of the share of repeated lines alone, has a threshold of its own from the same rows; either rejects.
     Without good labelled rows only the base rules count.  A null text has no words and fails them.  Repeated rows
     are judged each for itself, very long texts whole; of several labels of a doc_id the least counts; labels of a null
     doc_id or a null quality aren't used; other columns aren't read.  An empty table gives an empty result.
@@ -197,16 +205,15 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> DataF
     # rows of one text, as they have the same counts, are on the same side
     group = np.unique(c, axis=0, return_inverse=True)[1].reshape(-1) if len(c) else np.zeros(0, np.int64)
     fitted = good & (np.random.default_rng(7).permutation(len(c))[group] % 2 == 0) if len(c) else good
-    forest = Forest(x[fitted], margin(x) if len(x) else 0.0)
-    cut, limit = threshold(forest.score(x[~fitted]), good[~fitted]), line_limit(x[good])
+    forests = Forests(x, fitted, good)
 
     def run(batches):
         for b in batches:
             c = np.stack([b.column(k).to_numpy() for k in COUNTS], 1)
             x = features(c)
-            score = forest.score(x) if np.isfinite(cut) else np.zeros(len(c))
+            score, odd = forests.judge(x)
             failed = base_failed(c)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(failed), pa.array(score), pa.array(~failed & (score < cut) & (x[:, 5] <= limit))], names=[*b.schema.names, "base_failed", "anomaly", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(failed), pa.array(score), pa.array(~failed & ~odd)], names=[*b.schema.names, "base_failed", "anomaly", "kept"])
 
     stats = statistics(docs)
     return stats.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean")
