@@ -135,6 +135,9 @@ ASSERTIONS = {
     "synthesis": r"\b(suggests|implies|most likely|takeaway|conclusion|architecture|design|boundary|tension|distinction|documents|records|assignment|responsibility|paper trail|purpose|payoff|sequence)\b",
 }
 
+# Scores from which a claim is strong, supports, or supports in part; the words of a count of four.
+SUPPORT = {"strong": 0.46, "supports": 0.62, "partly": 0.38, "four": r"(?i)\bfour (?:decisions|documents|records)\b"}
+
 # What a hook of each family must have.
 HOOKS = {
     "MONEY": r"[$£€]|\b(?:budget|funding|funds|cost|financial|allocation|line item)\b",

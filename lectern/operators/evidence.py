@@ -64,6 +64,58 @@ def assertion_rows(assets: DataFrame) -> DataFrame:
     return a.select("content_id", "p.text_section", (F.col("at") + 1).alias("number"), "p.assertion_text", F.format_string("AST-%s-%02d", F.col("content_id").cast("string"), F.col("at") + 1).alias("assertion_id"))
 
 
+#: Types of statements that are drawn from several claims, and claim types that carry a sequence of decisions.
+SYNTHETIC = ["SYNTHESIS", "INFERENCE", "CHRONOLOGY", "CAUSAL", "COMPARATIVE", "RELATIONSHIP"]
+SEQUENTIAL = ["DATE", "TIMELINE", "EXECUTIVE_DECISION", "COMMITTEE_RECOMMENDATION", "AGENCY_ASSIGNMENT"]
+
+
+def supported(assertions: DataFrame, claims: DataFrame, topical: str | None = None) -> DataFrame:
+    """assertion_id, assertion_type, score, support_status, claim_ids, review_required: what the claims of its content say for each assertion.
+
+    assertions: assertion_id, content_id, assertion_text; claims: content_id, seq, claim_id, claim_text, claim_type, support_type.
+    A score is the larger one of the sequence ratio and the share of the assertion's words; up to four claims of `STRONG` or
+    more count, the best first and the earlier among equals.  The first rule that fits gives the status: framing states
+    nothing; a count of four decisions needs four sequential claims; an equal claim supports as it is supported; a score of
+    `SUPPORTS`; a synthetic statement, or one with `topical` vocabulary, over two claims or more is inferred from the first
+    four; a score of `PARTLY`; nothing.
+    """
+    from .diagnostics import assertion_type
+    from .similarity import ratio
+
+    t = fixed.SUPPORT
+    c = claims.select("content_id", "seq", F.col("claim_id").cast("string").alias("claim_id"), "claim_text", "claim_type", "support_type")
+    a = assertions.select("assertion_id", "content_id", "assertion_text", assertion_type(F.col("assertion_text")).alias("assertion_type"))
+    clause, claim = text.alnum(F.col("assertion_text")), text.alnum(F.col("claim_text"))
+    j = a.where("assertion_type <> 'RHETORICAL_NONFACTUAL'").join(c, "content_id")
+    scored = j.withColumn("score", F.greatest(ratio(clause, claim), text.coverage(F.col("assertion_text"), F.col("claim_text")))).withColumn("exact", clause == claim)
+    row = F.struct((-F.col("score")).alias("rank"), "seq", "claim_id", "support_type", "claim_type", "exact")
+    per = scored.groupBy("assertion_id").agg(F.array_sort(F.collect_list(row)).alias("best"))  # the claims of one content
+    x = a.join(per, "assertion_id", "left").withColumn("best", F.coalesce("best", F.array().cast(per.schema["best"].dataType)))
+    by_seq = F.array_sort(F.transform("best", lambda b: F.struct(b["seq"].alias("seq"), b["claim_id"].alias("claim_id"), b["support_type"].alias("support_type"), b["claim_type"].alias("claim_type"), b["exact"].alias("exact"))))
+    x = x.withColumn("allowed", by_seq).withColumn("score", F.coalesce(-F.get("best", F.lit(0))["rank"], F.lit(0.0)))
+    strong = F.slice(F.filter("best", lambda b: -b["rank"] >= t["strong"]), 1, 4)
+    sequential, exact = F.filter("allowed", lambda b: b["claim_type"].isin(SEQUENTIAL)), F.filter("allowed", lambda b: b["exact"])
+    four = F.col("assertion_text").rlike(t["four"])
+    several = F.size("allowed") >= 2
+    synthetic = F.col("assertion_type").isin(SYNTHETIC)
+    topic = F.col("assertion_text").rlike(topical) if topical else F.lit(False)
+    first_direct = F.get("best", F.lit(0))["support_type"] == "DIRECT"
+    inferred = (F.col("score") < t["supports"]) & several & (synthetic | topic)
+    status = (
+        F.when(F.col("assertion_type") == "RHETORICAL_NONFACTUAL", "NONFACTUAL_FRAMING")
+        .when(four & (F.size(sequential) < 4), F.when(F.size(sequential) > 0, "PARTIALLY_SUPPORTED").otherwise("UNSUPPORTED"))
+        .when(F.size(exact) > 0, F.when(F.get(exact, F.lit(0))["support_type"] == "DIRECT", "SUPPORTED").otherwise("PARTIALLY_SUPPORTED"))
+        .when(F.col("score") >= t["supports"], F.when(synthetic, "INFERENCE_SUPPORTED").when(first_direct, "SUPPORTED").otherwise("PARTIALLY_SUPPORTED"))
+        .when(inferred, "INFERENCE_SUPPORTED").when(F.col("score") >= t["partly"], "PARTIALLY_SUPPORTED").otherwise("UNSUPPORTED")
+    )
+    ids = lambda xs: F.transform(xs, lambda b: b["claim_id"])
+    lone = F.when((F.size(strong) == 0) & (F.col("status") == "PARTIALLY_SUPPORTED"), ids(F.slice("best", 1, 1))).otherwise(ids(strong))
+    mapped = F.when(F.col("status") == "NONFACTUAL_FRAMING", F.array().cast("array<string>")).when(four & (F.size(sequential) < 4), ids(sequential)).when(F.size(exact) > 0, ids(exact)).when(inferred, ids(F.slice("allowed", 1, 4))).otherwise(lone)
+    kind = F.when(~synthetic & inferred & ~(four & (F.size(sequential) < 4)) & (F.size(exact) == 0), "SYNTHESIS").otherwise(F.col("assertion_type"))
+    review = F.when(F.col("status").isin("PARTIALLY_SUPPORTED", "INFERENCE_SUPPORTED", "UNSUPPORTED"), "YES").otherwise("NO")
+    return x.withColumn("status", status).select("assertion_id", kind.alias("assertion_type"), F.round("score", 3).alias("score"), F.col("status").alias("support_status"), F.array_join(mapped, "|").alias("claim_ids"), review.alias("review_required"))
+
+
 def claims_of(assertions: DataFrame, claims: DataFrame) -> DataFrame:
     """assertion_id, claim_id, claim_text: the claims that assertions (assertion_id, claim_ids joined by a pipe) name, each once."""
     named = assertions.select("assertion_id", F.explode(F.array_distinct(F.transform(F.split("claim_ids", r"\|"), lambda x: F.trim(x)))).alias("claim_id")).where("claim_id <> ''")

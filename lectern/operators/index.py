@@ -94,6 +94,34 @@ class Index:
         return self.served("postings").where("words = 1").join(terms, ["bucket", "term"]).select(*CHUNK).distinct()
 
 
+    def fit(self, k: int = 128, limit: int = 30000) -> None:
+        """Latent vectors of the served chunks, for this generation: `vectors` of the chunks and `basis` of the terms."""
+        from . import vectors
+        from .retrieval import fit_lsa
+
+        c = self.chunks().select(F.struct("canonical_url", "chunk").alias("key"), F.format_string("%s. %s. %s", "title", "section", "text").alias("text"))
+        made = fit_lsa(c, "key", F.col("text"), k, limit)
+        at = f"generation={self.generation}"
+        made.vectors().write.mode("overwrite").parquet(f"{self.path}/vectors/{at}")
+        known: vectors.Vocabulary = made.model.vocabulary
+        rows = [(t, int(d), v.tolist()) for t, d, v in zip(known.terms, known.df, made.model.basis)]  # a row for each term of a bounded vocabulary
+        self.spark.createDataFrame(rows, "term string, df long, vector array<double>").withColumn("n", F.lit(known.n)).write.mode("overwrite").parquet(f"{self.path}/basis/{at}")
+
+    def latent(self):
+        """What `fit` left for this generation, as an `Lsa` by (article, start); None if it wasn't run."""
+        import numpy as np
+
+        from . import retrieval, vectors
+
+        basis, own = self._read("basis", None), self._read("vectors", None)
+        rows = basis.where(F.col("generation") == self.generation).orderBy("term").collect() if basis is not None else []
+        if not rows:
+            return None
+        known = vectors.Vocabulary([r["term"] for r in rows], np.array([r["df"] for r in rows], np.float64), rows[0]["n"], fixed.SEARCH_STOP)
+        own = own.where(F.col("generation") == self.generation).select(F.col("canonical_url").alias("article"), F.col("chunk").alias("start"), "vector")
+        return retrieval.Lsa(vectors.Latent(known, np.array([r["vector"] for r in rows], np.float32)), own)
+
+
 def _digest() -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("canonical_url", "title", "content_hash", "content_status")]), 256)
 

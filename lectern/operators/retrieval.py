@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, search, text, urls
+from ..sources import sinks
+from . import vectors
 
 
 def _any(hay: Column, words: list[str]) -> Column:
@@ -49,7 +51,7 @@ def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None
     outside = F.array_join(F.transform(F.filter("links", lambda l: l["kind"] != "internal_article"), lambda l: l["anchor"]), " ")
     hits = search.without_contained(F.array_compact(F.array(*[F.when(F.contains("hay", F.lit(x)), x) for x in concepts])) if concepts else F.array().cast("array<string>"))
     c = c.withColumn("tokens", F.array_distinct("all")).select(
-        "article", "start", "status", "links", "tokens", hits.alias("hits"), F.size("all").cast("long").alias("dl"),
+        "article", "start", "status", "links", hits.alias("hits"), F.size("all").cast("long").alias("dl"),
         F.array(*[F.size(F.filter("all", search._same(t))).cast("double") for t in terms]).alias("tf") if terms else F.array().cast("array<double>").alias("tf"),
         F.array(*[F.contains("hay", F.lit(p)) for p in phrases]).alias("has") if phrases else F.array().cast("array<boolean>").alias("has"),
         F.array(*[F.contains("title_", F.lit(p)) for p in phrases]).alias("in_title") if phrases else F.array().cast("array<boolean>").alias("in_title"),
@@ -58,6 +60,7 @@ def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None
         (F.size(F.array_intersect(F.array_distinct(text.search_tokens(F.col("head"))), F.lit(basis or [""]))) / max(1, len(basis))).alias("title"),
         search.anchor_score(outside, basis, phrases).alias("anchor"),
     )
+    c = sinks.scratch(c)  # counts, not tokens; read for the corpus' numbers, for the largest score and for the signals
     seed = [F.max(F.col("direct") & F.array_contains("infra_hits", t)).alias(f"s{i}") for i, t in enumerate(fixed.INFRASTRUCTURE_TERMS)]
     counts = [*[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))], *[F.count_if(F.col("has")[i]).alias(f"p{i}") for i in range(len(phrases))]]
     row = c.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *counts, *seed).first()
@@ -89,7 +92,7 @@ def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None
 
 def retrieve(chunks: DataFrame, query: str, concepts: list[str], limit: int, least: float, lsa: "Lsa | None" = None, corpus: dict | None = None) -> DataFrame:
     """article, score, tier of the best articles for a query, by the `signals` of their chunks."""
-    s = signals(chunks, query, concepts, lsa, corpus).drop("links")
+    s = sinks.scratch(signals(chunks, query, concepts, lsa, corpus).drop("links"))  # so that filters on tier and score read plain columns
     scored = s.withColumn("tier", search.tier()).where("tier IS NOT NULL").withColumn("score", search.tier_score(F.col("tier"))).where("score > 0")
     capped = scored.orderBy(F.col("score").desc(), "article", "start").limit(max(limit * 10, 50))
     tiers = capped.groupBy("article").agg(F.max_by("tier", "score").alias("tier"), F.max_by("status", "score").alias("status"))
@@ -117,8 +120,8 @@ def anchor_word(phrase: str) -> tuple[str, str] | None:
     return max(best, key=lambda x: (x[0] == "equals", len(x[1])), default=None)
 
 
-def retrieve_indexed(index, query: str, concepts: list[str], limit: int, least: float, lsa: "Lsa | None" = None) -> DataFrame:
-    """`retrieve` over the chunks that an `index.Index` serves, by its postings.
+def retrieve_indexed(index, query: str, concepts: list[str], limit: int, least: float) -> DataFrame:
+    """`retrieve` over the chunks that an `index.Index` serves, by its postings, and by its vectors if it has any.
 
     No tier is without an entity, a concept or an infrastructure term, so only chunks with one of these, or with a phrase (to
     count it), are read; terms' document counts and the largest lexical score come from the postings of the query's terms.
@@ -139,7 +142,7 @@ def retrieve_indexed(index, query: str, concepts: list[str], limit: int, least:
         found = index.with_words([*dict.fromkeys(wanted), *(("equals", t) for t in fixed.INFRASTRUCTURE_TERMS)])
         chunks = chunks.join(found, ["canonical_url", "chunk"], "left_semi")
     c = chunks.select(F.col("canonical_url").alias("article"), F.col("chunk").alias("start"), "title", "section", "text", "status", "links")
-    return retrieve(c, query, concepts, limit, least, lsa, {"n": n, "mean": mean, "df": df, "top": top or 0.0})
+    return retrieve(c, query, concepts, limit, least, index.latent(), {"n": n, "mean": mean, "df": df, "top": top or 0.0})
 
 
 def internal_links(memories: DataFrame, articles: DataFrame, key: str = "article") -> DataFrame:
@@ -176,40 +179,15 @@ def voice_passages(paragraphs: DataFrame, query: str, most_each: int = 2, most:
 class Lsa:
     """Latent vectors of texts, and the projection of a query on them."""
 
-    def __init__(self, rows: DataFrame, key: str, kind: str, place: dict[str, int], idf: dict[str, float], basis):
-        self.rows, self.key, self.kind, self.place, self.idf, self.basis = rows, key, kind, place, idf, basis
+    def __init__(self, model: vectors.Latent, of_texts: DataFrame):
+        self.model, self.of_texts = model, of_texts
 
     def vectors(self) -> DataFrame:
-        """key (its fields, if it is a struct) and vector."""
-        import numpy as np
-        import pandas as pd
-
-        basis, key = self.basis, self.key
-
-        def project(batches):
-            for b in batches:
-                out = []
-                for i, x in zip(b["i"], b["w"]):
-                    v = x @ basis[i]
-                    norm = np.linalg.norm(v)
-                    out.append((v / norm if norm else v).tolist())
-                yield pd.DataFrame({key: b[key], "vector": out})
-
-        out = self.rows.mapInPandas(project, f"{key} {self.kind}, vector array<double>")
-        return out.select(f"{key}.*", "vector") if self.kind.startswith("struct") else out
+        """The texts' key (its fields, if it is a struct) and vector."""
+        return self.of_texts
 
     def query(self, query: str) -> list[float]:
-        """A query's vector, of length 1; zeros without a known term."""
-        import re
-        from collections import Counter
-
-        import numpy as np
-
-        tokens = [t.lower() for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9_.&'-]{1,}", query)]
-        tf = Counter(t for t in tokens if t in self.place)
-        v = sum(((1 + math.log(n)) * self.idf[t] * self.basis[self.place[t]] for t, n in tf.items()), np.zeros(self.basis.shape[1]))
-        norm = np.linalg.norm(v)
-        return (v / norm if norm else v).tolist()
+        return self.model.query(query)
 
 
 def lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> DataFrame:
@@ -217,55 +195,9 @@ def lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> Data
     return fit_lsa(texts, key, of, k, most_terms).vectors()
 
 
-def fit_lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int) -> Lsa:
-    """TF-IDF rows over the most frequent terms, to be projected on the k first singular vectors.
-
-    Subspace iteration: each step multiplies k + 10 directions by the rows and by their transpose, so a task holds
-    most_terms x (k + 10) numbers, and so does the driver, whatever the number of texts.  As many directions as there
-    are terms give the exact result.  k is less than the number of texts and that of terms.
-    """
-    import numpy as np
-    import pandas as pd
-
-    context, n = texts.sparkSession.sparkContext, texts.count()
-    cores = max(1, context.defaultParallelism)  # so many sums are exchanged a step
-    posted = search.postings(texts, key, text.search_tokens(of))
-    top = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term").limit(most_terms)
-    kept = top.collect()  # most_terms rows at most
-    place = texts.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(kept)], "term string, i int")
-    m = len(kept)
-    k = max(1, min(k, n - 1, m - 1))
-    w = search.tfidf(posted.join(F.broadcast(place.select("term")), "term"), key, n)
-    rows = w.join(F.broadcast(place), "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).coalesce(cores).persist()
-    width, part = min(k + 10, m), 1000
-
-    def times(basis):
-        """The rows' transpose times the rows times the basis."""
-
-        shape, sent = basis.shape, context.broadcast(basis.astype(np.float32))
-
-        def run(batches):
-            total = np.zeros(shape)
-            for b in batches:
-                for i, x in zip(b["i"], b["w"]):
-                    total[i] += np.outer(x, x @ sent.value[i])
-            yield pd.DataFrame({"part": range(0, m, part), "z": [total[a : a + part].astype(np.float32).tobytes() for a in range(0, m, part)]})
-
-        def add(frame):
-            return pd.DataFrame({"part": frame["part"][:1], "z": [sum(np.frombuffer(z, np.float32).astype(float) for z in frame["z"]).tobytes()]})
-
-        out = np.zeros(shape)
-        for r in rows.select("i", "w").mapInPandas(run, "part int, z binary").groupBy("part").applyInPandas(add, "part int, z binary").collect():
-            out[r["part"] : r["part"] + part] = np.frombuffer(r["z"]).reshape(-1, shape[1])
-        sent.destroy()
-        return out
-
-    basis = np.linalg.qr(np.random.default_rng(42).normal(size=(m, width)))[0] if m else np.zeros((0, 0))
-    for _ in range(5 if 0 < width < m else 0):
-        basis = np.linalg.qr(times(basis))[0]
-    if m:
-        values, vectors = np.linalg.eigh(basis.T @ times(basis))
-        basis = basis @ vectors[:, np.argsort(-values)[:k]]
-
-    idf = {r["term"]: math.log((1.0 + n) / (1 + r["df"])) + 1 for r in kept}
-    return Lsa(rows, key, texts.schema[key].dataType.simpleString(), {r["term"]: i for i, r in enumerate(kept)}, idf, basis)
+def fit_lsa(texts: DataFrame, key: str, of: Column, k: int, most_terms: int, most_df: float = 0.98) -> Lsa:
+    """Vectors by the k first singular vectors of TF-IDF rows over the most frequent runs of 1 to 3 words; the rows are written once."""
+    known = vectors.vocabulary(texts, of, most_terms, most_df=most_df if texts.count() >= 3 else 1.0)
+    rows = sinks.scratch(known.vectors(texts, key, of))
+    model = vectors.latent(rows, known, k)
+    return Lsa(model, model.project(rows, key))

@@ -30,19 +30,27 @@ def fingerprints(docs: DataFrame, key: str, parts: Column, least: int = 40) -> D
     return p.where(F.col("n") >= least).groupBy(key, "paragraph").agg(F.sum("n").alias("words"))
 
 
+#: The characters of normalised texts.
+SYMBOLS = " abcdefghijklmnopqrstuvwxyz0123456789"
+
+
 def similar_pairs(assets: DataFrame, threshold: float = 0.82, group: str | None = None) -> DataFrame:
     """content_id_a, content_id_b, similarity of assets (content_id, pos, copy, reuse_policy) with a ratio of the threshold or more.
 
     The ratio is at most 2 min / (sum of lengths), so only pairs in reach by length are compared: both sides are
-    joined on length buckets a factor 1 / (2 / threshold - 1) wide, their own and the next.  `group` keeps apart what
+    joined on length buckets a factor 1 / (2 / threshold - 1) wide, their own and the next.  Nor is the ratio above twice the
+    characters that both have, as a multiset, over the sum of lengths; so only pairs within that bound reach Python.  `group` keeps apart what
     is never compared.
     """
     reach = 2 / threshold - 1  # a longer text has at most this many times the shorter's length
     a = assets.where("coalesce(reuse_policy, '') <> 'CROSS_PLATFORM_REUSE'").select("content_id", "pos", text.alnum(F.col("copy")).alias("t"), *([group] if group else []))
-    a = a.withColumn("len", F.length("t")).withColumn("bucket", F.floor(F.log(F.greatest(F.lit(1), F.col("len")).cast("double")) / F.log(F.lit(reach))))
+    counts = F.array(*[F.length("t") - F.length(F.replace("t", F.lit(c), F.lit(""))) for c in SYMBOLS])
+    a = a.withColumn("len", F.length("t")).withColumn("counts", counts).withColumn("bucket", F.floor(F.log(F.greatest(F.lit(1), F.col("len")).cast("double")) / F.log(F.lit(reach))))
     keys = ["bucket"] + ([group] if group else [])
-    left = a.select(*[F.col(c).alias(f"{c}_a") for c in ("content_id", "pos", "t", "len")], F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), *([group] if group else []))
+    left = a.select(*[F.col(c).alias(f"{c}_a") for c in ("content_id", "pos", "t", "len", "counts")], F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), *([group] if group else []))
     j = left.join(a, keys).where((F.col("pos_a") < F.col("pos")) & (2 * F.least("len_a", "len") >= threshold * (F.col("len_a") + F.col("len"))))
+    shared = F.aggregate(F.zip_with("counts_a", "counts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    j = j.where(2 * shared >= threshold * (F.col("len_a") + F.col("len"))).select(*keys, "content_id_a", "content_id", "t_a", "t")
     return j.withColumn("similarity", ratio("t_a", "t")).where(F.col("similarity") >= threshold).select(F.col("content_id_a"), F.col("content_id").alias("content_id_b"), F.round("similarity", 3).alias("similarity"))
 
 
@@ -131,6 +139,63 @@ def best_claims(assertions: DataFrame, claims: DataFrame, supported: float = 0.5
     return best.select("assertion_id", F.when(F.col("score") >= partial, F.col("claim_id")).alias("claim_id"), F.round("score", 3).alias("score"), status.alias("support_status"))
 
 
+#: Gold titles that one automaton is made of; more take a pass for each so many.
+GOLD_SHARD = 5000
+
+
+def gold_titles(rows: DataFrame, gold: DataFrame) -> DataFrame:
+    """row_id and gold of rows (row_id, title): whether a title holds a gold title (title), or stands in one, or has three
+    of its words and half of them; titles are compared as `text.title_key`.
+
+    Containment either way: gold titles are dealt to shards of GOLD_SHARD, each an automaton of its titles and the sorted
+    ends of these, in which a title that stands in one begins an end.  Shared words: rows meet gold titles on the rarest
+    words that any match must have one of, and only these pairs are counted.
+    """
+    g = gold.select(text.title_key(F.col("title")).alias("g")).where("g <> ''").distinct()
+    r = rows.select("row_id", text.title_key(F.coalesce("title", F.lit(""))).alias("t"))
+    shards, n = [], g.count()
+    for k in range(-(-n // GOLD_SHARD)):
+        part = g.where(F.pmod(F.xxhash64("g"), F.lit(-(-n // GOLD_SHARD))) == k)
+        held = _held([x.g for x in part.collect()])  # some GOLD_SHARD titles
+        shards.append(r.mapInPandas(held, f"row_id {rows.schema['row_id'].dataType.simpleString()}"))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    gw = g.select("g", words("g").alias("w")).where("size(w) >= 3").withColumn("need", F.greatest(F.lit(3), F.ceil(F.size("w") / 2)))
+    df = gw.select(F.explode_outer("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    each = gw.select("g", "w", "need", F.explode_outer("w").alias("word")).join(df, "word")
+    ordered = each.groupBy("g").agg(F.first("need").alias("need"), F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
+    probes = ordered.select("g", "w", "need", F.explode_outer(F.transform(F.slice("o", F.lit(1), F.size("o") - F.col("need").cast("int") + 1), lambda x: x["word"])).alias("word"))
+    own = r.select("row_id", words("t").alias("own"))
+    near = own.select("row_id", "own", F.explode_outer("own").alias("word")).join(probes, "word").where(F.size(F.array_intersect("own", "w")) >= F.col("need")).select("row_id")
+    found = near
+    for x in shards:
+        found = found.unionByName(x)
+    return rows.select("row_id").join(found.distinct().withColumn("gold_", F.lit(True)), "row_id", "left").select("row_id", F.coalesce("gold_", F.lit(False)).alias("gold"))
+
+
+def _held(titles: list[str]):
+    def run(batches):
+        import bisect
+
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t in titles:
+            automaton.add_word(t, True)
+        automaton.make_automaton()
+        ends = sorted({t[i:] for t in titles for i in range(len(t))})
+
+        def match(t: str) -> bool:
+            if next(iter(automaton.iter(t)), None):
+                return True
+            at = bisect.bisect_left(ends, t)
+            return at < len(ends) and ends[at].startswith(t)
+
+        for frame in batches:
+            yield frame.loc[[match(t) for t in frame["t"]], ["row_id"]]
+
+    return run
+
+
 def best_titles(gold: DataFrame, rows: DataFrame, least: float = 0.4) -> DataFrame:
     """Each gold title with the one row whose title has most of its tokens, if that is `least` of them.
 

@@ -139,6 +139,25 @@ def stratified(df: DataFrame, group: str, order: list[Column], groups: int) -> D
     return first_by(df, [F.col(group)], *order).orderBy(group).limit(groups)
 
 
+def examples(rows: DataFrame, key: str, first: tuple[str, list[str]], then: tuple[str, list[str]], by: str, limit: int = 6) -> DataFrame:
+    """`limit` rows in order: for each value of one column its largest row (by a number; by key among equals), then for each
+    value of another its largest row that isn't picked, then the largest of the rest. first, then: (column, values in order).
+
+    Each step is a maximum for each value; what is sorted is the picks and the `limit` largest rows.
+    """
+    big, row = F.struct(F.col(by), (-F.col(key)).alias("k")), F.struct(*rows.columns)
+
+    def picks(df: DataFrame, column: str, values: list[str], step: int) -> DataFrame:
+        best = df.where(F.col(column).isin(values)).groupBy(column).agg(F.max_by(row, big).alias("r"))
+        return best.select(F.lit(step).alias("step"), F.array_position(F.lit(values), F.col(column)).alias("at"), "r.*")
+
+    one = picks(rows, *first, 0)
+    two = picks(rows.join(F.broadcast(one.select(key)), key, "left_anti").select(rows.columns), *then, 1)  # a row for each value
+    picked = one.unionByName(two)
+    rest = rows.join(F.broadcast(picked.select(key)), key, "left_anti").select(F.lit(2).alias("step"), F.lit(0).cast("long").alias("at"), *rows.columns).orderBy(F.col(by).desc(), key).limit(limit)
+    return picked.unionByName(rest).orderBy("step", "at", F.col(by).desc(), key).limit(limit).drop("step", "at")
+
+
 def first_by(df: DataFrame, keys: list[Column], *order: Column) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 from ..operators import articles, blocks, diagnostics, index, rules, store
 from ..sources import readers, sinks
 from .registry import query
+from .scalar_queries import SEARCH, words
 from .text_queries import _md
 
 @query("SELECT page_id, unnest([url, 'http://a.org/?x=1&y=2']) AS loc FROM pages")
@@ -105,9 +106,23 @@ def snk15_tvf01_chunks(t):
     return index.chunked(a).select("canonical_url", "section", "start", F.md5("text").alias("digest"), F.size("links").alias("n_links"))
 
 
-@query()
+_LIST = {k: words(v) for k, v in (("junk", [*fixed.GENERIC_TERMS, *fixed.CONCEPT_JUNK]), ("hard", fixed.CONCEPT_HARD_JUNK), ("infra", fixed.INFRASTRUCTURE_TERMS))}
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {SEARCH} AS t, contains(lower(text), 'ention') AS seed FROM documents), n AS (SELECT count(*) AS n, greatest(1, count(*) FILTER (WHERE seed))::DOUBLE AS s FROM d), "
+    "g AS (SELECT doc_id, seed, unnest(t) AS term FROM d UNION SELECT doc_id, seed, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d UNION SELECT doc_id, seed, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM d), "
+    "f AS (SELECT term, string_split(term, ' ') AS w, count(*) AS df, count(*) FILTER (WHERE seed) AS k, regexp_matches(term, '[0-9]') AS digit FROM g GROUP BY term), "
+    f"r AS (SELECT *, len(list_filter(w, lambda x: list_contains({_LIST['infra']}, x))) AS infra FROM f WHERE k > 0), "
+    f"c AS (SELECT term, k / s * least(3.0, ln((n + 1.0) / (df + 1.0)) + 1) * (1.0 + 0.42 * least(2, len(w) - 1)) * (CASE WHEN infra > 0 THEN 1.15 ELSE 1.0 END + CASE WHEN digit THEN 0.15 ELSE 0.0 END) AS score FROM r, n WHERE length(term) >= 3 AND NOT list_has_any(w, ['ention', 'surveillance']) AND "
+    f"CASE WHEN len(w) = 1 THEN NOT list_contains({_LIST['junk']}, term) AND (infra > 0 OR digit OR (length(term) <= 6 AND regexp_matches(term, '^[a-z]+$') AND df <= 0.10 * n) OR (length(term) >= 7 AND df <= 0.14 * n)) "
+    f"ELSE len(list_filter(w, lambda x: NOT list_contains({_LIST['junk']}, x))) > 0 AND NOT list_has_any(w, {_LIST['hard']}) AND (len(w) = 2 OR infra >= 2 OR digit) END), "
+    "b AS (SELECT term, row_number() OVER (ORDER BY score DESC, term DESC) AS pos FROM c QUALIFY pos <= 72), "
+    "k AS (SELECT term, pos FROM b WHERE contains(term, ' ') OR NOT EXISTS (SELECT 1 FROM b e WHERE e.pos < b.pos AND contains(e.term, b.term))) "
+    "SELECT (row_number() OVER (ORDER BY pos) - 1)::INT AS rank, term AS concept FROM k QUALIFY rank < 18"
+)
 def txt09_srt11_concepts(t):
-    names = index.expanded_concepts(t.documents, "doc_id", "text", ["of the"], "Of The surveillance")
+    names = index.expanded_concepts(t.documents, "doc_id", "text", ["ention"], "ention surveillance")
     return t.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rank int, concept string")
 
 

@@ -311,6 +311,17 @@ def snk12_refreshed(t):
     return kept.select(F.col("canonical_url").alias("k"), "state").unionByName(left.select(F.col("canonical_url").alias("k"), F.lit("error").alias("state")))
 
 
+@query(
+    "WITH u AS (SELECT doc_id, source, lang, n_chars FROM documents), one AS (SELECT 0 AS step, list_position(['src1', 'src0', 'src9999'], source) AS pos, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM u WHERE source IN ('src1', 'src0', 'src9999')) WHERE rn = 1), "
+    "two AS (SELECT 1, list_position(['fr', 'en', 'de'], lang), doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM u WHERE lang IN ('fr', 'en', 'de') AND doc_id NOT IN (SELECT doc_id FROM one)) WHERE rn = 1), "
+    "p AS (SELECT * FROM one UNION ALL SELECT * FROM two), e AS (SELECT * FROM p UNION ALL SELECT 2, 0, doc_id FROM u WHERE doc_id NOT IN (SELECT doc_id FROM p)) "
+    "SELECT doc_id, source, lang FROM e JOIN u USING (doc_id) ORDER BY step, pos, n_chars DESC, doc_id LIMIT 9"
+)
+def srt09_examples(t):
+    d = t.documents.select("doc_id", "source", "lang", "n_chars")
+    return store.examples(d, "doc_id", ("source", ["src1", "src0", "src9999"]), ("lang", ["fr", "en", "de"]), "n_chars", 9).drop("n_chars")
+
+
 @query("SELECT source, min(doc_id) AS doc_id FROM (SELECT source, doc_id, n_chars, max(n_chars) OVER (PARTITION BY source) AS m FROM documents) WHERE n_chars = m GROUP BY source ORDER BY source LIMIT 6")
 def srt09_stratified(t):
     return store.stratified(t.documents.select("source", "doc_id", "n_chars"), "source", [F.col("n_chars").desc(), F.col("doc_id")], 6).select("source", "doc_id")

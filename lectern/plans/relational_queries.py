@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import search, text
+from ..functions import fixed, search, text
 from ..operators import rules, store
 from .registry import query
-from .scalar_queries import ALNUM, SEARCH
+from .scalar_queries import ALNUM, SEARCH, words
 
 
 _TOP = """WITH d AS (SELECT doc_id, {tok} AS toks FROM documents), q AS (SELECT unnest(['the', 'ention', 'thing', 'enches', 'thing']) AS term),
@@ -45,6 +45,24 @@ def txt01_agg05_tfidf_terms(t):
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 5).alias("top"), F.round(F.sum("weight"), 3).alias("total"))
 
 
+_GRAMS = "SELECT doc_id, unnest(t) AS term FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM d"
+
+
+@query(
+    "WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}'), lambda w: NOT list_contains(" + words(fixed.SEARCH_STOP) + f", w)) AS t FROM documents), g AS ({_GRAMS}), "
+    "c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM c GROUP BY term), v AS (SELECT term, df FROM f WHERE df BETWEEN 2 AND 0.98 * (SELECT count(*) FROM d) ORDER BY tf DESC, term LIMIT 30000), "
+    "w AS (SELECT doc_id, (1 + ln(c.tf)) * (ln((1.0 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term)), n AS (SELECT doc_id, count(*)::BIGINT AS n_terms, max(w) AS m, sum(w) AS s, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id) "
+    "SELECT doc_id, coalesce(n_terms, 0)::BIGINT AS n_terms, round(coalesce(m / norm, 0), 5) AS top, round(coalesce(s / norm, 0), 3) AS total FROM d LEFT JOIN n USING (doc_id)"
+)
+def txt01_ngram_vectors(t):
+    from ..operators import vectors
+
+    known = vectors.vocabulary(t.documents, F.col("text"), 30000, 2, 0.98)
+    v = known.vectors(t.documents, "doc_id", F.col("text"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    return v.select("doc_id", F.size("i").cast("long").alias("n_terms"), F.round(F.coalesce(F.array_max("w"), F.lit(0.0)), 5).alias("top"), F.round(total, 3).alias("total"))
+
+
 PHRASES = ["the attion", "thanedble the", "of the", "eriner thanea"]
 
 

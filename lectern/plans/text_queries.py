@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import search, text
 from ..operators import blocks, evidence, similarity
 from .registry import query
+from .scalar_queries import ALNUM
 
 #: A document as Markdown: its lines as blank-line blocks under a heading each three, with a link and a mark.
 MARKDOWN = "concat('# ', substring(text, 1, 25), chr(10), chr(10), replace(text, chr(10), concat(chr(10), chr(10))), chr(10), chr(10), '## More', chr(10), '[see ', source, '](https://e.org/p/', doc_id, ') [[EV-0001]] it', chr(10), '- item')"
@@ -72,10 +73,37 @@ def agg19_tvf16_sentence_marks(t):
 
 @query()
 def jon13_sequence_similarity(t):
-    a = t.benchmark.select(F.col("item_id").alias("content_id"), F.col("item_id").alias("pos"), F.col("text").alias("copy"), F.lit(None).cast("string").alias("reuse_policy"))
+    b = t.benchmark.select(F.col("item_id").alias("content_id"), F.col("text").alias("copy"))
+    edited = b.where("content_id % 3 = 0").select((F.col("content_id") + 1_000_000).alias("content_id"), F.concat(F.regexp_replace("copy", r" (\w+) (\w+)\.", " $2 $1."), F.lit(" Read on.")).alias("copy"))
+    a = b.unionByName(edited).select("content_id", F.col("content_id").alias("pos"), "copy", F.lit(None).cast("string").alias("reuse_policy"))
     return similarity.similar_pairs(a)
 
 
+_KEY = ALNUM.format("regexp_replace(lower({}), '[''’]s', '', 'g')")
+
+
+@query(
+    f"WITH g AS (SELECT DISTINCT {_KEY.format('text')} AS g FROM benchmark), r AS (SELECT doc_id AS row_id, {_KEY.format('text')} AS t FROM documents), w AS (SELECT g, list_distinct(string_split(g, ' ')) AS w FROM g WHERE g <> ''), "
+    "o AS (SELECT row_id, t, list_distinct(string_split(t, ' ')) AS own FROM r) "
+    "SELECT row_id, bool_or(contains(t, g) OR contains(g, t) OR (len(list_intersect(own, w)) >= 3 AND len(list_intersect(own, w)) / len(w) >= 0.5)) AS gold FROM o, w GROUP BY row_id"
+)
+def prj13_gold_titles(t):
+    return similarity.gold_titles(t.documents.select(F.col("doc_id").alias("row_id"), F.col("text").alias("title")), t.benchmark.select(F.col("text").alias("title")))
+
+
+@query()
+def tvf18_supported(t):
+    """Clauses of conversation turns against the other turns of their conversation, as claims of several types."""
+    from ..operators import evidence
+
+    c = t.conversations
+    a = evidence.assertion_rows(c.select(F.format_string("%d-%d", "conv_id", "turn").alias("content_id"), F.col("text").alias("body_copy"), F.lit("Read on. The four records show it").alias("cta_text")))
+    a = a.select("assertion_id", "assertion_text", F.split("content_id", "-")[0].alias("content_id"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("DATE", "TIMELINE", "MONEY", "QUOTATION")]), (F.col("turn") % 4 + 1).cast("int"))
+    claims = c.select(F.col("conv_id").cast("string").alias("content_id"), F.col("turn").alias("seq"), F.format_string("C%d", "turn").alias("claim_id"), F.element_at(F.split("text", "[.!?]"), 1).alias("claim_text"), kinds.alias("claim_type"), F.when(F.col("turn") % 3 == 0, "INFERENTIAL").otherwise("DIRECT").alias("support_type"))
+    return evidence.supported(a, claims, r"(?i)\b(?:memo|funding)\b")
+
+
 @query()
 def jon18_assertion_to_claim(t):
     a = t.benchmark.select("item_id", F.explode(text.sentences(F.col("text"))).alias("assertion_text"))
@@ -100,9 +128,9 @@ def agg14_agg16_entities(t):
     return t.documents.select("doc_id", F.explode(similarity.entities(F.col("text"))).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT doc_id, k AS page, trim(split_part(replace(text, chr(10), chr(12)), chr(12), k)) AS text FROM documents, (SELECT unnest([1, 2]) AS k) WHERE len(string_split(text, chr(10))) >= 2")
+@query(r"SELECT doc_id, k AS page, CASE WHEN k <= len(string_split(text, chr(10))) THEN trim(split_part(text, chr(10), k)) END AS text FROM documents, (SELECT unnest([1, 2]) AS k)")
 def src33_tvf22_pages(t):
-    d = t.documents.where(F.size(F.split("text", "\n")) >= 2).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("p"))
+    d = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("p"))
     return blocks.pages_of(d, "doc_id", "p", "1-2").select("doc_id", "page", "text")
 
 
@@ -127,8 +155,34 @@ def tvf06_authored_paragraphs(t):
 def txt14_prj12_hybrid_retrieval(t):
     from ..operators.retrieval import retrieve
 
-    chunks = blocks.word_windows(t.documents, "doc_id", F.col("text")).select(F.col("doc_id").alias("article"), "start", F.col("piece").alias("text"), F.lit("").alias("title"), F.lit("full").alias("status"))
-    return retrieve(chunks, "Of The ention surveillance thing", ["ention", "thing", "the attion"], 10, 0.0)
+    return retrieve(_topical(t), RETRIEVED, ["license plate", "infrared sensor"], 20, 0.0)
+
+
+RETRIEVED = "Marlow Security ention camera tracking"
+
+
+def _topical(t):
+    """Chunks of all documents; by the number of a document, a sentence follows its text that names a company, or a topic's vocabulary."""
+    k = F.col("doc_id") % 10
+    more = F.when(F.col("doc_id") % 50 == 3, " Marlow Security sells cameras with an infrared sensor for roads.").when(k == 5, " police database of license plate reader sightings, an infrared sensor.").when(k == 7, " tracking and vehicle movement and location of ention").otherwise("")
+    w = blocks.word_windows(t.documents.select("doc_id", F.concat("text", more).alias("text")), "doc_id", F.col("text"))
+    return w.select(F.col("doc_id").alias("article"), "start", F.col("piece").alias("text"), F.lit("").alias("title"), F.lit("full").alias("status"))
+
+
+@query()
+def snk15_snk16_txt03_indexed_retrieval(t):
+    """The index of all documents as articles, with vectors, and what it answers by its postings."""
+    from ..operators import index
+    from ..operators.retrieval import retrieve_indexed
+    from ..sources.sinks import scratch_path
+
+    body = _topical(t).groupBy("article").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "\n\n## Next\n\n").alias("body"))
+    a = body.select(F.col("article").alias("id"), F.format_string("https://own.org/p/%s", F.col("article").cast("string")).alias("canonical_url"), F.format_string("Title %s", F.col("article").cast("string")).alias("title"), F.concat(F.lit("# Part\n\n"), "body").alias("body"), F.sha2("body", 256).alias("content_hash"), F.lit("full").alias("content_status"), F.lit(None).cast("string").alias("published_date"))
+    path = scratch_path(t.spark)
+    index.build(a, path)
+    made = index.Index(t.spark, path)
+    made.fit(64, 20000)
+    return retrieve_indexed(made, RETRIEVED, ["license plate", "infrared sensor"], 20, 0.0)
 
 
 @query()

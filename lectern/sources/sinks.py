@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """The frame as a table in a new folder (`scratch_path`), read again: what is read several times is made once."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share.
+
+    Where that setting is unset, a local folder is taken in local mode, and an error is raised on a cluster.
+    """
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+
+
 def write_csv(df: DataFrame, fields: list[str], path: str) -> None:
     """The fields in their order, others left out; arrays are joined by a pipe."""
     flat = [F.array_join(c, "|").alias(c) if df.schema[c].dataType.typeName() == "array" else F.col(c) for c in fields]

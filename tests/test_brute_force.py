@@ -175,6 +175,71 @@ def test_cleaned_articles(spark):
     assert d.select(text.clean_article(F.col("m")).alias("x")).first().x.startswith("# Other Things")
 
 
-def test_queries_of_lists_are_not_empty():
-    missing = [n for n in plans.QUERIES if n not in plans.SQL]
-    assert Counter(n.split("_")[0][:3] for n in missing)["jon"] <= 6
+def test_support_of_assertions(spark):
+    """Each assertion's status, claims and type against a plain loop over the rules."""
+    import random
+
+    from lectern.functions import fixed, text as words_of
+    from lectern.operators import diagnostics, evidence
+
+    r = random.Random(11)
+    nouns = ["the committee", "a memo", "the agency", "police records", "a covert program", "the budget", "four records", "a river", "the town"]
+    verbs = ["approved", "is", "described", "because of", "follows", "then", "funded", "resembles", "near"]
+    say = lambda: f"{r.choice(nouns)} {r.choice(verbs)} {r.choice(nouns)} {r.choice(verbs)} {r.choice(nouns)}"
+    claims = [(c, n, f"C{c}{n}", say(), r.choice(["DATE", "TIMELINE", "MONEY", "QUOTATION"]), r.choice(["DIRECT", "INFERENTIAL"])) for c in range(30) for n in range(c % 6)]
+    rows = []
+    for c in range(30):
+        own = [x for x in claims if x[0] == c]
+        for k in range(6):
+            s = say() if k < 3 or not own else r.choice(own)[3] + ("" if k == 3 else " " + say())
+            rows.append((f"A{c}-{k}", c, s.capitalize() + "." if k % 2 else s))
+        rows.append((f"A{c}-f", c, "Share it."))
+    topical = r"(?i)\b(?:memo|covert)\b"
+    a = spark.createDataFrame(rows, "assertion_id string, content_id int, assertion_text string")
+    kinds = {x.assertion_id: x.k for x in a.select("assertion_id", diagnostics.assertion_type(F.col("assertion_text")).alias("k")).collect()}
+    got = {x.assertion_id: x for x in evidence.supported(a, spark.createDataFrame(claims, "content_id int, seq int, claim_id string, claim_text string, claim_type string, support_type string"), topical).collect()}
+    plain = lambda x: " ".join(re.findall("[a-z0-9]+", x.lower()))
+    content = lambda x: {w for w in plain(x).split() if w not in fixed.COVERAGE_STOP}
+    seen = set()
+    for key, c, clause in rows:
+        kind, own, t = kinds[key], [x for x in claims if x[0] == c], got[key]
+        if kind == "RHETORICAL_NONFACTUAL":
+            assert (t.support_status, t.claim_ids, t.review_required) == ("NONFACTUAL_FRAMING", "", "NO")
+            continue
+        score = {x[2]: max(SequenceMatcher(None, plain(clause), plain(x[3])).ratio(), len(content(clause) & content(x[3])) / max(1, len(content(clause)))) for x in own}
+        by = sorted(own, key=lambda x: -score[x[2]])
+        best, strong = score[by[0][2]] if by else 0.0, [x[2] for x in by if score[x[2]] >= 0.46][:4]
+        dated, equal = [x for x in own if x[4] in ("DATE", "TIMELINE")], [x for x in own if plain(x[3]) == plain(clause)]
+        synthetic, ids = kind in evidence.SYNTHETIC, strong
+        if re.search(r"\bfour (?:decisions|documents|records)\b", clause, re.I) and len(dated) < 4:
+            status, ids = ("PARTIALLY_SUPPORTED" if dated else "UNSUPPORTED"), [x[2] for x in dated]
+        elif equal:
+            status, ids = ("SUPPORTED" if equal[0][5] == "DIRECT" else "PARTIALLY_SUPPORTED"), [x[2] for x in equal]
+        elif best >= 0.62:
+            status = "INFERENCE_SUPPORTED" if synthetic else "SUPPORTED" if by[0][5] == "DIRECT" else "PARTIALLY_SUPPORTED"
+        elif len(own) >= 2 and (synthetic or re.search(topical, clause)):
+            status, ids, kind = "INFERENCE_SUPPORTED", [x[2] for x in own][:4], kind if synthetic else "SYNTHESIS"
+        else:
+            status = "PARTIALLY_SUPPORTED" if best >= 0.38 else "UNSUPPORTED"
+            ids = ids or ([by[0][2]] if status == "PARTIALLY_SUPPORTED" else [])
+        seen.add(status)
+        assert (t.support_status, t.assertion_type, t.claim_ids) == (status, kind, "|".join(ids)), (clause, own)
+        assert t.score == pytest.approx(best, abs=6e-4) and t.review_required == ("NO" if status == "SUPPORTED" else "YES")
+    assert seen == {"SUPPORTED", "PARTIALLY_SUPPORTED", "INFERENCE_SUPPORTED", "UNSUPPORTED"}
+
+
+def test_gold_titles_in_shards(spark, monkeypatch):
+    from lectern.operators import similarity
+
+    monkeypatch.setattr(similarity, "GOLD_SHARD", 2)
+    gold = ["The Harbor's Lantern", "tide tables of the old town", "Memo", "river", None, "", "one two three four five six seven", "alpha beta gamma"]
+    titles = ["the harbor lantern", "a lantern", "harbor", "tables tide town", "the old town tide", "memorandum", "", None, "seven of six and five", "four five six seven now", "gamma alpha beta", "alpha beta", "!!"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "row_id int, title string")
+    got = {x.row_id: x.gold for x in similarity.gold_titles(rows, spark.createDataFrame([(g,) for g in gold], "title string")).collect()}
+    key = lambda t: " ".join(re.findall("[a-z0-9]+", re.sub("['’]s", "", (t or "").lower())))
+    keys = [key(g) for g in gold if key(g)]
+    for i, t in enumerate(titles):
+        t = key(t)
+        want = any(g in t or t in g or (len(n := set(t.split()) & set(g.split())) >= 3 and len(n) / len(set(g.split())) >= 0.5) for g in keys)
+        assert got[i] == want, titles[i]
+    assert not any(x.gold for x in similarity.gold_titles(rows, spark.createDataFrame([], "title string")).collect())

@@ -11,7 +11,7 @@ from lectern import plans
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Pairs that the small table doesn't have.
-MAY_BE_EMPTY = {"jon13_sequence_similarity"}
+MAY_BE_EMPTY: set[str] = set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

@@ -18,7 +18,8 @@ def test_sequence_similarity_compares_all_items(spark, tmp_path):
     base = "which river runs through the old town and where does it end "
     rows = [(i, base * 20 + f"item {i % 3}") for i in range(5)] + [(5, "short"), (6, "Short!"), (7, "something else " * 9), (8, base + "x")]
     got = plans.QUERIES["jon13_sequence_similarity"](spark, folder(spark, tmp_path, benchmark=(rows, "item_id long, text string"), documents=([], "doc_id long, text string, source string, n_chars long"), labels=([], "doc_id long, toxic int"))).collect()
-    t = {i: " ".join(re.findall("[a-z0-9]+", x.lower())) for i, x in rows}
+    edited = [(i + 1_000_000, re.sub(r" (\w+) (\w+)\.", r" \2 \1.", x) + " Read on.") for i, x in rows if i % 3 == 0]
+    t = {i: " ".join(re.findall("[a-z0-9]+", x.lower())) for i, x in rows + edited}
     want = {(i, j): SequenceMatcher(None, t[i], t[j]).ratio() for i in t for j in t if i < j}
     assert {(x.content_id_a, x.content_id_b): x.similarity for x in got} == {k: round(v, 3) for k, v in want.items() if v >= 0.82}
 
@@ -64,14 +65,14 @@ def test_lsa_has_a_vector_for_each_document(spark, tmp_path):
 
     import numpy as np
 
-    texts = {i: " ".join(f"topic{i % 4}w{(i * k) % 23} shared{k % 7}" for k in range(1, 30)) for i in range(1, 41)}
+    texts = {i: " ".join(f"topic{i % 4}w{(i * k) % 23} shared{k % 7}" for k in range(1, 30)) for i in range(1, 61)}
     f = folder(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"), labels=([(1, 1)], "doc_id long, toxic int"))
     got = {x.doc_id: np.array(x.vector) for x in plans.QUERIES["txt02_lsa_project"](spark, f).collect()}
     assert set(got) == set(texts)
-    tf = {i: Counter(x.split()) for i, x in texts.items()}
+    tf = {i: Counter(" ".join(x.split()[j : j + n]) for n in (1, 2, 3) for j in range(len(x.split()) - n + 1)) for i, x in texts.items()}
     df = Counter(t for c in tf.values() for t in c)
-    terms = sorted(df)
-    x = np.array([[(1 + math.log(tf[i][t])) * (math.log(41 / (1 + df[t])) + 1) if tf[i][t] else 0.0 for t in terms] for i in texts])
+    terms = sorted(t for t in df if df[t] <= 0.98 * len(texts))
+    x = np.array([[(1 + math.log(tf[i][t])) * (math.log(61 / (1 + df[t])) + 1) if tf[i][t] else 0.0 for t in terms] for i in texts])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     k = min(128, len(texts) - 1, len(terms) - 1)
     y = x @ np.linalg.svd(x)[2][:k].T
