@@ -11,6 +11,18 @@ from .registry import query
 from .scalar_queries import SEARCH, words
 from .text_queries import _md
 
+@query("SELECT concat('https://own.org/p/', page_id) AS loc, concat('https://own.org/map/', page_id % 50) AS map FROM pages WHERE page_id % 50 BETWEEN 1 AND 29")
+def src20_sitemap_walk(t):
+    """Fifty maps that name all pages, and an index of them that names itself as well; it leads to the first 29."""
+    k = (F.col("page_id") % 50).cast("string")
+    loc = F.concat(F.lit("<url><loc>https://OWN.org/p/"), "page_id", F.lit("/?x=1</loc></url><url><loc>https://own.org/about</loc></url>"))
+    body = t.pages.groupBy(F.concat(F.lit("https://own.org/map/"), k).alias("url")).agg(F.array_join(F.collect_list(loc), "").alias("body"))
+    maps = body.select("url", F.concat(F.when(F.crc32("url") % 2 == 0, "<urlset>").otherwise("<urlset><broken>"), "body", F.lit("</urlset>")).alias("xml"))
+    children = "".join(f"<sitemap><loc>https://own.org/map/{i}</loc></sitemap>" for i in range(1, 50))
+    top = t.spark.createDataFrame([("https://own.org/sitemap.xml", f"<sitemapindex><sitemap><loc>https://own.org/sitemap.xml</loc></sitemap>{children}</sitemapindex>")], "url string, xml string")
+    return readers.sitemap_walk(maps.unionByName(top), "https://own.org/sitemap.xml")[0].select("loc", "map")
+
+
 @query("SELECT page_id, unnest([url, 'http://a.org/?x=1&y=2']) AS loc FROM pages")
 def src20_src21_sitemap_locs(t):
     xml = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url><url><loc> http://a.org/?x=1&amp;y=2</loc></url>"))

@@ -40,8 +40,12 @@ def _parse(kind: str, raw: bytes) -> str:
         from .html import snapshot
 
         return snapshot(body, None)[4]
-    if kind in ("pdf", "docx"):
-        raise ValueError(f"no parser for {kind} here")
+    if kind in ("docx", "rtf"):
+        from .office import docx_text, rtf_text
+
+        return docx_text(raw) if kind == "docx" else rtf_text(raw)
+    if kind == "pdf":
+        raise ValueError("no parser for pdf here")
     return body
 
 
@@ -145,6 +149,62 @@ def sitemap_urls(xml: Column) -> Column:
     return F.filter(plain, lambda u: u.rlike("^https?://"))
 
 
+def sitemap_parts(pages: DataFrame) -> DataFrame:
+    """url, is_index, locs and error of stored sitemaps (url, xml): read as XML, else what can be salvaged; an error where that is nothing."""
+    from xml.etree import ElementTree
+
+    def strict(xml: str) -> tuple[bool, list[str]]:
+        name = lambda e: e.tag.rsplit("}", 1)[-1].lower() if isinstance(e.tag, str) else ""
+        root = ElementTree.fromstring(xml)
+        return name(root) == "sitemapindex", [e.text.strip() for e in root.iter() if name(e) == "loc" and e.text]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for url, xml, salvaged in zip(b["url"], b["xml"], b["salvaged"]):
+                try:
+                    out.append((url, *strict(xml or ""), None))
+                except (ElementTree.ParseError, ValueError) as e:
+                    locs = list(salvaged) if salvaged is not None else []
+                    out.append((url, "<sitemapindex" in (xml or "").lower(), locs, None if locs else f"XML parse failed: {e}"))
+            yield pd.DataFrame(out, columns=["url", "is_index", "locs", "error"])
+
+    return pages.select("url", "xml", sitemap_urls(F.col("xml")).alias("salvaged")).mapInPandas(run, "url string, is_index boolean, locs array<string>, error string")
+
+
+def sitemap_walk(pages: DataFrame, start: str, most_maps: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(loc and map of the post URLs that sitemaps name, url and error of those that failed), beginning at one URL.
+
+    pages: url, xml, as stored.  An index leads to the maps it names, depth first, each URL once, and no more than
+    `most_maps` of them, so cycles end.  Maps are looked up a level at a time; the driver sees the names of at most
+    `most_maps` children of an index, and never the posts.
+    """
+    spark = pages.sparkSession
+    stored = pages.select(urls.canonical(F.col("url")).alias("url"), "xml").groupBy("url").agg(F.max("xml").alias("xml"))
+    first = spark.createDataFrame([(start,)], "u string").select(urls.canonical(F.col("u"))).first()[0]
+    seen: dict[str, tuple[bool, list[str], str | None]] = {}
+    level = [first]
+    while level:
+        found = sitemap_parts(stored.where(F.col("url").isin(level))).select("url", "is_index", "error", F.when(F.col("is_index"), F.slice(F.array_distinct(F.transform("locs", urls.canonical)), 1, most_maps)).alias("next")).collect()
+        got = {r["url"]: (bool(r["is_index"]), list(r["next"] or []), r["error"]) for r in found}
+        seen |= {u: got.get(u, (False, [], "not stored")) for u in level}
+        level = list(dict.fromkeys(c for u in level for c in seen[u][1] if c not in seen))
+    visited: dict[str, None] = {}
+
+    def visit(u: str) -> None:
+        if u in visited or len(visited) >= most_maps:
+            return
+        visited[u] = None
+        for c in seen[u][1]:
+            visit(c)
+
+    visit(first)
+    leaves = [u for u in visited if not seen[u][0] and seen[u][2] is None]
+    failed = spark.createDataFrame([(u, seen[u][2]) for u in visited if seen[u][2]], "url string, error string")
+    posts = sitemap_parts(stored.where(F.col("url").isin(leaves))).select(F.col("url").alias("map"), F.explode_outer("locs").alias("loc")).where(urls.is_post(F.col("loc")))
+    return posts.select(urls.canonical(F.col("loc")).alias("loc"), "map").distinct(), failed
+
+
 def page_metrics(docs: DataFrame, key: str, of: str) -> DataFrame:
     """key, pages, text_chars, nonempty_pages (20 characters or more) and low_text_pages of form-feed texts."""
     p = F.transform(F.split(of, "\f"), text.stripped)

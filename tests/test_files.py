@@ -142,3 +142,45 @@ def test_postings_are_pruned(spark, tmp_path):
     plan = made.postings(["police"])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,police)" in plan and "PartitionFilters" in plan and "(bucket#" in plan.split("PartitionFilters")[1]
     assert made.postings(["license plate", "police"]).groupBy("term").count().count() == 2
+
+
+def _docx(*paragraphs):
+    import io
+    import zipfile
+
+    body = "".join(f"<w:p>{p}</w:p>" for p in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    return out.getvalue()
+
+
+def test_office_files(spark, tmp_path):
+    run = lambda t: f"<w:r><w:rPr><w:b/></w:rPr><w:t>{t}</w:t></w:r>"
+    (tmp_path / "a_memo.docx").write_bytes(_docx(run("First ") + run("line") + "<w:hyperlink>" + run(" linked") + "</w:hyperlink>", "", "<w:r><w:t>é</w:t><w:tab/><w:t>x</w:t><w:br/><w:t>y</w:t></w:r>"))
+    (tmp_path / "bad.docx").write_bytes(b"PK no archive")
+    (tmp_path / "n.rtf").write_bytes(rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}{\*\generator x;}\f0\b Bold\b0  text\par caf\'e9 \u8364?\uc0\u233 {\i in}\line\{b\}\~z\emdash{\pict 0102}{\info{\title T}}\par}")
+    (tmp_path / "bad.rtf").write_bytes(b"plain")
+    good, bad = readers.documents(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: (r.title, r.text) for r in good.collect()}
+    assert got == {"a_memo.docx": ("a memo", "First line linked\n\né\tx\ny"), "n.rtf": ("n", "Bold text\ncafé €éin\n{b} z—")}
+    assert {r.path.rsplit("/", 1)[1] for r in bad.collect()} == {"bad.docx", "bad.rtf"}
+
+
+def test_sitemaps_are_walked(spark):
+    leaf = lambda *us: "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in us) + "</urlset>"
+    top = lambda *us: "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in us) + "</sitemapindex>"
+    h = "https://own.org"
+    pages = [
+        (f"{h}/sitemap.xml", top(f"{h}/a", f"{h}/loop", f"{h}/lost", f"{h}/junk")), (f"{h}/a", leaf(f"{h}/p/1/", f"{h}/p/2?x=1", f"{h}/about")), (f"{h}/loop", top(f"{h}/sitemap.xml", f"{h}/b", f"{h}/a")),
+        (f"{h}/b", "<urlset><broken><url><loc>https://own.org/p/3&amp;</loc>"), (f"{h}/junk", "not xml"), (f"{h}/other", leaf(f"{h}/p/9")),
+    ]
+    df = spark.createDataFrame(pages, "url string, xml string")
+    found, failed = readers.sitemap_walk(df, f"{h}/sitemap.xml/")
+    assert {(r.loc, r.map) for r in found.collect()} == {(f"{h}/p/1", f"{h}/a"), (f"{h}/p/2", f"{h}/a"), (f"{h}/p/3&", f"{h}/b")}
+    errors = {r.url: r.error for r in failed.collect()}
+    assert set(errors) == {f"{h}/lost", f"{h}/junk"} and errors[f"{h}/lost"] == "not stored" and "parse failed" in errors[f"{h}/junk"]
+    few, _ = readers.sitemap_walk(df, f"{h}/sitemap.xml", 2)
+    assert {r.map for r in few.collect()} == {f"{h}/a"}
+    none, missing = readers.sitemap_walk(df, "https://nowhere.org/sitemap.xml")
+    assert none.count() == 0 and missing.count() == 1
