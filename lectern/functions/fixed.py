@@ -78,6 +78,34 @@ CAUTION = (
     r"|important distinction|that (?:limit|distinction) matters|to be precise)\b"
 )
 
+# Phrases that explain in place of telling, and phrases that perform caution.
+REVIEW_STEMS = [
+    "that matters", "this matters", "seen in that context", "in other words", "the pattern", "taken together", "the better conclusion", "the harder question", "the answer cannot", "this gives us",
+    "that distinction", "the directive", "at minimum", "this does not prove", "the record does not show", "there is no evidence that", "this matters because",
+]
+CAUTION_STEMS = [
+    "i can't prove", "i cannot prove", "i am not going to", "i won't", "the most defensible", "what the document proves", "what the page proves", "what the record proves", "the evidence allows",
+    "the evidence supports", "it would be irresponsible", "we should be careful", "important distinction", "that distinction matters", "the file needs a warning label", "to be precise",
+]
+
+# Patterns of style: contrasts, what makes a block concrete, first person, emphasis, lists, images and what an image shouldn't claim.
+STYLE = {
+    "contrast": r"\b(?:not (?:merely|just|only)?\b[^.!?;]{0,90}\bbut\b|both\b[^.!?;]{0,90}\band\b|it would be (?:an equal )?mistake\b)",
+    "concrete": r"(?i)\b(?:memo|letter|report|document|record|email|interview|court|contract|investigator|witness|officer|agent|director|president|professor|banker|said|told|wrote|found|arrived|met|paid|hired|sent|visited|19\d\d|20\d\d)\b",
+    "first person": r"\b(?:I|me|my|we|our|us)\b",
+    "bold": r"(?s)(?<!\*)\*\*(?!\*)(.+?)(?<!\*)\*\*(?!\*)",
+    "bold italic": r"(?s)\*\*\*(.+?)\*\*\*",
+    "italic": r"(?s)(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)",
+    "all bold": r"(?s)\A\s*\*\*[^*].*?\*\*\s*\z",
+    "list item": r"(?m)^\s*(?:[-+*]|\d+[.)])\s+\S",
+    "list group": r"(?m)(?:^\s*(?:[-+*]|\d+[.)])\s+.+\n?){2,}",
+    "image": r"\[IMAGE:\s*([^|\]\n]+)\|\s*ALT:\s*([^\]\n]+)\]",
+    "argument": r"(?i)\b(?:proof|proves|exposes|shows that .* secretly)\b",
+    "generated": r"(?i)\b(?:ai[- ]generated|generated art)\b",
+    "documentary": r"(?i)\b(?:document|memo|record|file|excerpt|clipping)\b",
+}
+STYLE_OPENINGS = ["this", "that", "the", "it"]
+
 # Triggers, boundaries and redirects of block sequences, and the terms of an auditor.
 TRIGGER = r"(?i)\b(?:theor(?:y|ies)|testimon|account|alleg|claim|plot|network|mechanism|overlap|connection|provocative|supplied books?)\b"
 BOUNDARY = (

@@ -71,6 +71,82 @@ def style(docs: DataFrame, key: str, of: str) -> DataFrame:
     )
 
 
+def _times(hay: Column, phrases: list[str]) -> Column:
+    """(phrase, n) of the phrases that a lower-case text has as whole words."""
+    each = [F.struct(F.lit(p).alias("phrase"), F.regexp_count(hay, F.lit(r"\b" + re.escape(p).replace(r"\ ", " ") + r"\b")).alias("n")) for p in phrases]
+    return F.filter(F.array(*each), lambda x: x["n"] > 0)
+
+
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x.cast("int"))
+
+
+def editorial_style(docs: DataFrame, key: str, of: str, found: DataFrame | None = None) -> DataFrame:
+    """key and all style metrics of Markdown articles, with the names of the rules of `editorial_rules` that each breaks.
+
+    found: rows (key, category) of `rhetoric` and `article_rhetoric`; without them semantic_rhetoric is empty.  Everything is
+    one projection; only the categories are joined.  A null text has no row.
+    """
+    s, plain = fixed.STYLE, text.diagnostic_plain(F.col(of))
+    spans = lambda name: F.regexp_extract_all(of, F.lit(s[name]), F.lit(1))
+    d = docs.where(F.col(of).isNotNull()).select(key, F.col(of), plain.alias("plain"), F.lower(plain).alias("low"), blocks.paragraphs(F.col(of)).alias("p"), spans("bold").alias("bold"), spans("bold italic").alias("both"), spans("italic").alias("italic"), F.regexp_extract_all(of, F.lit(s["image"]), F.lit(1)).alias("shown"), F.regexp_extract_all(of, F.lit(s["image"]), F.lit(2)).alias("alts"))
+    count = lambda hay, name: F.regexp_count(hay, F.lit(s[name]))
+    first = F.transform("p", lambda x: F.array_join(F.slice(text.every(F.lower(x), "[A-Za-z’']+"), 1, 2), " "))
+    chars = lambda xs: _sum(F.transform(xs, lambda x: F.length(text.diagnostic_plain(x))))
+    d = d.select(
+        key, F.size("p").alias("paragraphs"), F.transform("p", lambda x: F.regexp_count(x, F.lit(r"(?U)\b[\w’'-]+\b")).cast("double")).alias("words"), F.transform("p", lambda x: F.size(text.sentences(x))).alias("sentences"), F.transform("p", caution_density).alias("caution"), F.filter(first, lambda x: x != "").alias("openings"),
+        F.size(F.filter("p", lambda x: (F.size(F.split(x, " ")) >= 90) & ~x.rlike(s["concrete"]))).alias("abstract_blocks"), F.regexp_count("plain", F.lit(r"\?")).alias("rhetorical_questions"), count("plain", "first person").alias("first_person_occurrences"), count("low", "contrast").alias("symmetric_contrasts"),
+        _times(F.col("low"), fixed.REVIEW_STEMS).alias("review_stems"), _times(F.col("low"), fixed.CAUTION_STEMS).alias("performative_caution"), F.filter(F.array(*[F.struct(F.lit(k).alias("phrase"), F.regexp_count("plain", F.lit("(?is)" + p)).alias("n")) for k, p in TICS.items()]), lambda x: x["n"] > 0).alias("ai_tics"),
+        F.size("bold").alias("bold_spans"), F.size("italic").alias("italic_spans"), F.size("both").alias("bold_italic_spans"), (chars("bold") + chars("both")).alias("bold_chars"), (chars("italic") + chars("both")).alias("italic_chars"), F.greatest(F.lit(1), F.length(F.regexp_replace("plain", r"\s+", ""))).alias("prose_chars"),
+        F.transform("bold", lambda x: F.trim(F.lower(text.diagnostic_plain(x)))).alias("bold_texts"), F.size(F.filter(F.split(of, blocks.BLANK), lambda x: x.rlike(s["all bold"]))).alias("bold_paragraphs"),
+        count(of, "list group").alias("list_groups"), count(of, "list item").alias("list_items"), F.size("shown").alias("image_markers"), F.transform("shown", lambda x: F.lower(text.squeezed(x))).alias("shown"), "alts",
+    )
+    again = lambda c, n: F.filter(F.array_distinct(c), lambda x: (x != "") & (F.size(F.filter(c, lambda y: y == x)) >= n))
+    d = d.select(
+        key, "paragraphs", F.round(variation(F.col("words")), 3).alias("paragraph_length_cv"), F.size(F.filter("words", lambda n: (n > 0) & (n <= 10))).alias("short_paragraphs"), F.size(F.filter("sentences", lambda n: n == 1)).alias("one_sentence_paragraphs"),
+        "abstract_blocks", "rhetorical_questions", "first_person_occurrences", "symmetric_contrasts", "review_stems", "performative_caution", _sum(F.transform("caution", lambda x: x["caution"])).alias("caution_sentences"), F.size(F.filter("caution", lambda x: x["dense"])).alias("caution_density_passages"),
+        "ai_tics", "bold_spans", "italic_spans", "bold_italic_spans", "list_groups", "list_items", "image_markers", "bold_paragraphs", (F.col("bold_chars") / F.col("prose_chars")).alias("bold_share"), (F.col("italic_chars") / F.col("prose_chars")).alias("italic_share"),
+        again(F.col("bold_texts"), 3).alias("repeated_bold"), F.filter(again(F.col("openings"), 3), lambda x: F.split(x, " ")[0].isin(fixed.STYLE_OPENINGS)).alias("repeated_openings"), again(F.col("shown"), 2).alias("repeated_images"),
+        F.size(F.filter("alts", lambda x: x.rlike(s["argument"]))).alias("arguing_alts"), F.size(F.filter("shown", lambda x: x.rlike(s["generated"]) & x.rlike(s["documentary"]))).alias("generated_documents"),
+    )
+    categories = found.groupBy(key).agg(F.array_sort(F.collect_set("category")).alias("semantic_rhetoric")) if found is not None else None
+    d = d.join(categories, key, "left") if categories is not None else d.withColumn("semantic_rhetoric", F.lit(None).cast("array<string>"))
+    d = d.withColumn("semantic_rhetoric", F.coalesce("semantic_rhetoric", F.array().cast("array<string>")))
+    return d.withColumn("warnings", F.array_compact(F.array(*[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in editorial_rules()])))
+
+
+def editorial_rules() -> list[Rule]:
+    """The rules over the columns of `editorial_style`; all are hints for an editor."""
+    c = F.col
+    total = lambda name: _sum(F.transform(name, lambda x: x["n"]))
+    caveats = total("performative_caution") + c("caution_sentences")
+    return [
+        Rule(name, broken, "warning")
+        for name, broken in (
+            ("repeated paragraph openings", F.size("repeated_openings") > 0),
+            ("cumulative explanatory scaffold", total("review_stems") >= 3),
+            ("performative caution", total("performative_caution") >= 2),
+            ("caution density", c("caution_density_passages") > 0),
+            ("repeated constructions", F.exists("ai_tics", lambda x: x["n"] >= 2)),
+            ("symmetric contrasts", c("symmetric_contrasts") >= 3),
+            ("uniform paragraph lengths", (c("paragraphs") >= 8) & (c("paragraph_length_cv") < 0.35)),
+            ("bold paragraphs", c("bold_paragraphs") > 0),
+            ("much bold", c("bold_share") > 0.22),
+            ("much italic", c("italic_share") > 0.14),
+            ("repeated bold", F.size("repeated_bold") > 0),
+            ("isolated short paragraphs", (c("paragraphs") >= 20) & (c("short_paragraphs") > F.greatest(F.lit(10), F.floor(c("paragraphs") / 4)))),
+            ("one-sentence paragraphs", (c("paragraphs") >= 12) & (c("one_sentence_paragraphs") > 0.45 * c("paragraphs"))),
+            ("caveat density", (c("paragraphs") >= 10) & (caveats > F.greatest(F.lit(6), F.floor(c("paragraphs") / 3)))),
+            ("abstract blocks", c("abstract_blocks") > 0),
+            ("many lists", (c("list_groups") >= 3) & (c("list_items") >= 15)),
+            ("repeated images", F.size("repeated_images") > 0),
+            ("arguing alt text", c("arguing_alts") > 0),
+            ("generated documents", c("generated_documents") > 0),
+            ("semantic review", F.size("semantic_rhetoric") > 0),
+        )
+    ]
+
+
 def style_rules() -> list[Rule]:
     return [
         Rule("even paragraphs", F.col("paragraph_variation") < 0.25, "warning"),

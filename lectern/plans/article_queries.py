@@ -70,6 +70,15 @@ def agg20_tic_report(t):
     return diagnostics.tics(d, "doc_id", "m").select("doc_id", "phrase", "count", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
+@query()
+def agg21_editorial_style(t):
+    """All metrics and warnings of documents as articles, with the rhetoric found in them."""
+    d = _md(t)
+    near = diagnostics.rhetoric(blocks.located_blocks(d, "doc_id", "m"), "doc_id")
+    found = near.select("doc_id", "category").unionByName(diagnostics.article_rhetoric(d, "doc_id", "m", near).select("doc_id", "category"))
+    return diagnostics.editorial_style(d, "doc_id", "m", found)
+
+
 @query()
 def agg21_style_diagnostics(t):
     s = diagnostics.style(_md(t), "doc_id", "m")

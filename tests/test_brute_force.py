@@ -243,3 +243,54 @@ def test_gold_titles_in_shards(spark, monkeypatch):
         want = any(g in t or t in g or (len(n := set(t.split()) & set(g.split())) >= 3 and len(n) / len(set(g.split())) >= 0.5) for g in keys)
         assert got[i] == want, titles[i]
     assert not any(x.gold for x in similarity.gold_titles(rows, spark.createDataFrame([], "title string")).collect())
+
+
+def test_editorial_style(spark):
+    """All metrics against plain loops, on texts that break each rule."""
+    import math
+
+    prose = "The officer said it was a record of the harbor and the town, and then he left. "
+    texts = {
+        1: "# T\n\n" + "\n\n".join(["This is **one** line.", "This is **one** more.", "This is **ONE** again, *so* it is."] * 8),
+        2: "\n\n".join(f"In other words, the pattern matters. We should be careful. I won't say. {prose}" for _ in range(12)),
+        3: "**All of it is bold.**\n\nnot merely this but that. Both of them and us. Not only x but y. It would be an equal mistake.\n\n" + "abstract words " * 50,
+        4: "- a\n- b\n\ntext\n\n" + "1. x\n2. y\n3. z\n\nmore\n\n" + "\n".join(f"* item {i}" for i in range(12)) + "\n\n[IMAGE: AI-generated memo | ALT: proof of it]\n\n[IMAGE: ai-generated  memo| ALT: a map]",
+        5: "", 6: None, 7: "***both*** and *it* why? who? However we know. However they do.", 8: "```\ncode not but\n```\nplain [link](https://e.org/1) text",
+        9: "**Most of these words are bold** and some aren't.",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, m string")
+    found = spark.createDataFrame([(7, "B"), (7, "A"), (7, "B")], "doc_id int, category string")
+    got = {r.doc_id: r for r in diagnostics.editorial_style(df, "doc_id", "m", found).collect()}
+    assert set(got) == set(texts) - {6}
+
+    def plain(t):
+        t = re.sub(r"(?ms)^(?P<f>`{3,}|~{3,})[^\n]*\n.*?^(?P=f)[ \t]*(?:\n|$)", "", t)
+        return re.sub("[*_`]", "", re.sub(r"\[([^\]]+)\]\((?:https?://)[^\s()]+\)", r"\1", re.sub(r"\[IMAGE:.*?\]", "", t)))
+
+    broken = Counter()
+    for i, r in got.items():
+        t, p = texts[i], [re.sub(r"\s+", " ", x).strip() for x in re.split(r"\n\s*\n", plain(texts[i]))]
+        p = [x for x in p if x and not x.startswith(("#", "|", "[[", "[IMAGE:"))]
+        n = [len(re.findall(r"\b[\w’'-]+\b", x)) for x in p]
+        mean = sum(n) / len(n) if n else 0
+        s = [[y for y in re.split(r"(?<=[.!?])\s+", x) if y.strip()] for x in p]
+        low, st = plain(t).lower(), fixed.STYLE
+        assert (r.paragraphs, r.short_paragraphs, r.one_sentence_paragraphs) == (len(p), sum(0 < x <= 10 for x in n), sum(len(x) == 1 for x in s)), i
+        assert (r.paragraph_length_cv is None) == (len(n) < 2) and (len(n) < 2 or abs(r.paragraph_length_cv - math.sqrt(sum((x - mean) ** 2 for x in n) / len(n)) / mean) < 6e-4), i
+        hits = lambda name, hay: [m.group(1) if m.re.groups else m.group() for m in re.finditer(st[name].replace(r"\z", r"\Z"), hay)]
+        assert (r.bold_spans, r.italic_spans, r.bold_italic_spans) == tuple(len(hits(k, t)) for k in ("bold", "italic", "bold italic")), i
+        assert (r.list_groups, r.list_items, r.image_markers) == tuple(len(hits(k, t)) for k in ("list group", "list item", "image")), i
+        assert (r.rhetorical_questions, r.first_person_occurrences, r.symmetric_contrasts) == (low.count("?"), len(hits("first person", plain(t))), len(hits("contrast", low))), i
+        for name, stems in (("review_stems", fixed.REVIEW_STEMS), ("performative_caution", fixed.CAUTION_STEMS)):
+            want = {x: len(re.findall(rf"\b{re.escape(x)}\b", low)) for x in stems}
+            assert {x.phrase: x.n for x in r[name]} == {k: v for k, v in want.items() if v}, i
+        want = {k: len(re.findall(x, plain(t), re.I | re.S)) for k, x in diagnostics.TICS.items()}
+        assert {x.phrase: x.n for x in r.ai_tics} == {k: v for k, v in want.items() if v}, i
+        marked = [sum(bool(re.search(fixed.CAUTION, y)) for y in x) for x in s]
+        assert (r.caution_sentences, r.caution_density_passages) == (sum(marked), sum(len(x) >= 3 and k >= 2 and sum(len(y.split()) for y in x) <= 120 for x, k in zip(s, marked))), i
+        assert r.abstract_blocks == sum(len(x.split()) >= 90 and not re.search(st["concrete"], x) for x in p), i
+        assert r.bold_share == pytest.approx(sum(len(plain(x)) for x in hits("bold", t) + hits("bold italic", t)) / max(1, len(re.sub(r"\s+", "", plain(t))))), i
+        broken.update(r.warnings)
+    assert got[7].semantic_rhetoric == ["A", "B"] and got[1].repeated_bold == ["one"] and got[1].repeated_openings == ["this is"] and got[4].repeated_images == ["ai-generated memo"]
+    names = {r.name for r in diagnostics.editorial_rules()}
+    assert names - set(broken) <= {"uniform paragraph lengths", "many lists"} and "many lists" in broken
