@@ -166,6 +166,19 @@ ASSERTIONS = {
 # Scores from which a claim is strong, supports, or supports in part; the words of a count of four.
 SUPPORT = {"strong": 0.46, "supports": 0.62, "partly": 0.38, "four": r"(?i)\bfour (?:decisions|documents|records)\b"}
 
+# Files of an article's project: what is delivered, the papers that lead to it, and the sections of its search package.
+PROJECT = {
+    "deliverables": ["research_dossier.md", "outline.md", "seo.md", "article.md", "sources.csv", "audit.md"],
+    "papers": [
+        "research/SOURCE_THESIS.md", "research/STYLE_PROFILE.md", "research/ENTITY_NETWORK.md", "research/RABBIT_HOLE_QUEUE.md", "research/CONNECTION_REPORT.md", "research/CONNECTION_CHAINS.md", "research/BOOK_LEADS.md",
+        "research/BIBLIOGRAPHY_TRACE.csv", "research/STORY_DECISION.md", "research/STORY_SPINE.md", "research/WRITER_PACKET.md", "research/SEMANTIC_EDITORIAL_REVIEW.md", "research/QUALITY_GATES.md", "output/editorial_audit.md",
+    ],
+    "search fields": [
+        "Reader-Facing Title", "Reader-Facing Description / Sizzle", "Meta Title", "Meta Description", "URL Slug", "Primary Keyword", "Secondary Keywords", "Social Share Title", "Social Share Description",
+        "Hero/Banner Image Concept", "Hero Image Alt Text",
+    ],
+}
+
 # What a hook of each family must have.
 HOOKS = {
     "MONEY": r"[$£€]|\b(?:budget|funding|funds|cost|financial|allocation|line item)\b",

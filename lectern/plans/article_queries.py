@@ -70,6 +70,31 @@ def agg20_tic_report(t):
     return diagnostics.tics(d, "doc_id", "m").select("doc_id", "phrase", "count", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
+def _project(t):
+    """Projects of three files each: a document as an article, its source rows and its search package; others are missing."""
+    d = t.documents.select("doc_id", F.concat(F.lit("# T\n\n"), F.replace("text", F.lit("["), F.lit("(")), F.lit("\n\nsee [a memo](https://e.org/1)\n\n[[SHARE]]\n")).alias("article"))
+    k = F.col("doc_id").cast("string")
+    rows = F.concat(F.lit("source_number,phrase,link\n1,a memo,https://e.org/1\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("1,a memo,https://e.org/"), k, F.lit("?utm_source=x\n"))).otherwise(F.lit("x,\"quoted, phrase\",ftp://e.org\n2,only\n")))
+    seo = F.concat(F.lit("## Meta Title\nT\n## URL Slug\n"), F.when(F.col("doc_id") % 3 == 0, "slug").otherwise(""), F.lit("\n## Primary Keyword\nk\n"))
+    files = F.array(*[F.struct(F.lit(n).alias("name"), x.alias("text")) for n, x in (("output/article.md", F.col("article")), ("output/sources.csv", rows), ("output/seo.md", seo))])
+    return d.select("doc_id", F.explode(files).alias("f")).select("doc_id", "f.name", "f.text")
+
+
+@query(
+    "SELECT doc_id, code, detail FROM documents, (SELECT unnest(['source row: positive number used once', 'source row: repeated phrase or URL', 'source row: phrase not linked to its URL', 'source row: unclean URL']) AS code, '3' AS detail) WHERE doc_id % 2 = 0 "
+    "UNION ALL SELECT doc_id, code, detail FROM documents, (SELECT unnest(['source row: positive number used once', 'source row: phrase not linked to its URL', 'source row: invalid URL']) AS code, '3' AS detail) WHERE doc_id % 2 = 1 "
+    "UNION ALL SELECT doc_id, 'source row: phrase not in article', '3' FROM documents WHERE doc_id % 2 = 1 AND NOT contains(text, 'quoted, phrase') UNION ALL SELECT doc_id, 'source row: three filled fields', '4' FROM documents WHERE doc_id % 2 = 1 "
+    "UNION ALL SELECT doc_id, 'search package', f FROM documents, (SELECT unnest(" + words([x for x in fixed.PROJECT["search fields"] if x not in ("Meta Title", "Primary Keyword", "URL Slug")]) + ") AS f) UNION ALL SELECT doc_id, 'search package', 'URL Slug' FROM documents WHERE doc_id % 3 <> 0 "
+    "UNION ALL SELECT doc_id, 'deliverable', 'output/' || f FROM documents, (SELECT unnest(['research_dossier.md', 'outline.md', 'audit.md']) AS f)"
+)
+def prj17_project_findings(t):
+    from ..operators import projects
+
+    known = t.spark.createDataFrame([("https://own.org/p/1",)], "canonical_url string")
+    found = projects.findings(_project(t), "doc_id", ["own.org"], known).where("severity = 'error'")
+    return found.where("code LIKE 'source row%' OR code IN ('search package', 'deliverable')").select("doc_id", "code", "detail")
+
+
 @query()
 def agg21_editorial_style(t):
     """All metrics and warnings of documents as articles, with the rhetoric found in them."""

@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from lectern.functions import fixed
 from lectern.operators import articles, blocks, index, retrieval, store
 from lectern.sources import readers, sinks
 
@@ -184,3 +185,29 @@ def test_sitemaps_are_walked(spark):
     assert {r.map for r in few.collect()} == {f"{h}/a"}
     none, missing = readers.sitemap_walk(df, "https://nowhere.org/sitemap.xml")
     assert none.count() == 0 and missing.count() == 1
+
+
+def test_project_findings(spark):
+    from lectern.operators import projects
+
+    article = "# T\n\nA [memo](https://e.org/1) of [it](https://own.org/p/1) and [more](https://e.org/2?utm_source=a).\n\n[IMAGE: x | ALT: y]\n\n[[SUBSCRIBE]]\n[[SHARE]]\n\n## FAQs\n" + "".join(f"### Q{i}?\nyes\n" for i in range(5)) + "\n## YOU MAY BE INTERESTED IN THESE ARTICLES\n[see](https://elsewhere.org/x)\n"
+    good = {f"output/{n}": "text" for n in fixed.PROJECT["deliverables"]} | {n: "own text" for n in fixed.PROJECT["papers"]}
+    good |= {"output/article.md": article, "output/sources.csv": "﻿source_number,phrase,link\r\n1,memo,https://e.org/1\r\n", "output/seo.md": "".join(f"## {f}\nx\n" for f in fixed.PROJECT["search fields"])}
+    bad = good | {"output/audit.md": " \n", "research/RABBIT_HOLE_QUEUE.md": "| a | b |\n| hole | OPEN |\n", "research/STORY_SPINE.md": "Template\n", "output/seo.md": "## Meta Title\n\n## URL Slug\nx", "output/sources.csv": 'source_number,phrase\n0,memo,https://e.org/1\n1,"memo",https://e.org/1\n1,it,https://own.org/p/2\n2, ,x\n3,no such,https://e.org/a b\n'}
+    broken = good | {"output/sources.csv": 'source_number,phrase,link\n1,"memo,https://e.org/1\n'}
+    none = good | {"output/sources.csv": "source_number,phrase,link\n"}
+    del bad["output/outline.md"]
+    sets = {"good": good, "bad": bad, "broken": broken, "none": none}
+    files = spark.createDataFrame([(k, n, t) for k, fs in sets.items() for n, t in fs.items()], "key string, name string, text string")
+    known = spark.createDataFrame([("https://elsewhere.org/x",)], "canonical_url string")
+    found = projects.findings(files, "key", ["own.org"], known, {"research/STORY_SPINE.md": "Template"})
+    got = {k: {(r.severity, r.code, r.detail) for r in found.collect() if r.key == k} for k in sets}
+    base = {("error", "link without tracking", None), ("warning", "length", None)}
+    assert got["good"] == base
+    assert got["broken"] - base == {("error", "source row: invalid CSV", "0")} and got["none"] - base == {("error", "source row: no source row", "1")}
+    rows = {(c.removeprefix("source row: "), d) for _, c, d in got["bad"] if c.startswith("source row")}
+    assert rows == {("header", "1"), ("positive number used once", "2"), ("repeated phrase or URL", "3"), ("positive number used once", "4"), ("phrase not linked to its URL", "4"), ("three filled fields", "5"), ("phrase not in article", "6"), ("phrase not linked to its URL", "6"), ("invalid URL", "6")}
+    rest = {(s, c, d) for s, c, d in got["bad"] - base if not c.startswith("source row")}
+    assert rest == {("error", "deliverable", "output/outline.md"), ("error", "deliverable", "output/audit.md"), ("warning", "active rabbit holes", None), ("warning", "working paper is a template", "research/STORY_SPINE.md")} | {("error", "search package", f) for f in fixed.PROJECT["search fields"] if f != "URL Slug"}
+    res = {r.key: (r.errors, r.result) for r in projects.results(files, found, "key").collect()}
+    assert res["good"] == (1, "FAIL") and res["bad"][0] == len([1 for s, _, _ in got["bad"] if s == "error"])
