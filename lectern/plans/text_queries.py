@@ -104,6 +104,15 @@ def tvf18_supported(t):
     return evidence.supported(a, claims, r"(?i)\b(?:memo|funding)\b")
 
 
+@query()
+def tvf28_editorial_diff(t):
+    """Documents as Markdown against a revision: lines swapped and renamed, the first lines gone, a link added."""
+    from ..operators import revisions
+
+    a = F.concat(F.regexp_replace(F.regexp_replace("m", r"\n\n[^\n]*\n\n", "\n\n"), r" (\w+) (\w+)\.", " $2 $1."), F.lit("\n\n## New part\n\n[memo](https://e.org/new) alleged"))
+    return revisions.editorial_diff(_md(t).select("doc_id", "m", a.alias("after")), "doc_id", "m", "after").select("doc_id", "section", "part", "rank", F.md5(F.coalesce("old", F.lit(""))).alias("old"), F.md5(F.coalesce("new", F.lit(""))).alias("new"))
+
+
 @query()
 def jon18_assertion_to_claim(t):
     a = t.benchmark.select("item_id", F.explode(text.sentences(F.col("text"))).alias("assertion_text"))

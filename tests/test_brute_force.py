@@ -294,3 +294,41 @@ def test_editorial_style(spark):
     assert got[7].semantic_rhetoric == ["A", "B"] and got[1].repeated_bold == ["one"] and got[1].repeated_openings == ["this is"] and got[4].repeated_images == ["ai-generated memo"]
     names = {r.name for r in diagnostics.editorial_rules()}
     assert names - set(broken) <= {"uniform paragraph lengths", "many lists"} and "many lists" in broken
+
+
+def test_editorial_diff(spark):
+    """Blocks, headings, entities and links of two versions against plain loops; caps and orders of the sections."""
+    from lectern.operators import revisions
+
+    para = lambda i, n: f"Paragraph {i} of the Old Mill and River Bank told " + "more words " * n + "here."
+    before = "# One\n\n" + "\n\n".join(para(i, i) for i in range(20)) + "\n\n## Sources of it\n\nkept [a](https://e.org/1) line\n\n## Two\n\nover NATO then NATO then NATO ends\n\n## FAQs\n\nno narrative"
+    after = "# One\n\n" + "\n\n".join(para(i, i) if i % 3 else para(i, i).replace("more", "other") for i in range(2, 20)) + "\n\n## Two\n\nover NATO ends\n\n## Sources for it\n\nkept [b](https://e.org/2) line\n\nThe Grand Bridge Club. " + "saw CIA there " * 3 + "\n\nunlike anything 12345 67890"
+    df = spark.createDataFrame([(1, before, after), (2, None, ""), (3, after, after)], "id int, x string, y string")
+    rows = revisions.editorial_diff(df, "id", "x", "y").collect()
+    assert {r.section for r in rows} <= set(revisions.SECTIONS) and {r.id for r in rows} == {1, 2, 3}
+    assert not [r for r in rows if r.id == 3 and (r.section.endswith("blocks") or r.section in ("links", "entities") or r.part in ("added", "removed", "renamed", "moved"))]
+    get = lambda s, p: [(r.old, r.new) for r in sorted((r for r in rows if r.id == 1 and (r.section, r.part) == (s, p)), key=lambda r: r.rank)]
+    squeezed = lambda t: [re.sub(r"\s+", " ", b).strip() for b in re.split(r"\n\s*\n", t) if b.strip()]
+    x, y, added, removed, replaced = squeezed(before), squeezed(after), [], [], []
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if tag == "insert":
+            added += y[j1:j2]
+        if tag == "delete":
+            removed += x[i1:i2]
+        if tag == "replace":
+            scores = sorted(((SequenceMatcher(None, p.casefold(), q.casefold()).ratio(), i, j) for i, p in enumerate(x[i1:i2]) for j, q in enumerate(y[j1:j2])), reverse=True)
+            one, two = set(), set()
+            for s, i, j in scores:
+                if s >= 0.32 and i not in one and j not in two:
+                    one.add(i), two.add(j), replaced.append((x[i1 + i], y[j1 + j]))
+            removed += [b for i, b in enumerate(x[i1:i2]) if i not in one]
+            added += [b for j, b in enumerate(y[j1:j2]) if j not in two]
+    n = lambda b: len(re.findall(r"\b[\w’'-]+\b", re.sub(r"\[[^]]+\]\([^)]+\)", "", b)))
+    assert get("replaced blocks", "replaced") == sorted(replaced, key=lambda p: -n(p[0]) - n(p[1]))[:15]
+    assert [v for _, v in get("added blocks", "added")] == sorted(added, key=lambda b: -n(b))[:15] and [v for v, _ in get("removed blocks", "removed")] == sorted(removed, key=lambda b: -n(b))[:15]
+    assert dict((r.part, (r.old, r.new)) for r in rows if r.id == 1 and r.section == "summary") == {"words": (str(n(before)), str(n(after))), "sections": ("4", "3"), "paragraphs": ("23", "22"), "added blocks": (None, str(len(added))), "removed blocks": (None, str(len(removed))), "replaced blocks": (None, str(len(replaced)))}
+    assert get("section changes", "renamed")[0] == ("Sources of it", "Sources for it") and get("section changes", "moved") == [("Two", None)]
+    assert [v for v, _ in get("conclusion", "before")] == [x[20], x[22], x[24]] and len(get("opening", "after")) == 3
+    assert get("entities", "appeared") == [(None, "CIA (3)"), (None, "The Grand Bridge Club (1)")] and get("entities", "lost") == [("NATO (3)", "NATO (1)")]
+    assert get("links", "added") == [(None, "[b](https://e.org/2)")] and get("links", "removed") == [("[a](https://e.org/1)", None)]
+    assert len(get("qualifications", "before")) == 20
