@@ -148,7 +148,7 @@ class Forest:
 
 
 def threshold(score: np.ndarray, good: np.ndarray, keep_good: float = 0.998) -> float:
-    """The least score that is rejected: best in the mean of good rows kept and bad ones rejected, with `keep_good` of the good ones kept."""
+    """The least score that is rejected: best in the mean of good rows kept and bad ones rejected, with `keep_good` of the good ones kept. Infinite without a good row."""
     if not good.any():
         return float("inf")
     least = float(np.quantile(score[good], keep_good))
@@ -157,6 +157,8 @@ def threshold(score: np.ndarray, good: np.ndarray, keep_good: float = 0.998) ->
         value = (score[good] < cut).mean() + ((score[~good] >= cut).mean() if (~good).any() else 0)
         if value > best:
             best, at = value, float(cut)
+    if keep_good == 1 and not np.isfinite(at):  # no bad row above all good ones: what lies beyond these is rejected
+        at = float(np.nextafter(least, np.inf))
     return at
 
 
