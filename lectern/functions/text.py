@@ -88,12 +88,13 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅ
 _FOLDED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
-def hyphen_slug(text: Column, most: int = 90) -> Column:
-    """Accents folded, hyphens between runs of letters and digits; null where nothing is left."""
+def hyphen_slug(text: Column, most: int = 90, devices: bool = True) -> Column:
+    """Accents folded, hyphens between runs of letters and digits; null where nothing is left. devices: file names that Windows keeps for devices get a prefix."""
     s = F.lower(F.translate(text, _ACCENTED, _FOLDED))
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^\x00-\x7F]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     s = F.regexp_replace(F.substring(s, 1, most), "-+$", "")
-    return F.nullif(F.when(s.rlike("^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("article-"), s)).otherwise(s), F.lit(""))
+    named = F.when(s.rlike("^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("article-"), s)).otherwise(s) if devices else s
+    return F.nullif(named, F.lit(""))
 
 
 def safe_name(path: Column) -> Column:
