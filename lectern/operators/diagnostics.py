@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,26 +49,40 @@ def tics(docs: DataFrame, key: str, of: str) -> DataFrame:
     return docs.select(key, text.diagnostic_plain(F.col(of)).alias("t")).mapInPandas(run, f"{key} {kind}, phrase string, count int, lines array<int>")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is made once, however often the expression has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def variation(values: Column) -> Column:
     """The population deviation over the mean of an array; null for fewer than two values or a sum of 0."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when((n >= 2) & (total > 0), F.sqrt(square / n) / mean)
+
+    def of(xs: Column, total: Column) -> Column:
+        n = F.size(xs)
+        square = lambda mean: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        return F.when((n >= 2) & (total > 0), bound(total / F.greatest(F.lit(1), n), lambda mean: F.sqrt(square(mean) / n) / mean))
+
+    return bound(values, lambda xs: bound(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), lambda total: of(xs, total)))
 
 
 def style(docs: DataFrame, key: str, of: str) -> DataFrame:
-    """key and the metrics of a text's paragraphs, sentences and questions."""
-    p = docs.select(key, blocks.paragraphs(F.col(of)).alias("p"))
-    words = F.transform("p", lambda x: F.size(F.split(x, " ")).cast("double"))
-    sentences = F.flatten(F.transform("p", text.sentences))
+    """key and the metrics of a text's paragraphs, sentences and questions. Each paragraph is cut into sentences once."""
+
+    def measured(paragraph: Column, s: Column) -> Column:
+        n = lambda c: F.size(F.filter(s, c))
+        return F.struct(
+            F.size(F.split(paragraph, " ")).alias("words"), F.size(s).alias("n"), F.transform(s, lambda x: F.size(F.split(x, " ")).cast("double")).alias("lengths"), n(lambda x: x.endswith("?")).alias("questions"),
+            n(lambda x: x.rlike(r"(^|[^A-Za-z])(I|my|we)($|[^A-Za-z])")).alias("first_person"), n(lambda x: x.rlike(fixed.CAUTION)).alias("caution"),
+        )
+
+    p = docs.select(key, F.transform(blocks.paragraphs(F.col(of)), lambda x: bound(text.sentences(x), lambda s: measured(x, s))).alias("p"))
+    words = F.transform("p", lambda x: x["words"].cast("double"))
+    total = lambda name: _sum(F.transform("p", lambda x: x[name]))
     return p.select(
         key, F.size("p").alias("paragraphs"), F.aggregate(words, F.lit(0.0), lambda a, x: a + x).alias("words"), F.round(variation(words), 4).alias("paragraph_variation"),
-        F.round(variation(F.transform(sentences, lambda s: F.size(F.split(s, " ")).cast("double"))), 4).alias("sentence_variation"),
-        F.size(F.filter("p", lambda x: F.size(text.sentences(x)) == 1)).alias("one_sentence_paragraphs"), F.size(F.filter(sentences, lambda s: s.endswith("?"))).alias("rhetorical_questions"),
-        F.size(F.filter(sentences, lambda s: s.rlike(r"(^|[^A-Za-z])(I|my|we)($|[^A-Za-z])"))).alias("first_person"), F.size(F.filter(sentences, lambda s: s.rlike(fixed.CAUTION))).alias("caution_sentences"),
-        F.size(F.filter("p", lambda x: (F.size(text.sentences(x)) >= 3) & (F.size(F.filter(text.sentences(x), lambda s: s.rlike(fixed.CAUTION))) >= 2) & (F.size(F.split(x, " ")) <= 120))).alias("dense_passages"),
+        F.round(variation(F.flatten(F.transform("p", lambda x: x["lengths"]))), 4).alias("sentence_variation"),
+        F.size(F.filter("p", lambda x: x["n"] == 1)).alias("one_sentence_paragraphs"), total("questions").alias("rhetorical_questions"), total("first_person").alias("first_person"), total("caution").alias("caution_sentences"),
+        F.size(F.filter("p", lambda x: (x["n"] >= 3) & (x["caution"] >= 2) & (x["words"] <= 120))).alias("dense_passages"),
     )
 
 
