@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -283,6 +286,73 @@ def text_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(list(x), list(y)) if x is not None and y is not None and len(x) and len(y) else 0.0 for x, y in zip(a, b)])
 
 
+#: Candidates that a row of `pairs_by_ratio` holds at once; more are made when these are used up.
+AHEAD = 64
+
+
+def pairs_by_ratio(x: list[str], y: list[str], least: float, later: bool = False) -> Iterator[tuple[int, int, float]]:
+    """i, j, ratio of x[i] and y[j] paired greedily by falling ratio of `least` or more, each once; of equal ones the earlier (or later) first.
+
+    A ratio is never above twice the characters that both have, as a multiset, over the sum of lengths.  So pairs wait in a
+    heap under that bound, and only one that comes out while both are free is compared: what comes out compared is the
+    best of all that are left.
+    """
+    codes = np.frombuffer("".join([*x, *y]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known, codes = np.unique(codes, return_inverse=True)
+    sizes, k = np.array([len(t) for t in (*x, *y)], np.int64), max(1, len(known))
+    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * k + codes, minlength=len(sizes) * k).reshape(len(sizes), k).astype(np.int32)
+    cx, cy, nx, ny = counts[: len(x)], counts[len(x) :], sizes[: len(x)], sizes[len(x) :]
+    sign = -1 if later else 1
+    free_x, free_y = np.ones(len(x), bool), np.ones(len(y), bool)
+    order_y = sign * np.arange(len(y))
+
+    def candidates(i: int) -> Iterator[tuple[float, int]]:
+        """(bound, j) by falling bound, for the free ones of y."""
+        last = None
+        while True:
+            js = np.flatnonzero(free_y)
+            total = nx[i] + ny[js]
+            bound = np.where(total > 0, 2.0 * np.minimum(cx[i], cy[js]).sum(1) / np.maximum(total, 1), 1.0)
+            use = bound >= least
+            if last is not None:
+                use &= (bound < last[0]) | ((bound == last[0]) & (order_y[js] > last[1]))
+            js, bound = js[use], bound[use]
+            best = np.lexsort((order_y[js], -bound))[:AHEAD]
+            for b, j in zip(bound[best].tolist(), js[best].tolist()):
+                last = (b, sign * j)
+                if free_y[j]:
+                    yield b, j
+            if len(best) < AHEAD:
+                return
+
+    rows, heap, seen = [candidates(i) for i in range(len(x))], [], {}
+
+    def push(i: int) -> None:
+        for b, j in rows[i]:
+            heapq.heappush(heap, (-b, sign * i, sign * j, False))
+            return
+
+    for i in range(len(x)):
+        push(i)
+    while heap:
+        value, i, j, compared = heapq.heappop(heap)
+        i, j = sign * i, sign * j
+        if not free_x[i]:
+            continue
+        if compared:
+            if free_y[j]:
+                free_x[i] = free_y[j] = False
+                yield i, j, -value
+            continue
+        if free_y[j]:
+            pair = x[i], y[j]
+            if pair not in seen:
+                seen[pair] = 1.0 if x[i] == y[j] else SequenceMatcher(None, *pair).ratio()
+            if seen[pair] >= least:
+                heapq.heappush(heap, (-seen[pair], sign * i, sign * j, True))
+        push(i)
+
+
 def aligned_blocks(pairs: DataFrame, key: str, before: str, after: str, least: float = 0.32) -> DataFrame:
     """key, old, new, ratio: blocks replaced between two versions, paired greedily by falling ratio."""
 
@@ -292,15 +362,8 @@ def aligned_blocks(pairs: DataFrame, key: str, before: str, after: str, least: f
             for k, x, y in zip(frame[key], frame["b"], frame["a"]):
                 x, y = ([] if z is None else list(z) for z in (x, y))
                 for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                    if tag != "replace":
-                        continue
-                    scored = sorted(((SequenceMatcher(None, p, q).ratio(), i, j) for i, p in enumerate(x[i1:i2]) for j, q in enumerate(y[j1:j2])), key=lambda s: (-s[0], s[1], s[2]))
-                    left, right = set(), set()
-                    for score, i, j in scored:
-                        if score >= least and i not in left and j not in right:
-                            left.add(i)
-                            right.add(j)
-                            out.append((k, x[i1 + i], y[j1 + j], round(score, 3)))
+                    if tag == "replace":
+                        out.extend((k, x[i1 + i], y[j1 + j], round(score, 3)) for i, j, score in pairs_by_ratio(x[i1:i2], y[j1:j2], least))
             yield pd.DataFrame(out, columns=[key, "old", "new", "ratio"])
 
     from .blocks import blocks
