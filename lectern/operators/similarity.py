@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import fixed, text
+from .batches import map_frames
 
 
 @F.pandas_udf(DoubleType())
@@ -77,20 +78,22 @@ def boilerplate(assets: DataFrame, brand: tuple[str, ...] = (), size: int = 8) -
 def renamed_headings(pairs: DataFrame, key: str, before: str, after: str, least: float = 0.45) -> DataFrame:
     """key, old, new, ratio: each heading that a version lost, with the most similar one that the next version gained, if that is similar enough."""
 
-    def run(batches):
-        for frame in batches:
-            out = []
-            for k, x, y in zip(frame[key], frame["b"], frame["a"]):
-                x, y = ([] if z is None else list(z) for z in (x, y))
-                gained = [h for h in y if h not in x]
-                for old in dict.fromkeys(h for h in x if h not in y):
-                    score, new = max(((SequenceMatcher(None, old.casefold(), h.casefold()).ratio(), h) for h in gained), default=(0.0, ""))
-                    if score >= least:
-                        out.append((k, old, new, round(score, 3)))
-            yield pd.DataFrame(out, columns=[key, "old", "new", "ratio"])
+    def run(frame):
+        out = [(k, *r) for k, x, y in zip(frame[key], frame["b"], frame["a"]) for r in renamed([] if x is None else list(x), [] if y is None else list(y), least)]
+        return pd.DataFrame(out, columns=[key, "old", "new", "ratio"])
 
     kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, text.headings(F.col(before)).alias("b"), text.headings(F.col(after)).alias("a")).mapInPandas(run, f"{key} {kind}, old string, new string, ratio double")
+    return map_frames(pairs.select(key, text.headings(F.col(before)).alias("b"), text.headings(F.col(after)).alias("a")), run, f"{key} {kind}, old string, new string, ratio double")
+
+
+def renamed(x: list[str], y: list[str], least: float = 0.45) -> Iterator[tuple[str, str, float]]:
+    """`renamed_headings` of two lists."""
+    own, other = set(x), set(y)
+    gained = list(dict.fromkeys(h for h in y if h not in own))
+    for old in dict.fromkeys(h for h in x if h not in other):
+        score, new = max(((SequenceMatcher(None, old.casefold(), h.casefold()).ratio(), h) for h in gained), default=(0.0, ""))
+        if score >= least:
+            yield old, new, round(score, 3)
 
 
 def moved_headings(before: Column, after: Column) -> Column:
@@ -356,17 +359,16 @@ def pairs_by_ratio(x: list[str], y: list[str], least: float, later: bool = False
 def aligned_blocks(pairs: DataFrame, key: str, before: str, after: str, least: float = 0.32) -> DataFrame:
     """key, old, new, ratio: blocks replaced between two versions, paired greedily by falling ratio."""
 
-    def run(batches):
-        for frame in batches:
-            out = []
-            for k, x, y in zip(frame[key], frame["b"], frame["a"]):
-                x, y = ([] if z is None else list(z) for z in (x, y))
-                for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                    if tag == "replace":
-                        out.extend((k, x[i1 + i], y[j1 + j], round(score, 3)) for i, j, score in pairs_by_ratio(x[i1:i2], y[j1:j2], least))
-            yield pd.DataFrame(out, columns=[key, "old", "new", "ratio"])
+    def run(frame):
+        out = []
+        for k, x, y in zip(frame[key], frame["b"], frame["a"]):
+            x, y = ([] if z is None else list(z) for z in (x, y))
+            for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+                if tag == "replace":
+                    out.extend((k, x[i1 + i], y[j1 + j], round(score, 3)) for i, j, score in pairs_by_ratio(x[i1:i2], y[j1:j2], least))
+        return pd.DataFrame(out, columns=[key, "old", "new", "ratio"])
 
     from .blocks import blocks
 
     kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, blocks(F.col(before)).alias("b"), blocks(F.col(after)).alias("a")).mapInPandas(run, f"{key} {kind}, old string, new string, ratio double")
+    return map_frames(pairs.select(key, blocks(F.col(before)).alias("b"), blocks(F.col(after)).alias("a")), run, f"{key} {kind}, old string, new string, ratio double")
