@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from . import fixed
 SPACE = r"\s+"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is made once, however often the expression has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def every(text: Column, pattern: str) -> Column:
     """All matches of a pattern."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -255,10 +260,10 @@ def preview_boundary(text: Column) -> Column:
 
 def traits(text: Column) -> Column:
     """The first three of five traits of a paragraph, or a default."""
-    n = F.regexp_count(text, F.lit("[^.!?]+[.!?]"))
+    n = F.regexp_count(text, F.lit("[^.!?][.!?]"))  # as many as runs with an end; a run itself would be read again from each of its characters
     rules = [*[(text.rlike(p), name) for p, name in fixed.TRAITS], (n.between(2, 6), fixed.RHYTHM)]
     found = F.slice(F.array_compact(F.array(*[F.when(c, s) for c, s in rules])), 1, 3)
-    return F.when(F.size(found) == 0, F.array(F.lit(fixed.PLAIN_TRAIT))).otherwise(found)
+    return bound(found, lambda x: F.when(F.size(x) == 0, F.array(F.lit(fixed.PLAIN_TRAIT))).otherwise(x))
 
 
 def rendered(body: Column, tail: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,20 +48,15 @@ def tics(docs: DataFrame, key: str, of: str) -> DataFrame:
     return docs.select(key, text.diagnostic_plain(F.col(of)).alias("t")).mapInPandas(run, f"{key} {kind}, phrase string, count int, lines array<int>")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression of a value that is made once, however often the expression has it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def variation(values: Column) -> Column:
     """The population deviation over the mean of an array; null for fewer than two values or a sum of 0."""
 
     def of(xs: Column, total: Column) -> Column:
         n = F.size(xs)
         square = lambda mean: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        return F.when((n >= 2) & (total > 0), bound(total / F.greatest(F.lit(1), n), lambda mean: F.sqrt(square(mean) / n) / mean))
+        return F.when((n >= 2) & (total > 0), text.bound(total / F.greatest(F.lit(1), n), lambda mean: F.sqrt(square(mean) / n) / mean))
 
-    return bound(values, lambda xs: bound(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), lambda total: of(xs, total)))
+    return text.bound(values, lambda xs: text.bound(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), lambda total: of(xs, total)))
 
 
 def style(docs: DataFrame, key: str, of: str) -> DataFrame:
@@ -75,7 +69,7 @@ def style(docs: DataFrame, key: str, of: str) -> DataFrame:
             n(lambda x: x.rlike(r"(^|[^A-Za-z])(I|my|we)($|[^A-Za-z])")).alias("first_person"), n(lambda x: x.rlike(fixed.CAUTION)).alias("caution"),
         )
 
-    p = docs.select(key, F.transform(blocks.paragraphs(F.col(of)), lambda x: bound(text.sentences(x), lambda s: measured(x, s))).alias("p"))
+    p = docs.select(key, F.transform(blocks.paragraphs(F.col(of)), lambda x: text.bound(text.sentences(x), lambda s: measured(x, s))).alias("p"))
     words = F.transform("p", lambda x: x["words"].cast("double"))
     total = lambda name: _sum(F.transform("p", lambda x: x[name]))
     return p.select(

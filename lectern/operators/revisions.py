@@ -118,7 +118,7 @@ def editorial_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataF
         table("summary", summary), F.transform("renamed", lambda r, i: row("section changes", "renamed", i, r["old"], r["new"])),
         *[changed(x) for x in kinds],
         listed("section changes", "before", F.col("hb"), False), listed("section changes", "after", F.col("ha"), True), listed("section changes", "added", without("ha", "hb"), True), listed("section changes", "removed", without("hb", "ha"), False), listed("section changes", "moved", shared, False),
-        listed("opening", "before", F.slice("pb", 1, 3), False), listed("opening", "after", F.slice("pa", 1, 3), True), listed("conclusion", "before", diagnostics.bound(blocks.narrative(F.col("b")), last), False), listed("conclusion", "after", diagnostics.bound(blocks.narrative(F.col("a")), last), True),
+        listed("opening", "before", F.slice("pb", 1, 3), False), listed("opening", "after", F.slice("pa", 1, 3), True), listed("conclusion", "before", text.bound(blocks.narrative(F.col("b")), last), False), listed("conclusion", "after", text.bound(blocks.narrative(F.col("a")), last), True),
         listed("qualifications", "before", blocks.qualification_sentences(F.col("b")), False), listed("qualifications", "after", blocks.qualification_sentences(F.col("a")), True),
         table("paragraph rhythm", [(n, f(F.col("lb")), f(F.col("la"))) for n, f in rhythm]), F.transform("entities", lambda e: row("entities", e["part"], e["rank"], e["old"], e["new"])),
         listed("links", "added", only("ma", "mb"), True), listed("links", "removed", only("mb", "ma"), False),
