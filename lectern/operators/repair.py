@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .batches import map_frames
+
 
 def complete_items(raw: str | None) -> list[str]:
     """The complete objects of the array `items`, as JSON, of an object that may break off."""
@@ -30,11 +33,10 @@ def complete_items(raw: str | None) -> list[str]:
 def repaired_items(df: DataFrame, key: str, raw: str) -> DataFrame:
     """key and items: whole JSON objects of each text."""
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "items": [complete_items(x) for x in b[raw]]})
+    def run(b):
+        return pd.DataFrame({key: b[key], "items": [complete_items(x) for x in b[raw]]})
 
-    return df.select(key, raw).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, items array<string>")
+    return map_frames(df.select(key, raw), run, f"{key} {df.schema[key].dataType.simpleString()}, items array<string>")
 
 
 _TAKEN = re.compile(r"```.*?(?:```|\Z)|\[[^\]\n]*\]\([^)\n]*\)", re.S)
@@ -52,37 +54,42 @@ def link_first(text: str, phrase: str, url: str) -> tuple[str, bool]:
 def linked(df: DataFrame, key: str, of: str, sources: str) -> DataFrame:
     """key, linked, n_linked: sources (phrase, link) inserted from the longest phrase, each at its first free use."""
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for k, t, s in zip(b[key], b[of], b[sources]):
-                n = 0
-                for _, x in sorted(enumerate(s if t is not None else []), key=lambda p: (-len(p[1]["phrase"]), p[0])):
-                    t, hit = link_first(t, x["phrase"], x["link"])
-                    n += hit
-                out.append((k, t, n))
-            yield pd.DataFrame(out, columns=[key, "linked", "n_linked"])
+    def run(b):
+        out = []
+        for k, t, s in zip(b[key], b[of], b[sources]):
+            n = 0
+            for _, x in sorted(enumerate(s if t is not None else []), key=lambda p: (-len(p[1]["phrase"]), p[0])):
+                t, hit = link_first(t, x["phrase"], x["link"])
+                n += hit
+            out.append((k, t, n))
+        return pd.DataFrame(out, columns=[key, "linked", "n_linked"])
 
-    return df.select(key, of, sources).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, linked string, n_linked int")
+    return map_frames(df.select(key, of, sources), run, f"{key} {df.schema[key].dataType.simpleString()}, linked string, n_linked int")
 
 
 def split_sentences(text: str) -> list[str]:
     """Sentences of each line, without thread and slide numbers; initials and dotted abbreviations end none."""
-    out = []
+    return list(each_sentence(text))
+
+
+def each_sentence(text: str) -> Iterator[str]:
+    """`split_sentences`, as far as it is read."""
     for line in re.sub(r"(?m)^\s*(?:Slide \d+\s*[—-]|\d+/)\s*", "", text).split("\n"):
         begin = 0
         for m in re.finditer(r"[.!?][\"”’']*(?=\s|$)", line):
-            if not re.search(r"\b(?:[A-Za-z]\.)+$", line[: m.end()]):
-                out.append(line[begin : m.end()].strip())
-                begin = m.end()
-        out.append(line[begin:].strip())
-    return [s for s in out if s]
+            end = m.end()
+            if not re.fullmatch(r"\W?[A-Za-z]\.", line[max(0, end - 3) : end]):  # a lone letter before the full stop
+                if line[begin:end].strip():
+                    yield line[begin:end].strip()
+                begin = end
+        if line[begin:].strip():
+            yield line[begin:].strip()
 
 
 def fitting(text: str, limit: int, reserve: int, prefix: str = "", tail: str = "") -> list[str]:
     """As many leading whole sentences as fit a weighted length (2 for a character beyond ASCII) with a prefix, a tail after a blank line and a reserve."""
     kept: list[str] = []
-    for s in split_sentences(text):
+    for s in each_sentence(text):
         if not re.search(r"[.!?][\"”’']*$", s):
             continue
         copy = prefix + " ".join([*kept, s]) + (f"\n\n{tail.strip()}" if tail.strip() else "")
@@ -95,12 +102,11 @@ def fitting(text: str, limit: int, reserve: int, prefix: str = "", tail: str = "
 def shortened(df: DataFrame, key: str, of: str, limit: int, reserve: int) -> DataFrame:
     """key, short, n_sentences: as many leading whole sentences as fit a weighted length; null without any."""
 
-    def run(batches):
-        for b in batches:
-            kept = [fitting(t or "", limit, reserve) for t in b[of]]
-            yield pd.DataFrame({key: b[key], "short": [" ".join(k) or None for k in kept], "n_sentences": [len(k) for k in kept]})
+    def run(b):
+        kept = [fitting(t or "", limit, reserve) for t in b[of]]
+        return pd.DataFrame({key: b[key], "short": [" ".join(k) or None for k in kept], "n_sentences": [len(k) for k in kept]})
 
-    return df.select(key, of).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, short string, n_sentences int")
+    return map_frames(df.select(key, of), run, f"{key} {df.schema[key].dataType.simpleString()}, short string, n_sentences int")
 
 
 def prepared(body: str, tail: str, form: str, limit: int = 280, reserve: int = 24) -> str | None:
@@ -124,8 +130,7 @@ def prepared(body: str, tail: str, form: str, limit: int = 280, reserve: int = 2
 def prepared_posts(df: DataFrame, key: str, body: str, tail: str, form: str) -> DataFrame:
     """key and prepared: `prepared` of each row's body, call to action and form."""
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "prepared": [prepared(x or "", t or "", f or "") for x, t, f in zip(b[body], b[tail], b[form])]})
+    def run(b):
+        return pd.DataFrame({key: b[key], "prepared": [prepared(x or "", t or "", f or "") for x, t, f in zip(b[body], b[tail], b[form])]})
 
-    return df.select(key, body, tail, form).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, prepared string")
+    return map_frames(df.select(key, body, tail, form), run, f"{key} {df.schema[key].dataType.simpleString()}, prepared string")
