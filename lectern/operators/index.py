@@ -11,12 +11,15 @@ from . import blocks, store
 
 def chunked(articles: DataFrame) -> DataFrame:
     """canonical_url, title, section, number, start, text, links of articles (canonical_url, title, body): cleaned sections in word windows with their own links."""
-    s = blocks.sections(articles, "canonical_url", "body", "title").join(articles.select("canonical_url", "title"), "canonical_url")
-    c = s.select(F.struct("canonical_url", "number").alias("id"), "canonical_url", "title", "section", "number", F.col("body").alias("raw"), text.squeezed(text.clean_article(F.col("body"), F.col("title"))).alias("clean")).where("clean <> ''")
-    links = blocks.markdown_links(c.withColumn("article", F.col("canonical_url")), "id", "raw", "article").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "anchor", "url", "kind"))), lambda l: F.struct(l["anchor"].alias("anchor"), l["url"].alias("url"), l["kind"].alias("kind"))).alias("links"))
-    w = blocks.word_windows(c, "id", F.col("clean")).join(c.drop("raw"), "id").join(links, "id", "left")
+    a = articles.where("canonical_url IS NOT NULL").select(F.struct("canonical_url", "title").alias("article_"), "title", "body")
+    s = blocks.sections(a, "article_", "body", "title").select("article_.*", "number", "section", F.col("body").alias("raw"))
+    c = s.select(F.struct("canonical_url", "number").alias("id"), "canonical_url", "title", "section", "number", "raw", text.squeezed(text.clean_article(F.col("raw"), F.col("title"))).alias("clean")).where("clean <> ''")
+    linked = c.where(F.contains("raw", F.lit("](http"))).withColumn("article", F.col("canonical_url"))
+    links = blocks.markdown_links(linked, "id", "raw", "article").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "anchor", "url", "kind"))), lambda l: F.struct(l["anchor"].alias("anchor"), l["url"].alias("url"), l["kind"].alias("kind"))).alias("links"))
     none = F.array().cast("array<struct<anchor:string,url:string,kind:string>>")
-    return w.select("canonical_url", "title", "section", "number", "start", F.col("piece").alias("text"), blocks.links_in_piece(F.coalesce("links", none), F.col("piece"), F.col("clean")).alias("links"))
+    own = c.drop("raw").join(links, "id", "left").select(F.struct("canonical_url", "title", "section", "number", F.coalesce("links", none).alias("links"), F.when(F.size(F.coalesce("links", none)) > 0, F.col("clean")).alias("whole")).alias("s"), "clean")
+    w = blocks.word_windows(own, "s", F.col("clean"))
+    return w.select("s.canonical_url", "s.title", "s.section", "s.number", "start", F.col("piece").alias("text"), blocks.links_in_piece(F.col("s.links"), F.col("piece"), F.col("s.whole")).alias("links"))
 
 
 #: Ranges of terms that postings are kept in, and rows of a file of them.
