@@ -26,6 +26,19 @@ def without(tokens: Column, stop: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(list(stop)))
 
 
+def counted(tokens: Column) -> Column:
+    """(term, tf) of the distinct tokens, ascending; tokens are sorted, and each run of equal ones is as long as they are frequent."""
+
+    def runs(s: Column, first: Column) -> Column:
+        return F.transform(first, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+
+    def places(s: Column) -> Column:
+        every_ = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(every_, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+    return bound(F.sort_array(tokens), lambda s: bound(places(s), lambda first: runs(s, first)))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 

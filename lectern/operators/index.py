@@ -9,22 +9,22 @@ from ..functions import fixed, search, text
 from . import blocks, store
 
 
-def chunked(articles: DataFrame) -> DataFrame:
-    """canonical_url, title, section, number, start, text, links of articles (canonical_url, title, body): cleaned sections in word windows with their own links."""
-    a = articles.where("canonical_url IS NOT NULL").select(F.struct("canonical_url", "title").alias("article_"), "title", "body")
+def chunked(articles: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """canonical_url, title, section, number, start, text, links of articles (canonical_url, title, body), and other columns of theirs: cleaned sections in word windows with their own links."""
+    a = articles.where("canonical_url IS NOT NULL").select(F.struct("canonical_url", "title", *also).alias("article_"), "title", "body")
     s = blocks.sections(a, "article_", "body", "title").select("article_.*", "number", "section", F.col("body").alias("raw"))
-    c = s.select(F.struct("canonical_url", "number").alias("id"), "canonical_url", "title", "section", "number", "raw", text.squeezed(text.clean_article(F.col("raw"), F.col("title"))).alias("clean")).where("clean <> ''")
+    c = s.select(F.struct("canonical_url", "number").alias("id"), "canonical_url", "title", *also, "section", "number", "raw", text.squeezed(text.clean_article(F.col("raw"), F.col("title"))).alias("clean")).where("clean <> ''")
     linked = c.where(F.contains("raw", F.lit("](http"))).withColumn("article", F.col("canonical_url"))
     links = blocks.markdown_links(linked, "id", "raw", "article").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "anchor", "url", "kind"))), lambda l: F.struct(l["anchor"].alias("anchor"), l["url"].alias("url"), l["kind"].alias("kind"))).alias("links"))
     none = F.array().cast("array<struct<anchor:string,url:string,kind:string>>")
-    own = c.drop("raw").join(links, "id", "left").select(F.struct("canonical_url", "title", "section", "number", F.coalesce("links", none).alias("links"), F.when(F.size(F.coalesce("links", none)) > 0, F.col("clean")).alias("whole")).alias("s"), "clean")
+    own = c.drop("raw").join(links, "id", "left").select(F.struct("canonical_url", "title", *also, "section", "number", F.coalesce("links", none).alias("links"), F.when(F.size(F.coalesce("links", none)) > 0, F.col("clean")).alias("whole")).alias("s"), "clean")
     w = blocks.word_windows(own, "s", F.col("clean"))
-    return w.select("s.canonical_url", "s.title", "s.section", "s.number", "start", F.col("piece").alias("text"), blocks.links_in_piece(F.col("s.links"), F.col("piece"), F.col("s.whole")).alias("links"))
+    return w.select("s.canonical_url", "s.title", *[f"s.{c}" for c in also], "s.section", "s.number", "start", F.col("piece").alias("text"), blocks.links_in_piece(F.col("s.links"), F.col("piece"), F.col("s.whole")).alias("links"))
 
 
 #: Ranges of terms that postings are kept in, and rows of a file of them.
 BUCKETS, FILE_ROWS = 64, 4_000_000
-#: Words of the longest run of tokens that has postings.
+#: Words of the longest run of tokens that is a concept.
 RUN = 3
 CHUNK = ["canonical_url", "chunk"]
 
@@ -48,8 +48,9 @@ class Index:
 
     articles: every article of a build with its digest, the generation that has its chunks, their number and tokens, and
     whether it is served (equal bodies are served once).  chunks: canonical_url, chunk, title, section, text, links, status.
-    postings: term, tf and chunk for all runs of 1 to 3 search tokens, by buckets of the term, sorted.  terms: the distinct
-    tokens.  A build that breaks off leaves parts that no `meta` row names.
+    postings: term, tf and chunk for all search tokens, by buckets of the term, sorted; a run of tokens is looked up by its
+    tokens and counted in the chunks that have them all.  terms: the distinct tokens.  A build that breaks off leaves parts
+    that no `meta` row names.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -81,9 +82,20 @@ class Index:
         return self.served("chunks").drop("generation")
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """term, tf and chunk of some terms: only their buckets are read, and within these the row groups that can have them."""
+        """term, tf and chunk of some tokens or runs of tokens: only their buckets are read, and within these the row groups that can have them."""
+        runs = [t for t in dict.fromkeys(terms) if " " in t]
+        out = self._posted([t for t in terms if " " not in t])
+        for t in runs:
+            own = t.split(" ")
+            have = self._posted(own).groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(set(own))).drop("n")
+            tf = F.size(F.filter(_runs(F.col("tokens"), len(own)), search._same(t))).cast("long")  # shorter runs have fewer spaces
+            found = self.served("chunks").join(have, CHUNK, "left_semi").select(F.lit(t).alias("term"), tf.alias("tf"), F.size("tokens").cast("long").alias("dl"), *CHUNK)
+            out = out.unionByName(found.where("tf > 0"))
+        return out
+
+    def _posted(self, tokens: list[str]) -> DataFrame:
         wanted = F.lit(False)
-        for t in terms:
+        for t in tokens:
             wanted = wanted | ((F.col("bucket") == _bucket(F.lit(t))) & (F.col("term") == t))
         return self.served("postings").where(wanted).select("term", "tf", "dl", *CHUNK)
 
@@ -94,7 +106,7 @@ class Index:
         for kind, w in words:
             match = match | how[kind](F.col("term"), F.lit(w))
         terms = self._read("terms", self.generation).where(match).select("term").distinct().withColumn("bucket", _bucket(F.col("term")))
-        return self.served("postings").where("words = 1").join(terms, ["bucket", "term"]).select(*CHUNK).distinct()
+        return self.served("postings").join(terms, ["bucket", "term"]).select(*CHUNK).distinct()
 
 
     def fit(self, k: int = 128, limit: int = 30000) -> None:
@@ -145,14 +157,13 @@ def build(articles: DataFrame, path: str, force: bool = False) -> bool:
     a = articles.withColumn("digest", _digest())
     fresh = a if known is None else a.join(known.select("canonical_url", "digest"), ["canonical_url", "digest"], "left_anti")
     at = f"generation={g}"
-    made = chunked(fresh).join(fresh.select("canonical_url", F.col("content_status").alias("status")), "canonical_url")
+    made = chunked(fresh.withColumn("status", F.col("content_status")), ("status",))
     made = made.withColumn("chunk", F.col("number").cast("long") * (1 << 32) + F.col("start")).drop("number", "start")
     made.withColumn("tokens", text.search_tokens(_hay())).write.mode("overwrite").parquet(f"{path}/chunks/{at}")
     chunks = spark.read.parquet(f"{path}/chunks/{at}")
     sizes = chunks.groupBy("canonical_url").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
-    rows = (chunks.agg(F.sum(F.size("tokens"))).first()[0] or 0) * RUN
-    posted = chunks.select(*CHUNK, F.size("tokens").cast("long").alias("dl"), F.explode_outer(_runs(F.col("tokens"))).alias("term")).where("term IS NOT NULL").groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    posted = posted.withColumns({"bucket": _bucket(F.col("term")), "words": F.size(F.split("term", " "))})
+    posted = chunks.select(*CHUNK, F.size("tokens").cast("long").alias("dl"), F.explode(text.counted(F.col("tokens"))).alias("x")).select(*CHUNK, "dl", "x.term", "x.tf").withColumn("bucket", _bucket(F.col("term")))
+    rows = chunks.agg(F.sum(F.size(F.array_distinct("tokens")))).first()[0] or 0
     spread = max(1, -(-rows // (BUCKETS * FILE_ROWS)))  # files of a bucket: a frequent term is in all of them
     posted.repartition("bucket", F.pmod(F.xxhash64(*CHUNK), F.lit(spread))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
     chunks.select(F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{path}/terms/{at}")
