@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, search, text
+from ..sources import sinks
 from . import blocks, store
 
 
@@ -206,7 +207,9 @@ def rank_links(links: Column, entities: list[str], free: list[str], concepts: li
 def expanded_concepts(chunks: DataFrame, key: str, of: str, entities: list[str], query: str, limit: int = 18) -> list[str]:
     """Phrases of one to three words that chunks with an entity share: by their share in the seeds, rarity and specificity.
 
-    One pass counts the terms of seeds and of all chunks; what comes to the driver is `limit` phrases.
+    One pass counts the single tokens of seeds and of all chunks.  A phrase is in no more seeds than each of its tokens, so a
+    second pass counts only the phrases of which each token is in as many seeds as the last of the best needs; what can't be a concept by
+    its words is not counted at all.  What comes to the driver is `4 * limit` phrases of each pass and the tokens of such phrases.
     """
     if not entities:
         return []
@@ -215,10 +218,9 @@ def expanded_concepts(chunks: DataFrame, key: str, of: str, entities: list[str],
     for e in entities:
         seed = seed | F.contains(low, F.lit(e))
     own = {w for e in entities for w in e.split()} | set(search.query_plan(query)[2])
-    toks = text.search_tokens(F.col(of))
-    c = chunks.select(key, seed.alias("seed"), toks.alias("toks")).withColumn("all", F.array_distinct(_runs(F.col("toks"))))
-    n = c.agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds")).first()
-    df = c.select("seed", F.explode_outer("all").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("seed").alias("in_seeds")).where("in_seeds > 0")
+    c = chunks.select(F.coalesce(seed, F.lit(False)).alias("seed"), text.search_tokens(F.col(of)).alias("toks"))
+    n = chunks.agg(F.count(F.lit(1)).alias("n"), F.count_if(seed).alias("seeds")).first()
+    counted = lambda terms: terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("seed").alias("in_seeds")).where("in_seeds > 0")
     words = F.split("term", " ")
     junk = [*fixed.GENERIC_TERMS, *fixed.CONCEPT_JUNK]
     infra = lambda w: w.isin(fixed.INFRASTRUCTURE_TERMS)
@@ -231,7 +233,16 @@ def expanded_concepts(chunks: DataFrame, key: str, of: str, entities: list[str],
     rarity = F.least(F.lit(3.0), F.log((n.n + 1.0) / (F.col("df") + 1.0)) + 1)
     special = F.when(F.exists(words, lambda w: w.isin(fixed.INFRASTRUCTURE_TERMS)), 1.15).otherwise(1.0) + F.when(F.col("term").rlike("[0-9]"), 0.15).otherwise(0.0)
     score = F.col("in_seeds") / F.lit(float(max(1, n.seeds))) * rarity * (1.0 + 0.42 * F.least(F.lit(2), F.size(words) - 1)) * special
-    best = df.where(ok).select("term", score.alias("score")).orderBy(F.col("score").desc(), F.col("term").desc()).limit(4 * limit).collect()
+    best_of = lambda df: df.where(ok).select("term", score.alias("score")).orderBy(F.col("score").desc(), F.col("term").desc()).limit(4 * limit).collect()
+    one = sinks.scratch(counted(c.select("seed", F.explode(F.array_distinct("toks")).alias("term"))))
+    best = best_of(one)
+    floor = best[-1]["score"] if len(best) == 4 * limit else 0.0
+    most = 3.0 * (1.0 + 0.42 * 2) * (1.15 + 0.15)  # of a score, but for the share in the seeds
+    no = [*fixed.CONCEPT_HARD_JUNK, *own]
+    able = [r["term"] for r in one.where((F.col("in_seeds") >= (floor * max(1, n.seeds) / most) * (1 - 1e-9)) & ~F.col("term").isin(no or [""])).select("term").collect()]
+    if able:
+        pairs = _concept_runs(F.col("toks"), able, junk)
+        best = sorted([*best, *best_of(counted(c.select("seed", F.explode(F.array_distinct(pairs)).alias("term"))))], key=lambda r: (r["score"], r["term"].encode()), reverse=True)[: 4 * limit]
     kept: list[str] = []
     for r in best:
         if " " in r.term or not any(r.term in k for k in kept):
@@ -239,6 +250,26 @@ def expanded_concepts(chunks: DataFrame, key: str, of: str, entities: list[str],
     return kept[:limit]
 
 
+def _concept_runs(tokens: Column, able: list[str], junk: list[str]) -> Column:
+    """Runs of two and three of the able tokens that aren't all junk; of three, only with two terms of infrastructure or a digit."""
+    flags = lambda t: [t.isin(junk).alias("junk"), t.isin(fixed.INFRASTRUCTURE_TERMS).cast("int").alias("infra"), t.rlike("[0-9]").alias("digit")]
+    placed = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(able))
+    use = F.transform(placed, lambda x: F.struct(x["t"].alias("t"), x["i"].alias("i"), *flags(x["t"])))
+
+    def runs(u: Column) -> Column:
+        near = lambda x, y, by: F.coalesce(y["i"] == x["i"] + by, F.lit(False))
+
+        def from_(x: Column, k: Column) -> Column:
+            y, z = F.get(u, k + 1), F.get(u, k + 2)
+            two = F.when(near(x, y, 1) & ~(x["junk"] & y["junk"]), F.concat_ws(" ", x["t"], y["t"]))
+            three = F.when(near(x, y, 1) & near(x, z, 2) & ~(x["junk"] & y["junk"] & z["junk"]) & ((x["infra"] + y["infra"] + z["infra"] >= 2) | x["digit"] | y["digit"] | z["digit"]), F.concat_ws(" ", x["t"], y["t"], z["t"]))
+            return F.array(two, three)
+
+        return F.array_compact(F.flatten(F.transform(u, from_)))
+
+    return text.bound(use, runs)
+
+
 def ordered_sets(df: DataFrame, key: str, value: str, order: str, best: int = 3) -> DataFrame:
     """key and the distinct elements of its first `best` arrays, in the order that they are first seen."""
     from pyspark.sql import Window

@@ -28,3 +28,18 @@ def test_counted_tokens(spark):
     lists = [["b", "a", "b"], [], None, ["x"], ["é", "z", "é", "a", "a", "a"]]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, t array<string>").select("i", text.counted(F.col("t")).alias("c")).orderBy("i").collect()
     assert [[tuple(y) for y in r.c or []] for r in got] == [sorted(Counter(x or []).items()) for x in lists]
+
+
+def test_concepts_count_only_phrases_that_can_be_one(spark):
+    """Phrases of tokens that too few seeds have, of junk alone, or of three tokens without infrastructure or a digit aren't counted."""
+    from lectern.functions import fixed
+    from lectern.operators import index
+
+    a, b = fixed.INFRASTRUCTURE_TERMS[:2]
+    junk = [*fixed.GENERIC_TERMS][:1]
+    tokens = ["plain", "words", a, b, "rare", "words", "memo12", "plain", *junk, *junk]
+    able = [t for t in tokens if t != "rare"]
+    runs = [tokens[i : i + k] for i in range(len(tokens)) for k in (2, 3) if i + k <= len(tokens)]
+    want = [" ".join(r) for r in runs if "rare" not in r and not set(r) <= set(junk) and (len(r) == 2 or sum(w in (a, b) for w in r) >= 2 or any(c.isdigit() for c in " ".join(r)))]
+    got = spark.createDataFrame([(tokens,), ([],), (["plain"],)], "t array<string>").select(index._concept_runs(F.col("t"), able, junk).alias("r")).collect()
+    assert sorted(got[0].r) == sorted(want) and got[1].r == got[2].r == []
