@@ -43,3 +43,19 @@ def test_concepts_count_only_phrases_that_can_be_one(spark):
     want = [" ".join(r) for r in runs if "rare" not in r and not set(r) <= set(junk) and (len(r) == 2 or sum(w in (a, b) for w in r) >= 2 or any(c.isdigit() for c in " ".join(r)))]
     got = spark.createDataFrame([(tokens,), ([],), (["plain"],)], "t array<string>").select(index._concept_runs(F.col("t"), able, junk).alias("r")).collect()
     assert sorted(got[0].r) == sorted(want) and got[1].r == got[2].r == []
+
+
+def test_terms_are_counted_in_their_texts(spark):
+    """Nothing is exchanged for postings; weights exchange a text's terms by term and by text, once each."""
+    import math
+
+    from lectern.functions import search
+
+    texts = {1: ["a", "b", "a"], 2: ["b"], 3: [], 4: ["c", "a", "b", "b", "b"]}
+    posted = search.postings(spark.createDataFrame(list(texts.items()), "k int, t array<string>"), "k", F.col("t"))
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    df = Counter(t for x in texts.values() for t in set(x))
+    w = {(k, t): (1 + math.log(n)) * (math.log(5 / (1 + df[t])) + 1) for k, x in texts.items() for t, n in Counter(x).items()}
+    norm = {k: math.sqrt(sum(v * v for (i, _), v in w.items() if i == k)) for k in texts}
+    got = {(r.k, r.term): r.weight for r in search.tfidf(posted, "k", 4).collect()}
+    assert set(got) == set(w) and all(abs(got[x] - w[x] / norm[x[0]]) < 1e-12 for x in w)
