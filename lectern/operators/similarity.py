@@ -153,9 +153,9 @@ def gold_titles(rows: DataFrame, gold: DataFrame) -> DataFrame:
     """row_id and gold of rows (row_id, title): whether a title holds a gold title (title), or stands in one, or has three
     of its words and half of them; titles are compared as `text.title_key`.
 
-    Containment either way: gold titles are dealt to shards of GOLD_SHARD, each an automaton of its titles and the sorted
-    ends of these, in which a title that stands in one begins an end.  Shared words: rows meet gold titles on the rarest
-    words that any match must have one of, and only these pairs are counted.
+    Gold titles are dealt to shards of GOLD_SHARD, and rows pass each shard without an exchange.  Containment either way: an
+    automaton of the shard's titles, and the sorted ends of these, in which a title that stands in one begins an end.  Shared
+    words: rows meet gold titles on the words, rare among them, that any match must have one of, and only these pairs are counted.
     """
     g = gold.select(text.title_key(F.col("title")).alias("g")).where("g <> ''").distinct()
     r = rows.select("row_id", text.title_key(F.coalesce("title", F.lit(""))).alias("t"))
@@ -164,15 +164,7 @@ def gold_titles(rows: DataFrame, gold: DataFrame) -> DataFrame:
         part = g.where(F.pmod(F.xxhash64("g"), F.lit(-(-n // GOLD_SHARD))) == k)
         held = _held([x.g for x in part.collect()])  # some GOLD_SHARD titles
         shards.append(r.mapInPandas(held, f"row_id {rows.schema['row_id'].dataType.simpleString()}"))
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    gw = g.select("g", words("g").alias("w")).where("size(w) >= 3").withColumn("need", F.greatest(F.lit(3), F.ceil(F.size("w") / 2)))
-    df = gw.select(F.explode_outer("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    each = gw.select("g", "w", "need", F.explode_outer("w").alias("word")).join(df, "word")
-    ordered = each.groupBy("g").agg(F.first("need").alias("need"), F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    probes = ordered.select("g", "w", "need", F.explode_outer(F.transform(F.slice("o", F.lit(1), F.size("o") - F.col("need").cast("int") + 1), lambda x: x["word"])).alias("word"))
-    own = r.select("row_id", words("t").alias("own"))
-    near = own.select("row_id", "own", F.explode_outer("own").alias("word")).join(probes, "word").where(F.size(F.array_intersect("own", "w")) >= F.col("need")).select("row_id")
-    found = near
+    found = rows.select("row_id").where(F.lit(False))
     for x in shards:
         found = found.unionByName(x)
     return rows.select("row_id").join(found.distinct().withColumn("gold_", F.lit(True)), "row_id", "left").select("row_id", F.coalesce("gold_", F.lit(False)).alias("gold"))
@@ -190,11 +182,22 @@ def _held(titles: list[str]):
         automaton.make_automaton()
         ends = sorted({t[i:] for t in titles for i in range(len(t))})
 
+        own = [list(dict.fromkeys(t.split(" "))) for t in titles]
+        df, probes = Counter(w for ws in own for w in ws), {}
+        for ws in own:
+            if len(ws) >= 3:
+                need = max(3, -(-len(ws) // 2))
+                for w in sorted(ws, key=lambda w: (df[w], w))[: len(ws) - need + 1]:
+                    probes.setdefault(w, []).append((frozenset(ws), need))
+
         def match(t: str) -> bool:
             if next(iter(automaton.iter(t)), None):
                 return True
             at = bisect.bisect_left(ends, t)
-            return at < len(ends) and ends[at].startswith(t)
+            if at < len(ends) and ends[at].startswith(t):
+                return True
+            words = set(t.split(" "))
+            return any(len(g & words) >= need for w in words & probes.keys() for g, need in probes[w])
 
         for frame in batches:
             yield frame.loc[[match(t) for t in frame["t"]], ["row_id"]]

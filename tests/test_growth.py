@@ -59,3 +59,19 @@ def test_terms_are_counted_in_their_texts(spark):
     norm = {k: math.sqrt(sum(v * v for (i, _), v in w.items() if i == k)) for k in texts}
     got = {(r.k, r.term): r.weight for r in search.tfidf(posted, "k", 4).collect()}
     assert set(got) == set(w) and all(abs(got[x] - w[x] / norm[x[0]]) < 1e-12 for x in w)
+
+
+def test_gold_titles_meet_rows_without_exploding_them(spark):
+    """Rows pass the gold titles as they are; no row is made for each word of a title."""
+    import re
+
+    from lectern.operators import similarity
+
+    key = lambda s: " ".join(re.findall("[a-z0-9]+", re.sub("['’]s", "", (s or "").lower())))
+    gold = ["The Record of the Harbor Police", "Tides", "one two three four five six", "a b", "", None, "x y z"]
+    rows = [None, "", "harbor police record", "low tides", "tide", "six five four", "six five", "of the harbor", "z  y x", "Police's the record of harbor", "five five five one"]
+    found = similarity.gold_titles(spark.createDataFrame(list(enumerate(rows)), "row_id long, title string"), spark.createDataFrame([(g,) for g in gold], "title string"))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    g = {key(x) for x in gold} - {""}
+    hit = lambda t: any(x in t or t in x or (n := len(set(x.split()) & set(t.split()))) >= 3 and 2 * n >= len(set(x.split())) for x in g)
+    assert {r.row_id: r.gold for r in found.collect()} == {i: hit(key(t)) for i, t in enumerate(rows)}
