@@ -15,6 +15,22 @@ from ..functions import fixed
 
 #: Entries of the rows that one task multiplies by a basis: a task sums up the whole basis, so few entries aren't worth one.
 TASK_ENTRIES = 5_000_000
+#: Bytes of a column, and rows, that a worker turns into arrays at once; a batch of Spark has 10,000 rows, however long they are.
+BATCH_BYTES, BATCH_ROWS = 2_000_000, 1000
+
+
+def _few(batches, column: str):
+    """The batches in slices of BATCH_ROWS rows and BATCH_BYTES of a column at most (a longer row is a slice of its own)."""
+    for b in batches:
+        c = b.column(column)
+        sizes = pc.binary_length(c) if pa.types.is_string(c.type) else pc.multiply(pc.list_value_length(c), 4)
+        upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(upto, BATCH_BYTES + (upto[at - 1] if at else 0), side="right"))
+            end = min(max(fits, at + 1), at + BATCH_ROWS)
+            yield b.slice(at, end - at)
+            at = end
 
 
 def _plain(texts: pa.Array) -> pa.Array:
@@ -120,7 +136,7 @@ class Vocabulary:
         make = self._rows()
 
         def run(batches):
-            for b in batches:
+            for b in _few(batches, "text"):
                 first, i, w = make(b.column("text"))
                 off = pa.array(first, pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(off, pa.array(i, pa.int32())), pa.ListArray.from_arrays(off, pa.array(w, pa.float64()))], names=[key, "i", "w"])
@@ -147,7 +163,7 @@ def vocabulary(texts: DataFrame, of: Column, limit: int = 30000, least_df: int =
 
     def counted(codes, schema: str, name: str) -> DataFrame:
         def run(batches):
-            for b in batches:
+            for b in _few(batches, "text"):
                 words, of_ = _tokens(b.column("text"), words_to_leave)
                 value, tf, df = codes(words, of_)
                 yield pa.RecordBatch.from_arrays([value, pa.array(tf), pa.array(df)], names=[name, "tf", "df"])
@@ -208,7 +224,7 @@ class Latent:
         sent, kind = rows.sparkSession.sparkContext.broadcast(self.basis), rows.schema[key].dataType.simpleString()
 
         def run(batches):
-            for b in batches:
+            for b in _few(batches, "i"):
                 y = _times(b.column("i"), b.column("w"), sent.value)
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
                 k = y.shape[1]
@@ -243,7 +259,7 @@ def latent(rows: DataFrame, known: Vocabulary, k: int, steps: int = 5, seed: int
     blocks.  Rows should be a table: they are read once a step.  Tasks have TASK_ENTRIES entries at least.  As many
     directions as there are terms give the exact result.
     """
-    m, part = len(known.terms), 1000
+    m, part = len(known.terms), 100  # a group of `add` has a part of each task
     context = rows.sparkSession.sparkContext
     k = max(1, min(k, known.n - 1, m - 1))
     width = min(k + 10, m)
@@ -257,7 +273,7 @@ def latent(rows: DataFrame, known: Vocabulary, k: int, steps: int = 5, seed: int
 
         def run(batches):
             total = np.zeros(shape, np.float32)
-            for b in batches:
+            for b in _few(batches, "i"):
                 y = _times(b.column("i"), b.column("w"), sent.value)
                 at = pc.list_value_length(b.column("i")).to_numpy(zero_copy_only=False)
                 ids, weights, end = b.column("i").flatten().to_numpy(), b.column("w").flatten().to_numpy(), np.concatenate([[0], np.cumsum(at)])
@@ -268,7 +284,7 @@ def latent(rows: DataFrame, known: Vocabulary, k: int, steps: int = 5, seed: int
             yield pa.RecordBatch.from_pydict({"part": list(starts), "z": [total[a : a + part].tobytes() for a in starts]}, schema=pa.schema([("part", pa.int32()), ("z", pa.binary())]))
 
         def add(t: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(z, np.float32).astype(np.float64) for z in t.column("z").to_pylist())
+            total = sum(np.frombuffer(z.as_buffer(), np.float32).astype(np.float64) for z in t.column("z"))
             return pa.table({"part": t.column("part")[:1], "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         out = np.zeros(shape)

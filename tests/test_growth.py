@@ -75,3 +75,18 @@ def test_gold_titles_meet_rows_without_exploding_them(spark):
     g = {key(x) for x in gold} - {""}
     hit = lambda t: any(x in t or t in x or (n := len(set(x.split()) & set(t.split()))) >= 3 and 2 * n >= len(set(x.split())) for x in g)
     assert {r.row_id: r.gold for r in found.collect()} == {i: hit(key(t)) for i, t in enumerate(rows)}
+
+
+def test_vectors_take_few_texts_at_once():
+    """A batch of Spark, whatever its texts' lengths, is worked on in slices of bounded bytes."""
+    import pyarrow as pa
+
+    from lectern.operators import vectors
+
+    texts = ["x" * n for n in (0, 10, vectors.BATCH_BYTES + 5, 3, *[vectors.BATCH_BYTES // 3] * 7)] + [None] * (vectors.BATCH_ROWS + 3)
+    lists = [[1] * (len(x or "") // 8) for x in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.int32()))], names=["text", "i"])
+    for column, size in (("text", lambda x: len(x or "")), ("i", lambda x: 4 * len(x))):
+        parts = [b.column(column).to_pylist() for b in vectors._few([batch], column)]
+        assert [x for p in parts for x in p] == batch.column(column).to_pylist() and len(parts) > 2
+        assert all(len(p) == 1 or (sum(map(size, p)) <= vectors.BATCH_BYTES and len(p) <= vectors.BATCH_ROWS) for p in parts)
