@@ -58,21 +58,46 @@ def similar_pairs(assets: DataFrame, threshold: float = 0.82, group: str | None
     return j.withColumn("similarity", ratio("t_a", "t")).where(F.col("similarity") >= threshold).select(F.col("content_id_a"), F.col("content_id").alias("content_id_b"), F.round("similarity", 3).alias("similarity"))
 
 
+#: Kinds of parts that `boilerplate` counts: the letter that a part begins with, and how many assets may have one.
+PARTS = {"REPEATED_SENTENCE": ("S", 2), "REPEATED_CLOSING": ("C", 1), "REPEATED_PHRASE": ("P", 3)}
+#: Bits of a part's place that are its number in its asset; the others are of its asset's hash.
+PLACE_BITS = 28
+
+
 def boilerplate(assets: DataFrame, brand: tuple[str, ...] = (), size: int = 8) -> DataFrame:
     """code, text and assets (how many) of what assets (content_id, copy) repeat: sentences of five words or more in three, closings in two, runs of `size` words in four.
 
-    Texts are compared as words of ASCII letters and digits; brand phrases don't count.  Sums by text, so no asset is compared with another.
+    Texts are compared as words of ASCII letters and digits; brand phrases don't count.  Sums by a 62-bit hash of the text,
+    which carry one place of it; texts of what is repeated are read from their places, so no text is exchanged but the assets' own, once.
     """
-    s = text.sentences(F.col("copy"))
-    norm = F.transform(s, text.alnum)
-    long = F.filter(norm, lambda x: F.size(F.split(x, " ")) >= 5)
-    last = F.filter(F.slice(norm, F.greatest(F.lit(1), F.size(norm)), F.lit(1)), lambda x: F.size(F.split(x, " ")) >= 5)
-    words = F.split(text.alnum(F.col("copy")), " ")
-    each = lambda xs, code: F.transform(F.array_distinct(xs), lambda x: F.struct(F.lit(code).alias("code"), x.alias("text")))
-    parts = F.concat(each(long, "REPEATED_SENTENCE"), each(last, "REPEATED_CLOSING"), each(shingles(words, size), "REPEATED_PHRASE"))
-    rows = assets.select("content_id", F.explode_outer(parts).alias("x")).select("content_id", "x.code", "x.text").where("text IS NOT NULL").where(~F.col("text").isin([text_ for text_ in brand] or [""]))
-    found = rows.groupBy("code", "text").agg(F.countDistinct("content_id").alias("assets"))
-    return found.where("assets > CASE code WHEN 'REPEATED_SENTENCE' THEN 2 WHEN 'REPEATED_CLOSING' THEN 1 ELSE 3 END")
+    known = assets.where("content_id IS NOT NULL")
+    once = known.groupBy("content_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    a = known.select("content_id", F.array("copy").alias("copies")) if once else known.groupBy("content_id").agg(F.sort_array(F.collect_list("copy")).alias("copies"))
+    a = a.select(F.shiftleft(F.xxhash64("content_id"), PLACE_BITS).alias("asset"), "copies")
+    long = lambda xs: F.filter(xs, lambda x: F.size(F.split(x, " ")) >= 5)
+    last = lambda xs: F.slice(xs, F.greatest(F.lit(1), F.size(xs)), F.lit(1))
+    each = lambda xs, code: F.transform(F.filter(F.array_distinct(xs), lambda x: ~x.isin(list(brand) or [""])), lambda x: F.concat(F.lit(PARTS[code][0]), x))
+
+    def of(copy: Column) -> Column:
+        stated = text.bound(F.transform(text.sentences(copy), text.alnum), lambda s: F.concat(each(long(s), "REPEATED_SENTENCE"), each(long(last(s)), "REPEATED_CLOSING")))
+        return F.concat(stated, text.bound(F.split(text.alnum(copy), " "), lambda w: each(shingles(w, size), "REPEATED_PHRASE")))
+
+    def parts(copies: Column) -> Column:
+        found = F.flatten(F.transform(F.filter(copies, lambda c: c.isNotNull()), of))
+        return found if once else F.array_distinct(found)
+
+    codes = F.array(*[F.lit(c) for c, _ in PARTS.values()])
+    coded = lambda x: F.xxhash64(x).bitwiseAND(F.lit(~3)).bitwiseOR(F.array_position(codes, F.left(x, F.lit(1))) - 1)
+    rows = a.select("asset", F.posexplode(F.transform(parts(F.col("copies")), coded)).alias("at", "h"))
+    sums = rows.groupBy("h").agg(F.count(F.lit(1)).alias("assets"), F.min(F.col("asset").bitwiseOR(F.col("at").cast("long"))).alias("place"))
+    most = F.get(F.array(*[F.lit(n) for _, n in PARTS.values()]), F.col("h").bitwiseAND(F.lit(3)).cast("int"))
+    at = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    found = sums.where(F.col("assets") > most).select(F.shiftleft(F.shiftright("place", PLACE_BITS), PLACE_BITS).alias("asset"), F.struct(at.alias("at"), "h", "assets").alias("x")).groupBy("asset").agg(F.collect_list("x").alias("xs"))
+    there = a.join(found, "asset").select("xs", parts(F.col("copies")).alias("parts"))
+    read = there.select(F.explode(F.transform("xs", lambda x: F.struct(x["h"].alias("h"), x["assets"].alias("assets"), F.get("parts", x["at"]).alias("part")))).alias("x")).select("x.*")
+    read = read.where(coded(F.col("part")) == F.col("h")).dropDuplicates(["h"])  # assets of one hash
+    code = F.get(F.array(*[F.lit(c) for c in PARTS]), F.col("h").bitwiseAND(F.lit(3)).cast("int"))
+    return read.select(code.alias("code"), F.substring("part", 2, 1 << 30).alias("text"), "assets")
 
 
 def renamed_headings(pairs: DataFrame, key: str, before: str, after: str, least: float = 0.45) -> DataFrame:

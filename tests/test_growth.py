@@ -90,3 +90,30 @@ def test_vectors_take_few_texts_at_once():
         parts = [b.column(column).to_pylist() for b in vectors._few([batch], column)]
         assert [x for p in parts for x in p] == batch.column(column).to_pylist() and len(parts) > 2
         assert all(len(p) == 1 or (sum(map(size, p)) <= vectors.BATCH_BYTES and len(p) <= vectors.BATCH_ROWS) for p in parts)
+
+
+def test_boilerplate_exchanges_hashes_not_texts(spark):
+    """Parts are summed by hashes; ids that are null or repeated, and brand phrases, are as a plain count of distinct ids has them."""
+    import re
+
+    from lectern.operators import similarity
+
+    line = "the five words of a line"
+    rows = [(1, f"{line}. And here is another one indeed. {line}!"), (1, f"{line}. more"), (2, f"{line}. x"), (3, f"{line}."), (None, f"{line}."), (4, None), (5, ""), *[(i, f"n{i} a b c d e f g h. our brand is what it is") for i in range(6, 11)], (6, "z a b c d e f g h")]
+
+    def want(rows):
+        found = {}
+        for i, c in rows:
+            if i is not None and c is not None:
+                norm = [" ".join(re.findall("[a-z0-9]+", s.lower())) for s in re.split(r"(?<=[.!?]) ", " ".join(c.split())) if s]
+                w = " ".join(re.findall("[a-z0-9]+", c.lower())).split(" ")
+                each = [("REPEATED_SENTENCE", x) for x in norm if len(x.split(" ")) > 4] + [("REPEATED_CLOSING", x) for x in norm[-1:] if len(x.split(" ")) > 4] + [("REPEATED_PHRASE", " ".join(w[k : k + 8])) for k in range(len(w) - 7)]
+                for x in each:
+                    if x[1] != "our brand is what it is":
+                        found.setdefault(x, set()).add(i)
+        return {(*x, len(n)) for x, n in found.items() if len(n) > {"S": 2, "C": 1, "P": 3}[x[0][9]]}
+
+    for part in (rows, rows[1:-1]):  # with a repeated id, and without
+        got = similarity.boilerplate(spark.createDataFrame(part, "content_id long, copy string"), ("our brand is what it is",))
+        assert {tuple(r) for r in got.collect()} == want(part) and len(want(part)) > 2
+    assert not [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(code" in x or "hashpartitioning(text" in x]
