@@ -252,8 +252,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """|a and b| / |a or b| of arrays as sets; 0 where either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """|a and b| / |a or b| of arrays as sets; 0 where either is empty. Each array is made once."""
+    of = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda s: of(s["a"], s["b"]))
 
 
 def coverage(a: Column, b: Column) -> Column:

@@ -117,3 +117,11 @@ def test_boilerplate_exchanges_hashes_not_texts(spark):
         got = similarity.boilerplate(spark.createDataFrame(part, "content_id long, copy string"), ("our brand is what it is",))
         assert {tuple(r) for r in got.collect()} == want(part) and len(want(part)) > 2
     assert not [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(code" in x or "hashpartitioning(text" in x]
+
+
+def test_jaccard_makes_each_array_once(spark):
+    rows = [("a b b", "b c"), ("", "a"), ("x", "x"), (None, "a"), ("a", None)]
+    d = spark.createDataFrame(rows, "a string, b string")
+    got = d.select(text.jaccard(text.every(F.col("a"), "[a-z]"), text.every(F.col("b"), "[a-z]")).alias("j"))
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+    assert [r.j for r in got.collect()][:3] == [1 / 3, 0.0, 1.0]
