@@ -135,9 +135,14 @@ def voice_plain(text: Column) -> Column:
 
 def diagnostic_plain(text: Column) -> Column:
     """Fenced code, image marks and emphasis out, web links to their anchors."""
-    t = F.regexp_replace(text, r"(?ms)^(`{3,}|~{3,})[^\n]*\n.*?^\1[ \t]*(?:\n|$)", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\[IMAGE:.*?\]", ""), r"\[([^\]]+)\]\((?:https?://)[^\s()]+\)", "$1")
-    return F.regexp_replace(t, "[*_`]", "")
+    # a pattern is searched only in texts that have its literals
+    fenced = lambda t: F.when(F.contains(t, F.lit("```")) | F.contains(t, F.lit("~~~")), F.regexp_replace(t, r"(?ms)^(`{3,}|~{3,})[^\n]*\n.*?^\1[ \t]*(?:\n|$)", "")).otherwise(t)
+    images = lambda t: F.when(F.contains(t, F.lit("[IMAGE:")), F.regexp_replace(t, r"\[IMAGE:.*?\]", "")).otherwise(t)
+    links = lambda t: F.when(F.contains(t, F.lit("](http")), F.regexp_replace(t, r"\[([^\]]+)\]\((?:https?://)[^\s()]+\)", "$1")).otherwise(t)
+    plain = bound(text, lambda a: bound(fenced(a), lambda b: bound(images(b), links)))
+    for c in "*_`":
+        plain = F.replace(plain, F.lit(c), F.lit(""))
+    return plain
 
 
 def visible_markdown(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -81,46 +82,102 @@ def style(docs: DataFrame, key: str, of: str) -> DataFrame:
 
 
 def _times(hay: Column, phrases: list[str]) -> Column:
-    """(phrase, n) of the phrases that a lower-case text has as whole words."""
-    each = [F.struct(F.lit(p).alias("phrase"), F.regexp_count(hay, F.lit(r"\b" + re.escape(p).replace(r"\ ", " ") + r"\b")).alias("n")) for p in phrases]
+    """(phrase, n) of the phrases that a lower-case text has as whole words. A pattern begins with its phrase, so that the search can skip."""
+    literal = [(p, re.escape(p).replace(r"\ ", " ")) for p in phrases]
+    each = [F.struct(F.lit(p).alias("phrase"), F.regexp_count(hay, F.lit(rf"{x}(?<=\b{x})\b")).alias("n")) for p, x in literal]
     return F.filter(F.array(*each), lambda x: x["n"] > 0)
 
 
+def _any(low: Column, *literals: str | tuple[str, ...]) -> Column:
+    """Whether a lower-case text has one of the literals (of a tuple: all). A pattern that is a literal is searched in skips, as `contains` isn't."""
+    each = [reduce(lambda a, b: a & b, [low.rlike(re.escape(w)) for w in ((x,) if isinstance(x, str) else x)]) for x in literals]
+    return reduce(lambda a, b: a | b, each)
+
+
+def _tics(plain: Column, low: Column) -> Column:
+    """(phrase, n) of the rhetorical patterns that a text has; one is counted only in texts whose lower case has its words."""
+
+    def needed(name: str, pattern: str) -> Column:
+        return _any(low, {"not X but Y": ("but", "not"), "three-part antithesis": "not"}.get(name) or pattern.replace(r"\b", ""))
+
+    each = [F.struct(F.lit(k).alias("phrase"), F.when(needed(k, p), F.regexp_count(plain, F.lit("(?is)" + p))).otherwise(0).alias("n")) for k, p in TICS.items()]
+    return F.filter(F.array(*each), lambda x: x["n"] > 0)
+
+
+def _repeated(xs: Column, least: int) -> Column:
+    """The values that an array has `least` times or more, in the order of their first places; the empty one isn't one."""
+    often = F.transform(F.filter(text.counted(xs), lambda x: (x["tf"] >= least) & (x["term"] != "")), lambda x: x["term"])
+    return F.array_intersect(xs, often)
+
+
+#: Each match of `fixed.CAUTION` has one of these in lower case.
+CAUTIOUS = ["can't", "cannot", "won't", "will", "going", "careful", "irresponsible", "defensible", "prove", "evidence", "record", "establish", "show", "permit", "distinction", "matters", "precise"]
+
+
+def _measured(paragraph: Column, cautious: Column) -> Column:
+    """words, n (sentences), parts (by spaces), caution, dense, abstract and opening of a paragraph whose white space is squeezed; it is cut into sentences once.
+
+    cautious: whether its text has one of CAUTIOUS.
+    """
+    letters = "A-Za-z’'"
+    # as text.sentences: cut at spaces after . ! ?
+    sentences = F.filter(F.split(paragraph, "[ \u0001](?<=[.!?] |\u0001)"), lambda s: s != "")
+    # all maximal runs with a word character
+    words = F.when(F.length(paragraph) == F.octet_length(paragraph), F.regexp_count(paragraph, F.lit(r"\w[\w'-]*"))).otherwise(F.regexp_count(paragraph, F.lit(r"(?U)\w[\w’'-]*")))
+    begin = F.regexp_extract(F.lower(paragraph), rf"^[^{letters}]*[{letters}]+(?:[^{letters}]+[{letters}]+)?", 0)
+    caution = F.when(cautious & paragraph.rlike(fixed.CAUTION), F.size(F.filter(sentences, lambda s: s.rlike(fixed.CAUTION)))).otherwise(0)
+    counts = F.struct(F.size(sentences).alias("n"), (F.length(paragraph) - F.length(F.replace(paragraph, F.lit(" "), F.lit(""))) + 1).alias("parts"), caution.alias("caution"))
+    return text.bound(counts, lambda c: F.struct(
+        words.cast("double").alias("words"), c["n"].alias("n"), c["parts"].alias("parts"), c["caution"].alias("caution"), ((c["n"] >= 3) & (c["caution"] >= 2) & (c["parts"] <= 120)).alias("dense"),
+        ((c["parts"] >= 90) & ~paragraph.rlike(fixed.STYLE["concrete"])).alias("abstract"), F.array_join(text.every(begin, f"[{letters}]+"), " ").alias("opening"),
+    ))
+
+
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0), lambda a, x: a + x.cast("int"))
 
 
-def editorial_style(docs: DataFrame, key: str, of: str, found: DataFrame | None = None) -> DataFrame:
+def editorial_style(docs: DataFrame, key: str, of: str, found: DataFrame | None = None, within: bool = False) -> DataFrame:
     """key and all style metrics of Markdown articles, with the names of the rules of `editorial_rules` that each breaks.
 
-    found: rows (key, category) of `rhetoric` and `article_rhetoric`; without them semantic_rhetoric is empty.  Everything is
-    one projection; only the categories are joined.  A null text has no row.
+    found: rows (key, category) of `rhetoric` and `article_rhetoric`; within: both are found in each text's row, and nothing
+    is exchanged.  Without either semantic_rhetoric is empty.  A null text has no row.
     """
-    s, plain = fixed.STYLE, text.diagnostic_plain(F.col(of))
-    spans = lambda name: F.regexp_extract_all(of, F.lit(s[name]), F.lit(1))
-    d = docs.where(F.col(of).isNotNull()).select(key, F.col(of), plain.alias("plain"), F.lower(plain).alias("low"), blocks.paragraphs(F.col(of)).alias("p"), spans("bold").alias("bold"), spans("bold italic").alias("both"), spans("italic").alias("italic"), F.regexp_extract_all(of, F.lit(s["image"]), F.lit(1)).alias("shown"), F.regexp_extract_all(of, F.lit(s["image"]), F.lit(2)).alias("alts"))
+    s, plain, none = fixed.STYLE, F.col("plain"), F.array().cast("array<string>")
+    having = lambda mark, xs: F.when(F.contains(F.col(of), F.lit(mark)), xs).otherwise(none)
+    spans = lambda name, mark, group=1: having(mark, F.regexp_extract_all(of, F.lit(s[name]), F.lit(group)))
     count = lambda hay, name: F.regexp_count(hay, F.lit(s[name]))
-    first = F.transform("p", lambda x: F.array_join(F.slice(text.every(F.lower(x), "[A-Za-z’']+"), 1, 2), " "))
     chars = lambda xs: _sum(F.transform(xs, lambda x: F.length(text.diagnostic_plain(x))))
+    solid = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("")), " \t\n\x0b\f\r", plain)
+    measured = text.bound(_any(F.col("low"), *CAUTIOUS), lambda cautious: F.transform(blocks.plain_paragraphs(plain), lambda x: _measured(x, cautious)))
+    contrasts = F.when(_any(F.col("low"), "mistake", ("but", "not"), ("both", "and")), count("low", "contrast")).otherwise(0)
+    d = docs.where(F.col(of).isNotNull()).select(key, F.col(of), text.diagnostic_plain(F.col(of)).alias("plain")).select("*", F.lower("plain").alias("low"))
     d = d.select(
-        key, F.size("p").alias("paragraphs"), F.transform("p", lambda x: F.regexp_count(x, F.lit(r"(?U)\b[\w’'-]+\b")).cast("double")).alias("words"), F.transform("p", lambda x: F.size(text.sentences(x))).alias("sentences"), F.transform("p", caution_density).alias("caution"), F.filter(first, lambda x: x != "").alias("openings"),
-        F.size(F.filter("p", lambda x: (F.size(F.split(x, " ")) >= 90) & ~x.rlike(s["concrete"]))).alias("abstract_blocks"), F.regexp_count("plain", F.lit(r"\?")).alias("rhetorical_questions"), count("plain", "first person").alias("first_person_occurrences"), count("low", "contrast").alias("symmetric_contrasts"),
-        _times(F.col("low"), fixed.REVIEW_STEMS).alias("review_stems"), _times(F.col("low"), fixed.CAUTION_STEMS).alias("performative_caution"), F.filter(F.array(*[F.struct(F.lit(k).alias("phrase"), F.regexp_count("plain", F.lit("(?is)" + p)).alias("n")) for k, p in TICS.items()]), lambda x: x["n"] > 0).alias("ai_tics"),
-        F.size("bold").alias("bold_spans"), F.size("italic").alias("italic_spans"), F.size("both").alias("bold_italic_spans"), (chars("bold") + chars("both")).alias("bold_chars"), (chars("italic") + chars("both")).alias("italic_chars"), F.greatest(F.lit(1), F.length(F.regexp_replace("plain", r"\s+", ""))).alias("prose_chars"),
-        F.transform("bold", lambda x: F.trim(F.lower(text.diagnostic_plain(x)))).alias("bold_texts"), F.size(F.filter(F.split(of, blocks.BLANK), lambda x: x.rlike(s["all bold"]))).alias("bold_paragraphs"),
-        count(of, "list group").alias("list_groups"), count(of, "list item").alias("list_items"), F.size("shown").alias("image_markers"), F.transform("shown", lambda x: F.lower(text.squeezed(x))).alias("shown"), "alts",
+        key, of, "plain", "low", measured.alias("p"), spans("bold", "**").alias("bold"), spans("bold italic", "***").alias("both"), spans("italic", "*").alias("italic"), spans("image", "[IMAGE:").alias("shown"), spans("image", "[IMAGE:", 2).alias("alts"),
+        (text_rhetoric(blocks.located(F.col(of))) if within else F.array().cast("array<struct<category:string,line:int>>")).alias("near"),
     )
-    again = lambda c, n: F.filter(F.array_distinct(c), lambda x: (x != "") & (F.size(F.filter(c, lambda y: y == x)) >= n))
+    field = lambda name: F.transform("p", lambda x: x[name])
+    number = lambda c: F.size(F.filter("p", c))
+    near = F.transform("near", lambda x: x["category"])
+    whole = _article_categories(F.array_contains(near, "DEFENSIVE SEQUENCE"), plain, F.col("low"), F.size("p"), number(lambda x: x["n"] <= 1), number(lambda x: x["parts"] <= 12)) if within else none
     d = d.select(
-        key, "paragraphs", F.round(variation(F.col("words")), 3).alias("paragraph_length_cv"), F.size(F.filter("words", lambda n: (n > 0) & (n <= 10))).alias("short_paragraphs"), F.size(F.filter("sentences", lambda n: n == 1)).alias("one_sentence_paragraphs"),
-        "abstract_blocks", "rhetorical_questions", "first_person_occurrences", "symmetric_contrasts", "review_stems", "performative_caution", _sum(F.transform("caution", lambda x: x["caution"])).alias("caution_sentences"), F.size(F.filter("caution", lambda x: x["dense"])).alias("caution_density_passages"),
+        key, F.size("p").alias("paragraphs"), field("words").alias("words"), number(lambda x: x["n"] == 1).alias("one_sentence_paragraphs"), _sum(field("caution")).alias("caution_sentences"), number(lambda x: x["dense"]).alias("caution_density_passages"), F.filter(field("opening"), lambda x: x != "").alias("openings"),
+        number(lambda x: x["abstract"]).alias("abstract_blocks"), (F.length("plain") - F.length(F.replace("plain", F.lit("?"), F.lit("")))).alias("rhetorical_questions"), count("plain", "first person").alias("first_person_occurrences"), contrasts.alias("symmetric_contrasts"),
+        _times(F.col("low"), fixed.REVIEW_STEMS).alias("review_stems"), _times(F.col("low"), fixed.CAUTION_STEMS).alias("performative_caution"), _tics(plain, F.col("low")).alias("ai_tics"),
+        F.size("bold").alias("bold_spans"), F.size("italic").alias("italic_spans"), F.size("both").alias("bold_italic_spans"), (chars("bold") + chars("both")).alias("bold_chars"), (chars("italic") + chars("both")).alias("italic_chars"), F.greatest(F.lit(1), F.length(solid)).alias("prose_chars"),
+        F.transform("bold", lambda x: F.trim(F.lower(text.diagnostic_plain(x)))).alias("bold_texts"), F.size(having("**", F.filter(F.split(of, blocks.BLANK), lambda x: x.rlike(s["all bold"])))).alias("bold_paragraphs"),
+        count(of, "list group").alias("list_groups"), count(of, "list item").alias("list_items"), F.size("shown").alias("image_markers"), F.transform("shown", lambda x: F.lower(text.squeezed(x))).alias("shown"), "alts", F.array_sort(F.array_union(near, whole)).alias("semantic_rhetoric"),
+    )
+    d = d.select(
+        key, "paragraphs", F.round(variation(F.col("words")), 3).alias("paragraph_length_cv"), F.size(F.filter("words", lambda n: (n > 0) & (n <= 10))).alias("short_paragraphs"), "one_sentence_paragraphs",
+        "abstract_blocks", "rhetorical_questions", "first_person_occurrences", "symmetric_contrasts", "review_stems", "performative_caution", "caution_sentences", "caution_density_passages",
         "ai_tics", "bold_spans", "italic_spans", "bold_italic_spans", "list_groups", "list_items", "image_markers", "bold_paragraphs", (F.col("bold_chars") / F.col("prose_chars")).alias("bold_share"), (F.col("italic_chars") / F.col("prose_chars")).alias("italic_share"),
-        again(F.col("bold_texts"), 3).alias("repeated_bold"), F.filter(again(F.col("openings"), 3), lambda x: F.split(x, " ")[0].isin(fixed.STYLE_OPENINGS)).alias("repeated_openings"), again(F.col("shown"), 2).alias("repeated_images"),
-        F.size(F.filter("alts", lambda x: x.rlike(s["argument"]))).alias("arguing_alts"), F.size(F.filter("shown", lambda x: x.rlike(s["generated"]) & x.rlike(s["documentary"]))).alias("generated_documents"),
+        _repeated(F.col("bold_texts"), 3).alias("repeated_bold"), F.filter(_repeated(F.col("openings"), 3), lambda x: F.split(x, " ")[0].isin(fixed.STYLE_OPENINGS)).alias("repeated_openings"), _repeated(F.col("shown"), 2).alias("repeated_images"),
+        F.size(F.filter("alts", lambda x: x.rlike(s["argument"]))).alias("arguing_alts"), F.size(F.filter("shown", lambda x: x.rlike(s["generated"]) & x.rlike(s["documentary"]))).alias("generated_documents"), "semantic_rhetoric",
     )
-    categories = found.groupBy(key).agg(F.array_sort(F.collect_set("category")).alias("semantic_rhetoric")) if found is not None else None
-    d = d.join(categories, key, "left") if categories is not None else d.withColumn("semantic_rhetoric", F.lit(None).cast("array<string>"))
-    d = d.withColumn("semantic_rhetoric", F.coalesce("semantic_rhetoric", F.array().cast("array<string>")))
+    if found is not None:
+        categories = found.groupBy(key).agg(F.collect_set("category").alias("found_"))
+        d = d.join(categories, key, "left").withColumn("semantic_rhetoric", F.array_sort(F.array_union("semantic_rhetoric", F.coalesce("found_", none)))).drop("found_")
     return d.withColumn("warnings", F.array_compact(F.array(*[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in editorial_rules()])))
 
 
@@ -176,36 +233,69 @@ def rhetoric(located: DataFrame, key: str, own_site: str | None = None) -> DataF
     has = lambda p: F.col("text").rlike(p).cast("int")
     raw = F.col("raw") if "raw" in located.columns else F.col("text")
     denied = F.contains(F.lower(raw), F.lit(own_site.lower())) & F.col("text").rlike(fixed.CALLBACK_DENIED) if own_site else F.lit(False)
-    f = located.select(
-        key, "line", (has(fixed.TRIGGER) == 1).alias("trigger"), F.sum(has(fixed.BOUNDARY)).over(ahead).alias("limits"), F.sum(has(fixed.REDIRECT)).over(ahead).alias("turns"),
-        F.sum(has(fixed.BOUNDARY)).over(six).alias("near"), F.count(F.lit(1)).over(six).alias("n"), denied.alias("denied"),
-    )
+    flags = located.select(key, "line", (has(fixed.TRIGGER) == 1).alias("trigger"), has(fixed.BOUNDARY).alias("limit"), has(fixed.REDIRECT).alias("turn"), denied.alias("denied"))  # texts aren't exchanged
+    f = flags.select(key, "line", "trigger", F.sum("limit").over(ahead).alias("limits"), F.sum("turn").over(ahead).alias("turns"), F.sum("limit").over(six).alias("near"), F.count(F.lit(1)).over(six).alias("n"), "denied")
     sequence = F.col("trigger") & (F.col("limits") >= 2) & (F.col("turns") >= 1)
     named = [*[(sequence, c) for c in ("DEFENSIVE SEQUENCE", "CONTRIVED DIALECTIC", "PREMATURE ADJUDICATION")], ((F.col("near") >= 3) & (F.col("n") == 6), "NARRATIVE STAGNATION"), (F.col("denied"), "CANON DEFENSIVENESS")]
     found = F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in named]))
     return f.select(key, "line", F.explode(found).alias("category")).groupBy(key, "category").agg(F.min("line").alias("line"))
 
 
-def article_rhetoric(docs: DataFrame, key: str, of: str, found: DataFrame) -> DataFrame:
-    """key, category of whole texts: auditor voice, thesis substitution, narrator absence, mechanical reveals. found: rows of `rhetoric`."""
-    plain = text.diagnostic_plain(F.col(of))
-    sequence = found.where("category = 'DEFENSIVE SEQUENCE'").select(key, F.lit(True).alias("sequence"))
-    d = docs.select(key, plain.alias("plain"), blocks.paragraphs(F.col(of)).alias("p")).join(sequence, key, "left")
-    one, short = (F.size(F.filter("p", c)) / F.greatest(F.lit(1), F.size("p")) for c in (lambda x: F.size(text.sentences(x)) <= 1, lambda x: F.size(F.split(x, " ")) <= 12))
+def text_rhetoric(located: Column, own_site: str | None = None) -> Column:
+    """(category, line) as `rhetoric` has them, of one text's blocks (line, text), in its row. Triggers and turns are searched only where there are two boundaries."""
+
+    def found(b: Column, limits: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(b) - 1)
+        line = lambda places: F.get(b, F.get(places, F.lit(0)))["line"]
+        turns = F.transform(b, lambda x: x["text"].rlike(fixed.REDIRECT))
+        sequence = text.bound(turns, lambda t: F.filter(at, lambda i: (_sum(F.slice(limits, i + 2, 9)) >= 2) & F.exists(F.slice(t, i + 2, 9), lambda x: x) & F.get(b, i)["text"].rlike(fixed.TRIGGER)))
+        stagnant = F.filter(at, lambda i: (i + 6 <= F.size(b)) & (_sum(F.slice(limits, i + 1, 6)) >= 3))
+        named = lambda c, l: F.when(l.isNotNull(), F.struct(F.lit(c).alias("category"), l.alias("line")))
+        first = lambda l: F.array(*[named(c, l) for c in ("DEFENSIVE SEQUENCE", "CONTRIVED DIALECTIC", "PREMATURE ADJUDICATION")])
+        return F.array_compact(F.concat(text.bound(line(sequence), first), F.array(text.bound(line(stagnant), lambda l: named("NARRATIVE STAGNATION", l)))))
+
+    def of(b: Column) -> Column:
+        limits = F.transform(b, lambda x: x["text"].rlike(fixed.BOUNDARY).cast("int"))
+        out = text.bound(limits, lambda n: F.when(_sum(n) >= 2, found(b, n)).otherwise(F.array().cast("array<struct<category:string,line:int>>")))
+        if not own_site:
+            return out
+        denied = F.slice(F.filter(b, lambda x: F.contains(F.lower(x["text"]), F.lit(own_site.lower())) & x["text"].rlike(fixed.CALLBACK_DENIED)), 1, 1)
+        return F.concat(out, F.transform(denied, lambda x: F.struct(F.lit("CANON DEFENSIVENESS").alias("category"), x["line"].alias("line"))))
+
+    return text.bound(located, of)
+
+
+def _article_categories(sequence: Column, plain: Column, low: Column, n: Column, one: Column, short: Column) -> Column:
+    """The categories of a whole text of n paragraphs: `one` of them have a sentence at most, `short` twelve words at most."""
     named = [
-        (F.coalesce("sequence", F.lit(False)) & (F.regexp_count("plain", F.lit(fixed.AUDIT)) >= 8), "AUDITOR VOICE"),
-        (F.col("plain").rlike(fixed.THESIS_FAILS) & F.col("plain").rlike(fixed.REDIRECT), "THESIS SUBSTITUTION"),
-        ((F.size("p") >= 35) & (F.regexp_count("plain", F.lit(r"\b(?:I|me|my|we|our|us)\b")) <= 1), "NARRATOR ABSENCE"),
-        ((F.size("p") >= 20) & (one > 0.45) & (short > 0.25), "MECHANICAL REVEAL WRITING"),
+        (sequence & _audited(plain), "AUDITOR VOICE"),
+        (_any(low, "thesis fail") & plain.rlike(fixed.THESIS_FAILS) & plain.rlike(fixed.REDIRECT), "THESIS SUBSTITUTION"),
+        ((n >= 35) & (F.regexp_count(plain, F.lit(fixed.STYLE["first person"])) <= 1), "NARRATOR ABSENCE"),
+        ((n >= 20) & (one / F.greatest(F.lit(1), n) > 0.45) & (short / F.greatest(F.lit(1), n) > 0.25), "MECHANICAL REVEAL WRITING"),
     ]
-    return d.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in named]))).alias("category"))
+    return F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in named]))
+
+
+def _audited(plain: Column) -> Column:
+    return F.regexp_count(plain, F.lit(fixed.AUDIT)) >= 8
+
+
+def article_rhetoric(docs: DataFrame, key: str, of: str, found: DataFrame) -> DataFrame:
+    """key, category of whole texts: auditor voice, thesis substitution, narrator absence, mechanical reveals. found: rows of `rhetoric`. Texts aren't exchanged."""
+    sequence = found.where("category = 'DEFENSIVE SEQUENCE'").select(key, F.lit(True).alias("sequence"))
+    d = docs.select(key, text.diagnostic_plain(F.col(of)).alias("plain")).select(key, "plain", blocks.plain_paragraphs(F.col("plain")).alias("p"))
+    number = lambda c: F.size(F.filter("p", c))
+    others = _article_categories(F.lit(False), F.col("plain"), F.lower("plain"), F.size("p"), number(lambda x: F.size(text.sentences(x)) <= 1), number(lambda x: F.size(F.split(x, " ")) <= 12))
+    d = d.select(key, _audited(F.col("plain")).alias("audited"), others.alias("others")).join(sequence, key, "left")
+    voice = F.when(F.coalesce("sequence", F.lit(False)) & F.col("audited"), F.array(F.lit("AUDITOR VOICE"))).otherwise(F.array().cast("array<string>"))
+    return d.select(key, F.explode(F.concat(voice, "others")).alias("category"))
 
 
 def caution_density(paragraph: Column) -> Column:
     """caution (sentences with a caution) and dense (three sentences or more, two of them cautions, 120 words at most) of a paragraph."""
-    s = text.sentences(paragraph)
-    n = F.size(F.filter(s, lambda x: x.rlike(fixed.CAUTION)))
-    return F.struct(n.alias("caution"), ((F.size(s) >= 3) & (n >= 2) & (F.size(F.split(F.trim(paragraph), text.SPACE)) <= 120)).alias("dense"))
+    dense = lambda x: F.struct(x["caution"].alias("caution"), ((x["n"] >= 3) & (x["caution"] >= 2) & (F.size(F.split(F.trim(paragraph), text.SPACE)) <= 120)).alias("dense"))
+    cautions = lambda s: F.size(F.filter(s, lambda x: x.rlike(fixed.CAUTION)))
+    return text.bound(text.sentences(paragraph), lambda s: text.bound(F.struct(F.size(s).alias("n"), cautions(s).alias("caution")), dense))
 
 
 def paragraph_metrics(docs: DataFrame, key: str, parts: Column) -> DataFrame:

@@ -98,10 +98,7 @@ def prj17_project_findings(t):
 @query()
 def agg21_editorial_style(t):
     """All metrics and warnings of documents as articles, with the rhetoric found in them."""
-    d = _md(t)
-    near = diagnostics.rhetoric(blocks.located_blocks(d, "doc_id", "m"), "doc_id")
-    found = near.select("doc_id", "category").unionByName(diagnostics.article_rhetoric(d, "doc_id", "m", near).select("doc_id", "category"))
-    return diagnostics.editorial_style(d, "doc_id", "m", found)
+    return diagnostics.editorial_style(_md(t), "doc_id", "m", within=True)
 
 
 @query()
