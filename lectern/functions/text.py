@@ -264,7 +264,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def coverage(a: Column, b: Column) -> Column:
     """The share of a's distinct terms that b has."""
-    x, y = (F.array_distinct(without(F.split(alnum(c), " "), [*fixed.COVERAGE_STOP, ""])) for c in (a, b))
+    return covered(coverage_terms(alnum(a)), coverage_terms(alnum(b)))
+
+
+def coverage_terms(alnum: Column) -> Column:
+    """The distinct terms of what `alnum` gives that count for `coverage`."""
+    return F.array_distinct(without(F.split(alnum, " "), [*fixed.COVERAGE_STOP, ""]))
+
+
+def covered(x: Column, y: Column) -> Column:
+    """The share of x that y has, of arrays as sets."""
     return F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(x))
 
 

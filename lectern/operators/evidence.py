@@ -83,11 +83,12 @@ def supported(assertions: DataFrame, claims: DataFrame, topical: str | None = No
     from .similarity import ratio
 
     t = fixed.SUPPORT
-    c = claims.select("content_id", "seq", F.col("claim_id").cast("string").alias("claim_id"), "claim_text", "claim_type", "support_type")
+    # what is compared is made once for each text, not for each pair
+    c = claims.select("content_id", "seq", F.col("claim_id").cast("string").alias("claim_id"), text.alnum(F.col("claim_text")).alias("claim"), "claim_type", "support_type").withColumn("own", text.coverage_terms(F.col("claim")))
     a = assertions.select("assertion_id", "content_id", "assertion_text", assertion_type(F.col("assertion_text")).alias("assertion_type"))
-    clause, claim = text.alnum(F.col("assertion_text")), text.alnum(F.col("claim_text"))
-    j = a.where("assertion_type <> 'RHETORICAL_NONFACTUAL'").join(c, "content_id")
-    scored = j.withColumn("score", F.greatest(ratio(clause, claim), text.coverage(F.col("assertion_text"), F.col("claim_text")))).withColumn("exact", clause == claim)
+    stated = a.where("assertion_type <> 'RHETORICAL_NONFACTUAL'").select("assertion_id", "content_id", text.alnum(F.col("assertion_text")).alias("clause")).withColumn("terms", text.coverage_terms(F.col("clause")))
+    j = stated.join(c, "content_id")
+    scored = j.withColumn("score", F.greatest(ratio("clause", "claim"), text.covered(F.col("terms"), F.col("own")))).withColumn("exact", F.col("clause") == F.col("claim"))
     row = F.struct((-F.col("score")).alias("rank"), "seq", "claim_id", "support_type", "claim_type", "exact")
     per = scored.groupBy("assertion_id").agg(F.array_sort(F.collect_list(row)).alias("best"))  # the claims of one content
     x = a.join(per, "assertion_id", "left").withColumn("best", F.coalesce("best", F.array().cast(per.schema["best"].dataType)))

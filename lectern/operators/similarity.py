@@ -20,7 +20,70 @@ from .batches import map_frames
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The sequence ratio of two normalised texts; its rule for popular elements has no SQL form."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    return pd.Series(ratios([x or "" for x in a], [y or "" for y in b]))
+
+
+#: A second text of so many characters has popular ones, which a match leaves out; such pairs are compared one by one, as are longer first texts than LONGEST.
+POPULAR, LONGEST = 200, 1000
+#: Pairs of characters that are compared at once.
+CELLS = 1 << 20
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """SequenceMatcher(None, x, y).ratio() of many pairs. Pairs of short ASCII texts are compared side by side, in pools of pairs of like lengths."""
+    out, size = np.zeros(len(a)), np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    short = np.array([0 < len(x) <= LONGEST and 0 < len(y) < POPULAR and x.isascii() and y.isascii() for x, y in zip(a, b)], bool)
+    for i in np.flatnonzero(~short):
+        out[i] = SequenceMatcher(None, a[i], b[i]).ratio()
+    rows = np.flatnonzero(short)
+    like = np.ceil(np.log(size[rows]) / np.log(1.4)).astype(np.int64) @ [64, 1]
+    order = np.argsort(like, kind="stable")
+    rows, like = rows[order], like[order]
+    pools = np.cumsum(size[rows].prod(axis=1)) // CELLS
+    for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(pools)) + 1) if len(rows) else []:
+        found, done = [], 0
+        for g in np.split(own, np.flatnonzero(np.diff(like[own])) + 1):
+            pair, *at = _equal([a[i] for i in rows[g]], [b[i] for i in rows[g]])
+            found.append((pair + done, *at))
+            done += len(g)
+        out[rows[own]] = 2.0 * _matched(len(own), *(np.concatenate(x) for x in zip(*found))) / size[rows[own]].sum(axis=1)
+    return out
+
+
+def _equal(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, i, j, run): equal characters of pairs of texts, and the length of the run of equal ones that ends there. Places of a pair are together."""
+    n, h, w = len(a), max(map(len, a)), max(map(len, b))
+    if h > w:
+        pair, j, i, run = _equal(b, a)
+        return pair, i, j, run
+    coded = lambda rows: np.frombuffer("".join(rows).encode("latin-1"), np.uint8).reshape(n, -1)
+    x, y = coded(t.ljust(h + 1, "\xfe") for t in a), coded("\xff" * h + t.ljust(w + h + 1, "\xff") for t in b)  # what pads them equals nothing
+    # a row for each diagonal, so that a run's places follow each other
+    at = np.flatnonzero(x[:, None] == np.lib.stride_tricks.sliding_window_view(y, h + 1, axis=1))
+    row, i = np.divmod(at, h + 1)
+    pair, shift = np.divmod(row, w + h + 1)
+    place = np.arange(len(at), dtype=np.int32)
+    run = place - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0)) + 1
+    return pair, i.astype(np.int32), (shift + i - h).astype(np.int32), run
+
+
+def _matched(n: int, pair: np.ndarray, i: np.ndarray, j: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """How many characters of each of n pairs are in matching blocks: the longest block (the first in a, then in b, of several), and those on both sides of it, for all pairs at once."""
+    total = np.zeros(n, np.int64)
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    pair, low = pair[starts], np.zeros((2, len(starts)), np.int32)
+    while len(starts):
+        counts = np.diff(starts, append=len(i))
+        each = lambda x: np.repeat(x, counts)
+        size = np.minimum(run, np.minimum(i - each(low[0]), j - each(low[1])) + 1)
+        best = np.maximum.reduceat((size << 18) | ((1023 - i) << 8) | (255 - j), starts)
+        size, end = best >> 18, np.stack([1024 - ((best >> 8) & 1023), 256 - (best & 255)])
+        np.add.at(total, pair, size)
+        sides = ((i < each(end[0] - size)) & (j < each(end[1] - size)), low), ((i >= each(end[0])) & (j >= each(end[1])), end)
+        kept = [(i[s], j[s], run[s], m[m > 0], pair[m > 0], l[:, m > 0]) for s, l in sides for m in (np.add.reduceat(s, starts, dtype=np.int64),)]
+        i, j, run, m, pair, low = (np.concatenate(x, axis=-1) for x in zip(*kept))
+        starts = np.cumsum(m) - m
+    return total
 
 
 @F.pandas_udf(DoubleType())
