@@ -48,11 +48,22 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def stripped_where_blank(text: Column) -> Column:
+    """`stripped` of what is made already: only texts with white space or an end of a line at one of their ends are searched."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(r"[\s\x85\u2028\u2029]"), stripped(text)).otherwise(text)
+
+
 def search_tokens(text: Column) -> Column:
     """Lower-case tokens of two or more letters, digits and _.&'- without stop words, with repeats."""
     return without(F.transform(every(text, r"[A-Za-z0-9][A-Za-z0-9_.&'-]{1,}"), F.lower), fixed.SEARCH_STOP)
 
 
+def lower_search_tokens(low: Column) -> Column:
+    """`search_tokens` of a text that is in lower case."""
+    return without(every(low, r"[a-z0-9][a-z0-9_.&'-]{1,}"), fixed.SEARCH_STOP)
+
+
 def voice_tokens(text: Column, stop: Sequence[str] = fixed.VOICE_STOP) -> Column:
     """Lower-case tokens of three or more characters, with repeats (a multiset)."""
     return without(every(F.lower(text), r"[a-z0-9][a-z0-9'-]{2,}"), stop)
@@ -154,14 +165,20 @@ def without_markers(text: Column) -> Column:
     return F.regexp_replace(text, r"\[\[EV-\d{4}\]\]", "")
 
 
+def _any_of(text: Column, literals: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for x in literals:
+        out = out | F.contains(text, F.lit(x))
+    return out
+
+
 def clean_article(text: Column, title: Column | None = None, boilerplate: Sequence[str] = (), chrome: Sequence[str] = ("share", "subscribe", "comments", "restack"), sections: Sequence[str] = (), cdn: Sequence[str] = ("substackcdn.com", "substack-post-media.s3.amazonaws.com")) -> Column:
     """A search text of a Markdown article: from its H1 on, without images, links to sections or profiles, boilerplate, chrome lines and link targets.
 
     The H1 is the first that is a part of the title, or has it (words of letters and digits, case ignored), else the first.
     """
-    t = F.regexp_replace(text, "\r\n?", "\n")
-    # places of H1 lines: what stands before each
-    parts = F.split(F.concat(F.lit("\n"), t), r"\n(?=#\s+\S)")
+    # a pattern is searched only in texts that have its literals, and each step's text is made once
+    guarded = lambda t, literals, use: F.when(_any_of(t, literals), use(t)).otherwise(t)
     words = lambda c: F.trim(F.lower(F.regexp_replace(c, r"\W+", " ")))
     has_title = F.lit(False) if title is None else F.coalesce(words(title), F.lit("")) != ""
 
@@ -169,20 +186,36 @@ def clean_article(text: Column, title: Column | None = None, boilerplate: Sequen
         own = words(F.regexp_extract(head, r"^#\s+(.+?)\s*(?:\n|$)", 1))
         return (own != "") & (F.contains(words(title), own) | F.contains(own, words(title)))
 
-    heads = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-    at = F.lit(0) if title is None else F.coalesce(F.when(has_title, F.array_position(F.transform(heads, is_title), True).cast("int")), F.lit(0))
-    chosen = F.greatest(at, F.lit(1))
-    t = F.when(F.size(parts) > 1, F.array_join(F.slice(heads, chosen, F.greatest(F.size(heads) - chosen + 1, F.lit(1))), "\n")).otherwise(t)
-    t = without_images(t)
-    if sections:
-        t = F.regexp_replace(t, r"(?i)\[(?:" + "|".join(sections) + r")\]\((?:https?://)?[^)]*(?:/s/|/@|/profile/)[^)]*\)", " ")
+    def from_title(t: Column) -> Column:
+        # places of H1 lines: what stands before each
+        def chosen(parts: Column) -> Column:
+            heads = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
+            at = F.lit(0) if title is None else F.coalesce(F.when(has_title, F.array_position(F.transform(heads, is_title), True).cast("int")), F.lit(0))
+            return F.when(F.size(parts) > 1, bound(F.greatest(at, F.lit(1)), lambda k: F.array_join(F.slice(heads, k, F.greatest(F.size(heads) - k + 1, F.lit(1))), "\n"))).otherwise(t)
+
+        return bound(F.split(F.concat(F.lit("\n"), t), r"\n(?=#\s+\S)"), chosen)
+
     hosts = "|".join(h.replace(".", r"\.") for h in cdn)
-    t = F.regexp_replace(t, r"(?i)\[[^\]]*\]\(https?://(?:" + hosts + r")[^)]+\)", " ")
-    for p in boilerplate:
-        t = F.regexp_replace(t, "(?i)" + p, " ")
-    lines = F.filter(F.split(t, "\n"), lambda x: ~F.lower(F.trim(x)).isin(list(chrome)) & ~F.trim(x).rlike(fixed.DATE_LINE) & ~F.lower(x).rlike(hosts))
-    t = links_to_anchors(F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(x)), "\n"))
-    return stripped(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n"))
+
+    def kept_lines(t: Column) -> Column:
+        # a text isn't put in lower case for what its length or the letter after a dot excludes (but k and i, no letter of ASCII becomes from others)
+        short = lambda x: (F.length(F.trim(x)) <= max(map(len, chrome), default=0)) & F.lower(F.trim(x)).isin(list(chrome))
+        after = lambda h: [f".{c}" for c in {h[h.find(".") + 1], h[h.find(".") + 1].upper()}] if "." in h[:-1] and h[h.find(".") + 1] not in "ki" else [""]
+        hosted = lambda x: _any_of(x, [a for h in cdn for a in after(h)]) & _any_of(F.lower(x), cdn)
+        lines = F.filter(F.split(t, "\n"), lambda x: ~short(x) & ~F.trim(x).rlike(fixed.DATE_LINE) & ~hosted(x))
+        return F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(x)), "\n")
+
+    steps = [
+        lambda t: guarded(t, ["\r"], lambda x: F.regexp_replace(x, "\r\n?", "\n")), lambda t: guarded(t, ["#"], from_title), lambda t: guarded(t, ["!["], without_images),
+        *([lambda t: F.regexp_replace(t, r"(?i)\[(?:" + "|".join(sections) + r")\]\((?:https?://)?[^)]*(?:/s/|/@|/profile/)[^)]*\)", " ")] if sections else []),
+        lambda t: guarded(t, ["]("], lambda x: F.regexp_replace(x, r"(?i)\[[^\]]*\]\(https?://(?:" + hosts + r")[^)]+\)", " ")),
+        *[(lambda b: lambda t: F.regexp_replace(t, "(?i)" + b, " "))(b) for b in boilerplate],
+        kept_lines, lambda t: guarded(t, ["]("], links_to_anchors), lambda t: guarded(t, ["\t", "  "], lambda x: F.regexp_replace(x, "[ \t]+", " ")), lambda t: guarded(t, ["\n\n\n"], lambda x: F.regexp_replace(x, "\n{3,}", "\n\n")),
+    ]
+    t = text
+    for step in steps:
+        t = bound(t, step)
+    return bound(t, stripped_where_blank)
 
 
 def word_count(text: Column) -> Column:

@@ -11,20 +11,28 @@ from . import blocks, store
 
 
 def chunked(articles: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """canonical_url, title, section, number, start, text, links of articles (canonical_url, title, body), and other columns of theirs: cleaned sections in word windows with their own links."""
-    a = articles.where("canonical_url IS NOT NULL").select(F.struct("canonical_url", "title", *also).alias("article_"), "title", "body")
-    s = blocks.sections(a, "article_", "body", "title").select("article_.*", "number", "section", F.col("body").alias("raw"))
-    c = s.select(F.struct("canonical_url", "number").alias("id"), "canonical_url", "title", *also, "section", "number", "raw", text.squeezed(text.clean_article(F.col("raw"), F.col("title"))).alias("clean")).where("clean <> ''")
-    linked = c.where(F.contains("raw", F.lit("](http"))).withColumn("article", F.col("canonical_url"))
-    links = blocks.markdown_links(linked, "id", "raw", "article").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "anchor", "url", "kind"))), lambda l: F.struct(l["anchor"].alias("anchor"), l["url"].alias("url"), l["kind"].alias("kind"))).alias("links"))
+    """canonical_url, title, section, number, start, text, links of articles (canonical_url, title, body), and other columns of theirs: cleaned sections in word windows with their own links.
+
+    A section is cleaned once; only sections with links are exchanged, to meet these.
+    """
+    names, mark = ["canonical_url", "title", *also], F.lit("](http")
+    a = articles.where("canonical_url IS NOT NULL").select(F.struct(*names).alias("article_"), "title", "body")
+    cut = lambda docs: blocks.sections(docs, "article_", "body", "title").select("article_.*", "number", "section", F.col("body").alias("raw"))
+    clean = F.explode(F.filter(F.array(text.clean_article(F.col("raw"), F.col("title"))), lambda x: x != "")).alias("clean")  # a row where something is left; a filter would clean twice
     none = F.array().cast("array<struct<anchor:string,url:string,kind:string>>")
-    own = c.drop("raw").join(links, "id", "left").select(F.struct("canonical_url", "title", *also, "section", "number", F.coalesce("links", none).alias("links"), F.when(F.size(F.coalesce("links", none)) > 0, F.col("clean")).alias("whole")).alias("s"), "clean")
-    w = blocks.word_windows(own, "s", F.col("clean"))
+    plain = cut(a).where(~F.contains("raw", mark)).select(*names, "section", "number", clean).select(F.struct(*names, "section", "number", none.alias("links"), F.lit(None).cast("string").alias("whole")).alias("s"), "clean")
+    linked = cut(a.where(F.contains("body", mark))).where(F.contains("raw", mark)).withColumn("id", F.struct("canonical_url", "number"))
+    links = blocks.markdown_links(linked.select("id", "raw", F.col("canonical_url").alias("article")), "id", "raw", "article").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "anchor", "url", "kind"))), lambda l: F.struct(l["anchor"].alias("anchor"), l["url"].alias("url"), l["kind"].alias("kind"))).alias("links"))
+    own = linked.select("id", *names, "section", "number", clean).join(links, "id", "left")
+    own = own.select(F.struct(*names, "section", "number", F.coalesce("links", none).alias("links"), F.when(F.size(F.coalesce("links", none)) > 0, text.squeezed(F.col("clean"))).alias("whole")).alias("s"), "clean")
+    w = blocks.word_windows(plain.unionByName(own), "s", F.col("clean"))
     return w.select("s.canonical_url", "s.title", *[f"s.{c}" for c in also], "s.section", "s.number", "start", F.col("piece").alias("text"), blocks.links_in_piece(F.col("s.links"), F.col("piece"), F.col("s.whole")).alias("links"))
 
 
 #: Ranges of terms that postings are kept in, and rows of a file of them.
 BUCKETS, FILE_ROWS = 64, 4_000_000
+#: Articles that a build made and that aren't served: as many are broadcast, so that what is served isn't exchanged to leave them out.
+FEW_DEAD = 1 << 20
 #: Words of the longest run of tokens that is a concept.
 RUN = 3
 CHUNK = ["canonical_url", "chunk"]
@@ -59,6 +67,7 @@ class Index:
         meta = self._read("meta", None)
         self.meta = meta.orderBy(F.col("generation").desc()).first() if meta is not None else None
         self.generation = self.meta["generation"] if self.meta else -1
+        self._left: tuple[list[int], DataFrame, int] | None = None
 
     def _read(self, part: str, upto: int | None) -> DataFrame | None:
         from pyspark.errors import AnalysisException
@@ -74,10 +83,25 @@ class Index:
         rows = self._read("articles", None)
         return rows.where(F.col("generation") == self.generation) if rows is not None and self.meta else None
 
+    def _left_out(self) -> tuple[list[int], DataFrame, int]:
+        """The generations that have served articles, what else was made in these (canonical_url, generation), and how much."""
+        if self._left is None:
+            pair = ["canonical_url", F.col("made").alias("generation")]
+            live = self.articles().where("served").select(*pair)
+            used = [r["generation"] for r in live.select("generation").distinct().collect()]
+            made = self._read("articles", self.generation).where((F.col("chunks") > 0) & F.col("made").isin(used)).select(*pair).distinct()
+            dead = sinks.scratch(made.join(live, ["canonical_url", "generation"], "left_anti"))
+            self._left = used, dead, dead.count()
+        return self._left
+
     def served(self, part: str) -> DataFrame:
-        """Rows of a part that belong to articles as they are now."""
-        live = self.articles().where("served").select("canonical_url", F.col("made").alias("generation"))
-        return self._read(part, self.generation).join(live, ["canonical_url", "generation"])
+        """Rows of a part that belong to articles as they are now. These stay where they are: the few that don't are looked up."""
+        used, dead, n = self._left_out()
+        rows = self._read(part, self.generation).where(F.col("generation").isin(used))
+        if n > FEW_DEAD:
+            live = self.articles().where("served").select("canonical_url", F.col("made").alias("generation"))
+            return rows.join(live, ["canonical_url", "generation"])
+        return rows.join(F.broadcast(dead), ["canonical_url", "generation"], "left_anti") if n else rows
 
     def chunks(self) -> DataFrame:
         return self.served("chunks").drop("generation")
@@ -160,14 +184,14 @@ def build(articles: DataFrame, path: str, force: bool = False) -> bool:
     at = f"generation={g}"
     made = chunked(fresh.withColumn("status", F.col("content_status")), ("status",))
     made = made.withColumn("chunk", F.col("number").cast("long") * (1 << 32) + F.col("start")).drop("number", "start")
-    made.withColumn("tokens", text.search_tokens(_hay())).write.mode("overwrite").parquet(f"{path}/chunks/{at}")
+    made.withColumn("tokens", text.lower_search_tokens(_hay())).withColumn("dl", F.size("tokens").cast("long")).write.mode("overwrite").parquet(f"{path}/chunks/{at}")
     chunks = spark.read.parquet(f"{path}/chunks/{at}")
-    sizes = chunks.groupBy("canonical_url").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
-    posted = chunks.select(*CHUNK, F.size("tokens").cast("long").alias("dl"), F.explode(text.counted(F.col("tokens"))).alias("x")).select(*CHUNK, "dl", "x.term", "x.tf").withColumn("bucket", _bucket(F.col("term")))
-    rows = chunks.agg(F.sum(F.size(F.array_distinct("tokens")))).first()[0] or 0
+    sizes = chunks.groupBy("canonical_url").agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens"))
+    posted = chunks.select(*CHUNK, "dl", F.explode(text.counted(F.col("tokens"))).alias("x")).select(*CHUNK, "dl", "x.term", "x.tf").withColumn("bucket", _bucket(F.col("term")))
+    rows = chunks.agg(F.sum("dl")).first()[0] or 0  # or fewer: repeats are one row
     spread = max(1, -(-rows // (BUCKETS * FILE_ROWS)))  # files of a bucket: a frequent term is in all of them
     posted.repartition("bucket", F.pmod(F.xxhash64(*CHUNK), F.lit(spread))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
-    chunks.select(F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{path}/terms/{at}")
+    spark.read.schema("term string").parquet(f"{path}/postings/{at}").select("term").distinct().write.mode("overwrite").parquet(f"{path}/terms/{at}")
     new = fresh.select("canonical_url", "digest").join(sizes, "canonical_url", "left").select("canonical_url", "digest", F.lit(g).alias("made"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     every = a.select("id", "canonical_url", "content_hash", "published_date", "digest").join(new if known is None else new.unionByName(known.join(a.select("canonical_url", "digest"), ["canonical_url", "digest"])), ["canonical_url", "digest"])
     first = store.first_by(every.where("chunks > 0"), [F.col("content_hash")], F.coalesce("published_date", F.lit("")).desc(), F.col("id").desc()).select("canonical_url", F.lit(True).alias("served"))

@@ -47,7 +47,7 @@ def signals(chunks: DataFrame, query: str, concepts: list[str], lsa: "Lsa | None
     section = F.col("section") if "section" in chunks.columns else F.lit("")
     links = F.col("links") if "links" in chunks.columns else F.array().cast("array<struct<anchor:string,url:string,kind:string>>")
     hay = F.lower(F.concat_ws(" ", "title", section, "text"))
-    c = chunks.select("article", "start", "status", links.alias("links"), F.lower(F.concat_ws(" ", "title", section)).alias("head"), F.lower("title").alias("title_"), hay.alias("hay"), text.search_tokens(hay).alias("all"))
+    c = chunks.select("article", "start", "status", links.alias("links"), F.lower(F.concat_ws(" ", "title", section)).alias("head"), F.lower("title").alias("title_"), hay.alias("hay"), text.lower_search_tokens(hay).alias("all"))
     outside = F.array_join(F.transform(F.filter("links", lambda l: l["kind"] != "internal_article"), lambda l: l["anchor"]), " ")
     hits = search.without_contained(F.array_compact(F.array(*[F.when(F.contains("hay", F.lit(x)), x) for x in concepts])) if concepts else F.array().cast("array<string>"))
     c = c.withColumn("tokens", F.array_distinct("all")).select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources import sinks
 
 #: Entries of the rows that one task multiplies by a basis: a task sums up the whole basis, so few entries aren't worth one.
 TASK_ENTRIES = 5_000_000
@@ -46,14 +47,19 @@ def _tokens(texts: pa.Array, stop: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(use), of[use.to_numpy(zero_copy_only=False)]
 
 
-def _pairs(code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, code, times) of what each text has, and the place of the first of each."""
-    order = np.lexsort((code, of))
-    c, o = code[order], of[order]
+def _pairs(code: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, times) of what each text has, ascending; codes aren't negative."""
+    size = int(code.max()) + 1 if len(code) else 1
+    if len(code) and size * (int(of.max()) + 1) < 1 << 62:  # one number for both sorts faster than two
+        both = np.sort(of * size + code)
+        o, c = both // size, both % size
+    else:
+        order = np.lexsort((code, of))
+        c, o = code[order], of[order]
     new = np.ones(len(c), bool)
     new[1:] = (c[1:] != c[:-1]) | (o[1:] != o[:-1])
     at = np.flatnonzero(new)
-    return o[at], c[at], np.diff(np.append(at, len(c))), order[at]
+    return o[at], c[at], np.diff(np.append(at, len(c)))
 
 
 def _grams(words: pa.Array, of: np.ndarray, known: pa.Array, pairs: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -123,7 +129,7 @@ class Vocabulary:
             code, doc = _grams(words, of, known, pair)
             found.append((lookup(code, triple, triple_i), doc))
             i, doc = (np.concatenate(x) for x in zip(*found))
-            doc, i, tf, _ = _pairs(i[i >= 0], doc[i >= 0])
+            doc, i, tf = _pairs(i[i >= 0], doc[i >= 0])
             w = (1 + np.log(tf)) * idf[i]
             first = np.searchsorted(doc, np.arange(len(texts) + 1))
             total = np.concatenate([[0], np.cumsum(w * w)])
@@ -169,12 +175,11 @@ def vocabulary(texts: DataFrame, of: Column, limit: int = 30000, least_df: int =
                 yield pa.RecordBatch.from_arrays([value, pa.array(tf), pa.array(df)], names=[name, "tf", "df"])
 
         sums = t.mapInArrow(run, f"{name} {schema}, tf long, df long").groupBy(name).agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-        return sums.where(F.col("df") >= least_df)
+        return sinks.scratch(sums.where(F.col("df") >= least_df))  # read twice: for the last that could stay, and for all as frequent
 
     def by_text(code: np.ndarray, of_: np.ndarray):
-        _, c, times, _ = _pairs(code, of_)
-        own, at = np.unique(c, return_inverse=True)
-        return own, np.bincount(at, times, len(own)).astype(np.int64), np.bincount(at, minlength=len(own)).astype(np.int64)
+        own, tf = np.unique(code, return_counts=True)
+        return own, tf, np.unique(_pairs(code, of_)[1], return_counts=True)[1]
 
     def single(words: pa.Array, of_: np.ndarray):
         d = words.dictionary_encode()

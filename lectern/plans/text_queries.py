@@ -183,12 +183,12 @@ def snk15_snk16_txt03_indexed_retrieval(t):
     """The index of all documents as articles, with vectors, and what it answers by its postings."""
     from ..operators import index
     from ..operators.retrieval import retrieve_indexed
-    from ..sources.sinks import scratch_path
+    from ..sources.sinks import scratch, scratch_path
 
     body = _topical(t).groupBy("article").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "\n\n## Next\n\n").alias("body"))
     a = body.select(F.col("article").alias("id"), F.format_string("https://own.org/p/%s", F.col("article").cast("string")).alias("canonical_url"), F.format_string("Title %s", F.col("article").cast("string")).alias("title"), F.concat(F.lit("# Part\n\n"), "body").alias("body"), F.sha2("body", 256).alias("content_hash"), F.lit("full").alias("content_status"), F.lit(None).cast("string").alias("published_date"))
     path = scratch_path(t.spark)
-    index.build(a, path)
+    index.build(scratch(a), path)  # written once: a build reads its articles several times
     made = index.Index(t.spark, path)
     made.fit(64, 20000)
     return retrieve_indexed(made, RETRIEVED, ["license plate", "infrared sensor"], 20, 0.0)

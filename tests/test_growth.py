@@ -125,3 +125,59 @@ def test_jaccard_makes_each_array_once(spark):
     got = d.select(text.jaccard(text.every(F.col("a"), "[a-z]"), text.every(F.col("b"), "[a-z]")).alias("j"))
     assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
     assert [r.j for r in got.collect()][:3] == [1 / 3, 0.0, 1.0]
+
+
+def test_sections_are_cleaned_once_and_stay_in_place(spark):
+    """No filter cleans a section again, and only sections with links are exchanged, even where nothing may be broadcast."""
+    from lectern.functions import fixed
+    from lectern.operators import index
+
+    a = spark.createDataFrame([("https://own.org/p/1", "T", "# A\n\none two [a memo](https://e.org/1)\n\n## B\n\nno link here"), ("https://own.org/p/2", "N", "Share\n# Other\n\nx\n# N\n\nwords\nJan 3, 2024\n"), ("https://own.org/p/3", "T", "# E\n\nShare\n")], "canonical_url string, title string, body string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = index.chunked(a)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(fixed.DATE_LINE) == 2  # of sections without links, and of those with
+        assert {(r.section, r.text, len(r.links)) for r in d.collect()} == {("A", "one two a memo", 1), ("B", "no link here", 0), ("Other", "x", 0), ("N", "words", 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plain = plan.split("Union")[1].split("SortMergeJoin")[0]
+    assert plain.count("Exchange") == 0 and plain.count(fixed.DATE_LINE) == 1
+
+
+def test_what_is_served_stays_in_place(spark, tmp_path):
+    """Where all that was made is served nothing is joined; what isn't served is left out by a broadcast of it, or by a join if there is much."""
+    from lectern.operators import index
+
+    schema = "id long, canonical_url string, title string, body string, content_hash string, content_status string, published_date string"
+    rows = [(i, f"https://own.org/p/{i}", "T", f"# One\n\nword{i} plate", f"h{i}", "full", None) for i in range(6)]
+    path = str(tmp_path / "index")
+    assert index.build(spark.createDataFrame(rows, schema), path)
+    made = index.Index(spark, path)
+    assert all("Join" not in made.served(p)._jdf.queryExecution().executedPlan().toString() for p in ("chunks", "postings"))
+    changed = [*rows[:4], (4, rows[4][1], "T", "# One\n\nnew plate", "n4", "full", None), (9, "https://own.org/p/9", "T", rows[0][3], "h0", "full", "2030-01-01")]
+    assert index.build(spark.createDataFrame(changed, schema), path)
+    want = {("https://own.org/p/9", "word0 plate"), *((f"https://own.org/p/{i}", f"word{i} plate") for i in (1, 2, 3)), ("https://own.org/p/4", "new plate")}
+    for few in (index.FEW_DEAD, 0):
+        index.FEW_DEAD, kept = few, index.FEW_DEAD
+        try:
+            made = index.Index(spark, path)
+            assert {(r.canonical_url, r.text) for r in made.chunks().collect()} == want
+            assert made.postings(["plate"]).count() == 5 and made.postings(["word5"]).count() == 0
+        finally:
+            index.FEW_DEAD = kept
+
+
+def test_counts_of_a_slice_of_texts():
+    """(text, code, times) by one number and by two are those of a plain loop."""
+    import numpy as np
+
+    from lectern.operators import vectors
+
+    r = np.random.default_rng(1)
+    of = np.sort(r.integers(0, 40, 3000))
+    for code in (r.integers(0, 50, 3000), r.integers(0, 50, 3000) << 56):
+        want = sorted((t, c, n) for (t, c), n in Counter(zip(of.tolist(), code.tolist())).items())
+        assert list(zip(*(x.tolist() for x in vectors._pairs(code, of)))) == want
+    assert [len(x) for x in vectors._pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
