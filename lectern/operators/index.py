@@ -190,7 +190,8 @@ def build(articles: DataFrame, path: str, force: bool = False) -> bool:
     posted = chunks.select(*CHUNK, "dl", F.explode(text.counted(F.col("tokens"))).alias("x")).select(*CHUNK, "dl", "x.term", "x.tf").withColumn("bucket", _bucket(F.col("term")))
     rows = chunks.agg(F.sum("dl")).first()[0] or 0  # or fewer: repeats are one row
     spread = max(1, -(-rows // (BUCKETS * FILE_ROWS)))  # files of a bucket: a frequent term is in all of them
-    posted.repartition("bucket", F.pmod(F.xxhash64(*CHUNK), F.lit(spread))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
+    place = F.col("bucket") * spread + F.pmod(F.xxhash64(*CHUNK), F.lit(spread)).cast("int")
+    posted.repartitionById(BUCKETS * spread, place).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
     spark.read.schema("term string").parquet(f"{path}/postings/{at}").select("term").distinct().write.mode("overwrite").parquet(f"{path}/terms/{at}")
     new = fresh.select("canonical_url", "digest").join(sizes, "canonical_url", "left").select("canonical_url", "digest", F.lit(g).alias("made"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     every = a.select("id", "canonical_url", "content_hash", "published_date", "digest").join(new if known is None else new.unionByName(known.join(a.select("canonical_url", "digest"), ["canonical_url", "digest"])), ["canonical_url", "digest"])
