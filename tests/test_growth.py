@@ -181,3 +181,17 @@ def test_counts_of_a_slice_of_texts():
         want = sorted((t, c, n) for (t, c), n in Counter(zip(of.tolist(), code.tolist())).items())
         assert list(zip(*(x.tolist() for x in vectors._pairs(code, of)))) == want
     assert [len(x) for x in vectors._pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_buckets_of_postings_have_tasks_of_their_own(spark, tmp_path):
+    """The number of a task is in its files' names: none has two buckets."""
+    import glob
+    import re
+
+    from lectern.operators import index
+
+    a = spark.createDataFrame([(1, "https://own.org/p/1", "T", "# One\n\n" + " ".join(f"word{i}" for i in range(900)), "h", "full", None)], "id long, canonical_url string, title string, body string, content_hash string, content_status string, published_date string")
+    assert index.build(a, str(tmp_path / "index"))
+    files = glob.glob(f"{tmp_path}/index/postings/generation=0/bucket=*/*.parquet")
+    tasks = {re.search(r"part-(\d+)", f)[1] for f in files}
+    assert len(tasks) == len(files) == len({re.search(r"bucket=(\d+)", f)[1] for f in files}) > index.BUCKETS // 2
